@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 from .common import materialize, word_count
 from .quality_rules import _named
 
-#: Fixed primes of the permutation's arithmetic.
-PRIME, MULTIPLIERS, ADDENDS = 2147483647, (48271, 69621, 40692, 39373, 742938285, 950706376, 1226874159, 62089911), (11, 101, 1009, 10007, 100003, 1000003, 10000019, 100000007)
+#: The modulus of the permutation's arithmetic, a prime below 2^31, and its rounds.
+PRIME, ROUNDS = 2147483647, 8
+#: How each engine repeats one expression of (acc, k) over a list.
+SPARK = {"series": "explode(sequence(cast({a} as bigint), cast({b} as bigint)))", "fold": "aggregate(array({ks}), cast({x} as bigint), (acc, k) -> {body})"}
+CHECKER = {"series": "unnest(generate_series(cast({a} as bigint), cast({b} as bigint)))", "fold": "list_reduce([cast({x} as bigint), {ks}], lambda acc, k: {body})"}
 
 
 @dataclass(frozen=True)
@@ -36,32 +39,28 @@ class Mix:
     run: int = 4096
 
 
-def _permuted(inner: str, x: str, n: str, out: str, p: Mix, inverse: bool = False) -> str:
-    """SQL that adds ``out``, the place of ``x`` in a pseudorandom permutation of 0 to n - 1.
+def _permuted(x: str, n: str, p: Mix, fold: str, inverse: bool = False) -> str:
+    """SQL of the place of ``x`` in a pseudorandom permutation of 0 to n - 1, from columns sid and pass.
 
     Swap-or-not rounds (Hoang, Morris and Rogaway, 2012): each swaps x with its mirror image or not,
     by a bit that both share, so a round undoes itself and the rounds in reverse order are the inverse.
     """
-    rounds = list(enumerate(zip(MULTIPLIERS, ADDENDS, strict=True)))
-    sql, at = inner, x
-    for k, (a, b) in reversed(rounds) if inverse else rounds:
-        key = f"((({p.seed} + sid * {a} + pass * {b}) % {PRIME}) * {MULTIPLIERS[(k + 3) % 8]} % {PRIME})"
-        sql = f"select *, ({key} % {n} + {n} - {at}) % {n} as {out}m{k} from ({sql}) {out}a{k}"
-        sql = f"select *, ((greatest({at}, {out}m{k}) % {PRIME}) * {a} + {key}) % {PRIME} % 65521 % 2 as {out}b{k} from ({sql}) {out}c{k}"
-        sql = f"select *, case when {out}b{k} = 1 then {out}m{k} else {at} end as {out}x{k} from ({sql}) {out}d{k}"
-        at = f"{out}x{k}"
-    return f"select *, {at} as {out} from ({sql}) {out}e"
+    key = f"((({p.seed} + sid * (48271 + 7919 * k) + pass * (69621 + 104729 * k)) % {PRIME}) * 39373 % {PRIME})"
+    mirror = f"(({key} % {n} + {n} - acc) % {n})"
+    bit = f"((greatest(acc, {mirror}) % {PRIME}) * (40692 + 1299709 * k) + {key}) % {PRIME} % 65521 % 2"
+    ks = [f"cast({k} as bigint)" for k in range(ROUNDS)]
+    return fold.format(x=x, ks=", ".join(ks[::-1] if inverse else ks), body=f"case when {bit} = 1 then {mirror} else acc end")
 
 
-def mix_steps(p: Mix, series: str) -> list[tuple[str, str]]:
-    """(name, SQL) over a table ``sized(doc_id, source, size)``. ``series``: rows from {a} to {b}.
+def mix_steps(p: Mix, engine: dict[str, str]) -> list[tuple[str, str]]:
+    """(name, SQL) over a table ``sized(doc_id, source, size)``.
 
     The last steps are ``mixed``, a row per stretch of words that a slot takes from a document, and
     ``digest``, a row per document.
     """
     n_w, size = len(p.weights), p.block
     weight = " ".join(f"when {i} then {w}" for i, w in enumerate(p.weights))
-    grow = lambda a, b: series.format(a=a, b=b)
+    grow = lambda a, b: engine["series"].format(a=a, b=b)
     whole = lambda x: f"cast(floor({x} / {size}e0) as bigint)"
     bucket = f"(abs(coalesce(doc_id, 0)) % 1000003) * 7919 % {p.buckets}"
     return [
@@ -79,11 +78,11 @@ def mix_steps(p: Mix, series: str) -> list[tuple[str, str]]:
         ("quotas", f"select *, cast(round(target) as bigint) as quota, {whole(f'(source_size + {size - 1})')} as nb from targets where source_size > 0"),
         ("passes", f"select *, {grow(0, p.cap - 1)} as pass from quotas"),
         ("parts", f"select *, source_size - (nb - 1) * {size} as short, least(source_size, quota - pass * source_size) as rest from passes where quota > pass * source_size"),
-        ("ends", _permuted("select sid, pass, nb, short, rest, nb - 1 as last from parts", "last", "nb", "j0", p, inverse=True)),
+        ("ends", f"select sid, pass, nb, short, rest, {_permuted('nb - 1', 'nb', p, engine['fold'], inverse=True)} as j0 from parts"),
         ("runs", f"select sid, pass, nb, short, rest, j0, {grow(0, f'cast(floor({whole(f"(rest - 1 + {size} - short)")} / {p.run}e0) as bigint)')} as chunk from ends"),
         ("slots", f"select sid, pass, nb, short, rest, j0, {grow(f'chunk * {p.run}', f'least(chunk * {p.run} + {p.run - 1}, nb - 1, {whole(f"(rest - 1 + {size} - short)")})')} as j from runs where chunk * {p.run} < nb"),
         ("begun", f"select *, j * {size} - case when j > j0 then {size} - short else 0 end as before from slots"),
-        ("mapped", _permuted("select * from begun where before < rest", "j", "nb", "block", p)),
+        ("mapped", f"select *, {_permuted('j', 'nb', p, engine['fold'])} as block from begun where before < rest"),
         (
             "drawn",
             f"select sid, pass, j, block, least(case when block = nb - 1 then short else {size} end, rest - before) as take,"
@@ -128,7 +127,7 @@ def mix_sources(docs: DataFrame, p: Mix = Mix()) -> dict[str, DataFrame]:
     spark = docs.sparkSession
     known = {"sized": materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")}
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    for name, sql in mix_steps(p, "explode(sequence(cast({a} as bigint), cast({b} as bigint)))"):
+    for name, sql in mix_steps(p, SPARK):
         known[name] = spark.sql(_named(sql, known), **{k: v for k, v in known.items() if _named(sql, [k]) != sql})
         if name in ("targets", "ends", "drawn", "placed"):
             known[name] = materialize(known[name], name)
@@ -150,7 +149,7 @@ def repeat_by_mix(docs: DataFrame, p: Mix = Mix()) -> DataFrame:
 
 def mixing_oracle(p: Mix, sized: str) -> str:
     """The digest as one statement for an engine with ``unnest(generate_series(a, b))``."""
-    steps = mix_steps(p, "unnest(generate_series(cast({a} as bigint), cast({b} as bigint)))")
+    steps = mix_steps(p, CHECKER)
     return f"with sized as materialized ({sized}), " + ", ".join(f"{name} as materialized ({sql})" for name, sql in steps) + " select * from digest"
 
 

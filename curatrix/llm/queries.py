@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import mixing, quality_rules
@@ -9,6 +10,7 @@ from .common import table
 from .mixing import Mix, mix_sources
 from .quality_rules import judge_quality
 from .sharding import shard_documents
+from .token_counts import count_tokens
 from .url_filter import filter_urls
 
 #: The rules that op3 judges by.
@@ -37,7 +39,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_url_filter, op5_quality_rules, op6_mixing, op7_sharding)}
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op3_url_filter, op5_quality_rules, op6_mixing, op7_sharding, op10_token_counts)}
 
 
 def queries() -> dict:
