@@ -5,12 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality_rules
+from . import oracle
+from .bpe_codec import encode_documents
 from .common import table
-from .mixing import Mix, mix_sources
+from .fingerprints import fingerprint_documents
+from .mixing import mix_sources
+from .near_dedup import Settings, near_duplicates
+from .quality_classifier import score_quality
 from .quality_rules import judge_quality
 from .sharding import shard_documents
 from .token_counts import count_tokens
+from .toxicity import score_toxicity
 from .url_filter import filter_urls
 
 #: The rules that op3 judges by.
@@ -23,10 +28,22 @@ RULES = [
 ]
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), digest=True)
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), RULES)
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), Settings(words=4))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents"))
 
@@ -39,16 +56,36 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_url_filter, op5_quality_rules, op6_mixing, op7_sharding, op10_token_counts)}
+QUERIES = [
+    op1_fingerprints,
+    op2_bpe_codec,
+    op3_url_filter,
+    op4_near_dedup,
+    op5_quality_rules,
+    op6_mixing,
+    op7_sharding,
+    op8_toxicity,
+    op9_quality_classifier,
+    op10_token_counts,
+]
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """By query; the others are tested against brute force, round trips or held-out labels."""
+    return {"op3_url_filter": oracle.op3(RULES), "op4_near_dedup": oracle.OP4, "op5_quality_rules": oracle.op5(), "op6_mixing": oracle.op6()}
