@@ -23,7 +23,8 @@ def query(sql: str | None = None):
     def register(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE[f.__name__] = sql.replace("{BASE}", BASE)
+            # A filtered count is a BIGINT, as Spark's is.
+            ORACLE[f.__name__] = sql.replace("{BASE}", BASE).replace("count_if(", "count(*) filter (")
         return f
 
     return register

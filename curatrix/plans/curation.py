@@ -199,7 +199,7 @@ res as (select lab.*, g.key as gkey, g.n_labels, case when g.key is not null and
 
 @query("with " + RESOLVED + """ select count(*) as total_records, count_if(final <> 'invalid_smiles') as valid_records, count_if(final = 'clean') as n_clean, count_if(final = 'salt_removed') as n_salt_removed, count_if(final = 'mixture') as n_mixture,
  count_if(final = 'metal_complex') as n_metal_complex, count_if(final = 'ambiguous_fragment') as n_ambiguous_fragment, count_if(final = 'no_parent') as n_no_parent, count_if(final = 'invalid_smiles') as n_invalid_smiles, count_if(final = 'duplicate') as n_duplicate,
- count(distinct gkey) as duplicate_groups, count(distinct gkey) filter (n_labels > 1) as conflicting_groups, count_if(coalesce(n_labels > 1, false)) as conflicting_rows, 0 as rows_with_marks,
+ count(distinct gkey) as duplicate_groups, count(distinct gkey) filter (n_labels > 1) as conflicting_groups, count_if(coalesce(n_labels > 1, false)) as conflicting_rows, cast(0 as bigint) as rows_with_marks,
  count_if(final in ('clean', 'salt_removed')) as records_retained, count_if(final not in ('clean', 'salt_removed')) as records_excluded from res""")
 def curation_report(spark, d):
     rows = base(spark, d).select("doc_id", "text", "toxic")
@@ -213,7 +213,7 @@ def status_moves(spark, d):
 
 
 @query("with " + STATUS + """, e as (select st.status, x.doc_id, case when length(text) > 70 then substr(text, 1, 67) || '...' else text end as v, row_number() over (partition by st.status order by x.doc_id) as k from st join documents x on st.doc_id = x.doc_id)
-select status, count(*) as n, 0 as n_conflicts, string_agg(v, ' / ' order by doc_id) filter (k <= 3) as examples from e group by status""")
+select status, count(*) as n, cast(0 as bigint) as n_conflicts, string_agg(v, ' / ' order by doc_id) filter (k <= 3) as examples from e group by status""")
 def review_summary(spark, d):
     docs = load(spark, d, "documents")
     verdicts = C.classify_records(docs, "doc_id", "text", shared_lines(spark, d), **RULES)
@@ -239,12 +239,12 @@ def exclude_recovered(spark, d):
     return J.exclude(rows, rows.where("toxic = 1"), "text").select("doc_id")
 
 
-@query("""with {BASE}, clean as (select doc_id, text from d where n_chars >= 1000), review as (select doc_id, text from d where n_chars < 1000), auto as (select doc_id, upper(text) as v from review where doc_id % 2 = 0)
+@query("""with {BASE}, clean as (select doc_id, text from d where n_chars >= 1000), review as (select doc_id, text from d where n_chars < 1000), auto as (select doc_id, text || '!' as v from review where doc_id % 2 = 0)
 select doc_id, length(text) as n, 'clean' as side from clean union all select a.doc_id, length(a.v), 'clean' from auto a union all select doc_id, length(text), 'review' from review where doc_id % 2 <> 0""")
 def merge_recovered(spark, d):
     rows = base(spark, d).select("doc_id", "text", "n_chars")
     clean, review = rows.where("n_chars >= 1000").drop("n_chars"), rows.where("n_chars < 1000").drop("n_chars")
-    recovery = review.select("doc_id", F.when(F.col("doc_id") % 2 == 0, "auto_recoverable").otherwise("needs_manual_review").alias("recommendation"), F.upper("text").alias("recovered_value"))
+    recovery = review.select("doc_id", F.when(F.col("doc_id") % 2 == 0, "auto_recoverable").otherwise("needs_manual_review").alias("recommendation"), F.concat("text", F.lit("!")).alias("recovered_value"))
     merged, left = J.merge_recovered(clean, review, recovery, "doc_id", "text")
     again, rest = J.merge_recovered(merged, left, recovery, "doc_id", "text")
     return again.withColumn("side", F.lit("clean")).union(rest.withColumn("side", F.lit("review"))).select("doc_id", F.length("text").cast("long").alias("n"), "side")
@@ -273,7 +273,7 @@ def market_gap(spark, d):
     return J.gap_report(base(spark, d).groupBy("lang").agg(F.avg("score").alias("auc")), market, "lang", "auc", "ref")
 
 
-@query("select count(*) as n, sum(len(text)) as total from (select text from documents union all select text from benchmark)")
+@query("select count(*) as n, cast(sum(len(text)) as bigint) as total from (select text from documents union all select text from benchmark)")
 def pooled_union(spark, d):
     both = J.union_common(load(spark, d, "documents"), load(spark, d, "benchmark"))
     return both.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("total"))
