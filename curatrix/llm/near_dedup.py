@@ -23,8 +23,9 @@ class Settings:
 
     A sketch has 2 to the ``bucket_bits`` registers of a leading-zero count and ``mantissa_bits``;
     ``bands`` of ``rows`` registers make candidates. A pair at 0.8 is missed by all 42 bands of 6 with
-    a probability of 3e-6. ``pivots`` rounds compare a bucket's members with one of them; the rest of
-    larger buckets is compared in blocks of ``block``.
+    a probability of 3e-6. ``pivots`` rounds compare a bucket's members with one of them; what is open
+    then is compared in blocks of ``block``. Up to ``most_sent`` ids of candidates are sent to all
+    tasks that read the texts of candidates; more are joined.
     """
 
     words: int = 5
@@ -33,8 +34,9 @@ class Settings:
     mantissa_bits: int = 10
     bands: int = 42
     rows: int = 6
-    pivots: int = 2
+    pivots: int = 3
     block: int = 256
+    most_sent: int = 1_000_000
 
 
 class _WordHashes(dict):
@@ -125,39 +127,44 @@ def may_link(a, b, n, m, s: Settings) -> np.ndarray:
     return guess >= edge - 6 * np.sqrt(edge * (1 - edge) / np.maximum(size, 1)) - 0.02
 
 
-def _sets(s: Settings):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, keys = [], []
-            for text in batch["text"]:
-                own = shingle_set(text.as_py(), s.words)
-                sizes.append(len(own))
-                keys.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "n", "class"])
-
-    return run
-
-
-def _bands(s: Settings):
+def _sketched(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[bytes] = set()  # copies in the same task send their bands once; a repeat would do no harm
         for batch in batches:
-            keys, names = [], []
+            sizes, names, bands = [], [], []
             for text in batch["text"]:
                 own = shingle_set(text.as_py(), s.words)
-                name = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
-                if len(own) and name not in done:
-                    done.add(name)
-                    keys.append(band_keys(sketch(own, s), s))
-                    names.append(name)
+                name = hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None
+                sizes.append(len(own))
+                names.append(name)
+                bands.append(band_keys(sketch(own, s), s) if name and name not in done else None)
+                done.add(name)
             if len(done) > 200_000:
                 done.clear()
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array([n for n in names for _ in range(s.bands)], pa.binary())], ["band", "class"])
+            columns = [batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "class", "bands"])
 
     return run
 
 
+def _shared_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of (band, class), each once, those of bands with several classes. One row is in hand, never a band."""
+    last, told = None, False  # the row before, and whether it went out
+    for batch in batches:
+        bands, names = batch["band"].to_pylist(), batch["class"].to_pylist()
+        out = []
+        for row in zip(bands, names, strict=True):
+            if row == last:
+                continue
+            if last is not None and row[0] == last[0]:
+                out += [row] if told else [last, row]
+                told = True
+            else:
+                told = False
+            last = row
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary())], ["band", "class"])
+
+
 def _details(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,29 +207,50 @@ def _verified(s: Settings):
     return run
 
 
-def _verify(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, s: Settings, estimated: bool = False) -> DataFrame:
+def _verify(pairs: DataFrame, details: DataFrame, s: Settings) -> DataFrame:
     """The linked ones of distinct ``pairs(a, b)``: first by their sketches, then on full sets."""
-    one = lambda t, side, **cols: t.select(F.col("class").alias(side), *[F.col(c).alias(n) for n, c in cols.items()])
-    if not estimated:
-        near = pairs.join(one(sketches, "a", n_a="n", sketch_a="sketch"), "a").join(one(sketches, "b", n_b="n", sketch_b="sketch"), "b")
-        pairs = near.mapInArrow(_estimated(s), "a binary, b binary")
-    whole = pairs.join(one(sets, "a", set_a="shingles"), "a").join(one(sets, "b", set_b="shingles"), "b")
+    one = lambda side, **cols: details.select(F.col("class").alias(side), *[F.col(c).alias(n) for n, c in cols.items()])
+    near = pairs.join(one("a", n_a="n", sketch_a="sketch"), "a").join(one("b", n_b="n", sketch_b="sketch"), "b")
+    likely = near.mapInArrow(_estimated(s), "a binary, b binary")
+    whole = likely.join(one("a", set_a="shingles"), "a").join(one("b", set_b="shingles"), "b")
     return whole.mapInArrow(_verified(s), "a binary, b binary")
 
 
-def _block_pairs(s: Settings):
-    """Pairs of a bucket's members between two of its blocks, in different components, that may link."""
+def _block_links(s: Settings):
+    """Links between two blocks of a cluster, as few as join the components that links join."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("class")
+        rows = rows.sort_values("class").reset_index(drop=True)
         sketches = np.frombuffer(b"".join(rows["sketch"]), np.uint16).reshape(len(rows), -1)
-        n, name, label, block = rows["n"].to_numpy(), rows["class"].to_numpy(), rows["label"].to_numpy(), rows["block"].to_numpy()
+        n, name, block = rows["n"].to_numpy(), rows["class"].to_numpy(), rows["block"].to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
+        root = {x: x for x in rows["label"]}
+
+        def top(x):
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
         one, other = rows["low"].iloc[0], rows["high"].iloc[0]
         left, right = np.flatnonzero(block == one), np.flatnonzero(block == other)
         found = []
         for i in left:
-            hit = right[may_link(sketches[i], sketches[right], np.full(len(right), n[i]), n[right], s)]
-            found += [(min(name[i], name[j]), max(name[i], name[j])) for j in hit if label[i] != label[j] and (one != other or i < j)]
+            facing = right[right > i] if one == other else right
+            mine = top(rows["label"][i])
+            facing = np.array([j for j in facing if top(rows["label"][j]) != mine], int)
+            if not len(facing):
+                continue
+            args = (sketches[i], sketches[facing], np.full(len(facing), n[i]), n[facing], s)
+            likely = may_link(*args)
+            order = np.argsort(-estimate(*args)[0], kind="stable")
+            for j in facing[order[likely[order]]]:
+                a, b = top(rows["label"][i]), top(rows["label"][j])
+                if a == b:
+                    continue
+                shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * shared >= s.percent * (n[i] + n[j] - shared):
+                    root[b] = a
+                    found.append((min(name[i], name[j]), max(name[i], name[j])))
         return pd.DataFrame(found, columns=["a", "b"])
 
     return run
@@ -235,59 +263,67 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     Texts with equal shingle sets are one class from the start, so copies never pair up, however many.
     Classes that share a band are candidates. A bucket's members are compared with one pivot per
-    round, not with each other, and no longer with those already in their component; what is left of
-    buckets of more than three is compared in blocks, of which only pairs that pass the estimate come
-    out. So no link is lost that the bands show, and a group of near copies costs a pair per member.
-    Every accepted link is verified on the full sets.
+    round, not with each other, and no longer with those already in their component. After the first
+    round pivots differ by band, so a member of a large group meets many. What is still open is
+    compared within clusters of candidates, in blocks that hold at most 2 * ``block`` members and give
+    out at most as many links. So no link is lost that would join what the bands show, no pairs of a
+    group are made as rows, and every accepted link is verified on the full sets.
 
     Null and empty texts and texts without words have no shingles and are linked with nothing, not
     with each other. Rows that share a doc_id have each their row, and the class of each. Null
     doc_ids count as the least id where ids are compared, and come back null. An empty table gives no
-    rows. Other columns are ignored. Texts are read twice whole, and those of candidates once more.
+    rows. Other columns are ignored. Texts are read once whole, and those of candidates once more.
     """
     rows = docs.select("doc_id", "text")
-    known = materialize(rows.mapInArrow(_sets(s), "doc_id long, n long, class binary"), "classes")
-    bands = materialize(rows.mapInArrow(_bands(s), "band long, class binary"), "bands")
-    shared = bands.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("band")
-    buckets = materialize(bands.join(shared, "band").distinct(), "buckets")
-    carriers = known.join(buckets.select("class").distinct(), "class").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    found = rows.join(carriers.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_details(s), "class binary, n long, sketch binary, shingles binary")
-    wanted = found.join(carriers.select("class"), "class", "left_semi").dropDuplicates(["class"])
-    details = materialize(wanted, "details")
-    sketches, sets = details.select("class", "n", "sketch"), details.select("class", "shingles")
-
-    links, labels, open_ = None, None, buckets.withColumn("label", F.col("class"))
+    known = materialize(rows.mapInArrow(_sketched(s), "doc_id long, n long, class binary, bands array<long>"), "sketched")
+    bands = known.where("bands is not null").select(F.explode("bands").alias("band"), "class")
+    buckets = materialize(bands.repartition("band").sortWithinPartitions("band", "class").mapInArrow(_shared_bands, "band long, class binary"), "buckets")
+    carriers = materialize(known.join(buckets.select("class").distinct(), "class").groupBy("class").agg(F.min("doc_id").alias("doc_id")), "carriers")
+    ids = carriers.select("doc_id").distinct()
+    ids = F.broadcast(ids) if carriers.count() <= s.most_sent else ids
+    found = rows.join(ids, "doc_id", "left_semi").mapInArrow(_details(s), "class binary, n long, sketch binary, shingles binary")
+    details = materialize(found.join(carriers.select("class"), "class", "left_semi").dropDuplicates(["class"]), "details")
+
+    links, open_ = None, buckets.withColumn("label", F.col("class"))
     for turn in range(s.pivots):
-        mark = F.xxhash64("class", F.lit(turn))
+        mark = F.xxhash64("class", F.lit(turn)) if turn == 0 else F.xxhash64("class", "band", F.lit(turn))
         pivots = open_.groupBy("band").agg(F.min_by(F.struct("class", "label"), F.struct(mark, "class")).alias("p"))
         facing = open_.join(pivots, "band")
         pairs = facing.where("label <> p.label").select(F.least("class", "p.class").alias("a"), F.greatest("class", "p.class").alias("b")).distinct()
-        new = materialize(_verify(pairs, sketches, sets, s), "links")
+        new = materialize(_verify(pairs, details, s), "links")
         links = new if links is None else links.union(new)
         labels = materialize(connected_components(links, "a", "b"), "labels")
+        # A pivot has met all members of its bucket and leaves it.
         left = facing.where("class <> p.class").select("band", "class")
-        left = left.join(labels.withColumnRenamed("node", "class"), "class", "left").select("band", "class", F.coalesce("component", "class").alias("label"))
-        apart = left.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
-        open_ = materialize(left.join(apart, "band"), "open")
-    if not open_.isEmpty():
-        counts = open_.groupBy("band").agg(F.ceil(F.count("*") / s.block).cast("int").alias("blocks"))
-        placed = open_.join(counts, "band").join(sketches, "class").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+        open_ = _open(left, labels)
+        if open_.isEmpty():
+            break
+    else:
+        low = open_.groupBy("band").agg(F.min("class").alias("low"))
+        clusters = connected_components(open_.join(low, "band").select("class", "low").distinct(), "class", "low")
+        members = materialize(open_.select("class", "label").distinct().join(clusters.withColumnRenamed("node", "class"), "class"), "members")
+        sizes = members.groupBy("component").agg(F.ceil(F.count("*") / s.block).cast("int").alias("blocks"))
+        placed = members.join(sizes, "component").join(details, "class").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
         meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "block").alias("low"), F.greatest(o, "block").alias("high"))))
-        dealt = placed.select("band", "class", "label", "n", "sketch", "block", meets.alias("m")).select("band", "class", "label", "n", "sketch", "block", "m.low", "m.high")
-        pairs = dealt.groupBy("band", "low", "high").applyInPandas(_block_pairs(s), "a binary, b binary").distinct()
-        links = links.union(materialize(_verify(pairs, sketches, sets, s, estimated=True), "links"))
+        dealt = placed.withColumn("m", meets).select("component", "class", "label", "n", "sketch", "shingles", "block", "m.low", "m.high")
+        links = links.union(materialize(dealt.groupBy("component", "low", "high").applyInPandas(_block_links(s), "a binary, b binary"), "links"))
         labels = materialize(connected_components(links, "a", "b"), "labels")
 
     classes = known.where("n > 0").groupBy("class").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("least"))
     named = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     reach = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of_class = named.join(reach, "component").select("class", "component_id")
-    out = known.join(of_class, "class", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
-    )
+    out = known.join(of_class, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("component_id", F.when(F.col("component_id") != -(1 << 63), F.col("component_id"))).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of buckets whose members are still in several components, with their ``label``."""
+    rows = buckets.join(labels.withColumnRenamed("node", "class"), "class", "left").select("band", "class", F.coalesce("component", "class").alias("label"))
+    apart = rows.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
+    return materialize(rows.join(apart, "band"), "open")
+
+
 def drop_near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """The rows of ``docs`` whose document is kept; rows equal in doc_id and text once. All columns stay."""
     kept = near_duplicates(docs, s).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
