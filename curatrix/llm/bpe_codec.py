@@ -18,7 +18,7 @@ from .pretokens import boundaries, slices, words_of
 
 #: So many frequent words (and no more) are encoded beforehand and sent to all tasks, as about this
 #: many documents have them. This bounds the broadcast at any size; it doesn't touch results.
-HOT_WORDS, HOT_FROM = 200_000, 16_384
+HOT_WORDS, HOT_FROM = 300_000, 8_192
 
 
 @lru_cache(maxsize=2)
@@ -53,7 +53,7 @@ def _split_documents(hot, pa_words: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = pa.array(hot.value[0], pa.binary())
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for row, data, offsets in slices(batch["text"]):
                 starts = boundaries(data, offsets)
@@ -160,15 +160,18 @@ def encode_documents(docs: DataFrame, path: str, digest: bool = False, hot_words
     table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.hash("text"))
+    single = docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.lit(0) if single else F.hash("text"))
     share = min(1.0, hot_from / max(1, docs.count()))
     seen = (rows if share == 1 else rows.sample(share, 11)).select("text").mapInArrow(_count_words, "word binary, n long")
     top = seen.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(hot_words).select("word").toArrow()["word"].to_pylist()
     hot = spark.sparkContext.broadcast((top, encode_words(top, path)))
     rare = rows.mapInArrow(_split_documents(hot, "rare"), "doc_id long, mark int, number int, word binary")
     known = rare.repartition("word").mapInArrow(_encode_rare(path), "doc_id long, mark int, number int, ids binary")
+    # A document's rare words come from many tasks, one or two from each: combining before this shuffle would only add to it.
+    known = known.repartition("doc_id", "mark")
     # Equal rows send equal numbers and words; a set drops the repeats.
-    back = known.groupBy(F.col("doc_id").alias("d"), F.col("mark").alias("m")).agg(F.transform(F.array_sort(F.collect_set(F.struct("number", "ids"))), lambda x: x["ids"]).alias("rare"))
+    back = known.groupBy("doc_id", "mark").agg(F.transform(F.array_sort(F.collect_set(F.struct("number", "ids"))), lambda x: x["ids"]).alias("rare")).withColumnsRenamed({"doc_id": "d", "mark": "m"})
     codes = rows.mapInArrow(_split_documents(hot, "codes"), "doc_id long, mark int, codes binary")
     met = codes.join(back, codes.doc_id.eqNullSafe(back.d) & (codes.mark == back.m), "left").select("doc_id", "codes", "rare")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, ids array<int>"
