@@ -4,13 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Lanes of a fingerprint, each a sum modulo 2 to the 16th.
@@ -110,24 +108,22 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     cuts = rows.agg(F.percentile_approx("at", [i / parts for i in range(1, parts)], 100 * parts).alias("q")).first().q or []
     cuts = sorted(set(cuts))
 
-    @F.pandas_udf("int")
-    def bucket(at: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(np.array(cuts, np.int64), at.to_numpy(np.int64)))
+    def bucket(at: Column) -> Column:
+        """How many cuts lie below: a binary search, one halving after another."""
+        steps = [1 << k for k in reversed(range(max(1, len(cuts)).bit_length()))]
+        whole = F.array(*map(F.lit, cuts or [0]))
+        further = lambda here, step: F.coalesce((here + step <= len(cuts)) & (F.get(whole, here + step - 1) < at), F.lit(False))
+        return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda here, step: F.when(further(here, step), here + step).otherwise(here))
 
-    placed = rows.withColumn("bucket", bucket("at"))
+    placed = rows.withColumn("bucket", bucket(F.col("at")))
     # One row per bucket: bounded by ``parts``.
-    heads = [(r.bucket, r.at) for r in placed.select("at", "bucket").groupBy("bucket").agg(F.min("at").alias("at")).orderBy("bucket").collect()]
-    before = {at: heads[i - 1][0] for i, (_, at) in enumerate(heads)}
-    firsts = sorted(before)
-
-    @F.pandas_udf("array<int>")
-    def homes(at: pd.Series, own: pd.Series) -> pd.Series:
-        is_head = [(i := bisect_left(firsts, x)) < len(firsts) and firsts[i] == x for x in at]
-        return pd.Series([[2 * b, 2 * before[x] + 1] if h else [2 * b] for x, b, h in zip(at, own, is_head, strict=True)])
-
-    dealt = placed.withColumn("home", F.explode(homes("at", "bucket"))).select(
-        F.expr("home div 2").cast("int").alias("bucket"), (F.col("home") % 2 == 1).alias("guard"), "at", "doc_id", "text"
-    )
+    heads = {r.bucket: r.at for r in placed.select("at", "bucket").groupBy("bucket").agg(F.min("at").alias("at")).orderBy("bucket").collect()}
+    filled = list(heads)
+    before = {b: filled[i - 1] for i, b in enumerate(filled)}
+    by_bucket = lambda known: F.get(F.array(*[F.lit(known.get(b)).cast("long") for b in range(len(cuts) + 1)]), F.col("bucket"))
+    own, guard = F.struct("bucket", F.lit(False).alias("guard")), F.struct(by_bucket(before).cast("int").alias("bucket"), F.lit(True).alias("guard"))
+    homes = F.when(F.col("at") == by_bucket(heads), F.array(own, guard)).otherwise(F.array(own))
+    dealt = placed.withColumn("home", F.explode(homes)).select("home.bucket", "home.guard", "at", "doc_id", "text")
     ordered = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "guard", "at", "text").drop("at")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return ordered.mapInArrow(_pairs, schema)
