@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind ``value`` once for ``body``: else a lambda that uses it evaluates it again for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def is_missing(c: Column) -> Column:
     """Null, or nothing but spaces (P10)."""
     return c.isNull() | (F.trim(c) == "")

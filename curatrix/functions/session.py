@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -17,8 +19,9 @@ def session(name: str = "curatrix", cores: str = "*", **config: str) -> SparkSes
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut a loop's lineage: checkpoint in the shared folder that the cluster names, or a default in tests."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-    return df.checkpoint()
+    """Cut a loop's lineage: a table in the shared folder that the cluster names (a default in tests), read back."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    path = f"{folder.rstrip('/')}/curatrix/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import is_missing, valid_vector
+from ..functions.scalars import is_missing, let, valid_vector
 from .dedup import build_model_ready, flag_duplicates
 from .joins import pending
 
@@ -18,23 +18,35 @@ from .joins import pending
 def fingerprint(value: Column, n_bits: int = 2048, k: int = 3) -> Column:
     """The distinct set bits, sorted, of a text's k-word shingles folded to ``n_bits``."""
     words = F.filter(F.split(F.coalesce(value, F.lit("")), r"\s+"), lambda w: w != "")
-    places = F.sequence(F.lit(0), F.greatest(F.size(words) - k, F.lit(0)))
-    shingles = F.when(F.size(words) > 0, F.transform(places, lambda i: F.array_join(F.slice(words, i + 1, k), " "))).otherwise(F.array().cast("array<string>"))
-    return F.array_sort(F.array_distinct(F.transform(shingles, lambda s: F.pmod(F.xxhash64(s), F.lit(n_bits)).cast("int"))))
+    none = F.array().cast("array<string>")
+
+    def shingles(w: Column) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.size(w) - k, F.lit(0)))
+        return F.when(F.size(w) > 0, F.transform(places, lambda i: F.array_join(F.slice(w, i + 1, k), " "))).otherwise(none)
+
+    return F.array_sort(F.array_distinct(F.transform(let(words, shingles), lambda s: F.pmod(F.xxhash64(s), F.lit(n_bits)).cast("int"))))
 
 
 def pack_bits(bits: Column, n_bits: int = 2048) -> Column:
-    """Set bits to ``n_bits / 8`` bytes, most significant bit first (X2): two hex digits a byte, one pass over the set bits."""
-    byte = lambda i: F.aggregate(F.filter(bits, lambda b: F.floor(b / 8) == i), F.lit(0), lambda s, b: s + F.pow(F.lit(2), 7 - b % 8).cast("int"))
-    whole = F.transform(F.sequence(F.lit(0), F.lit(n_bits // 8 - 1)), lambda i: F.lpad(F.hex(byte(i)), 2, "0"))
-    return F.unhex(F.array_join(whole, ""))
+    """Set bits to ``n_bits / 8`` bytes, most significant bit first (X2), two hex digits a byte."""
+    nothing = F.array().cast("array<int>")
+
+    def whole(own: Column) -> Column:
+        byte = lambda i: F.aggregate(F.filter(own, lambda b: F.floor(b / 8) == i), F.lit(0), lambda s, b: s + F.pow(F.lit(2), 7 - b % 8).cast("int"))
+        return F.transform(F.sequence(F.lit(0), F.lit(n_bits // 8 - 1)), lambda i: F.lpad(F.hex(byte(i)), 2, "0"))
+
+    return F.unhex(F.array_join(let(F.coalesce(bits, nothing), whole), ""))
 
 
 def unpack_bits(packed: Column, n_bits: int = 2048) -> Column:
-    """The inverse: sorted set bits."""
-    digits = F.hex(packed)
-    byte = lambda i: F.conv(F.substring(digits, F.floor(i / 8).cast("int") * 2 + 1, F.lit(2)), 16, 10).cast("int")
-    return F.filter(F.sequence(F.lit(0), F.lit(n_bits - 1)), lambda i: F.floor(byte(i) / F.pow(F.lit(2), 7 - i % 8)) % 2 == 1)
+    """The inverse: sorted set bits (X3). Bytes are read once each, then their bits."""
+
+    def whole(digits: Column) -> Column:
+        byte = lambda i: F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
+        bits = lambda i: let(byte(i), lambda v: F.filter(F.sequence(i * 8, i * 8 + 7), lambda b: F.floor(v / F.pow(F.lit(2), 7 - b % 8)) % 2 == 1))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n_bits // 8 - 1)), bits))
+
+    return let(F.hex(packed), whole)
 
 
 @F.pandas_udf(T.BinaryType())

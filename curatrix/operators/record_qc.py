@@ -14,7 +14,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
 
     Each round a node takes the least label among itself and its neighbours, then that label's own
     label, so labels travel twice as far each time. Rounds end when nothing changes; each is cut
-    from its lineage by ``checkpoint()`` in the shared folder.
+    from its lineage by a table in the shared folder.
     """
     both = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
     both = both.union(both.select("v", "u")).distinct()
@@ -101,8 +101,9 @@ def qc_summary(checked: DataFrame, row_id: str, issue: str = "issue", outlier: s
 
 
 def best_variant(df: DataFrame, row_id: str, energy: str, payload: Column) -> DataFrame:
-    """The variant of least energy per record; ``ok`` is false where no variant has one (V5)."""
-    usable = F.when(finite(F.col(energy).cast("double")), F.col(energy))
-    best = df.groupBy(row_id).agg(F.min_by(payload, usable).alias("payload"), F.min(usable).alias("energy"))
-    return best.withColumn("ok", F.col("energy").isNotNull())
+    """The variant of least energy per record, of several the least payload; ``ok`` is false where no
+    variant has one (V5)."""
+    best = F.min(F.when(finite(F.col(energy).cast("double")), F.struct(F.col(energy).alias("e"), payload.alias("p"))))
+    out = df.groupBy(row_id).agg(best.alias("b"))
+    return out.select(row_id, F.col("b.p").alias("payload"), F.col("b.e").alias("energy"), F.col("b").isNotNull().alias("ok"))
 

@@ -377,7 +377,7 @@ def connected_components(spark, d):
     return V.connected_components(edges)
 
 
-@query("select p_brand as brand, arg_min(p_partkey, case when p_size % 7 = 0 then null else p_retailprice end) as payload, min(case when p_size % 7 = 0 then null else p_retailprice end) as energy, min(case when p_size % 7 = 0 then null else p_retailprice end) is not null as ok from part where p_retailprice is not null group by 1")
+@query("with v as (select p_brand as brand, p_partkey, case when p_size % 7 <> 0 then p_retailprice end as e from part), k as (select brand, p_partkey, e, row_number() over (partition by brand order by e nulls last, p_partkey) as k from v) select brand, case when e is not null then p_partkey end as payload, e as energy, e is not null as ok from k where k = 1")
 def best_variant(spark, d):
     part = load(spark, d, "part").withColumn("e", F.when(F.col("p_size") % 7 != 0, F.col("p_retailprice")))
     return V.best_variant(part.withColumnRenamed("p_brand", "brand"), "brand", "e", F.col("p_partkey"))
