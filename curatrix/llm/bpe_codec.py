@@ -48,7 +48,7 @@ def encode_words(words: list[bytes], path: str) -> list[bytes]:
     return [np.array(enc._encode_single_piece(w), kind).tobytes() for w in words]
 
 
-def _split_documents(hot, pa_words: str):
+def _split_documents(hot, part: str):
     """Per document its codes: a frequent word's place + 1, else -1 - the place among its other words; and those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,14 +68,15 @@ def _split_documents(hot, pa_words: str):
                 whose = pair // (len(words.dictionary) + 1)
                 number = np.arange(len(pair)) - np.searchsorted(whose, whose)
                 codes[rare] = -1 - number[back]
-                keys = [batch[c].slice(row, len(offsets) - 1) for c in ("doc_id", "mark")]
-                if pa_words == "rare":
+                keys = [batch[c].slice(row, len(offsets) - 1) for c in ("key", "mark")]
+                if part == "rare":
                     word = words.dictionary.take(pa.array(pair % (len(words.dictionary) + 1)))
-                    yield pa.RecordBatch.from_arrays([k.take(pa.array(whose)) for k in keys] + [pa.array(number.astype(np.int32)), word], ["doc_id", "mark", "number", "word"])
+                    yield pa.RecordBatch.from_arrays([k.take(pa.array(whose)) for k in keys] + [pa.array(number.astype(np.int32)), word], ["key", "mark", "number", "word"])
                 else:
                     at = np.searchsorted(owner, np.arange(len(offsets)))
                     planes = [press.compress(codes[a:b].view(np.uint8).reshape(-1, 4).T.tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
-                    yield pa.RecordBatch.from_arrays([*keys, pa.array(planes, pa.binary())], ["doc_id", "mark", "codes"])
+                    ids = batch["doc_id"].slice(row, len(offsets) - 1)
+                    yield pa.RecordBatch.from_arrays([*keys, ids, pa.array(planes, pa.binary())], ["key", "mark", "doc_id", "codes"])
 
     return run
 
@@ -101,7 +102,7 @@ def _encode_rare(path: str):
             ids = pa.array([known[w] for w in distinct], pa.binary()).take(words.indices)
             if len(known) > 500_000:
                 known.clear()
-            yield pa.RecordBatch.from_arrays([batch[c] for c in ("doc_id", "mark", "number")] + [ids], ["doc_id", "mark", "number", "ids"])
+            yield pa.RecordBatch.from_arrays([batch[c] for c in ("key", "mark", "number")] + [ids], ["key", "mark", "number", "ids"])
 
     return run
 
@@ -162,18 +163,20 @@ def encode_documents(docs: DataFrame, path: str, digest: bool = False, hot_words
     spark = docs.sparkSession
     single = docs.groupBy("doc_id").count().where("count > 1").isEmpty()
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.lit(0) if single else F.hash("text"))
+    # Plain equality on a key that is never null: then grouping and join share one partitioning.
+    rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
     share = min(1.0, hot_from / max(1, docs.count()))
     seen = (rows if share == 1 else rows.sample(share, 11)).select("text").mapInArrow(_count_words, "word binary, n long")
     top = seen.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(hot_words).select("word").toArrow()["word"].to_pylist()
     hot = spark.sparkContext.broadcast((top, encode_words(top, path)))
-    rare = rows.mapInArrow(_split_documents(hot, "rare"), "doc_id long, mark int, number int, word binary")
-    known = rare.repartition("word").mapInArrow(_encode_rare(path), "doc_id long, mark int, number int, ids binary")
+    rare = rows.mapInArrow(_split_documents(hot, "rare"), "key long, mark int, number int, word binary")
+    known = rare.repartition("word").mapInArrow(_encode_rare(path), "key long, mark int, number int, ids binary")
     # A document's rare words come from many tasks, one or two from each: combining before this shuffle would only add to it.
-    known = known.repartition("doc_id", "mark")
+    known = known.repartition("key", "mark")
     # Equal rows send equal numbers and words; a set drops the repeats.
-    back = known.groupBy("doc_id", "mark").agg(F.transform(F.array_sort(F.collect_set(F.struct("number", "ids"))), lambda x: x["ids"]).alias("rare")).withColumnsRenamed({"doc_id": "d", "mark": "m"})
-    codes = rows.mapInArrow(_split_documents(hot, "codes"), "doc_id long, mark int, codes binary")
-    met = codes.join(back, codes.doc_id.eqNullSafe(back.d) & (codes.mark == back.m), "left").select("doc_id", "codes", "rare")
+    back = known.groupBy("key", "mark").agg(F.transform(F.array_sort(F.collect_set(F.struct("number", "ids"))), lambda x: x["ids"]).alias("rare"))
+    codes = rows.mapInArrow(_split_documents(hot, "codes"), "key long, mark int, doc_id long, codes binary")
+    met = codes.join(back, ["key", "mark"], "left").select("doc_id", "codes", "rare")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, ids array<int>"
     return met.mapInArrow(_reassemble(hot, path, digest), schema)
 
