@@ -129,7 +129,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: in
     """
     spark = docs.sparkSession
     sample = examples(labels, "quality", modulus, held, s.most)
-    known = docs.join(F.broadcast(sample), "doc_id").select("text", "label").mapInArrow(_packed, "label int, at binary, weights binary").limit(2 * s.most).toArrow()
+    known = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label").mapInArrow(_packed, "label int, at binary, weights binary").limit(2 * s.most).toArrow()
     x = np.zeros((known.num_rows, WIDTH), np.float32)
     for i, (at, w) in enumerate(zip(known["at"].to_pylist(), known["weights"].to_pylist(), strict=True)):
         x[i, np.frombuffer(at, "<u2")] = np.frombuffer(w, "<f4")

@@ -153,7 +153,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: i
     """
     spark = docs.sparkSession
     sample = materialize(examples(labels, "toxic", modulus, held, s.most), "examples")
-    terms = choose_terms(docs.join(F.broadcast(sample), "doc_id").select("text", "label"), s)
+    terms = choose_terms(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label"), s)
     vectors = materialize(docs.select("doc_id", "text").mapInArrow(_vectors(terms), "doc_id long, terms array<int>, counts array<int>"), "vectors")
     n = vectors.count()
     df = {r.t: r.n for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
