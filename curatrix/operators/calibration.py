@@ -39,8 +39,8 @@ def apply_isotonic(model: IsotonicRegressionModel, df: DataFrame, score: str, ou
     n = F.size(xs)
     x0, x1, y0, y1 = F.get(xs, below - 1), F.get(xs, below), F.get(ys, below - 1), F.get(ys, below)
     inner = F.when(x1 == x0, y1).otherwise(y0 + (y1 - y0) * (s - x0) / (x1 - x0))
-    value = F.when(s.isNull(), None).when(below == 0, F.get(ys, F.lit(0))).when(below == n, F.get(ys, n - 1)).otherwise(inner)
-    return df.withColumn(out, F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)))
+    value = F.when(below == 0, F.get(ys, F.lit(0))).when(below == n, F.get(ys, n - 1)).otherwise(inner)
+    return df.withColumn(out, F.when(s.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), value))))
 
 
 def nonconformity(df: DataFrame, score: str, label: str) -> DataFrame:

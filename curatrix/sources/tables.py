@@ -25,10 +25,12 @@ def read_many(spark: SparkSession, folder: str, pattern: str, fmt: str = "parque
 
 
 def read_json_docs(spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.json") -> tuple[DataFrame, DataFrame]:
-    """One row per JSON document, and the names of files that are none (S5). Bad files stop nothing."""
+    """One row per JSON document, and the names of files that are none (S5). Bad files stop nothing.
+
+    The rows are kept in memory or on disk, as Spark has it for queries of what could not be parsed."""
     wide = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
     reader = spark.read.schema(wide).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
-    rows = reader.option("pathGlobFilter", pattern).json(folder).withColumn("file_name", F.col("_metadata.file_name"))
+    rows = reader.option("pathGlobFilter", pattern).json(folder).withColumn("file_name", F.col("_metadata.file_name")).persist()
     return rows.where("_bad is null").drop("_bad"), rows.where("_bad is not null").select("file_name", "_bad")
 
 
@@ -50,7 +52,7 @@ def read_records(spark: SparkSession, path: str, separator: str = "$$$$\n") -> D
     """
     rows = spark.read.option("lineSep", separator).text(path).select(F.col("value").alias("record"), F.col("_metadata.file_name").alias("file_name"))
     numbered = rows.rdd.zipWithIndex().map(lambda x: (x[1], x[0].record, x[0].file_name))
-    return spark.createDataFrame(numbered, "position long, record string, file_name string").where("trim(record) <> ''")
+    return spark.createDataFrame(numbered, "position long, record string, file_name string").where(F.col("record").rlike(r"\S"))
 
 
 def label_by_position(df: DataFrame, cut: int, position: str = "position") -> DataFrame:
