@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,12 +25,28 @@ def query(sql: str | None = None):
         QUERIES[f.__name__] = f
         if sql:
             # A filtered count is a BIGINT, as Spark's is.
-            ORACLE[f.__name__] = sql.replace("{BASE}", BASE).replace("count_if(", "count(*) filter (")
+            text = sql.replace("{BASE}", BASE).replace("count_if(", "count(*) filter (")
+            cut = ", ".join(f"round({c}, 6) + 0 as {c}" for c in getattr(f, "rounded", ()))
+            ORACLE[f.__name__] = f"select * replace ({cut}) from ({text}) whole" if cut else text
         return f
 
     return register
 
 
+def rounded(*columns: str):
+    """Six places of these columns in both engines, whose sums may differ in the last bit."""
+
+    def wrap(f: Callable[[SparkSession, str], DataFrame]):
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(spark, sf_dir).withColumns({c: F.round(c, 6) + F.lit(0.0) for c in columns})
+
+        run.rounded = columns
+        return run
+
+    return wrap
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -12,7 +12,7 @@ from ..operators import cleaning as C
 from ..operators import dedup as W
 from ..operators import joins as J
 from ..operators import profiling as A
-from .catalog import base, load, query
+from .catalog import base, load, query, rounded
 
 
 def curate(df: DataFrame, row_id: str, value: str, words: DataFrame, label: str | None = None, **rules) -> dict[str, DataFrame]:
@@ -268,6 +268,7 @@ def display_names(spark, d):
 
 
 @query("with {BASE}, m as (select lang, avg(score) as auc from d group by lang) select m.lang, m.auc, r.ref, m.auc - r.ref as gap from m left join (values ('en', 0.92e0), ('de', 0.88e0), ('fr', 0.87e0)) r(lang, ref) on m.lang = r.lang")
+@rounded("auc", "ref", "gap")
 def market_gap(spark, d):
     market = spark.createDataFrame([("en", 0.92), ("de", 0.88), ("fr", 0.87)], "lang string, ref double")
     return J.gap_report(base(spark, d).groupBy("lang").agg(F.avg("score").alias("auc")), market, "lang", "auc", "ref")

@@ -16,7 +16,7 @@ from ..operators import record_qc as V
 from ..operators import splits as G
 from ..operators.dedup import build_model_ready
 from ..operators.joins import union_all
-from .catalog import base, load, pseudo_score, query
+from .catalog import base, load, pseudo_score, query, rounded
 
 # ---- splits -------------------------------------------------------------------------------------
 
@@ -50,6 +50,7 @@ def group_split_members(spark, d):
 
 @query("""with g as (select lang || '-' || (n_chars // 500) as grp, count(*) as size from documents group by 1)
 select count(*) as n_groups, max(size) as largest, (select string_agg(size, ',' order by size desc) from (select size from g order by size desc limit 5)) as top5, count_if(size = 1) as n_singletons, count_if(size = 1) * 1e0 / count(*) as singleton_rate, count(*) < 10 as few from g""")
+@rounded("singleton_rate")
 def group_diagnostics(spark, d):
     return G.group_diagnostics(_grouped(spark, d), "grp")
 
@@ -64,6 +65,7 @@ def _modulo_split():
 @query("with {BASE}, s as (select " + MODULO + """ as split, toxic from d), t(split, target) as (values ('train', 0.7e0), ('val', 0.1e0), ('test', 0.1e0)),
 c as (select split, count(*) as n, count_if(toxic = 1) as n_pos, count(distinct toxic) as k, count(*) * 1e0 / sum(count(*)) over () as fraction from s group by split)
 select c.split, n, n_pos, fraction, abs(fraction - target) > 0.03e0 as off_target, n < 30 as small, k < 2 as single_class from c join t on c.split = t.split""")
+@rounded("fraction")
 def split_diagnostics(spark, d):
     return G.split_diagnostics(base(spark, d).withColumn("split", _modulo_split()), "split", "toxic", {"train": 0.7, "val": 0.1, "test": 0.1})
 
@@ -102,6 +104,7 @@ def oversample_minority(spark, d):
 
 
 @query("with {BASE} select toxic, count(*) as n, max(count(*)) over () * 1e0 / count(*) as weight from d where toxic is not null group by toxic")
+@rounded("weight")
 def class_weights(spark, d):
     return G.class_weights(base(spark, d), "toxic")
 
@@ -124,6 +127,7 @@ def dedup_per_split(spark, d):
 
 
 @query("with {BASE}, ok as (select * from d where toxic in (0, 1)), g as (select key, min(doc_id) as first_row, count(distinct toxic) as k from ok group by key), m as (select ok.*, " + MODULO.replace("doc_id", "(ok.doc_id // 1)") + " as split from ok join g on ok.key = g.key and ok.doc_id = g.first_row where k = 1) select split, toxic, count(*) as n, count(*) * 1e0 / sum(count(*)) over (partition by split) as fraction from m group by split, toxic")
+@rounded("fraction")
 def model_ready_by_modulo_balance(spark, d):
     model = build_model_ready(base(spark, d), "doc_id", "key", "toxic")[0]
     return A.label_balance(model.withColumn("split", _modulo_split()), "toxic", ["split"])
@@ -169,12 +173,14 @@ def fingerprint_tokens(spark, d):
 
 
 @query("with x as (select label, unnest(range(64)) as dim, unnest(embedding) as v, (vec_id % 3 > 0)::int as m from embeddings) select label, cast(dim as int) as dim, sum(v::double * m) / greatest(sum(m), 1e-9) as mean from x group by 1, 2")
+@rounded("mean")
 def masked_mean_pool(spark, d):
     rows = load(spark, d, "embeddings").withColumn("m", (F.col("vec_id") % 3 > 0).cast("int"))
     return X.masked_mean_rows(rows, "label", "embedding", "m")
 
 
 @query("select vec_id, len(embedding) = 64 as ok64, len(embedding) = 63 as ok63, sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) as norm from embeddings")
+@rounded("norm")
 def valid_vectors(spark, d):
     e = F.col("embedding")
     return load(spark, d, "embeddings").select("vec_id", S.valid_vector(e, 64).alias("ok64"), S.valid_vector(e, 63).alias("ok63"), S.norm(e).alias("norm"))
@@ -188,6 +194,7 @@ def combined_features(spark, d):
 
 
 @query("with {BASE} select doc_id, text is null or trim(text) = '' as is_missing, count(*) over (partition by key) > 1 as is_duplicate, length(text) * 1e0 as chars, case when n_chars % 4 = 0 then 'NaN'::double else 1e0 / (n_chars % 4) end as inverse from d")
+@rounded("chars", "inverse")
 def featurized(spark, d):
     exprs = {"chars": F.length("text"), "inverse": F.expr("try_divide(1.0D, n_chars % 4)")}
     return X.featurize(load(spark, d, "documents"), "doc_id", "text", S.identity_key(F.col("text")), exprs).select("doc_id", "is_missing", "is_duplicate", "chars", "inverse")
@@ -227,16 +234,19 @@ def _scored(spark, d):
 
 
 @query("with {BASE}, " + LAB + WHOLE + " select auc from m")
+@rounded("auc")
 def roc_auc(spark, d):
     return M.roc_auc(_scored(spark, d), "s", "y")
 
 
 @query("with {BASE}, " + LAB + BY_LANG + " select lang, ap from m")
+@rounded("ap")
 def average_precision(spark, d):
     return M.average_precision(_scored(spark, d), "s", "y", ["lang"])
 
 
 @query("with {BASE}, " + LAB + ", " + CONF.format(by="", grp="") + f" select tp, fp, fn, tn, {F1} as f1, {MCC} as mcc from c")
+@rounded("f1", "mcc")
 def f1_mcc_at_threshold(spark, d):
     return M.f1_mcc(_scored(spark, d), "s", "y", 0.5)
 
@@ -246,11 +256,13 @@ f as (select k, t, {F1} as f1, {MCC} as mcc from q)""".format(F1=F1, MCC=MCC)
 
 
 @query("with {BASE}, " + LAB + SWEEP + " select arg_min(t, (-round(f1, 12), k)) as f1_threshold, max(f1) as f1, arg_min(t, (-round(mcc, 12), k)) as mcc_threshold, max(mcc) as mcc from f")
+@rounded("f1_threshold", "f1", "mcc_threshold", "mcc")
 def best_threshold(spark, d):
     return M.best_threshold(_scored(spark, d), "s", "y")
 
 
 @query("with {BASE}, " + LAB + " select source, avg((s - y) ** 2) as brier from w group by source")
+@rounded("brier")
 def brier(spark, d):
     return M.brier(_scored(spark, d), "s", "y", ["source"])
 
@@ -259,21 +271,25 @@ ECE = "b as (select {by} case when s < 1 then len(list_filter(list_transform(ran
 
 
 @query("with {BASE}, " + LAB + ", " + ECE.format(by="", grp="").replace("group by  2", "group by 1") + " select ece from e")
+@rounded("ece")
 def ece(spark, d):
     return M.ece(_scored(spark, d), "s", "y")
 
 
 @query("with {BASE}, " + LAB + BY_LANG + ", " + CONF.format(by="lang,", grp="group by lang") + ", " + ECE.format(by="lang,", grp="group by lang") + f" select m.lang, n_pos, n_neg, round_even(auc, 4) as auc, round_even(ap, 4) as ap, round_even({F1}, 4) as f1, round_even({MCC}, 4) as mcc, round_even(brier, 4) as brier, round_even(ece, 4) as ece from m join c on m.lang = c.lang join e on m.lang = e.lang")
+@rounded("auc", "ap", "f1", "mcc", "brier", "ece")
 def metrics_by_group(spark, d):
     return M.binary_metrics(_scored(spark, d), "s", "y", by=["lang"])
 
 
 @query("with {BASE}, " + LAB + WHOLE + ", " + CONF.format(by="", grp="") + ", " + ECE.format(by="", grp="").replace("group by  2", "group by 1") + f" select n_pos, n_neg, round_even(auc, 4) as auc, round_even(ap, 4) as ap, round_even({F1}, 4) as f1, round_even({MCC}, 4) as mcc, round_even(brier, 4) as brier, round_even(ece, 4) as ece from m, c, e")
+@rounded("auc", "ap", "f1", "mcc", "brier", "ece")
 def binary_metrics(spark, d):
     return M.binary_metrics(_scored(spark, d), "s", "y")
 
 
 @query("with {BASE}, " + LAB + BY_LANG + ", v(lang, saved_auc) as (values ('en', 0.5e0), ('de', 0.6e0)) select m.lang, auc, 1 - auc as auc_flipped, saved_auc, auc - saved_auc as drift from m left join v on m.lang = v.lang")
+@rounded("auc", "auc_flipped", "saved_auc", "drift")
 def rescore(spark, d):
     saved = spark.createDataFrame([("en", 0.5), ("de", 0.6)], "lang string, saved_auc double")
     return M.rescore(_scored(spark, d), "s", "y", saved, ["lang"])
@@ -291,16 +307,19 @@ def _seeded(spark, d):
 
 
 @query("with " + SEEDED + " select doc_id, avg(p) as score, count(p) as n_members from sd group by doc_id")
+@rounded("score")
 def ensemble_mean(spark, d):
     return L.ensemble_mean(_seeded(spark, d), "doc_id", "p")
 
 
 @query("with " + SEEDED + " select doc_id, avg(p) as score, count(p) as n_members, count(p) = 3 as complete from sd group by doc_id")
+@rounded("score")
 def oof_ensemble(spark, d):
     return L.ensemble_oof(_seeded(spark, d), "doc_id", "p", 3)
 
 
 @query("with " + SEEDED + ", e as (select doc_id, stddev_pop(p) as sd from sd group by doc_id) select count(*) as n_rows, avg(sd) as mean_sd, max(sd) as max_sd, count_if(sd > 0.15e0) as n_alert from e")
+@rounded("mean_sd", "max_sd")
 def seed_disagreement(spark, d):
     return L.seed_disagreement(_seeded(spark, d), "doc_id", "p")
 
@@ -315,6 +334,7 @@ def _pvalues(spark, d):
 
 
 @query("with {BASE}, " + CONFORMAL + " select doc_id, class, p from p")
+@rounded("p")
 def conformal_pvalues(spark, d):
     return _pvalues(spark, d)
 
@@ -326,6 +346,7 @@ def prediction_sets(spark, d):
 
 
 @query("with {BASE}, " + CONFORMAL + ", s as (select doc_id, count_if(p > 0.1e0) <> 1 as abstain from p group by doc_id) select count(*) as n_rows, count_if(abstain) as n_abstain, avg(abstain::int) as abstain_rate from s")
+@rounded("abstain_rate")
 def uncertainty_report(spark, d):
     return L.uncertainty(L.prediction_sets(_pvalues(spark, d), "doc_id"))
 
@@ -340,6 +361,7 @@ def isotonic_apply(spark, d):
 
 
 @query("with s as (select label, avg(embedding[1]) as m, stddev_pop(embedding[1]) as sd, count(*) as n from embeddings group by label) select e.vec_id, case when n >= 8 then (e.embedding[1] - m) / (sd + 1e-9) end as z, coalesce(case when n >= 8 then abs((e.embedding[1] - m) / (sd + 1e-9)) > 2 end, false) as is_outlier from embeddings e join s on e.label = s.label")
+@rounded("z")
 def zscore_outliers(spark, d):
     rows = load(spark, d, "embeddings").withColumn("x", F.get("embedding", F.lit(0)).cast("double"))
     return V.zscore_outliers(rows, "x", "label", limit=2.0).select("vec_id", "z", "is_outlier")
@@ -378,6 +400,7 @@ def connected_components(spark, d):
 
 
 @query("with v as (select p_brand as brand, p_partkey, case when p_size % 7 <> 0 then p_retailprice end as e from part), k as (select brand, p_partkey, e, row_number() over (partition by brand order by e nulls last, p_partkey) as k from v) select brand, case when e is not null then p_partkey end as payload, e as energy, e is not null as ok from k where k = 1")
+@rounded("energy")
 def best_variant(spark, d):
     part = load(spark, d, "part").withColumn("e", F.when(F.col("p_size") % 7 != 0, F.col("p_retailprice")))
     return V.best_variant(part.withColumnRenamed("p_brand", "brand"), "brand", "e", F.col("p_partkey"))
@@ -428,6 +451,7 @@ def next_version(spark, d):
 
 
 @query("with m as (select user_id as dataset, avg(value) filter (event_id % 2 = 0) as candidate_auc, avg(value) filter (event_id % 2 = 1) as baseline_auc from events group by user_id) select *, candidate_auc - baseline_auc as delta, case when coalesce(candidate_auc - baseline_auc >= -0.5e0, false) then 'promoted' else 'rejected' end as decision from m")
+@rounded("candidate_auc", "baseline_auc", "delta")
 def promotion_gate(spark, d):
     even = F.col("event_id") % 2 == 0
     m = load(spark, d, "events").groupBy(F.col("user_id").alias("dataset")).agg(F.avg(F.when(even, F.col("value"))).alias("candidate_auc"), F.avg(F.when(~even, F.col("value"))).alias("baseline_auc"))
@@ -500,12 +524,14 @@ def test_evaluated_once(spark, d):
 
 
 @query("with b as (select doc_id, list_sort(list_distinct(list_transform(range(40), lambda i: (doc_id // 4 * 31 + i * (doc_id % 4 + 40)) % 2048))) as bits from documents), x as (select doc_id, len(bits) as n, unnest(bits) as bit from b), s as (select a.doc_id as a, b.doc_id as b, count(*) as k, any_value(a.n) as n, any_value(b.n) as m from x a join x b on a.bit = b.bit and a.doc_id < b.doc_id group by 1, 2) select a, b, k * 1e0 / (n + m - k) as similarity from s where k * 1e0 / (n + m - k) >= 0.3e0")
+@rounded("similarity")
 def bit_similarity(spark, d):
     bits = F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: ((F.floor(F.col("doc_id") / 4) * 31 + i * (F.col("doc_id") % 4 + 40)) % 2048).cast("int"))))
     return Z.bit_similarity(load(spark, d, "documents").select("doc_id", bits.alias("bits")), "doc_id", "bits", 0.3)
 
 
 @query("with {BASE} select doc_id, case when toxic is null then score else (3 * score + toxic) / 4 end as fused, case when score >= 0.8e0 or score <= 1 - 0.8e0 then score else coalesce(toxic, score) end as cascaded from d")
+@rounded("fused", "cascaded")
 def fusion(spark, d):
     rows = base(spark, d).withColumn("t", F.col("toxic").cast("double"))
     return rows.select("doc_id", Z.fuse(["score", "t"], [3.0, 1.0]).alias("fused"), Z.cascade(["score", "t"]).alias("cascaded"))

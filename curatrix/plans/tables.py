@@ -8,7 +8,7 @@ from ..functions import scalars as S
 from ..operators import joins as J
 from ..operators import profiling as A
 from ..sources.tables import literal_table, lookup_vectors, pick_partition, render_lines
-from .catalog import base, load, query
+from .catalog import base, load, query, rounded
 
 
 @query("select p_brand as value, count(*) as n from part group by p_brand")
@@ -29,11 +29,13 @@ s as (select "column", count(v) as n_unique, coalesce(sum(n) filter (v is null),
  string_agg(coalesce(v, 'null') || '=' || n, '; ' order by k) filter (k <= 11) as counts, string_agg(v, '; ' order by k) filter (k <= 5) as firsts from c group by "column")
 select "column", n_unique, cast(n_null as bigint) as n_null, case when n_unique > 10 then lo end as lo, case when n_unique > 10 then hi end as hi, case when n_unique > 10 then mean end as mean,
  case when n_unique <= 10 then counts when lo is not null then '' else firsts end as levels from s""")
+@rounded("lo", "hi", "mean")
 def profile_columns(spark, d):
     return A.profile_columns(load(spark, d, "part"), ["p_size", "p_brand", "p_type"])
 
 
 @query("with {BASE} select toxic, count(*) as n, count(*) * 1e0 / sum(count(*)) over () as fraction from d where toxic is not null group by toxic")
+@rounded("fraction")
 def profile_label_balance(spark, d):
     return A.label_balance(base(spark, d), "toxic")
 
@@ -92,6 +94,7 @@ def binary_violations(spark, d):
 
 
 @query("with {BASE} select min(score) as lo, max(score) as hi, count_if(not coalesce(score between 0 and 1, false)) as n_outside from d")
+@rounded("lo", "hi")
 def score_range(spark, d):
     return A.check_range(base(spark, d), "score")
 
@@ -152,11 +155,13 @@ def select_best(spark, d):
 
 
 @query("with {BASE} select lang, min(score) as lo, max(score) as hi, avg(score) as mean, stddev_pop(score) as std, count_if(score < 0.3e0) as n_low, count_if(score between 0.3e0 and 0.7e0) as n_middle, count_if(score > 0.7e0) as n_high from d group by lang")
+@rounded("lo", "hi", "mean", "std")
 def score_distribution(spark, d):
     return A.score_distribution(base(spark, d), "score", ["lang"])
 
 
 @query("with {BASE} select source, count(*) as n, avg(case when n_chars < 300 then 1e0 else 0e0 end) as rate, avg(case when n_chars < 300 then 1e0 else 0e0 end) > 0.05e0 as alert from d group by source")
+@rounded("rate")
 def failure_rates(spark, d):
     return A.failure_rates(base(spark, d), F.col("n_chars") < 300, ["source"])
 
@@ -173,6 +178,7 @@ def timestamps(spark, d):
 
 
 @query("select doc_id, round_even(n_chars / 1000e0, 1) as half_even, length(replace(lower(text), 'the', '')) as n_without, coalesce(nullif(lang, 'en'), '?') as other, starts_with(source, 'src1') as one, ends_with(source, '5') as five from documents")
+@rounded("half_even")
 def string_functions(spark, d):
     return load(spark, d, "documents").select(
         "doc_id",
@@ -191,6 +197,7 @@ def text_report(spark, d):
 
 
 @query("select s.event_type, count(*) as n, round(sum(e.value), 6) as total from events e join (values ('click', 1), ('view', 2), ('purchase', 3)) s(event_type, rank) on e.event_type = s.event_type group by s.event_type")
+@rounded("total")
 def literal_lookup(spark, d):
     names = literal_table(spark, [("click", 1), ("view", 2), ("purchase", 3)], "event_type string, rank int")
     return load(spark, d, "events").join(names, "event_type").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
