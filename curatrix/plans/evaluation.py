@@ -411,12 +411,19 @@ def best_variant(spark, d):
 LINEAGE = "ln as (select event_type as dataset, cast(row_number() over (partition by event_type order by ts, event_id) - 1 as int) as version, event_id, value, ts from events where user_id % 20 = 0), lin as (select dataset, version, case when version > 0 then version - 1 - (version - 1) % 2 end as parent_version, case when version % 4 = 0 then 'full' else 'incremental' end as type, sha256(cast(event_id as varchar)) as model_hash, value as held_out_auc, ts from ln)"
 
 
-def _lineage(spark, d):
+def _lineage(spark, d, *dataset):
+    """All events as rounds: version = place by time within the dataset (the event type, unless columns are given).
+
+    Places are counted within hours and added to the rows before, so no window holds a whole dataset."""
     from pyspark.sql.window import Window
 
-    e = load(spark, d, "events").where("user_id % 20 = 0")  # a lineage is short: a user group's events stand for it
-    v = (F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id")) - 1).cast("int")
-    rows = e.select(F.col("event_type").alias("dataset"), v.alias("version"), "event_id", "value", "ts")
+    name = F.concat_ws("-", *dataset) if dataset else F.col("event_type")
+    e = load(spark, d, "events").select(name.alias("dataset"), F.date_trunc("hour", "ts").alias("hour"), "event_id", "value", "ts")
+    before = Window.partitionBy("dataset").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = e.groupBy("dataset", "hour").agg(F.count("*").alias("n")).select(F.col("dataset").alias("d"), F.col("hour").alias("h"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    placed = e.join(hours, F.col("dataset").eqNullSafe(F.col("d")) & F.col("hour").eqNullSafe(F.col("h")))
+    v = (F.col("base") + F.row_number().over(Window.partitionBy("dataset", "hour").orderBy("ts", "event_id")) - 1).cast("int")
+    rows = placed.select("dataset", v.alias("version"), "event_id", "value", "ts")
     parent = F.when(F.col("version") > 0, F.col("version") - 1 - (F.col("version") - 1) % 2)
     kind = F.when(F.col("version") % 4 == 0, "full").otherwise("incremental")
     return rows.select("dataset", "version", parent.alias("parent_version"), kind.alias("type"), F.sha2(F.col("event_id").cast("string"), 256).alias("model_hash"), F.col("value").alias("held_out_auc"), "ts")
@@ -424,7 +431,8 @@ def _lineage(spark, d):
 
 @query("with recursive " + LINEAGE + ", w(dataset, version, ancestor, depth) as (select dataset, version, parent_version, 1 from lin where parent_version is not null union all select w.dataset, w.version, l.parent_version, w.depth + 1 from w join lin l on w.dataset = l.dataset and w.ancestor = l.version where l.parent_version is not null) select dataset, version, ancestor, depth from w where version < 60")
 def lineage_ancestry(spark, d):
-    return R.ancestry(_lineage(spark, d).where("version < 60"))
+    # A version has as many rows as ancestors, so a user's events of a type are a dataset: all take part and chains are short.
+    return R.ancestry(_lineage(spark, d, "event_type", "user_id"))
 
 
 @query("with " + LINEAGE + " select dataset, max(version) as version, arg_max(model_hash, version) as model_hash from lin group by dataset")

@@ -1,6 +1,7 @@
 """Sources, sinks, splits, metrics, lineage and streams on small tables."""
 
 import datetime
+import hashlib
 import random
 
 import numpy as np
@@ -18,6 +19,7 @@ from curatrix.operators import metrics as M
 from curatrix.operators import profiling as A
 from curatrix.operators import record_qc as V
 from curatrix.operators import splits as G
+from curatrix.plans import evaluation
 from curatrix.sources import tables as IO
 from curatrix.streaming import increments
 
@@ -178,6 +180,36 @@ def test_lineage(spark):
     assert R.table_hash(lin, ["version"]).first() == R.table_hash(lin.orderBy(F.desc("version")), ["version"]).first()
 
 
+def test_lineage_queries_take_all_events(spark, tmp_path):
+    draw = random.Random(5)
+    start = datetime.datetime(2026, 1, 1)
+    rows = [(i, start + datetime.timedelta(minutes=draw.randint(0, 600)), draw.randint(1, 2), draw.choice(["click", "view"]), draw.random()) for i in range(400)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    run = lambda f: f(spark, str(tmp_path)).collect()
+
+    def chains(key):
+        out = {}
+        for r in sorted(rows, key=lambda r: (r[1], r[0])):
+            out.setdefault(key(r), []).append(r[0])
+        return out
+
+    types = chains(lambda r: r[3])
+    top = {k: (len(v) - 1, hashlib.sha256(str(v[-1]).encode()).hexdigest()) for k, v in types.items()}
+    assert {r.dataset: (r.version, r.model_hash) for r in run(evaluation.latest_version)} == top
+    assert {r.dataset: (r.n_later, r.may_rebuild) for r in run(evaluation.rebuild_guard)} == {k: (sum(i % 4 > 0 for i in range(len(v))), False) for k, v in types.items()}
+    assert {tuple(r) for r in run(evaluation.verify_parent)} == {("click", top["click"][0], False), ("view", top["view"][0], True)}
+    assert [tuple(r) for r in run(evaluation.next_version)] == [("view", len(types["view"]), top["view"][0], "incremental")]
+    want = set()
+    for key, events in chains(lambda r: f"{r[3]}-{r[2]}").items():
+        for v in range(1, len(events)):
+            a, depth = v, 0
+            while a:
+                a, depth = a - 1 - (a - 1) % 2, depth + 1
+                want.add((key, v, a, depth))
+    got = [tuple(r) for r in run(evaluation.lineage_ancestry)]
+    assert len(got) == len(want) and set(got) == want and max(r[1] for r in got) > 60
+
+
 def test_record_checks(spark):
     far = [[0.0, 0.0, 0.0], [1.4, 0.0, 0.0]]
     rows = [(0, ["C", "C"], far), (1, ["C"], far), (2, [], []), (3, ["C", "C"], [[0.0] * 3, [9.0, 0.0, 0.0]]), (4, ["C", "C"], [[0.0] * 3, [40.0, 0.0, 0.0]]), (5, ["C"], [[float("nan"), 0.0, 0.0]])]
