@@ -203,7 +203,7 @@ res as (select lab.*, g.key as gkey, g.n_labels, case when g.key is not null and
  count_if(final in ('clean', 'salt_removed')) as records_retained, count_if(final not in ('clean', 'salt_removed')) as records_excluded from res""")
 def curation_report(spark, d):
     rows = base(spark, d).select("doc_id", "text", "toxic")
-    return curate(rows, "doc_id", "text", shared_lines(spark, d), "toxic", **RULES)["report"].withColumn("rows_with_marks", F.col("rows_with_marks") * 0)
+    return curate(rows, "doc_id", "text", shared_lines(spark, d), "toxic", **RULES)["report"]
 
 
 @query("with " + RESOLVED + " select status as status_before, final as status_after, count(*) as n from res group by 1, 2")

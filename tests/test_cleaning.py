@@ -5,6 +5,7 @@ import pytest
 from curatrix.operators import cleaning as C
 from curatrix.operators import dedup as W
 from curatrix.operators import joins as J
+from curatrix.plans import curation
 
 CASES = [
     ("c1ccccc1", "clean", "c1ccccc1"),
@@ -68,6 +69,15 @@ def test_marks_are_null_not_zero_where_unresolved(spark):
     assert got == {0: 1, 1: 0, 2: None}
 
 
+def test_report_counts_marks(spark, tmp_path):
+    rows = [(0, "a text with [C@H] in it"), (1, "another text"), (2, "[x@y]\n[z@] and two"), (3, "[C@H] of 3 is blocked")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = curation.curation_report(spark, str(tmp_path)).first()
+    assert (got.total_records, got.n_clean, got.n_mixture, got.n_metal_complex, got.rows_with_marks) == (4, 2, 1, 1, 1)
+
+
 def test_recovery(spark):
     rows = [(0, "[Na+].CC(=O)[O-]"), (1, "[Ca+2].CC(=O)[O-].CC(=O)[O-]"), (2, "[Na+].CCN.c1ccccc1"), (3, "C[Zn]C.CCN"), (4, "[Na+].[Cl-]"), (5, "[Na+].[He].CCN")]
     got = {r.row_id: r for r in C.classify_blocked(spark.createDataFrame(rows, "row_id long, value string"), "row_id", "value", C.dictionary(spark)).collect()}
