@@ -12,12 +12,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import materialize, word_count
 from .quality_rules import _named
 
 #: The modulus of the permutation's arithmetic, a prime below 2^31, and its rounds.
 PRIME, ROUNDS = 2147483647, 8
+#: One copy of a document, in the integers of which running shares are sums.
+ONE = 1 << 20
 #: How each engine repeats one expression of (acc, k) over a list.
 SPARK = {"series": "explode(sequence(cast({a} as bigint), cast({b} as bigint)))", "fold": "aggregate(array({ks}), cast({x} as bigint), (acc, k) -> {body})"}
 CHECKER = {"series": "unnest(generate_series(cast({a} as bigint), cast({b} as bigint)))", "fold": "list_reduce([cast({x} as bigint), {ks}], lambda acc, k: {body})"}
@@ -137,11 +140,28 @@ def mix_sources(docs: DataFrame, p: Mix = Mix()) -> dict[str, DataFrame]:
 
 
 def repeat_by_mix(docs: DataFrame, p: Mix = Mix()) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes its words, rounded half up, all columns kept.
+    """The rows of ``docs``, each as often as the mix takes its words, all columns kept.
 
-    Rows that share a doc_id are counted together. Rows without words go.
+    What rounding leaves of a document is carried along its source, short documents first: copies are
+    the whole number of the running share up to and with the document less that before it. So a
+    source's copies meet its share among documents of about any length, whatever the ratio. Running
+    shares are integers, summed within buckets of a length and added to those before.
+
+    Rows that share a doc_id are counted together, with the first of their sources. Rows without words go.
     """
-    taken = mix_sources(docs, p)["digest"].groupBy("doc_id").agg(F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias("__copies"))
+    known = mix_sources(docs, p)
+    sums = known["sums"].select(F.col("sid").alias("__sid"), F.col("begins").alias("__begins"), "n")
+    rows = known["placed"].join(sums, (F.col("sid") == F.col("__sid")) & (F.col("begins") == F.col("__begins")), "left")
+    of_doc = rows.groupBy("doc_id").agg(F.min("sid").alias("sid"), F.sum("size").alias("size"), F.coalesce(F.sum("n"), F.lit(0)).alias("taken"))
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(p.buckets))
+    shares = materialize(of_doc.select("doc_id", "sid", F.floor(F.log2("size") * 2).alias("length"), bucket.alias("bucket"), F.floor(F.col("taken") * ONE / F.col("size")).alias("share")), "shares")
+    before = Window.partitionBy("sid").orderBy("length", "bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = shares.groupBy("sid", "length", "bucket").agg(F.sum("share").alias("n")).select("sid", "length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("sid", "length", "bucket").orderBy(F.xxhash64("doc_id", F.lit(p.seed)), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = shares.withColumn("within", F.sum("share").over(within)).join(offsets, ["sid", "length", "bucket"])
+    whole = lambda x: F.floor((x + ONE // 2) / ONE)
+    upto = F.col("base") + F.col("within")
+    taken = run.select("doc_id", (whole(upto) - whole(upto - F.col("share"))).cast("int").alias("__copies"))
     joined = docs.withColumnRenamed("doc_id", "__doc_id").join(taken.where("__copies > 0"), F.col("__doc_id").eqNullSafe(F.col("doc_id")))
     out = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return out.select(docs.columns)

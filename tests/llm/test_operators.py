@@ -269,6 +269,25 @@ def test_op6_targets_and_permutation(spark):
     assert mixing.mix_sources(documents(spark, []))["digest"].count() == 0
 
 
+@pytest.mark.parametrize(("weights", "share"), [((1, 20, 20), 0.9), ((5, 2, 1), 1.5)])
+def test_repeating_meets_targets_at_every_length(spark, weights, share):
+    draw = random.Random(11)
+    rows, size = [], {}
+    for i in range(900):  # source a has a third of the rows, and all lengths
+        n = draw.choice([40, 100, 300, 1500, 3000])
+        rows.append((i, " ".join(["w"] * n), "en", "abc"[i % 3]))
+        size[i] = n
+    p = mixing.Mix(weights=weights, share=share)
+    docs = documents(spark, rows)
+    target = {r.source: r.target / r.source_size for r in mixing.mix_sources(docs, p)["targets"].collect()}
+    out = [(r.source, size[r.doc_id]) for r in mixing.repeat_by_mix(docs, p).select("doc_id", "source").collect()]
+    assert out and len(out) == mixing.repeat_by_mix(docs.repartition(5), p).count()
+    for s in "abc":
+        of = lambda least: sum(n for i, n in size.items() if "abc"[i % 3] == s and n >= least)
+        assert abs(sum(n for t, n in out if t == s) / of(0) - target[s]) < 0.02
+        assert abs(sum(n for t, n in out if t == s and n > 1000) / of(1001) - target[s]) < 0.05
+
+
 def test_op7_balance_and_slots(spark, odd):
     rows = [(i, f"text {i % 97} " + "x" * (i % 211)) for i in range(3000)] + [(5000 + i, "the hot text of a third of all rows " * 5) for i in range(1500)]
     for docs, even in ((documents(spark, rows), True), (odd, False)):
