@@ -1,10 +1,10 @@
 """Quality rules: robust multivariate outliers per language and source (native: SQL functions only).
 
-The minimum covariance determinant is estimated as the deterministic variant does it: start from
-coordinatewise medians and scales, then concentration steps that keep the nearest three quarters
-of a group and estimate centre and covariance from them. A step is one grouped sum of integers, so
-results don't depend on how rows are dealt to tasks. The same statements, written once below, are
-run by Spark and, in the tests and the oracle, by another SQL engine.
+The minimum covariance determinant is estimated as the deterministic variant does it, from several
+starts (see ``settle``): concentration steps keep the nearest half of a group and estimate centre and
+covariance from it. A step is one grouped sum of integers, so results don't depend on how rows are
+dealt to tasks. The registered SQL is that of ``robust_distance_steps``, an earlier estimate from one
+start that keeps three quarters for three steps; of it, ``settle`` uses the points, medians and scales.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ RIDGE = 62500
 MIN_GROUP = 60
 #: Share kept by a concentration step, their number, and the squared distance beyond which a row is rejected.
 SHARE, STEPS, CUTOFF = 0.75, 3, 150.0
+#: The bound on the steps of ``settle``, and the 97.5 % quantile of chi-square with five degrees of freedom.
+MOST_STEPS, WITHIN = 30, 12.8325
 
 
 def text_statistics(text: Column) -> Column:
@@ -186,15 +188,85 @@ def with_verdicts(base: DataFrame) -> DataFrame:
     """
     spark = base.sparkSession
     known = {"stats": base.where("not base_failed").withColumn("doc_id", F.struct(*base.columns))}
-    for name, sql in robust_distance_steps("percentile({x}, {p})"):
+
+    def put(name: str, sql: str, keep: bool = False) -> None:
         known[name] = spark.sql(_named(sql, known), **{k: v for k, v in known.items() if _named(sql, [k]) != sql})
-        if name in ("points", "medians", "scales", "middle") or name.startswith("estimate"):
+        if keep:
             known[name] = materialize(known[name], name)
+
+    percentile = "percentile({x}, {p})"
+    for name, sql in robust_distance_steps(percentile):
+        if name == "distances0":
+            break
+        put(name, sql, name in ("points", "medians", "scales"))
+    settle(put, known, percentile)
     far = known["distances"].select("doc_id.*", F.round("d2", 6).alias("distance2"))
     out = far.union(base.where("base_failed").withColumn("distance2", F.lit(None).cast("double")))
     return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= CUTOFF)).drop("lang", "source")
 
 
+def settle(put, known: dict[str, DataFrame], percentile: str) -> None:
+    """The determinant's minimum from ``points``, ``medians`` and ``scales``; the last table is ``distances``.
+
+    Three orders of a group's rows (by norm, by the scatter of hyperbolic tangents and by that of
+    spatial signs, all of values standardised by median and scale) each keep the nearest half for two
+    concentration steps. Of each group the start of least determinant goes on until no group's
+    determinant falls. Then all rows within the 97.5 % ellipsoid give the estimate. So up to half of
+    a group may be junk. Every step is a grouped sum of integers.
+    """
+    kept, d = ", ".join(X), len(X)
+    binned = lambda t: f"select *, cast(floor(least(d2, 1e5) * 16) as bigint) as bin from {t}"
+    logdet = " + ".join(f"ln(l{i}{i})" for i in range(d))
+
+    def concentrate(k: str, rows: str, distances: str) -> None:
+        put(f"binned{k}", binned(distances))
+        put(f"cuts{k}", f"select grp, {percentile.format(x='bin', p=0.5)} as cut from binned{k} group by grp")
+        put(f"near{k}", f"select b.* from binned{k} b join cuts{k} c on b.grp = c.grp where b.bin <= c.cut")
+        put(f"estimate{k}", _moments("true", f"near{k}"), True)
+        put(f"distances{k}", _distances(rows, f"estimate{k}"))
+
+    ys = ", ".join(f"cast(round(1000 * ({x} - m{i}) / sqrt(2.2e0 * w{i} * w{i} + {RIDGE})) as bigint) as y{i}" for i, x in enumerate(X))
+    put("narrow", f"select 0 as doc_id, p.grp, {kept}, {ys} from points p join medians m on p.grp = m.grp join scales w on p.grp = w.grp", True)
+    norm = "sqrt(1e0 + " + " + ".join(f"1e0 * y{i} * y{i}" for i in range(d)) + ")"
+    shapes = {
+        "t": "1000 * tanh(y{i} / 1e3)",
+        "s": "2000 * y{i} / " + norm,
+    }
+    put("ordered0", f"select 0 as doc_id, concat('n', grp) as grp, {kept}, " + " + ".join(f"y{i} * y{i} / 1e6" for i in range(d)) + " as d2 from narrow")
+    for name, shape in shapes.items():
+        put(f"shape{name}", "select grp, " + ", ".join(f"cast(round({shape.format(i=i)}) as bigint) as {x}" for i, x in enumerate(X)) + " from narrow")
+        put(f"estimate{name}", _moments("true", f"shape{name}"), True)
+        # The rows' own values stay beside the standardised ones, by which they are put in order.
+        put(f"standard{name}", "select struct(" + kept + ") as doc_id, grp, " + ", ".join(f"y{i} as {x}" for i, x in enumerate(X)) + " from narrow")
+        put(f"found{name}", _distances(f"standard{name}", f"estimate{name}"))
+        put(f"ordered{name}", f"select 0 as doc_id, concat('{name}', grp) as grp, " + ", ".join(f"doc_id.{x} as {x}" for x in X) + f", d2 from found{name}")
+    put("starts", " union all ".join(f"select * from ordered{n}" for n in "0ts"), True)
+    concentrate("a", "starts", "starts")
+    concentrate("b", "starts", "distancesa")
+    factor = _cholesky()[0]
+    columns = ", ".join(["n", *(f"m{i}" for i in range(d)), *(f"s{i}{j}" for i in range(d) for j in range(i, d))])
+    put("least", f"select substr(grp, 2) as grp, {columns} from (select *, row_number() over (partition by substr(grp, 2) order by {logdet}, grp) as k from ({factor.replace('{inner}', 'estimateb')}) f) r where k = 1", True)
+    put("distances0", _distances("narrow", "least"))
+    before = None
+    for k in range(1, MOST_STEPS + 1):
+        concentrate(str(k), "narrow", f"distances{k - 1}")
+        put(f"size{k}", f"select grp, {logdet} as v from ({factor.replace('{inner}', f'estimate{k}')}) f", True)
+        if before and known[f"size{k}"].join(before.withColumnRenamed("v", "was"), "grp").where("v < was - 1e-9").isEmpty():
+            break
+        before = known[f"size{k}"]
+    # The median of d2 puts the scale right, here of rows of which up to half may be junk, then of the good ones alone.
+    expected = d * (1 - 2 / (9 * d)) ** 3
+    middle = lambda t: f"select grp, ({percentile.format(x='bin', p=0.5)} + 5e-1) / 16 as half from ({binned(t)}) b group by grp"
+    put("middle0", middle(f"distances{k}"), True)
+    put("good0", f"select d.* from distances{k} d join middle0 m on d.grp = m.grp where d.d2 / greatest(m.half / {expected!r}, 25e-2) <= {WITHIN}")
+    put("estimate", _moments("true", "good0"), True)
+    put("far", _distances("points", "estimate"))
+    put("good", f"select * from ({_distances('good0', 'estimate')}) g")
+    put("middle", middle("good"), True)
+    put("counts", "select grp, count(*) as n from points group by grp", True)
+    put("distances", f"select f.doc_id, case when c.n < {MIN_GROUP} then 0e0 else f.d2 / greatest(m.half / {expected!r}, 25e-2) end as d2 from far f join middle m on f.grp = m.grp join counts c on f.grp = c.grp")
+
+
 def _named(sql: str, names) -> str:
     """Put the tables of those names as parameters of ``spark.sql``."""
     return re.sub(r"\b(from|join) (\w+)\b", lambda m: f"{m[1]} {{{m[2]}}}" if m[2] in names else m[0], sql)

@@ -226,6 +226,16 @@ def test_op5_statistics_and_outliers(spark, odd):
     assert quality_rules.judge_quality(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.3, 0.45])
+def test_op5_groups_of_much_junk(spark, share):
+    draw = random.Random(int(100 * share))
+    junk = set(draw.sample(range(400), int(400 * share)))
+    word = lambda i: f"w{draw.randint(0, 3000)}###" if i in junk else f"word{draw.randint(0, 3000)}"
+    rows = [(i, " ".join(word(i) for _ in range(draw.randint(60, 400))), "en", "s") for i in range(400)]
+    got = quality_rules.judge_quality(documents(spark, rows)).collect()
+    assert {r.doc_id for r in got if not r.kept} == junk
+
+
 def test_op6_targets_and_permutation(spark):
     draw = random.Random(2)
     rows = [(i, " ".join(["w"] * draw.choice([0, 1, 5, 300, 900])), "en", draw.choice(["a", "b", "c", "d", None])) for i in range(150)]
