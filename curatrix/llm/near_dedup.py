@@ -278,10 +278,10 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     known = materialize(rows.mapInArrow(_sketched(s), "doc_id long, n long, class binary, bands array<long>"), "sketched")
     bands = known.where("bands is not null").select(F.explode("bands").alias("band"), "class")
     buckets = materialize(bands.repartition("band").sortWithinPartitions("band", "class").mapInArrow(_shared_bands, "band long, class binary"), "buckets")
-    carriers = materialize(known.join(buckets.select("class").distinct(), "class").groupBy("class").agg(F.min("doc_id").alias("doc_id")), "carriers")
+    carriers = materialize(known.join(buckets.select("class").distinct(), "class").groupBy("class").agg(F.coalesce(F.min("doc_id"), F.lit(-(1 << 63))).alias("doc_id")), "carriers")
     ids = carriers.select("doc_id").distinct()
     ids = F.broadcast(ids) if carriers.count() <= s.most_sent else ids
-    found = rows.join(ids, "doc_id", "left_semi").mapInArrow(_details(s), "class binary, n long, sketch binary, shingles binary")
+    found = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(ids, "doc_id", "left_semi").mapInArrow(_details(s), "class binary, n long, sketch binary, shingles binary")
     details = materialize(found.join(carriers.select("class"), "class", "left_semi").dropDuplicates(["class"]), "details")
 
     links, open_ = None, buckets.withColumn("label", F.col("class"))

@@ -187,6 +187,18 @@ def test_op4_as_brute_force(spark, n, pivots, block):
     assert near_dedup.near_duplicates(documents(spark, []), s).count() == 0
 
 
+def test_op4_links_rows_without_ids(spark):
+    draw, least = random.Random(8), -(1 << 63)
+    base = [f"w{draw.randint(0, 5000)}" for _ in range(100)]
+    near = lambda k: " ".join([*base[k:], *(f"v{i}" for i in range(k))])  # noqa: E731  far ends link through the middle
+    rows = [(1, near(0)), (None, near(8)), (2, near(16)), (3, "other words that stand alone here"), (None, "again some words that stand alone")]
+    got = near_dedup.near_duplicates(documents(spark, rows), near_dedup.Settings(words=4)).collect()
+    whole = lambda d: least if d is None else d
+    want = brute_components([(whole(d), t) for d, t in rows], 4)
+    assert {c for d, _, c in want if d in (1, 2)} == {least}
+    assert Counter((whole(r.doc_id), r.n_shingles, whole(r.component_id)) for r in got) == Counter(want)
+
+
 def test_op4_estimate_is_near_the_truth():
     s, draw = near_dedup.Settings(), np.random.default_rng(5)
     for share in (0.3, 0.8, 0.95):
