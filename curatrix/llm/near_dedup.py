@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -23,19 +24,21 @@ class Settings:
 
     A sketch has 2 to the ``bucket_bits`` registers of a leading-zero count and ``mantissa_bits``;
     ``bands`` of ``rows`` registers make candidates. A pair at 0.8 is missed by all 42 bands of 6 with
-    a probability of 3e-6. ``pivots`` rounds compare a bucket's members with one of them; what is open
-    then is compared in blocks of ``block``. Up to ``most_sent`` ids of candidates are sent to all
-    tasks that read the texts of candidates; more are joined.
+    a probability of 3e-6. Candidates are told apart by sketches of 2 to the ``fine_bits`` registers.
+    ``pivots`` rounds compare a bucket's members with one of them; what is open then is compared by
+    sketches in blocks of ``block``. Up to ``most_sent`` ids of candidates are sent to all tasks that
+    read the texts of candidates; more are joined.
     """
 
     words: int = 5
     percent: int = 80
     bucket_bits: int = 8
+    fine_bits: int = 10
     mantissa_bits: int = 10
     bands: int = 42
     rows: int = 6
-    pivots: int = 3
-    block: int = 256
+    pivots: int = 2
+    block: int = 1024
     most_sent: int = 1_000_000
 
 
@@ -70,13 +73,14 @@ def shingle_set(text: str | None, n: int) -> np.ndarray:
     return np.unique(out)
 
 
-def sketch(shingles: np.ndarray, s: Settings) -> np.ndarray:
+def sketch(shingles: np.ndarray, s: Settings, bits: int | None = None) -> np.ndarray:
     """The registers: per bucket its least hash as (63 - leading zeros, mantissa bits); empty ones are 0xFFFF."""
-    out = np.full(1 << s.bucket_bits, 0xFFFF, np.uint16)
+    bits = bits or s.bucket_bits
+    out = np.full(1 << bits, 0xFFFF, np.uint16)
     if len(shingles):
-        bucket = (shingles >> np.uint64(64 - s.bucket_bits)).astype(np.int64)
+        bucket = (shingles >> np.uint64(64 - bits)).astype(np.int64)
         first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))  # sorted, so the least of each
-        rest = shingles[first] << np.uint64(s.bucket_bits) | np.uint64(1)
+        rest = shingles[first] << np.uint64(bits) | np.uint64(1)
         _, power = np.frexp(rest.astype(np.float64))
         zeros = np.maximum(64 - power, 0).astype(np.uint64)
         mantissa = (rest << zeros) << np.uint64(1) >> np.uint64(64 - s.mantissa_bits)
@@ -105,6 +109,8 @@ def band_keys(registers: np.ndarray, s: Settings) -> np.ndarray:
     return out.view(np.int64)
 
 
+#: Stands for a null doc_id where ids are compared.
+LEAST = -(1 << 63)
 #: The expected share of registers that agree by chance alone, times 2 to the mantissa bits: a fixed value.
 CHANCE = 0.169919487159739
 
@@ -116,18 +122,26 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, s: Sett
     size = used.sum(axis=-1)
     same = ((a == b) & used).sum(axis=-1)
     ratio = n / np.maximum(m, 1)
-    chance = CHANCE * 2.0 ** (s.bucket_bits - s.mantissa_bits) * 4 * ratio / (1 + ratio) ** 2
+    chance = CHANCE * 2.0 ** (np.log2(a.shape[-1]) - s.mantissa_bits) * 4 * ratio / (1 + ratio) ** 2
     return np.maximum(same - chance, 0) / np.maximum(size, 1), size
 
 
-def may_link(a, b, n, m, s: Settings) -> np.ndarray:
-    """Whether the estimate doesn't rule a link out, by six standard deviations."""
+def likelihood(a, b, n, m, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether sizes and estimate leave a link possible, by six standard deviations; whether they leave
+    a failure possible; and the estimate.
+
+    Registers are a sample of the united set without replacement, so the deviation vanishes where nearly
+    every shingle has a register of its own. No link joins sets of which one is under ``percent`` of the other.
+    """
     guess, size = estimate(a, b, n, m, s)
-    edge = s.percent / 100
-    return guess >= edge - 6 * np.sqrt(edge * (1 - edge) / np.maximum(size, 1)) - 0.02
+    edge, united = s.percent / 100, (n + m) / (1 + guess)
+    rest = np.clip((united - size) / np.maximum(united - 1, 1), 0, 1)
+    slack = 6 * np.sqrt(edge * (1 - edge) * rest / np.maximum(size, 1)) + 2 / np.maximum(size, 1)
+    fits = 100 * np.minimum(n, m) >= s.percent * np.maximum(n, m)
+    return fits & (guess >= edge - slack), guess < edge + slack, guess
 
 
-def _sketched(s: Settings):
+def _sketched(s: Settings, keys: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[bytes] = set()  # copies in the same task send their bands once; a repeat would do no harm
         for batch in batches:
@@ -141,54 +155,68 @@ def _sketched(s: Settings):
                 done.add(name)
             if len(done) > 200_000:
                 done.clear()
-            columns = [batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "class", "bands"])
+            columns = [*[batch[k] for k in keys], pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, [*keys, "n", "class", "bands"])
 
     return run
 
 
-def _shared_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in order of (band, class), each once, those of bands with several classes. One row is in hand, never a band."""
-    last, told = None, False  # the row before, and whether it went out
+def _starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of (band, ..., class): every class of a band but the first, beside the first, its
+    pivot, and both their labels. One row is in hand, never a band."""
+    band = pivot = pivot_label = last = None
     for batch in batches:
-        bands, names = batch["band"].to_pylist(), batch["class"].to_pylist()
         out = []
-        for row in zip(bands, names, strict=True):
-            if row == last:
-                continue
-            if last is not None and row[0] == last[0]:
-                out += [row] if told else [last, row]
-                told = True
-            else:
-                told = False
-            last = row
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary())], ["band", "class"])
+        for b, name, label in zip(*(batch[c].to_pylist() for c in ("band", "class", "label")), strict=True):
+            if b != band:
+                band, pivot, pivot_label = b, name, label
+            elif name != last:
+                out.append((b, pivot, pivot_label, name, label))
+            last = name
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[i] for r in out], pa.binary() if i else pa.int64()) for i in range(5)], ["band", "pivot", "pivot_label", "class", "label"]
+        )
+
+
+def _stars(rows: DataFrame, *order) -> DataFrame:
+    """``band, pivot, pivot_label, class, label`` of the bands with several classes among ``rows(band, class,
+    label)``; a band's pivot is its first class in ``order``, then by name."""
+    names = [f"o{i}" for i in range(len(order))]
+    dealt = rows.select("band", *[o.alias(n) for o, n in zip(order, names, strict=True)], "class", "label").repartition("band")
+    ordered = dealt.sortWithinPartitions("band", *names, "class").select("band", "class", "label")
+    return materialize(ordered.mapInArrow(_starred, "band long, pivot binary, pivot_label binary, class binary, label binary"), "stars")
 
 
 def _details(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[bytes] = set()
         for batch in batches:
-            rows = [shingle_set(t.as_py(), s.words) for t in batch["text"]]
-            columns = [
-                pa.array([hashlib.blake2b(r.tobytes(), digest_size=16).digest() for r in rows], pa.binary()),
-                pa.array([len(r) for r in rows], pa.int64()),
-                pa.array([sketch(r, s).tobytes() for r in rows], pa.binary()),
-                pa.array([r.tobytes() for r in rows], pa.binary()),
-            ]
+            names, sizes, sketches, sets = [], [], [], []
+            for text in batch["text"]:
+                own = shingle_set(text.as_py(), s.words)
+                name = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+                if name not in done:
+                    done.add(name)
+                    names.append(name)
+                    sizes.append(len(own))
+                    sketches.append(sketch(own, s, s.fine_bits).tobytes())
+                    sets.append(own.tobytes())
+            columns = [pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(sets, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["class", "n", "sketch", "shingles"])
 
     return run
 
 
-def _stack(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
+def _stack(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint16).reshape(len(column), -1)
 
 
 def _estimated(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                good = may_link(_stack(batch["sketch_a"]), _stack(batch["sketch_b"]), batch["n_a"].to_numpy(), batch["n_b"].to_numpy(), s)
+                a, b = _stack(batch["sketch_a"].to_pylist()), _stack(batch["sketch_b"].to_pylist())
+                good = likelihood(a, b, batch["n_a"].to_numpy(), batch["n_b"].to_numpy(), s)[0]
                 yield batch.select(["a", "b"]).filter(pa.array(good))
 
     return run
@@ -202,131 +230,200 @@ def _verified(s: Settings):
                 p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 shared = len(np.intersect1d(p, q, assume_unique=True))
                 good.append(100 * shared >= s.percent * (len(p) + len(q) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(good, pa.bool_())], ["a", "b", "linked"])
 
     return run
 
 
+def _beside(pairs: DataFrame, details: DataFrame, **columns: str) -> DataFrame:
+    """``pairs(a, b)`` with columns of both ends' details."""
+    for side in "ab":
+        own = details.select(F.col("class").alias(side), *[F.col(c).alias(f"{n}_{side}") for n, c in columns.items()])
+        pairs = pairs.join(own, side)
+    return pairs
+
+
 def _verify(pairs: DataFrame, details: DataFrame, s: Settings) -> DataFrame:
-    """The linked ones of distinct ``pairs(a, b)``: first by their sketches, then on full sets."""
-    one = lambda side, **cols: details.select(F.col("class").alias(side), *[F.col(c).alias(n) for n, c in cols.items()])
-    near = pairs.join(one("a", n_a="n", sketch_a="sketch"), "a").join(one("b", n_b="n", sketch_b="sketch"), "b")
-    likely = near.mapInArrow(_estimated(s), "a binary, b binary")
-    whole = likely.join(one("a", set_a="shingles"), "a").join(one("b", set_b="shingles"), "b")
-    return whole.mapInArrow(_verified(s), "a binary, b binary")
+    """``a, b, linked`` of distinct ``pairs(a, b)``, by their full sets."""
+    return materialize(_beside(pairs, details, set="shingles").mapInArrow(_verified(s), "a binary, b binary, linked boolean"), "verified")
+
+
+def _links(stars: DataFrame, details: DataFrame, s: Settings) -> DataFrame:
+    """The links of pivots with classes of other labels in their bands: first by sketches, then on full sets."""
+    apart = stars.where("pivot_label is null or label <> pivot_label")
+    pairs = apart.select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b")).distinct()
+    likely = _beside(pairs, details, n="n", sketch="sketch").mapInArrow(_estimated(s), "a binary, b binary")
+    return _verify(likely, details, s).where("linked").select("a", "b")
 
 
-def _block_links(s: Settings):
-    """Links between two blocks of a cluster, as few as join the components that links join."""
+def _block_pairs(s: Settings, bold: bool):
+    """Candidates between two blocks of a cluster, from sketches: all that may link and don't hang together yet.
+
+    Pairs are taken from the most alike on. One that is likely to link (``bold``: estimated as one; else:
+    all but sure) joins its ends, so what hangs together by such pairs is not paired again; should one
+    of them fail, the caller asks again.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("class").reset_index(drop=True)
-        sketches = np.frombuffer(b"".join(rows["sketch"]), np.uint16).reshape(len(rows), -1)
-        n, name, block = rows["n"].to_numpy(), rows["class"].to_numpy(), rows["block"].to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
-        root = {x: x for x in rows["label"]}
+        sketches, n, name, block = _stack(rows["sketch"]), rows["n"].to_numpy(), rows["class"].to_numpy(), rows["block"].to_numpy()
+        label, labels = pd.factorize(rows["label"])
+        root = list(range(len(labels)))
 
-        def top(x):
+        def top(x: int) -> int:
             while root[x] != x:
                 root[x] = x = root[root[x]]
             return x
 
         one, other = rows["low"].iloc[0], rows["high"].iloc[0]
         left, right = np.flatnonzero(block == one), np.flatnonzero(block == other)
-        found = []
+        firsts, seconds, guesses, sures = [], [], [], []
         for i in left:
             facing = right[right > i] if one == other else right
-            mine = top(rows["label"][i])
-            facing = np.array([j for j in facing if top(rows["label"][j]) != mine], int)
-            if not len(facing):
-                continue
-            args = (sketches[i], sketches[facing], np.full(len(facing), n[i]), n[facing], s)
-            likely = may_link(*args)
-            order = np.argsort(-estimate(*args)[0], kind="stable")
-            for j in facing[order[likely[order]]]:
-                a, b = top(rows["label"][i]), top(rows["label"][j])
-                if a == b:
-                    continue
-                shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * shared >= s.percent * (n[i] + n[j] - shared):
-                    root[b] = a
-                    found.append((min(name[i], name[j]), max(name[i], name[j])))
-        return pd.DataFrame(found, columns=["a", "b"])
+            facing = facing[(label[facing] != label[i]) & (100 * np.minimum(n[facing], n[i]) >= s.percent * np.maximum(n[facing], n[i]))]
+            if len(facing):
+                likely, doubtful, guess = likelihood(sketches[i], sketches[facing], np.full(len(facing), n[i]), n[facing], s)
+                sure = guess >= s.percent / 100 if bold else ~doubtful
+                firsts.append(np.full(int(likely.sum()), i))
+                seconds.append(facing[likely]), guesses.append(guess[likely]), sures.append(sure[likely])
+        found = []
+        if firsts:
+            i, j, guess, sure = map(np.concatenate, (firsts, seconds, guesses, sures))
+            refused = {(x, y) for x, own in zip(name, rows["refused"], strict=True) if own is not None for y in own}
+            for k in np.argsort(-guess, kind="stable"):
+                x, y = top(label[i[k]]), top(label[j[k]])
+                pair = min(name[i[k]], name[j[k]]), max(name[i[k]], name[j[k]])
+                if x != y and pair not in refused:
+                    found.append((*pair, bool(sure[k])))
+                    if sure[k]:
+                        root[y] = x
+        return pd.DataFrame(found, columns=["a", "b", "sure"])
 
     return run
 
 
+def _settled(open_: DataFrame, links: DataFrame, labels: DataFrame, details: DataFrame, s: Settings) -> DataFrame:
+    """The components of all links with those among the classes of ``open_(band, class)``.
+
+    Clusters are what shares open bands. Their members are compared in pairs of blocks, by sketches;
+    what may link is verified on full sets, which are fetched for these pairs alone. It is asked again
+    as long as a pair failed that was taken to join its ends.
+    """
+    low = open_.groupBy("band").agg(F.min("class").alias("low"))
+    clusters = connected_components(open_.join(low, "band").select("class", "low").distinct(), "class", "low")
+    sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / s.block).cast("int").alias("blocks"))
+    members = clusters.join(sizes, "component").join(details.select("class", "n", "sketch"), F.col("node") == F.col("class")).drop("node")
+    members = materialize(members.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")), "members")
+    meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "block").alias("low"), F.greatest(o, "block").alias("high"))))
+    refused = None
+    for turn in count():
+        named = members.join(labels.select("class", F.col("component").alias("label")), "class", "left").withColumn("label", F.coalesce("label", "class"))
+        if refused is None:
+            named = named.withColumn("refused", F.lit(None).cast("array<binary>"))
+        else:
+            named = named.join(refused.groupBy(F.col("a").alias("class")).agg(F.collect_set("b").alias("refused")), "class", "left")
+        dealt = named.withColumn("m", meets).select("component", "class", "label", "n", "sketch", "refused", "block", "m.low", "m.high")
+        pairs = materialize(dealt.groupBy("component", "low", "high").applyInPandas(_block_pairs(s, turn < 2), "a binary, b binary, sure boolean"), "candidates")
+        told = _verify(pairs.select("a", "b").distinct(), details, s)
+        links = links.union(told.where("linked").select("a", "b"))
+        labels = _labels(links)
+        failed = told.where("not linked").select("a", "b")
+        if pairs.where("sure").join(failed, ["a", "b"], "left_semi").isEmpty():
+            return labels
+        refused = failed if refused is None else materialize(refused.union(failed), "refused")
+
+
+def _nearest_labels(stars: DataFrame, links: DataFrame) -> DataFrame:
+    """``class, component`` of linked classes: the least label of itself and of what it links to. Equal ones are
+    of one component; the converse waits for ``_labels``."""
+    own = stars.select("class", "label").union(stars.select("pivot", "pivot_label")).select("class", F.coalesce("label", "class").alias("label"))
+    far = links.select(F.col("a").alias("class"), F.col("b").alias("far")).union(links.select("b", "a"))
+    met = far.join(own.distinct().withColumnRenamed("class", "far"), "far").select("class", "label")
+    return met.union(own).groupBy("class").agg(F.min("label").alias("component"))
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    return materialize(connected_components(links, "a", "b").withColumnRenamed("node", "class"), "labels")
+
+
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Groups of near copies among ``docs(doc_id, text)``: ``doc_id, n_shingles, component_id, kept``.
 
     ``component_id`` is the least doc_id reachable over links, ``kept`` whether that is the row's own.
 
     Texts with equal shingle sets are one class from the start, so copies never pair up, however many.
-    Classes that share a band are candidates. A bucket's members are compared with one pivot per
-    round, not with each other, and no longer with those already in their component. After the first
-    round pivots differ by band, so a member of a large group meets many. What is still open is
-    compared within clusters of candidates, in blocks that hold at most 2 * ``block`` members and give
-    out at most as many links. So no link is lost that would join what the bands show, no pairs of a
-    group are made as rows, and every accepted link is verified on the full sets.
+    Classes that share a band are candidates. In the first round every class of a band meets the band's
+    least class, which for a group is the same in most of its bands. In the next those of bands with
+    several components meet one of four pivots drawn anew, so a member of a large group meets several. Bands
+    that then still hold several components are compared by sketches, in blocks. So no link is lost
+    that would join what the bands show, no pairs of a group are made as rows, and every accepted
+    link is verified on the full sets.
 
     Null and empty texts and texts without words have no shingles and are linked with nothing, not
     with each other. Rows that share a doc_id have each their row, and the class of each. Null
     doc_ids count as the least id where ids are compared, and come back null. An empty table gives no
     rows. Other columns are ignored. Texts are read once whole, and those of candidates once more.
     """
-    rows = docs.select("doc_id", "text")
-    known = materialize(rows.mapInArrow(_sketched(s), "doc_id long, n long, class binary, bands array<long>"), "sketched")
-    bands = known.where("bands is not null").select(F.explode("bands").alias("band"), "class")
-    buckets = materialize(bands.repartition("band").sortWithinPartitions("band", "class").mapInArrow(_shared_bands, "band long, class binary"), "buckets")
-    carriers = materialize(known.join(buckets.select("class").distinct(), "class").groupBy("class").agg(F.coalesce(F.min("doc_id"), F.lit(-(1 << 63))).alias("doc_id")), "carriers")
-    ids = carriers.select("doc_id").distinct()
-    ids = F.broadcast(ids) if carriers.count() <= s.most_sent else ids
-    found = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(ids, "doc_id", "left_semi").mapInArrow(_details(s), "class binary, n long, sketch binary, shingles binary")
-    details = materialize(found.join(carriers.select("class"), "class", "left_semi").dropDuplicates(["class"]), "details")
-
-    links, open_ = None, buckets.withColumn("label", F.col("class"))
+    known, of_class = _classes(docs.select(F.coalesce("doc_id", F.lit(LEAST)).alias("doc_id"), "text"), ["doc_id"], s)
+    own, least = F.col("doc_id"), F.coalesce("least.doc_id", "doc_id")
+    true = lambda c: F.when(c != LEAST, c)
+    return known.join(of_class, "class", "left").select(true(own).alias("doc_id"), F.col("n").alias("n_shingles"), true(least).alias("component_id"), (own == least).alias("kept"))
+
+
+def _classes(rows: DataFrame, keys: list[str], s: Settings) -> tuple[DataFrame, DataFrame]:
+    """Of ``rows(doc_id, ..., text)``: their ``keys`` (the doc_id first) with ``n, class``, the size and name
+    of their sets; and per ``class`` the ``least`` keys of its component."""
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    known = materialize(rows.mapInArrow(_sketched(s, keys), f"{kinds}, n long, class binary, bands array<long>"), "sketched")
+    filled = known.where("n > 0")
+    bands = known.where("bands is not null").select(F.explode("bands").alias("band"), "class", F.lit(None).cast("binary").alias("label"))
+    stars = _stars(bands)
+    named = stars.select("class").union(stars.select("pivot")).distinct()
+    carriers = filled.join(named, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    ids = materialize(carriers.select("doc_id").distinct(), "carriers")
+    ids = F.broadcast(ids) if ids.count() <= s.most_sent else ids
+    found = rows.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(_details(s), "class binary, n long, sketch binary, shingles binary")
+    details = materialize(found.dropDuplicates(["class"]), "details")
+
+    links = None
     for turn in range(s.pivots):
-        mark = F.xxhash64("class", F.lit(turn)) if turn == 0 else F.xxhash64("class", "band", F.lit(turn))
-        pivots = open_.groupBy("band").agg(F.min_by(F.struct("class", "label"), F.struct(mark, "class")).alias("p"))
-        facing = open_.join(pivots, "band")
-        pairs = facing.where("label <> p.label").select(F.least("class", "p.class").alias("a"), F.greatest("class", "p.class").alias("b")).distinct()
-        new = materialize(_verify(pairs, details, s), "links")
+        new = _links(stars, details, s)
         links = new if links is None else links.union(new)
-        labels = materialize(connected_components(links, "a", "b"), "labels")
-        # A pivot has met all members of its bucket and leaves it.
-        left = facing.where("class <> p.class").select("band", "class")
-        open_ = _open(left, labels)
+        last = turn + 1 == s.pivots
+        labels = _labels(links) if last else materialize(_nearest_labels(stars, new), "labels")
+        # A pivot has met all classes of its band and leaves it.
+        rest = stars.select("band", "class").join(labels, "class", "left").select("band", "class", F.coalesce("component", "class").alias("label"))
+        apart = rest.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
+        open_ = materialize(rest.join(apart, "band", "left_semi"), "open")
         if open_.isEmpty():
             break
+        if not last:
+            stars = _stars(open_, F.xxhash64("class", F.pmod("band", F.lit(4)), F.lit(turn)))
+    if open_.isEmpty():
+        labels = labels if last else _labels(links)
     else:
-        low = open_.groupBy("band").agg(F.min("class").alias("low"))
-        clusters = connected_components(open_.join(low, "band").select("class", "low").distinct(), "class", "low")
-        members = materialize(open_.select("class", "label").distinct().join(clusters.withColumnRenamed("node", "class"), "class"), "members")
-        sizes = members.groupBy("component").agg(F.ceil(F.count("*") / s.block).cast("int").alias("blocks"))
-        placed = members.join(sizes, "component").join(details, "class").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-        meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "block").alias("low"), F.greatest(o, "block").alias("high"))))
-        dealt = placed.withColumn("m", meets).select("component", "class", "label", "n", "sketch", "shingles", "block", "m.low", "m.high")
-        links = links.union(materialize(dealt.groupBy("component", "low", "high").applyInPandas(_block_links(s), "a binary, b binary"), "links"))
-        labels = materialize(connected_components(links, "a", "b"), "labels")
-
-    classes = known.where("n > 0").groupBy("class").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("least"))
-    named = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    reach = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_class = named.join(reach, "component").select("class", "component_id")
-    out = known.join(of_class, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("component_id", F.when(F.col("component_id") != -(1 << 63), F.col("component_id"))).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-
-
-def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of buckets whose members are still in several components, with their ``label``."""
-    rows = buckets.join(labels.withColumnRenamed("node", "class"), "class", "left").select("band", "class", F.coalesce("component", "class").alias("label"))
-    apart = rows.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
-    return materialize(rows.join(apart, "band"), "open")
+        labels = _settled(open_, links, labels, details, s)
+
+    least = filled.groupBy("class").agg(F.min(F.struct(*keys)).alias("least"))
+    reach = labels.join(least, "class").groupBy("component").agg(F.min("least").alias("reach"))
+    return known.drop("bands"), least.join(labels.join(reach, "component"), "class", "left").select("class", F.coalesce("reach", "least").alias("least"))
 
 
 def drop_near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """The rows of ``docs`` whose document is kept; rows equal in doc_id and text once. All columns stay."""
-    kept = near_duplicates(docs, s).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
-    ids = docs.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d")).first()
-    return out if ids.n == ids.d else out.dropDuplicates(["doc_id", "text"])
+    """One row of ``docs`` per group of near copies, all columns kept: the one of the least doc_id (null
+    first), of several the least by a 128-bit hash of all columns. Of rows equal in all columns one stays.
+
+    Up to ``most_sent`` rows that go are sent to all tasks, so the texts needn't be shuffled; beyond, they are joined.
+    """
+    every = [c for name in docs.columns for c in (F.col(f"`{name}`"), F.col(f"`{name}`").isNull())]
+    mark = F.concat_ws(",", F.xxhash64(F.lit(1), *every), F.xxhash64(F.lit(2), *every))
+    marked = docs.withColumns({"__id": F.coalesce("doc_id", F.lit(LEAST)), "__mark": mark})
+    rows = marked.select(F.col("__id").alias("doc_id"), F.col("__mark").alias("mark"), "text")
+    known, of_class = _classes(rows, ["doc_id", "mark"], s)
+    own = F.struct("doc_id", "mark")
+    gone = known.join(of_class, "class").where(own != F.col("least")).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
+    gone = materialize(gone, "gone")
+    gone = F.broadcast(gone) if gone.count() <= s.most_sent else gone
+    out = marked.join(gone, ["__id", "__mark"], "left_anti")
+    repeated = known.groupBy("doc_id", "mark").count().where("count > 1")
+    return (out if repeated.isEmpty() else out.dropDuplicates(["__id", "__mark"])).select(*[f"`{c}`" for c in docs.columns])
