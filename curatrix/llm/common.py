@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: A word, wherever these operators speak of words: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,8 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local default only where none is set, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """The folder that all executors share. Only a local session may do without the setting: it has one machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return folder or tempfile.gettempdir() + "/checkpoints"
+
+
+#: The tables written so far, in order.
+_WRITTEN: list[str] = []
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -31,9 +41,27 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/curatrix/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def release(spark: SparkSession):
+    """Delete the tables that ``materialize`` writes inside, but for the one last written before ``keep(df)``."""
+    begin, kept = len(_WRITTEN), []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(_WRITTEN[-1])
+        return df
+
+    yield keep
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in _WRITTEN[begin:]:
+        if path not in kept:
+            hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop(path), True)
+    _WRITTEN[begin:] = kept
+
+
 def let(value: Column, body) -> Column:
     """Bind ``value`` once for ``body``: lambdas that use it don't evaluate it again per element."""
     return F.transform(F.array(value), body)[0]
@@ -42,3 +70,20 @@ def let(value: Column, body) -> Column:
 def word_count(text: Column) -> Column:
     """Words of a text as long; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``df`` with the sums of whole numbers over all rows before each in ``order`` (a total order).
+
+    Rows are dealt into ranges, summed within them, and a row per range carries what lies before; so no
+    task sees more than its range, and what is broadcast is bounded by the number of ranges.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialize(df.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    each = dealt.groupBy("__range").agg(*[F.sum(c).alias(k) for k, c in sums.items()])
+    offsets = each.select("__range", *[F.coalesce(F.sum(k).over(before(Window.orderBy("__range"))), F.lit(0)).alias(f"__{k}") for k in sums])
+    own = before(Window.partitionBy("__range").orderBy(*order))
+    within = dealt.select("*", *[F.coalesce(F.sum(c).over(own), F.lit(0)).alias(k) for k, c in sums.items()])
+    met = within.join(F.broadcast(offsets), "__range")
+    return met.withColumns({k: F.col(k) + F.col(f"__{k}") for k in sums}).drop("__range", *[f"__{k}" for k in sums])
