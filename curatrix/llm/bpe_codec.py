@@ -9,16 +9,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretokens import boundaries, slices, words_of
+from .common import materialize
+from .pretokens import SLICE, boundaries, slices, words_of
 
-#: So many frequent words (and no more) are encoded beforehand and sent to all tasks, as about this
-#: many documents have them. This bounds the broadcast at any size; it doesn't touch results.
-HOT_WORDS, HOT_FROM = 300_000, 8_192
+
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
 @lru_cache(maxsize=2)
@@ -26,173 +28,140 @@ def encoding(path: str):
     """tiktoken's encoder of single words by the ranks in ``path``."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=r"(?s:.+)", mergeable_ranks=read_ranks(path), special_tokens={})
 
 
-@lru_cache(maxsize=2)
-def token_table(path: str) -> tuple[pa.Array, pa.Array, str]:
-    """By token id: its bytes, and its decimal digits with a comma; and the type that holds an id."""
+def encode_words(words: list[bytes], path: str) -> list[list[int]]:
+    """Each word's ids."""
     enc = encoding(path)
-    n = enc.max_token_value + 1
-    spelt = [b""] * n
-    for token in enc.token_byte_values():
-        spelt[enc.encode_single_token(token)] = token
-    return pa.array(spelt, pa.binary()), pa.array([b"%d," % i for i in range(n)], pa.binary()), "<u2" if n <= 1 << 16 else "<u4"
+    return [enc._encode_single_piece(w) for w in words]
 
 
-def encode_words(words: list[bytes], path: str) -> list[bytes]:
-    """Each word's ids, packed."""
-    enc, kind = encoding(path), token_table(path)[2]
-    return [np.array(enc._encode_single_piece(w), kind).tobytes() for w in words]
-
-
-def _split_documents(hot, part: str):
-    """Per document its codes: a frequent word's place + 1, else -1 - the place among its other words; and those."""
+def _chunks(size: int):
+    """Documents to chunks, a row each: the doc_ids, the sizes in words, the distinct words, and at each
+    position the number of its word among them (zstd over byte planes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = pa.array(hot.value[0], pa.binary())
-        press = zstandard.ZstdCompressor(level=3)
+        press, nth = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId() << 32
         for batch in batches:
-            for row, data, offsets in slices(batch["text"]):
+            for row, data, offsets in slices(batch["text"], size):
                 starts = boundaries(data, offsets)
                 words = words_of(data, starts) if len(starts) else pa.array([], pa.binary()).dictionary_encode()
-                place = pc.index_in(words.dictionary, frequent).fill_null(-1).to_numpy() + 1
-                index = words.indices.to_numpy()
-                codes = place[index].astype(np.int32)
-                owner = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
-                rare = np.flatnonzero(codes == 0)
-                # A rare word's number within its document: words in order of (document, word).
-                pair, back = np.unique(owner[rare] * np.int64(len(words.dictionary) + 1) + index[rare], return_inverse=True)
-                whose = pair // (len(words.dictionary) + 1)
-                number = np.arange(len(pair)) - np.searchsorted(whose, whose)
-                codes[rare] = -1 - number[back]
-                keys = [batch[c].slice(row, len(offsets) - 1) for c in ("key", "mark")]
-                if part == "rare":
-                    word = words.dictionary.take(pa.array(pair % (len(words.dictionary) + 1)))
-                    yield pa.RecordBatch.from_arrays([k.take(pa.array(whose)) for k in keys] + [pa.array(number.astype(np.int32)), word], ["key", "mark", "number", "word"])
-                else:
-                    at = np.searchsorted(owner, np.arange(len(offsets)))
-                    planes = [press.compress(codes[a:b].view(np.uint8).reshape(-1, 4).T.tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
-                    ids = batch["doc_id"].slice(row, len(offsets) - 1)
-                    yield pa.RecordBatch.from_arrays([*keys, ids, pa.array(planes, pa.binary())], ["key", "mark", "doc_id", "codes"])
+                codes = words.indices.to_numpy().astype(np.int32)
+                sizes = np.diff(np.searchsorted(starts, offsets))
+                ids = batch["doc_id"].slice(row, len(sizes)).to_pylist()
+                columns = [
+                    pa.array([nth], pa.int64()),
+                    pa.array([ids], pa.list_(pa.int64())),
+                    pa.array([sizes.astype(np.int64)], pa.list_(pa.int64())),
+                    pa.array([press.compress(codes.view(np.uint8).reshape(-1, 4).T.tobytes())], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array([0, len(words.dictionary)], pa.int32()), words.dictionary),
+                ]
+                nth += 1
+                yield pa.RecordBatch.from_arrays(columns, ["chunk", "doc_ids", "sizes", "codes", "words"])
 
     return run
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for _, data, offsets in slices(batch["text"]):
-            starts = boundaries(data, offsets)
-            if len(starts):
-                words = words_of(data, starts)
-                n = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
-                yield pa.RecordBatch.from_arrays([words.dictionary, pa.array(n)], ["word", "n"])
-
-
-def _encode_rare(path: str):
+def _encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, bytes] = {}
         for batch in batches:
-            words = batch["word"].dictionary_encode()
-            distinct = words.dictionary.to_pylist()
-            new = [w for w in distinct if w not in known]
-            known.update(zip(new, encode_words(new, path), strict=True))
-            ids = pa.array([known[w] for w in distinct], pa.binary()).take(words.indices)
-            if len(known) > 500_000:
-                known.clear()
-            yield pa.RecordBatch.from_arrays([batch[c] for c in ("key", "mark", "number")] + [ids], ["key", "mark", "number", "ids"])
+            yield pa.RecordBatch.from_arrays([batch["word"], pa.array(encode_words(batch["word"].to_pylist(), path), pa.list_(pa.int32()))], ["word", "ids"])
 
     return run
 
 
-def _reassemble(hot, path: str, digest: bool):
+def _gather(table: pa.Array, index: np.ndarray) -> tuple[memoryview, np.ndarray]:
+    """The entries of a binary array at ``index``, end to end, and where each begins."""
+    taken = table.cast(pa.large_binary()).take(pa.array(index))
+    ends = np.frombuffer(taken.buffers()[1], np.int64)[: len(taken) + 1] if len(taken) else np.zeros(1, np.int64)
+    return memoryview(taken.buffers()[2] or b""), ends
+
+
+def _reassembled(digest: bool):
+    """Chunks with their words' ids and bytes, in order of the words' numbers, to documents by position."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelt, decimal, kind = token_table(path)
-        press, frequent = zstandard.ZstdDecompressor(), hot.value[1]
-        for whole in batches:
-            for lo in range(0, len(whole), 1000):
-                batch = whole.slice(lo, 1000)
-                codes = [np.frombuffer(press.decompress(c), np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel() for c in batch["codes"].to_pylist()]
-                rare, base = [], len(frequent)
-                for i, own in enumerate(batch["rare"].to_pylist()):
-                    codes[i] = np.where(codes[i] > 0, codes[i] - 1, base + len(rare) - 1 - codes[i])
-                    rare += own or []
-                ids_of = pa.array(frequent + rare, pa.binary())
-                n_words = np.cumsum([0] + [len(c) for c in codes])
-                flat = np.concatenate(codes) if codes else np.zeros(0, int)
-                ids, ends = _gather(ids_of, flat)
-                width = np.dtype(kind).itemsize
-                ids, ends = np.frombuffer(ids, kind), ends[n_words] // width
+        press = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for i in range(len(batch)):
+                told = batch["told"][i].values
+                doc_ids, sizes = batch["doc_ids"][i].values, batch["sizes"][i].values.to_numpy()
+                codes = np.frombuffer(press.decompress(batch["codes"][i].as_py()), np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel()
+                at = np.append(0, np.cumsum(sizes))
+                ids, spelt = (told.field("ids"), told.field("bytes")) if told is not None else (pa.array([], pa.list_(pa.int32())), pa.array([], pa.binary()))
+                packed = pa.array([x.values.to_numpy().astype("<i4").tobytes() for x in ids], pa.binary())
+                flat, ends = _gather(packed, codes)
+                flat, ends = np.frombuffer(flat, "<i4"), ends[at] // 4
+                n = pa.array(np.diff(ends))
                 if not digest:
-                    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
-                    yield pa.RecordBatch.from_arrays([batch["doc_id"], lists], ["doc_id", "ids"])
+                    yield pa.RecordBatch.from_arrays([doc_ids, n, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))], ["doc_id", "n_tokens", "ids"])
                     continue
-                digits, stops = _gather(decimal, ids)
-                text, text_ends = _gather(spelt, ids)
-                stops, text_ends = stops[ends], text_ends[ends]
+                text, text_ends = _gather(spelt, codes)
+                written = pa.array([b"".join(b"%d," % x for x in own.values.to_pylist()) for own in ids], pa.binary())
+                digits, stops = _gather(written, codes)
+                text_ends, stops = text_ends[at], stops[at]
                 made = [hashlib.sha256(digits[a : max(a, b - 1)]).hexdigest() for a, b in zip(stops[:-1], stops[1:], strict=True)]
                 back = [hashlib.sha256(text[a:b]).hexdigest() for a, b in zip(text_ends[:-1], text_ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.diff(ends)), pa.array(made), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                yield pa.RecordBatch.from_arrays([doc_ids, n, pa.array(made), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
 
-def _gather(table: pa.Array, index: np.ndarray) -> tuple[memoryview, np.ndarray]:
-    """The entries of a binary array at ``index``, end to end, and where each begins."""
-    taken = table.cast(pa.large_binary()).take(pa.array(index))
-    ends = np.frombuffer(taken.buffers()[1], np.int64)[: len(taken) + 1] if len(taken) else np.zeros(1, np.int64)
-    return memoryview(taken.buffers()[2] or b""), ends
+def token_bytes(spark, path: str) -> DataFrame:
+    """The token-byte table, ``id, bytes``: a row per token, so its size is the vocabulary's."""
+    return spark.createDataFrame([(i, bytearray(t)) for t, i in sorted(read_ranks(path).items(), key=lambda x: x[1])], "id int, bytes binary")
+
 
+def _spelt(sequences: DataFrame, key: str, tokens: DataFrame) -> DataFrame:
+    """``key, bytes`` of ``sequences(key, ids)``, each key once: its tokens' bytes, joined from the table, in order."""
+    each = sequences.select(key, F.posexplode("ids").alias("place", "id"))
+    met = each.join(F.broadcast(tokens), "id", "left").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "bytes"))).alias("t"))
+    empty = F.lit(b"").cast("binary")
+    return met.select(key, F.aggregate("t", empty, lambda acc, t: F.concat(acc, t["bytes"])).alias("bytes"))
 
-def encode_documents(docs: DataFrame, path: str, digest: bool = False, hot_words: int = HOT_WORDS, hot_from: int = HOT_FROM) -> DataFrame:
-    """Encode every text of ``docs(doc_id, text)``: ``doc_id, ids``, or with ``digest`` what op2 returns.
 
-    ``path``: a tiktoken rank file, on every node. Texts are split into words by the tokenizers'
-    public pattern. Frequent words, a bounded number, are encoded once and sent to all tasks. Each
-    other distinct word of a document becomes a row with its number; these rows are dealt out by
-    word, so that one task meets all of a word's rows and encodes it once, and return to their
-    documents by number. What is shuffled besides is each document's packed sequence of codes.
-    No group is held whole but one document's rare words.
+def encode_documents(docs: DataFrame, path: str, digest: bool = False, chunk: int = SLICE) -> DataFrame:
+    """Encode every text of ``docs(doc_id, text)``: ``doc_id, n_tokens, ids``, or with ``digest`` what op2 returns.
 
-    Null or empty texts have no ids. Rows that share a doc_id are told apart by their texts; equal
-    rows come back as often as they came. Very long words and texts are encoded whole. An empty
-    table gives no rows. Other columns are ignored.
+    ``path``: a tiktoken rank file, on every node. Texts are split once into words by the tokenizers'
+    public pattern. A chunk of neighbouring documents (``chunk`` bytes, or one longer text) is a
+    row: its distinct words, each with a number, and at every position a number. The words of all
+    chunks are exploded and made distinct over the whole table; each distinct word is encoded once, and
+    decoded once by a join with the token-byte table. Ids and bytes are joined back to the chunks' words
+    (of a frequent word's many rows Spark may split the join) and gathered by chunk and number; then
+    each chunk, alone with its own words, puts its documents together by position.
+
+    No group is held whole but a chunk's words, which its bytes bound. Rows are told apart by chunk
+    and place, never by doc_id. Null or empty texts have no ids; equal, shared and null doc_ids come
+    back as often as they came. Very long words and texts are encoded whole. An empty table gives no
+    rows. Other columns are ignored.
     """
     spark = docs.sparkSession
-    single = docs.groupBy("doc_id").count().where("count > 1").isEmpty()
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.lit(0) if single else F.hash("text"))
-    # Plain equality on a key that is never null: then grouping and join share one partitioning.
-    rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    share = min(1.0, hot_from / max(1, docs.count()))
-    seen = (rows if share == 1 else rows.sample(share, 11)).select("text").mapInArrow(_count_words, "word binary, n long")
-    top = seen.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(hot_words).select("word").toArrow()["word"].to_pylist()
-    hot = spark.sparkContext.broadcast((top, encode_words(top, path)))
-    rare = rows.mapInArrow(_split_documents(hot, "rare"), "key long, mark int, number int, word binary")
-    known = rare.repartition("word").mapInArrow(_encode_rare(path), "key long, mark int, number int, ids binary")
-    # A document's rare words come from many tasks, one or two from each: combining before this shuffle would only add to it.
-    known = known.repartition("key", "mark")
-    # Equal rows send equal numbers and words; a set drops the repeats.
-    back = known.groupBy("key", "mark").agg(F.transform(F.array_sort(F.collect_set(F.struct("number", "ids"))), lambda x: x["ids"]).alias("rare"))
-    codes = rows.mapInArrow(_split_documents(hot, "codes"), "key long, mark int, doc_id long, codes binary")
-    met = codes.join(back, ["key", "mark"], "left").select("doc_id", "codes", "rare")
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, ids array<int>"
-    return met.mapInArrow(_reassemble(hot, path, digest), schema)
+    chunks = docs.select("doc_id", "text").mapInArrow(_chunks(chunk), "chunk long, doc_ids array<long>, sizes array<long>, codes binary, words array<binary>")
+    chunks = materialize(chunks, "chunks")
+    words = chunks.select("chunk", F.posexplode("words").alias("number", "word"))
+    encoded = words.select("word").distinct().mapInArrow(_encoded(path), "word binary, ids array<int>")
+    if digest:
+        encoded = materialize(encoded, "words")
+        encoded = encoded.join(_spelt(encoded, "word", token_bytes(spark, path)), "word")
+    else:
+        encoded = encoded.withColumn("bytes", F.lit(None).cast("binary"))
+    told = words.join(encoded, "word").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("number", "ids", "bytes"))).alias("told"))
+    whole = chunks.drop("words").join(told, "chunk", "left")
+    schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>")
+    return whole.mapInArrow(_reassembled(digest), schema)
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
-    """The inverse: ``doc_id, ids`` to ``doc_id, bytes``, by the token-byte table (as large as the vocabulary).
+    """The inverse: ``doc_id, ids`` to ``doc_id, bytes``, by a join with the token-byte table.
 
-    Null ids give no bytes; an id outside the vocabulary is an error.
+    Each distinct sequence of ids is decoded once. Null and empty ids give no bytes; an id outside the
+    vocabulary makes its row's bytes null. Rows with equal doc_id have each their row.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelt = token_table(path)[0]
-        for batch in batches:
-            ids = [np.array(x or [], np.int64) for x in batch["ids"].to_pylist()]
-            text, ends = _gather(spelt, np.concatenate(ids) if ids else np.zeros(0, np.int64))
-            at = ends[np.cumsum([0] + [len(x) for x in ids])]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([bytes(text[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["doc_id", "bytes"])
-
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
+    rows = encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    rows = rows.withColumn("key", F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256))
+    distinct = rows.groupBy("key").agg(F.first("ids").alias("ids")).where(F.size("ids") > 0)
+    spelt = _spelt(distinct, "key", token_bytes(encoded.sparkSession, path))
+    bare = F.when(F.size("ids") == 0, F.lit(b"").cast("binary")).otherwise(F.col("bytes"))
+    return rows.join(spelt, "key", "left").select("doc_id", bare.alias("bytes"))

@@ -66,14 +66,14 @@ def boundaries(data: bytes, offsets: np.ndarray) -> np.ndarray:
     return place[start]
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, bytes, np.ndarray]]:
-    """(first row, data, offsets) of consecutive rows of a string array, ``SLICE`` bytes or one row each; null is empty."""
+def slices(texts: pa.Array, size: int = SLICE) -> Iterator[tuple[int, bytes, np.ndarray]]:
+    """(first row, data, offsets) of consecutive rows of a string array, ``size`` bytes or one row each; null is empty."""
     texts = texts.cast(pa.large_string()).fill_null("")
     ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = texts.buffers()[2]
     row = 0
     while row < len(texts):
-        upto = max(row + 1, int(np.searchsorted(ends, ends[row] + SLICE, "right")) - 1)
+        upto = max(row + 1, int(np.searchsorted(ends, ends[row] + size, "right")) - 1)
         part = data.slice(ends[row], ends[upto] - ends[row]).to_pybytes() if data is not None else b""
         yield row, part, ends[row : upto + 1] - ends[row]
         row = upto
