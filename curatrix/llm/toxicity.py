@@ -16,174 +16,274 @@ from .common import materialize
 from .labelled import examples, remainder
 
 TERM = re.compile(r"[^\W_]+")
+#: Texts that are scored at once.
+TEXTS = 128
 #: Examples of a block in the index.
 BLOCK = 64
+#: So many of the most frequent terms stand in full.
+FULL = 768
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``most``: the bound on labelled rows that are learned from. Terms, at most ``terms``, are those
-    words whose documents have the label ``lift`` times as often as all, by more than chance: with
-    all words tried, one in ``1 / alpha`` samples would show one such word. ``near`` neighbours vote;
-    ``doubt`` is the weight of the base rate among their votes."""
-
-    most: int = 20_000
-    terms: int = 4096
+    """``most``: the bound on labelled rows that are learned from; of these, texts of up to ``longest``
+    characters. ``near`` neighbours vote by the square of their cosine; ``doubt`` is the weight of the
+    base rate among their votes. A term's weight, beside TF-IDF, grows from ``floor`` to 1 with how surely
+    it is tied to the label: 1 where, with all terms tried, one in ``1 / alpha`` samples would show one."""
+
+    most: int = 3072
+    longest: int = 200_000
+    floor: float = 0.1
     alpha: float = 0.05
-    lift: float = 2.0
-    near: int = 15
-    doubt: float = 0.5
+    near: int = 40
+    doubt: float = 0.01
 
 
 class BlockMaxIndex:
-    """Postings of unit vectors by term, with each block's largest weight, for exact nearest neighbours."""
+    """Inverted lists of unit vectors by term and block of rows, with each term's largest weight in each
+    block that has it, for exact nearest neighbours. Rows that are alike should be neighbours: then bounds are tight."""
 
-    def __init__(self, rows: list[tuple[list[int], list[float]]]):
+    def __init__(self, rows: list[np.ndarray], weights: list[np.ndarray], width: int):
         self.size = len(rows)
-        self.blocks = -(-self.size // BLOCK)
-        lists: dict[int, list[tuple[int, float]]] = {}
-        for i, (terms, weights) in enumerate(rows):
-            for t, w in zip(terms, weights, strict=True):
-                lists.setdefault(t, []).append((i, w))
-        self.parts: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        self.tops: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for t, postings in lists.items():
-            at, w = np.array([p[0] for p in postings]), np.array([p[1] for p in postings])
-            own, starts = np.unique(at // BLOCK, return_index=True)
-            self.tops[t] = own, np.maximum.reduceat(w, starts)
-            for b, lo, hi in zip(own.tolist(), starts.tolist(), [*starts[1:].tolist(), len(at)], strict=True):
-                self.parts[t, b] = at[lo:hi] - b * BLOCK, w[lo:hi]
-
-    def nearest(self, terms: list[int], weights: list[float], k: int) -> list[tuple[float, int]]:
-        """The k highest cosines above 0, as (cosine, row); ties go to the lower row.
-
-        Blocks are scored in order of their bound, the sum of their largest weights, until no bound
-        reaches the k-th cosine found: what is left out can't be among the nearest.
+        self.blocks = max(1, -(-self.size // BLOCK))
+        at = np.repeat(np.arange(self.size), [len(r) for r in rows])
+        terms = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
+        order = np.lexsort((at, terms))
+        self.rows, self.values = at[order].astype(np.int32), (np.concatenate(weights) if rows else np.zeros(0))[order]
+        # Terms of many rows also stand in full, as a dense matrix: their products are taken for many texts at once.
+        count = np.bincount(terms, minlength=width)
+        full = np.sort(np.argsort(-count, kind="stable")[:FULL])
+        self.full = np.full(width, -1, np.int64)
+        self.full[full] = np.arange(len(full))
+        self.matrix = np.zeros((len(full), self.size))
+        there = self.full[terms[order]] >= 0
+        self.matrix[self.full[terms[order][there]], self.rows[there]] = self.values[there]
+        terms, order = terms[order][~there], np.arange(len(order) - there.sum())
+        self.rows, self.values = self.rows[~there], self.values[~there]
+        # Per term its blocks, ascending, each with where its postings begin, their number and the largest weight.
+        own, self.first = np.unique(terms[order] * self.blocks + self.rows // BLOCK, return_index=True)
+        self.many = np.diff(np.append(self.first, len(self.rows)))
+        self.tops = np.maximum.reduceat(self.values, self.first) if len(own) else np.zeros(0)
+        self.of = own % self.blocks
+        self.lists = np.searchsorted(own // self.blocks, np.arange(width + 1))
+
+    def full_parts(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Per query the part of every row's cosine that the terms of many rows make."""
+        queries = np.zeros((len(vectors), len(self.matrix)))
+        for i, (terms, weights) in enumerate(vectors):
+            at = self.full[terms]
+            queries[i, at[at >= 0]] = weights[at >= 0]
+        return queries @ self.matrix
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, but: int = -1, part: np.ndarray | None = None) -> list[tuple[float, int]]:
+        """The k highest cosines above 0, as (cosine, row); ties go to the lower row; row ``but`` is left out.
+
+        ``part``: the query's row of ``full_parts``. A block's bound is the sum of its largest weights. The blocks of the highest bounds are scored
+        first; then those whose bound reaches the k-th cosine found. What is left out can't be among
+        the nearest.
         """
-        bound = np.zeros(self.blocks)
-        for t, w in zip(terms, weights, strict=True):
-            if t in self.tops:
-                own, top = self.tops[t]
-                bound[own] += w * top
-        found: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(found) == k and bound[b] < found[-1][0] - 1e-9:
+        if not self.size:
+            return []
+        part = self.full_parts([(terms, weights)])[0] if part is None else part
+        begin = self.lists[terms]
+        n = self.lists[terms + 1] - begin
+        entries, query = _ranges(begin, n), np.repeat(weights, n)
+        bound = np.bincount(self.of[entries], weights=self.tops[entries] * query, minlength=self.blocks)
+        bound = bound + np.maximum.reduceat(part, np.arange(0, self.size, BLOCK))
+        order = np.argsort(-bound, kind="stable")
+        chosen = np.zeros(self.blocks, bool)
+        chosen[order[: -(-2 * k // BLOCK) + 1]] = True
+        cosines = self._scores(entries, query, part, chosen)
+        if 0 <= but < self.size:
+            cosines[but] = 0
+        least = -np.partition(-cosines, k - 1)[k - 1] if self.size > k else 0.0
+        more = ~chosen & (bound > 0) & (bound >= least - 1e-9)
+        if more.any():
+            cosines += self._scores(entries, query, part, more)
+            if 0 <= but < self.size:
+                cosines[but] = 0
+        hit = np.flatnonzero(cosines >= max(least, 1e-9) - 1e-9)
+        near = cosines[hit].round(9)
+        best = np.lexsort((hit, -near))[:k]
+        return [(c, i) for c, i in zip(near[best].tolist(), hit[best].tolist(), strict=True) if c > 0]
+
+    def _scores(self, entries: np.ndarray, query: np.ndarray, part: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Every row's cosine, of rows in ``blocks``; else 0."""
+        chosen = blocks[self.of[entries]]
+        entries, query = entries[chosen], query[chosen]
+        at = _ranges(self.first[entries], self.many[entries])
+        scores = np.bincount(self.rows[at], weights=self.values[at] * np.repeat(query, self.many[entries]), minlength=self.size)
+        return scores + part * np.repeat(blocks, BLOCK)[: self.size]
+
+
+def _ranges(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers from each ``begin`` on, ``n`` of each, end to end."""
+    return np.repeat(begin - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+
+
+def words(text: str | None) -> list[str]:
+    return TERM.findall((text or "").lower())
+
+
+class Voters:
+    """The labelled examples: vocabulary, weights, index, labels; and the map from votes to probabilities."""
+
+    def __init__(self, rows: list[tuple[int, str, int]], df: dict[str, int], n: int, s: Settings):
+        self.s, self.slope, self.shift = s, 1.0, 0.0
+        seen = Counter(w for _, text, _ in rows for w in set(words(text)))
+        positive = Counter(w for _, text, y in rows if y for w in set(words(text)))
+        vocabulary = sorted(seen)
+        self.place, self.spelt = {w: i for i, w in enumerate(vocabulary)}, vocabulary
+        self.rate = sum(y for *_, y in rows) / len(rows) if rows else 0.0
+        many = np.array([max(df.get(w, 0), seen[w]) for w in vocabulary], float)
+        idf = np.log((1 + max(n, len(rows))) / np.minimum(many, max(n, len(rows)))) if vocabulary else np.zeros(0)
+        self.weight = idf * self.tied(np.array([seen[w] for w in vocabulary], float), np.array([positive[w] for w in vocabulary], float))
+        vectors = [self.vector(text) for _, text, _ in rows]
+        heavy = [int(t[np.argmax(w * many[t])]) if len(t) else -1 for t, w in vectors]  # heavy and common: what groups share
+        order = sorted(range(len(rows)), key=lambda i: (heavy[i], rows[i][2], rows[i][0]))
+        order = [i for i in order if len(vectors[i][0])]
+        self.index = BlockMaxIndex([vectors[i][0] for i in order], [vectors[i][1] for i in order], len(vocabulary))
+        self.labels = np.array([rows[i][2] for i in order], float)
+        self.ids = [rows[i][0] for i in order]
+        self.row = {d: k for k, d in enumerate(self.ids)}
+
+    def tied(self, n: np.ndarray, positive: np.ndarray) -> np.ndarray:
+        """From ``floor`` to 1: how surely terms are tied to label 1. Chernoff: a share this far above the
+        rate has at most the probability exp(-surprise)."""
+        if not 0 < self.rate < 1:
+            return np.ones(len(n))
+        share = np.clip(positive / n, 1e-12, 1 - 1e-12)
+        surprise = n * (share * np.log(share / self.rate) + (1 - share) * np.log((1 - share) / (1 - self.rate)))
+        sure = np.where(share > self.rate, surprise, 0) / np.log(max(2, len(n)) / self.s.alpha)
+        return self.s.floor + (1 - self.s.floor) * np.minimum(1, sure)
+
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """A text's terms among the vocabulary, ascending, and its unit vector."""
+        place = self.place
+        terms, counts = np.unique(np.array([place[w] for w in words(text) if w in place], np.int32), return_counts=True)
+        w = (1 + np.log(counts)) * self.weight[terms]
+        size = np.sqrt(w @ w)
+        return (terms, w / size) if size > 0 else (terms[:0], w[:0])
+
+    def votes(self, texts: list[str], but: list[int] | None = None) -> Iterator[tuple[float, list[int], list[str]]]:
+        """Per text: the neighbours' mean label by squared cosine, with the base rate at ``doubt``; the neighbours;
+        and its terms that weigh most in it, up to eight."""
+        vectors = [self.vector(text) for text in texts]
+        for i, ((terms, w), part) in enumerate(zip(vectors, self.index.full_parts(vectors), strict=True)):
+            found = self.index.nearest(terms, w, self.s.near, self.row.get(but[i], -1) if but else -1, part) if len(terms) else []
+            square = np.array([c * c for c, _ in found])
+            who = [i for _, i in found]
+            mean = (square @ self.labels[who] + self.s.doubt * self.rate) / (square.sum() + self.s.doubt) if found else self.rate
+            yield float(mean), [self.ids[i] for i in who], [self.spelt[terms[i]] for i in np.argsort(-w, kind="stable")[:8]]
+
+    def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> None:
+        """Fit the logistic map of votes to label probabilities, by Newton's steps with smoothed targets."""
+        ones = labels.sum()
+        if not 0 < ones < len(labels):
+            return
+        x = np.stack([_logit(votes), np.ones(len(votes))])
+        y = np.where(labels > 0, (ones + 1) / (ones + 2), 1 / (len(labels) - ones + 2))
+        b = np.array([1.0, 0.0])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(b @ x, -30, 30)))
+            step = np.linalg.solve((x * (p * (1 - p))) @ x.T + 1e-3 * np.eye(2), x @ (y - p) - 1e-3 * (b - [1, 0]))
+            b += np.clip(step, -2, 2)
+            if np.abs(step).max() < 1e-9:
                 break
-            scores = np.zeros(BLOCK)
-            for t, w in zip(terms, weights, strict=True):
-                if (part := self.parts.get((t, b))) is not None:
-                    scores[part[0]] += w * part[1]
-            hit = np.flatnonzero(scores > 0)
-            best = [(round(float(scores[i]), 9), b * BLOCK + int(i)) for i in hit]
-            found = sorted(found + best, key=lambda x: (-x[0], x[1]))[:k]
-        return found
-
-
-def unit(terms: list[int], counts: list[int], idf: np.ndarray) -> list[float]:
-    w = (1 + np.log(counts)) * idf[terms]
-    return (w / np.sqrt((w * w).sum())).tolist()
-
-
-def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n: Counter = Counter()
-    positive: Counter = Counter()
-
-    def sent():
-        words = list(n)
-        out = [pa.array(words, pa.string()), pa.array([n[w] for w in words], pa.int64()), pa.array([positive[w] for w in words], pa.int64())]
-        n.clear(), positive.clear()
-        return pa.RecordBatch.from_arrays(out, ["term", "n", "positive"])
-
-    for batch in batches:
-        for text, label in zip(batch["text"].to_pylist(), batch["label"].to_pylist(), strict=True):
-            own = set(TERM.findall((text or "").lower()))
-            n.update(own)
-            if label:
-                positive.update(own)
-            if len(n) > 200_000:
-                yield sent()
-    yield sent()
-
-
-def choose_terms(sample: DataFrame, s: Settings) -> list[str]:
-    """The vocabulary, from ``sample(text, label)``: at most ``s.terms`` words."""
-    whole = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("p")).first()
-    if not 0 < whole.p < whole.n:
-        return []
-    counted = sample.select("text", "label").mapInArrow(_count_terms, "term string, n long, positive long")
-    sums = materialize(counted.groupBy("term").agg(F.sum("n").alias("n"), F.sum("positive").alias("p")), "terms")
-    rate, share = whole.p / whole.n, F.col("p") / F.col("n")
-    rest = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - rate))).otherwise(0.0)
-    # Chernoff: a share this far above the rate has at most the probability exp(-surprise).
-    told = sums.where(share >= s.lift * rate).withColumn("surprise", F.col("n") * (share * F.log(share / rate) + rest))
-    tried = sums.count()
-    strong = told.where(F.col("surprise") >= float(np.log(max(1, tried) / s.alpha)))
-    return [r.term for r in strong.orderBy(F.desc("surprise"), "term").limit(s.terms).select("term").collect()]
-
-
-def _vectors(terms: list[str]):
-    place = {t: i for i, t in enumerate(terms)}
+        if b[0] > 0:
+            self.slope, self.shift = float(b[0]), float(b[1])
+
+    def probability(self, votes: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * _logit(votes) + self.shift, -30, 30)))
+
+
+def _logit(p: np.ndarray) -> np.ndarray:
+    p = np.clip(np.asarray(p, float), 1e-3, 1 - 1e-3)
+    return np.log(p / (1 - p))
+
+
+def document_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[int, dict[str, int]]:
+    """The number of all texts, and of those with each word of ``vocabulary``: a partial count per task, then
+    a row per word, so what comes to the driver is bounded by the vocabulary."""
+    known = docs.sparkSession.sparkContext.broadcast(set(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, rows = Counter(), 0
         for batch in batches:
-            own, counts = [], []
+            rows += len(batch)
             for text in batch["text"]:
-                found = Counter(w for w in TERM.findall((text.as_py() or "").lower()) if w in place) if place else {}
-                own.append([place[w] for w in sorted(found)])
-                counts.append([found[w] for w in sorted(found)])
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(own, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["doc_id", "terms", "counts"])
+                n.update(known.value.intersection(words(text.as_py())))
+        yield pa.RecordBatch.from_arrays([pa.array([None, *n], pa.string()), pa.array([rows, *n.values()], pa.int64())], ["term", "n"])
 
-    return run
+    sums = docs.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = dict(zip(sums["term"].to_pylist(), sums["n"].to_pylist(), strict=True))
+    return df.pop(None, 0), df
+
+
+def learn(docs: DataFrame, labels: DataFrame, modulus: int, held: int, s: Settings) -> Voters:
+    """The voters from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)`` outside the held-out part.
+
+    At most ``s.most`` labelled texts come to the driver as their words. Of a doc_id's several texts the
+    least counts. Votes are calibrated on the examples themselves, each scored without its own vote.
+    """
+    sample = materialize(examples(labels, "toxic", modulus, held, s.most), "examples")
+    known = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= s.longest).join(F.broadcast(sample), "doc_id")
+    rows = known.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")).orderBy("doc_id").toLocalIterator()
+    rows = [(r.doc_id, r.text, r.label) for r in rows]
+    n, df = document_frequencies(docs, sorted({w for _, text, _ in rows for w in words(text)}))
+    voters = Voters(rows, df, n, s)
+    votes = []
+    for lo in range(0, len(rows), TEXTS):
+        some = rows[lo : lo + TEXTS]
+        votes += [v for v, *_ in voters.votes([text for _, text, _ in some], [d for d, *_ in some])]
+    voters.calibrate(np.array(votes), np.array([y for *_, y in rows], float))
+    return voters
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, s: Settings = Settings()) -> DataFrame:
     """Score every whole text of ``docs(doc_id, text)`` by ``labels(doc_id, toxic)`` outside the held-out part.
 
     Returns ``doc_id, held_out, score, predicted, neighbours, evidence``: neighbours are the voting
-    examples' doc_ids, evidence the text's telling terms. A score is the mean label of the nearest
-    examples weighted by squared cosine, with the base rate of texts like it counted at ``s.doubt``.
+    examples' doc_ids, evidence the up to eight terms that weigh most in the text's vector. A score is
+    the calibrated mean label of the nearest examples, weighted by squared cosine.
 
-    Vectors are over the telling terms alone; document frequencies are over all rows. Texts are
-    read twice: labelled ones to choose terms, then all for their vectors, which are a small table.
-    The index holds at most ``s.most`` examples of at most ``s.terms`` terms and is sent to all tasks.
+    Vectors are over all words of the labelled examples, by TF-IDF with document frequencies over all
+    rows, times how surely a word is tied to the label; no word is left out, so every text that shares
+    a word with an example is searched. Texts are read three times: labelled ones to learn, all for
+    document frequencies, all for their scores; none is shuffled but the labelled.
 
-    Null and empty texts, texts without such terms and, where no label can be learned from, all texts
-    score as the examples without terms do. Equal texts score equal. Rows with equal doc_id have each
-    their row. An empty table gives no rows. Other columns are ignored.
+    Null and empty texts, texts without known words and, where no label can be learned from, all texts
+    score as the base rate does. Equal texts score equal. Rows with equal doc_id have each their row. An
+    empty table gives no rows. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    sample = materialize(examples(labels, "toxic", modulus, held, s.most), "examples")
-    terms = choose_terms(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label"), s)
-    vectors = materialize(docs.select("doc_id", "text").mapInArrow(_vectors(terms), "doc_id long, terms array<int>, counts array<int>"), "vectors")
-    n = vectors.count()
-    df = {r.t: r.n for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
-    idf = np.log1p([n / df.get(i, n or 1) for i in range(len(terms))])
-    rows = vectors.join(F.broadcast(sample), "doc_id").orderBy("doc_id", "terms", "counts").limit(2 * s.most).collect()
-    told = [r for r in rows if r.terms]
-    silent = [r.label for r in rows if not r.terms]
-    rate = sum(r.label for r in rows) / len(rows) if rows else 0.0
-    base = (sum(silent) + rate) / (len(silent) + 1)
-    index = spark.sparkContext.broadcast((BlockMaxIndex([(r.terms, unit(r.terms, r.counts, idf)) for r in told]), [r.label for r in told], [r.doc_id for r in told]))
-
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near, label, ids = index.value
-        known: dict[tuple, tuple] = {}
-        for batch in batches:
-            scores, who, why = [], [], []
-            for own, counts in zip(batch["terms"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-                key = (*own, *counts)
-                if key not in known:
-                    found = near.nearest(own, unit(own, counts, idf), s.near) if own else []
-                    weight = sum(c * c for c, _ in found)
-                    known[key] = (sum(c * c * label[i] for c, i in found) + s.doubt * base) / (weight + s.doubt), [ids[i] for _, i in found]
-                scores.append(known[key][0])
-                who.append(known[key][1])
-                why.append([terms[t] for t in own])
-            if len(known) > 50_000:
-                known.clear()
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(scores, pa.float64()), pa.array(who, pa.list_(pa.int64())), pa.array(why, pa.list_(pa.string()))], ["doc_id", "score", "neighbours", "evidence"])
-
-    scored = vectors.mapInArrow(vote, "doc_id long, score double, neighbours array<long>, evidence array<string>")
-    return scored.select(
-        "doc_id", (remainder(F.col("doc_id"), modulus) == held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "neighbours", "evidence"
-    )
+    scored = _scored(docs.select("doc_id", "text"), learn(docs, labels, modulus, held, s))
+    return scored.select("doc_id", (remainder(F.col("doc_id"), modulus) == held).alias("held_out"), F.col("__score").alias("score"), _toxic().cast("int").alias("predicted"), F.col("__neighbours").alias("neighbours"), F.col("__evidence").alias("evidence"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, s: Settings = Settings()) -> DataFrame:
+    """The rows of ``docs`` that don't score as toxic, all columns kept; each row by its own text."""
+    return _scored(docs, learn(docs, labels, modulus, held, s)).where(~_toxic()).select(*[f"`{c}`" for c in docs.columns])
+
+
+def _toxic():
+    return F.col("__score") >= 0.5
+
+
+def _scored(docs: DataFrame, voters: Voters) -> DataFrame:
+    """``docs`` with ``__score, __neighbours, __evidence`` beside its columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(voters)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voters = sent.value
+        for whole in batches:
+            for lo in range(0, len(whole), TEXTS):
+                batch = whole.slice(lo, TEXTS)
+                texts = [x or "" for x in batch["text"].to_pylist()]
+                known = {x: None for x in texts}
+                known = dict(zip(known, voters.votes(list(known)), strict=True))
+                votes, who, why = zip(*[known[x] for x in texts], strict=True)
+                made = [pa.array(voters.probability(np.array(votes)), pa.float64()), pa.array(who, pa.list_(pa.int64())), pa.array(why, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "__score", "__neighbours", "__evidence"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(run, f"{kinds}, __score double, __neighbours array<long>, __evidence array<string>")
