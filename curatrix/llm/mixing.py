@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, word_count
+from .common import materialize, running, word_count
 from .quality_rules import _named
 
 #: The modulus of the permutation's arithmetic, a prime below 2^31, and its rounds.
@@ -22,8 +22,8 @@ PRIME, ROUNDS = 2147483647, 8
 #: One copy of a document, in the integers of which running shares are sums.
 ONE = 1 << 20
 #: How each engine repeats one expression of (acc, k) over a list.
-SPARK = {"series": "explode(sequence(cast({a} as bigint), cast({b} as bigint)))", "fold": "aggregate(array({ks}), cast({x} as bigint), (acc, k) -> {body})"}
-CHECKER = {"series": "unnest(generate_series(cast({a} as bigint), cast({b} as bigint)))", "fold": "list_reduce([cast({x} as bigint), {ks}], lambda acc, k: {body})"}
+SPARK = {"draw": "pmod(xxhash64({key}), {n})", "series": "explode(sequence(cast({a} as bigint), cast({b} as bigint)))", "fold": "aggregate(array({ks}), cast({x} as bigint), (acc, k) -> {body})"}
+CHECKER = {"draw": "hash(concat_ws(',', {key})) % {n}", "series": "unnest(generate_series(cast({a} as bigint), cast({b} as bigint)))", "fold": "list_reduce([cast({x} as bigint), {ks}], lambda acc, k: {body})"}
 
 
 @dataclass(frozen=True)
@@ -38,7 +38,7 @@ class Mix:
     block: int = 128
     shards: int = 64
     seed: int = 20240229
-    buckets: int = 1024
+    buckets: int = 16384
     run: int = 4096
 
 
@@ -65,7 +65,7 @@ def mix_steps(p: Mix, engine: dict[str, str]) -> list[tuple[str, str]]:
     weight = " ".join(f"when {i} then {w}" for i, w in enumerate(p.weights))
     grow = lambda a, b: engine["series"].format(a=a, b=b)
     whole = lambda x: f"cast(floor({x} / {size}e0) as bigint)"
-    bucket = f"(abs(coalesce(doc_id, 0)) % 1000003) * 7919 % {p.buckets}"
+    bucket = f"((coalesce(doc_id, 0) % 1000003 + 1000003) % 1000003) * 7919 % {p.buckets}"
     return [
         ("totals", "select source, cast(sum(size) as bigint) as source_size from sized group by source"),
         ("numbered", "select *, cast(row_number() over (order by source nulls last) - 1 as bigint) as sid, sum(source_size) over () as total from totals"),
@@ -89,7 +89,7 @@ def mix_steps(p: Mix, engine: dict[str, str]) -> list[tuple[str, str]]:
         (
             "drawn",
             f"select sid, pass, j, block, least(case when block = nb - 1 then short else {size} end, rest - before) as take,"
-            f" cast((((j % {PRIME}) * 48271 + sid * 69621 + pass * 40692 + {p.seed}) % {PRIME}) * 39373 % {PRIME} % {p.shards} as int) as shard from mapped",
+            f" cast({engine['draw'].format(key=f'sid, pass, j, {p.seed}', n=p.shards)} as int) as shard from mapped",
         ),
         ("homes", f"select s.doc_id, s.size, t.sid, {bucket} as bucket from sized s join targets t on s.source is not distinct from t.source where s.size > 0"),
         ("counted", "select sid, bucket, sum(size) as n from homes group by sid, bucket"),
@@ -110,6 +110,23 @@ def mix_steps(p: Mix, engine: dict[str, str]) -> list[tuple[str, str]]:
     ]
 
 
+def _numbered(known: dict[str, DataFrame], p: Mix) -> DataFrame:
+    """The step of that name without a window over all sources, as there may be a source per web domain."""
+    total = known["totals"].agg(F.sum("source_size")).first()[0]
+    return running(known["totals"], [F.col("source").asc_nulls_last()], {"sid": F.lit(1)}).withColumn("total", F.lit(total).cast("long"))
+
+
+def _levels(known: dict[str, DataFrame], p: Mix) -> DataFrame:
+    weight = F.col("w").cast("long")
+    every = known["ratios"].agg(F.sum(weight)).first()[0] or 0
+    below = running(known["ratios"], [F.col("ratio"), F.col("sid")], {"sizes": F.col("source_size"), "weights": weight})
+    return below.withColumn("lam", (p.share * F.col("total") - p.cap * F.col("sizes")) / (F.lit(every) - F.col("weights"))).drop("sizes", "weights")
+
+
+#: Steps that Spark takes by ranges.
+WIDE = {"numbered": _numbered, "levels": _levels}
+
+
 def mix_sources(docs: DataFrame, p: Mix = Mix()) -> dict[str, DataFrame]:
     """Mix ``docs(doc_id, text, source)``: the tables of ``mix_steps``, of which these are for use:
 
@@ -119,8 +136,8 @@ def mix_sources(docs: DataFrame, p: Mix = Mix()) -> dict[str, DataFrame]:
 
     Targets share ``share`` times all words by weight; a source whose share exceeds ``cap`` times its
     words gets that, and the excess is shared by weight among the others until none is above. The
-    shards' counts of a source are a multinomial draw given its total, so each total is its target to
-    within half a word, and no word is taken more than ``cap`` times. Equal input gives equal output.
+    shards' counts of a source are a multinomial draw given its total (each slot draws its shard by a
+    64-bit hash), so each total is its target to within half a word, and no word is taken more than ``cap`` times. Equal input gives equal output.
 
     Null texts and texts without words have size 0 and take nothing. A null source is one of the
     sources, the last. Rows with equal doc_id each have their own words. No rows, or no words at
@@ -131,6 +148,9 @@ def mix_sources(docs: DataFrame, p: Mix = Mix()) -> dict[str, DataFrame]:
     known = {"sized": materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")}
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for name, sql in mix_steps(p, SPARK):
+        if name in WIDE:
+            known[name] = WIDE[name](known, p)
+            continue
         known[name] = spark.sql(_named(sql, known), **{k: v for k, v in known.items() if _named(sql, [k]) != sql})
         if name in ("targets", "ends", "drawn", "placed"):
             known[name] = materialize(known[name], name)
