@@ -5,25 +5,36 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import materialize, word_count
 
-#: Bundles of groups that are packed as one, and the parts in which a bundle's rows are numbered.
-BUNDLES, PARTS = 1536, 16
-#: A group of equal texts with more than this share of a shard's bytes is spread over all bundles.
-HOT = 0.125
+#: Bundles into which small groups are hashed; a bundle is packed as one.
+BUNDLES = 1536
+#: A group that makes up more than this share of a shard in bytes, words or rows is packed by itself. At most
+#: 3 * shards / LARGE groups can be that large.
+LARGE = 1 / 32
+#: A group that exceeds a shard is torn into pieces of about this share of one.
+PIECE = 1 / 8
+#: Rows of an item that one task numbers, about.
+NUMBERED = 1_000_000
+#: What a deviation in bytes, words and rows counts, as bytes have to be near equal by the law.
+WEIGHTS = np.array([2.0, 1.0, 1.0])
+
+
+def shares(items: np.ndarray, shards: int) -> np.ndarray:
+    """Amounts (a row of non-negative numbers per item) as shares of a shard's fair part in each dimension."""
+    total = items.sum(axis=0)
+    return items * shards / np.where(total > 0, total, 1)
 
 
 def pack(items: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of each item (a row of non-negative amounts per dimension).
+    """The shard of each item.
 
-    Amounts are measured in shares of a shard's fair part. Large items go first; each goes where the
-    dot product of its amounts with the shard's residual capacity is highest (ties: the lowest shard).
+    Large items go first; each goes where the dot product of its shares with the shard's residual
+    capacity is highest (ties: the lowest shard).
     """
-    total = items.sum(axis=0)
-    share = items * shards / np.where(total > 0, total, 1)
+    share = shares(items, shards)
     left = np.ones((shards, items.shape[1]))
     out = np.zeros(len(items), dtype=int)
     for i in sorted(range(len(items)), key=lambda i: (-share[i].max(), i)):
@@ -32,47 +43,59 @@ def pack(items: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
-def even_out(items: np.ndarray, out: np.ndarray, shards: int, rounds: int = 4000) -> np.ndarray:
-    """Swap items between the shards of most and least bytes, as long as that brings them nearer.
+def even_out(items: np.ndarray, out: np.ndarray, shards: int, rounds: int = 600, enough: float = 1e-3) -> np.ndarray:
+    """Move or swap items as long as that brings loads nearer to the fair part, in all dimensions at once.
 
-    Of all swaps the one that best halves the gap in bytes is made, with the gaps in words and rows
-    counted a tenth.
+    From the shard that is farthest off (by the weighted sum of squares) the best move or swap with any
+    other shard is made; if it has none, the next is tried.
     """
-    total = items.sum(axis=0)
-    share = items * shards / np.where(total > 0, total, 1)
-    load = np.zeros((shards, items.shape[1]))
-    np.add.at(load, out, share)
+    share, out = shares(items, shards), out.copy()
+    if not len(items):
+        return out
+    off = -np.ones((shards, items.shape[1]))
+    np.add.at(off, out, share)
     for _ in range(rounds):
-        high, low = int(load[:, 0].argmax()), int(load[:, 0].argmin())
-        gap = load[high] - load[low]
-        a, b = np.flatnonzero(out == high), np.flatnonzero(out == low)
-        if gap[0] < 1e-4 or not len(a) or not len(b):
+        if np.abs(off).max() < enough:
             break
-        moved = share[a][:, None, :] - share[b][None, :, :]
-        cost = np.abs(moved - gap / 2) @ np.array([1.0, 0.1, 0.1])
-        cost[(moved[:, :, 0] <= 0) | (moved[:, :, 0] >= gap[0])] = np.inf
-        i, j = np.unravel_index(cost.argmin(), cost.shape)
-        if not np.isfinite(cost[i, j]):
+        for p in np.argsort(-(off * off) @ WEIGHTS, kind="stable"):
+            mine, best = np.append(np.flatnonzero(out == p), -1), (1e-12, None)
+            for q in range(shards):
+                if q == p:
+                    continue
+                yours = np.append(np.flatnonzero(out == q), -1)
+                a, b = (np.where(k[:, None] >= 0, share[k], 0) for k in (mine, yours))
+                moved = a[:, None, :] - b[None, :, :]
+                gain = 2 * ((moved * (off[p] - off[q] - moved)) @ WEIGHTS)
+                i, j = np.unravel_index(gain.argmax(), gain.shape)
+                if gain[i, j] > best[0]:
+                    best = gain[i, j], (q, mine[i], yours[j], moved[i, j])
+            if best[1]:
+                q, i, j, moved = best[1]
+                off[p] -= moved
+                off[q] += moved
+                for k, to in ((i, q), (j, p)):
+                    if k >= 0:
+                        out[k] = to
+                break
+        else:
             break
-        load[high] -= moved[i, j]
-        load[low] += moved[i, j]
-        out[a[i]], out[b[j]] = low, high
     return out
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, bundles: int = BUNDLES, parts: int = PARTS) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 24, bundles: int = BUNDLES) -> DataFrame:
     """Deal ``docs(doc_id, text)`` into shards: ``doc_id, size, text_crc32, law, shard, slot, grown_shard, n_words``.
 
-    Rows with equal texts form a group and share a shard, unless the group holds more than ``HOT``
-    of a shard's bytes: then its rows are spread by doc_id, so that one text on a third of all rows
-    balances as well. Groups are hashed to a fixed number of bundles, whose sums of bytes, words
-    and rows (``bundles`` rows, whatever the input's size) are packed by ``pack`` and then evened out. ``slot`` numbers a
-    shard's rows from 0 without gaps, in parts that tasks share. Law: ``bytes`` (near equal sizes;
-    words and rows are balanced with them). A size is the text's UTF-8 bytes plus 8.
+    Rows with equal texts form a group and share a shard, unless the group exceeds a shard in bytes,
+    words or rows: then it is torn into pieces by row, whatever the rows' doc_ids. Groups of over
+    ``LARGE`` of a shard and pieces are packed one by one, the others as bundles into which they are
+    hashed; all by ``pack``, then evened out. So the driver sees sums of ``bundles`` bundles, of at most
+    3 * shards / LARGE groups and of their pieces, whatever the input's size. ``slot`` numbers a
+    shard's rows from 0 without gaps, in parts that tasks share. Law: ``bytes`` (near equal sizes; words
+    and rows are balanced with them). A size is the text's UTF-8 bytes plus 8.
 
-    Null text: no bytes, checksum 0, grouped with empty texts. Rows equal in all columns get slots
-    of their own. Fewer groups than shards leave shards empty. An empty table gives no rows. Other
-    columns are ignored. The texts are read once.
+    Null text: no bytes, checksum 0, grouped with empty texts. Null and repeated doc_ids and rows equal in
+    all columns get slots of their own. Fewer groups than shards leave shards empty. An empty table
+    gives no rows. Other columns are ignored. The texts are read once.
     """
     spark, text = docs.sparkSession, F.coalesce("text", F.lit(""))
     rows = materialize(
@@ -82,27 +105,34 @@ def shard_documents(docs: DataFrame, shards: int = 24, bundles: int = BUNDLES, p
             F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
             word_count(F.col("text")).alias("n_words"),
             F.xxhash64(text).alias("group"),
+            F.monotonically_increasing_id().alias("row"),
         ),
         "rows",
     )
-    total = rows.agg(F.sum("size").alias("n")).first().n or 0
-    hot = rows.groupBy("group").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > HOT * total / shards).select("group", F.lit(True).alias("hot"))
-    # More than shards / HOT groups cannot each hold HOT of a shard's bytes: that bounds what is broadcast.
-    spread = F.when(F.col("hot"), F.xxhash64("group", "doc_id")).otherwise(F.xxhash64("group"))
-    bundled = rows.join(F.broadcast(hot), "group", "left").select(
-        "doc_id", "size", "text_crc32", "n_words", "group", F.pmod(spread, F.lit(bundles)).cast("int").alias("bundle"), F.pmod(F.xxhash64("doc_id", "group"), F.lit(parts)).cast("int").alias("part")
+    sums = [F.sum("size").alias("size"), F.sum("n_words").alias("n_words"), F.count("*").alias("n")]
+    total = rows.agg(*sums).first()
+    part = [F.col(c) * (shards / max(1, total[c] or 0)) for c in ("size", "n_words", "n")]
+    large = rows.groupBy("group").agg(*sums).withColumn("part", F.greatest(*part)).where(F.col("part") > LARGE)
+    large = large.select("group", "part").orderBy("group").limit(int(3 * shards / LARGE) + 1).collect()
+    pieces = [int(np.ceil(r.part / PIECE)) if r.part > 1 else 1 for r in large]
+    begins = np.append(0, np.cumsum(pieces)) + bundles
+    alone = spark.createDataFrame([(r.group, int(b), k) for r, b, k in zip(large, begins, pieces, strict=False)], "group long, begin int, pieces int")
+    item = F.coalesce(F.col("begin") + F.pmod(F.xxhash64("row"), "pieces"), F.pmod(F.xxhash64("group"), F.lit(bundles))).cast("int")
+    most = max(total.n * max((r.part / shards for r in large), default=0), total.n / bundles)
+    parts = max(16, int(most / NUMBERED))
+    placed = rows.join(F.broadcast(alone), "group", "left").select(
+        "doc_id", "size", "text_crc32", "n_words", "row", item.alias("item"), F.pmod(F.xxhash64("row", F.lit(1)), F.lit(parts)).cast("int").alias("part")
     )
-    bundled = materialize(bundled, "bundles")
-    counts = bundled.groupBy("bundle", "part").agg(F.sum("size").alias("size"), F.sum("n_words").alias("n_words"), F.count("*").alias("n"))
-    sums = counts.groupBy("bundle").agg(F.sum("size"), F.sum("n_words"), F.sum("n")).orderBy("bundle").limit(bundles).collect()
-    amounts = np.array([r[1:] for r in sums], dtype=float).reshape(len(sums), 3)
+    placed = materialize(placed, "items")
+    counts = placed.groupBy("item", "part").agg(*sums)
+    found = counts.groupBy("item").agg(F.sum("size"), F.sum("n_words"), F.sum("n")).orderBy("item").collect()
+    amounts = np.array([r[1:] for r in found], dtype=float).reshape(len(found), 3)
     where = even_out(amounts, pack(amounts, shards), shards)
-    schema = T.StructType([T.StructField("bundle", T.IntegerType()), T.StructField("shard", T.IntegerType())])
-    placed = F.broadcast(spark.createDataFrame([(r.bundle, int(k)) for r, k in zip(sums, where, strict=True)], schema))
-    before = Window.partitionBy("shard").orderBy("bundle", "part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.join(placed, "bundle").select("bundle", "part", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    own = Window.partitionBy("bundle", "part").orderBy("doc_id", "group")
-    numbered = bundled.withColumn("nth", F.row_number().over(own) - 1).join(starts, ["bundle", "part"])
+    to = F.broadcast(spark.createDataFrame([(r.item, int(k)) for r, k in zip(found, where, strict=True)], "item int, shard int"))
+    before = Window.partitionBy("shard").orderBy("item", "part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.join(to, "item").select("item", "part", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    nth = F.row_number().over(Window.partitionBy("item", "part").orderBy("doc_id", "row")) - 1
+    numbered = placed.withColumn("nth", nth).join(starts, ["item", "part"])
     return numbered.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("nth")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "n_words"
     )
