@@ -1,10 +1,10 @@
 """Quality rules: robust multivariate outliers per language and source (native: SQL functions only).
 
-The minimum covariance determinant is estimated as the deterministic variant does it, from several
-starts (see ``settle``): concentration steps keep the nearest half of a group and estimate centre and
-covariance from it. A step is one grouped sum of integers, so results don't depend on how rows are
-dealt to tasks. The registered SQL is that of ``robust_distance_steps``, an earlier estimate from one
-start that keeps three quarters for three steps; of it, ``settle`` uses the points, medians and scales.
+The minimum covariance determinant is estimated as the deterministic variant does it (Hubert, Rousseeuw
+and Verdonck, 2012): from several starts, concentration steps keep the nearest half of a group and
+estimate centre and covariance from it, until the determinant falls no further; the least one wins. A
+step is one grouped sum of integers, so results don't depend on how rows are dealt to tasks. The
+statements are written once, for Spark and for the engine that checks them.
 """
 
 from __future__ import annotations
@@ -25,14 +25,16 @@ FEATURES = {
     "x5": "1000 * ln(1e0 + n_dup_lines)",
 }
 X = list(FEATURES)
-#: Added to each variance (a standard deviation of 0.25), so that a statistic that is 0 nearly everywhere has a scale.
-RIDGE = 62500
+#: Added to each variance (a standard deviation of 0.8 in natural logarithms), so that a statistic that is 0
+#: nearly everywhere has a scale, and a difference of that size is nothing unusual in any group.
+RIDGE = 640000
 #: A group needs so many rows for an estimate of its own; smaller ones join their language's rest, then all rests.
 MIN_GROUP = 60
-#: Share kept by a concentration step, their number, and the squared distance beyond which a row is rejected.
-SHARE, STEPS, CUTOFF = 0.75, 3, 150.0
-#: The bound on the steps of ``settle``, and the 97.5 % quantile of chi-square with five degrees of freedom.
-MOST_STEPS, WITHIN = 30, 12.8325
+#: Quantiles of chi-square with five degrees of freedom: half, what the last estimate rests on (97.5 %), and the
+#: cut (99.9 %) beyond which a row is rejected.
+MIDDLE, WITHIN, CUTOFF = 4.351460, 12.832502, 20.515006
+#: The bound on the steps from the best start.
+MOST_STEPS = 16
 
 
 def text_statistics(text: Column) -> Column:
@@ -106,58 +108,117 @@ def _moments(kept: str, source: str) -> str:
     return f"select grp, n, {centre}, {spread} from (select grp, count(*) as n, {sums}, {cross} from {source} where {kept} group by grp) sums"
 
 
-def _distances(rows: str, estimate: str) -> str:
-    """SQL that adds ``d2``, each row's squared Mahalanobis distance, by forward substitution."""
+def _distances(rows: str, estimate: str, carry: str = "", values: list[str] = X) -> str:
+    """SQL of ``carry``, the group, X and ``d2``, the squared Mahalanobis distance of each row's ``values``, by
+    forward substitution."""
     factor, square = _cholesky()
     names = [f"l{i}{j}" for i in range(len(X)) for j in range(i + 1)] + [f"m{i}" for i in range(len(X))]
     inner = f"select r.*, {', '.join('e.' + n for n in names)} from {rows} r join ({factor.replace('{inner}', estimate)}) e on r.grp = e.grp"
     for i in range(len(X)):
-        z = f"({X[i]} - m{i}" + "".join(f" - l{i}{k} * z{k}" for k in range(i)) + f") / l{i}{i} as z{i}"
+        z = f"({values[i]} - m{i}" + "".join(f" - l{i}{k} * z{k}" for k in range(i)) + f") / l{i}{i} as z{i}"
         inner = f"select *, {z} from ({inner}) z{i}q"
-    kept = ", ".join(["doc_id", "grp", *X, f"{square} as d2"])
-    return f"select {kept} from ({inner}) dist"
+    return f"select {carry}grp, {', '.join(X)}, {square} as d2 from ({inner}) dist"
 
 
-def robust_distance_steps(percentile: str) -> list[tuple[str, str]]:
-    """The estimate as (name, SQL) over a table ``stats``, in order; the last is ``distances(doc_id, d2)``.
+#: A step is (name, SQL, whether later steps read it more than once).
+Step = tuple[str, str, bool]
+D = range(len(X))
+MOMENTS = ["grp", "n", *(f"m{i}" for i in D), *(f"s{i}{j}" for i in D for j in range(i, len(X)))]
+LOGDET = " + ".join(f"ln(l{i}{i})" for i in D)
+
+
+def _binned(table: str) -> str:
+    return f"select *, cast(floor(least(d2, 1e5) * 16) as bigint) as bin from {table}"
+
+
+def _concentrate(k: str, rows: str, distances: str, percentile: str) -> list[Step]:
+    return [
+        (f"cuts{k}", f"select grp, {percentile.format(x='bin', p=0.5)} as cut from ({_binned(distances)}) b group by grp", False),
+        (f"near{k}", f"select b.* from ({_binned(distances)}) b join cuts{k} c on b.grp = c.grp where b.bin <= c.cut", False),
+        (f"estimate{k}", _moments("true", f"near{k}"), True),
+        (f"distances{k}", _distances(rows, f"estimate{k}"), False),
+    ]
+
+
+def first_steps(percentile: str) -> list[Step]:
+    """From ``stats(doc_id, lang, source, ...)`` to ``distances0``, by the best of three starts in each group.
 
     ``percentile``: the engine's exact percentile with ``{x}`` and ``{p}``; it sees integers of a
-    bounded range, so its state is bounded too.
+    bounded range, so its state is bounded too. The starts order a group's rows by their norm, by the
+    scatter of hyperbolic tangents and by that of spatial signs, all of values standardised by median
+    and scale, and take two concentration steps each.
     """
     whole = ", ".join(f"cast(round({sql}) as bigint) as {x}" for x, sql in FEATURES.items())
+    kept = ", ".join(X)
+    ys = ", ".join(f"cast(round(1000 * ({x} - m{i}) / sqrt(2.2e0 * w{i} * w{i} + {RIDGE})) as bigint) as y{i}" for i, x in enumerate(X))
+    norm = "sqrt(1e0 + " + " + ".join(f"1e0 * y{i} * y{i}" for i in D) + ")"
+    placed = "stats s join homes h on s.lang is not distinct from h.lang and s.source is not distinct from h.source"
     steps = [
-        ("sizes", "select lang, source, count(*) as n from stats group by lang, source"),
+        ("sizes", "select lang, source, count(*) as n from stats group by lang, source", True),
+        ("rests", f"select lang, sum(n) as rest from sizes where n < {MIN_GROUP} group by lang", False),
         (
             "homes",
-            f"select lang, source, case when n >= {MIN_GROUP} then concat('s', coalesce(lang, ''), chr(31), coalesce(source, ''), chr(31), case when lang is null then '-' else '' end, case when source is null then '-' else '' end)"
-            f" when sum(case when n < {MIN_GROUP} then n else 0 end) over (partition by lang) >= {MIN_GROUP} then concat('l', coalesce(lang, ''), case when lang is null then '-' else '' end) else 'all' end as grp from sizes",
+            f"select s.lang, s.source, case when s.n >= {MIN_GROUP} then concat('s', coalesce(s.lang, ''), chr(31), coalesce(s.source, ''), chr(31), case when s.lang is null then '-' else '' end, case when s.source is null then '-' else '' end)"
+            f" when r.rest >= {MIN_GROUP} then concat('l', coalesce(s.lang, ''), case when s.lang is null then '-' else '' end) else 'all' end as grp from sizes s left join rests r on s.lang is not distinct from r.lang",
+            True,
         ),
-        ("points", f"select s.doc_id, h.grp, {whole} from stats s join homes h on s.lang is not distinct from h.lang and s.source is not distinct from h.source"),
-        ("medians", "select grp, " + ", ".join(f"cast({percentile.format(x=x, p=0.5)} as double) as m{i}" for i, x in enumerate(X)) + " from points group by grp"),
+        ("points", f"select h.grp, {whole} from {placed}", True),
+        ("whole", f"select s.doc_id, h.grp, {whole} from {placed}", False),
+        ("medians", "select grp, " + ", ".join(f"cast({percentile.format(x=x, p=0.5)} as double) as m{i}" for i, x in enumerate(X)) + " from points group by grp", True),
         (
             "scales",
             "select p.grp, " + ", ".join(f"cast({percentile.format(x=f'cast(abs({x} - m{i}) as bigint)', p=0.5)} as double) as w{i}" for i, x in enumerate(X)) + " from points p join medians m on p.grp = m.grp group by p.grp",
+            True,
         ),
-        (
-            "distances0",
-            "select p.*, " + " + ".join(f"({x} - m{i}) * ({x} - m{i}) / (2.2e0 * w{i} * w{i} + {RIDGE})" for i, x in enumerate(X)) + " as d2 from points p join medians m on p.grp = m.grp join scales w on p.grp = w.grp",
-        ),
+        ("narrow", f"select p.grp, {kept}, {ys} from points p join medians m on p.grp = m.grp join scales w on p.grp = w.grp", True),
+        ("ordered0", f"select concat('n', grp) as grp, {kept}, " + " + ".join(f"y{i} * y{i} / 1e6" for i in D) + " as d2 from narrow", False),
     ]
-    for k in range(STEPS):
+    for name, shape in {"t": "1000 * tanh(y{i} / 1e3)", "s": "2000 * y{i} / " + norm}.items():
         steps += [
-            (f"binned{k}", f"select *, cast(floor(least(d2, 1e5) * 16) as bigint) as bin from distances{k}"),
-            (f"cuts{k}", f"select grp, {percentile.format(x='bin', p=SHARE)} as cut from binned{k} group by grp"),
-            (f"near{k}", f"select b.* from binned{k} b join cuts{k} c on b.grp = c.grp where b.bin <= c.cut"),
-            (f"estimate{k}", _moments("true", f"near{k}")),
-            (f"distances{k + 1}", _distances("points", f"estimate{k}")),
+            (f"shape{name}", "select grp, " + ", ".join(f"cast(round({shape.format(i=i)}) as bigint) as {x}" for i, x in enumerate(X)) + " from narrow", False),
+            (f"estimate{name}", _moments("true", f"shape{name}"), True),
+            (f"ordered{name}", f"select concat('{name}', grp) as grp, {kept}, d2 from ({_distances('narrow', f'estimate{name}', values=[f'y{i}' for i in D])}) o", False),
         ]
-    # The kept part of normal data has a smaller covariance; the median of d2 puts the scale right.
-    expected = len(X) * (1 - 2 / (9 * len(X))) ** 3
-    steps += [
-        ("middle", f"select grp, ({percentile.format(x='bin', p=0.5)} + 5e-1) / 16 as half, count(*) as n from (select *, cast(floor(least(d2, 1e5) * 16) as bigint) as bin from distances{STEPS}) b group by grp"),
-        ("distances", f"select d.doc_id, case when m.n < {MIN_GROUP} then 0e0 else d.d2 / greatest(m.half / {expected!r}, 25e-2) end as d2 from distances{STEPS} d join middle m on d.grp = m.grp"),
+    steps.append(("starts", " union all ".join(f"select * from ordered{n}" for n in "0ts"), True))
+    steps += _concentrate("a", "starts", "starts", percentile) + _concentrate("b", "starts", "distancesa", percentile)
+    columns = ", ".join(MOMENTS[1:])
+    factor = _cholesky()[0].replace("{inner}", "estimateb")
+    ranked = f"select *, row_number() over (partition by substr(grp, 2) order by {LOGDET}, grp) as k from ({factor}) f"
+    return [*steps, ("least", f"select substr(grp, 2) as grp, {columns} from ({ranked}) r where k = 1", True), ("distances0", _distances("narrow", "least"), False)]
+
+
+def next_steps(k: int, percentile: str) -> list[Step]:
+    """The k-th concentration step from the best start. Groups whose determinant it lowers (``fell{k}``) take its
+    estimate, the others keep theirs: so further steps change nothing once none fell."""
+    sized = lambda estimate: f"(select grp, {LOGDET} as v from ({_cholesky()[0].replace('{inner}', estimate)}) f)"
+    before = f"estimate{k - 1}" if k > 1 else "least"
+    cuts, near, (_, moments, _), _ = _concentrate(str(k), "narrow", f"distances{k - 1}", percentile)
+    own = ", ".join("x." + c for c in MOMENTS)
+    return [
+        cuts,
+        near,
+        (f"candidate{k}", moments, True),
+        (f"fell{k}", f"select c.grp from {sized(f'candidate{k}')} c join {sized(before)} e on c.grp = e.grp where c.v < e.v - 1e-9", True),
+        (f"estimate{k}", f"select {own} from candidate{k} x join fell{k} f on x.grp = f.grp union all select {own} from {before} x left join fell{k} f on x.grp = f.grp where f.grp is null", True),
+        (f"distances{k}", _distances("narrow", f"estimate{k}"), False),
+    ]
+
+
+def last_steps(k: int, percentile: str) -> list[Step]:
+    """From the k-th step to ``distances(doc_id, d2)``: all rows within the 97.5 % ellipsoid give the estimate.
+
+    A covariance from the nearest half is too small; the median of d2 puts its scale right (the factor
+    of consistency), first over all rows, of which up to half may be junk, then over the good ones.
+    """
+    middle = lambda t: f"select grp, ({percentile.format(x='bin', p=0.5)} + 5e-1) / 16 as half from ({_binned(t)}) b group by grp"
+    return [
+        ("middle0", middle(f"distances{k}"), True),
+        ("good0", f"select d.* from distances{k} d join middle0 m on d.grp = m.grp where d.d2 / greatest(m.half / {MIDDLE}e0, 25e-2) <= {WITHIN}", False),
+        ("estimate", _moments("true", "good0"), True),
+        ("middle", middle(f"({_distances('good0', 'estimate')}) g"), True),
+        ("far", _distances("whole", "estimate", "doc_id, "), False),
+        ("distances", f"select f.doc_id, f.d2 / greatest(m.half / {MIDDLE}e0, 25e-2) as d2 from far f join middle m on f.grp = m.grp", False),
     ]
-    return steps
 
 
 def judge_quality(docs: DataFrame) -> DataFrame:
@@ -166,105 +227,55 @@ def judge_quality(docs: DataFrame) -> DataFrame:
     Returns ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     distance2, kept``. A row is kept unless it fails the base rules (fewer than 50 words, or more
     than half of its words in repeated three-word windows) or its robust squared Mahalanobis distance
-    within its language and source exceeds ``CUTOFF`` (far out: clean texts stay).
+    within its language and source exceeds ``CUTOFF``, which a normal row does once in a thousand.
 
     Texts that fail the base rules take no part in the estimates and have a null distance. Null or
     empty texts have no words and fail. Null languages and sources are groups of their own; groups of
-    under ``MIN_GROUP`` rows are pooled, and where even the pool is smaller nothing is an outlier.
+    under ``MIN_GROUP`` rows share the estimate of their language's small ones, then of all small ones.
     Rows with the same doc_id are judged each by its own text. Other columns are ignored; an empty
     table gives no rows. The texts are read once; all that follows runs on narrow statistics.
     """
     s = docs.select("doc_id", "lang", "source", text_statistics(F.col("text")).alias("s")).select("doc_id", "lang", "source", "s.*")
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    base = materialize(s.withColumn("base_failed", failed), "statistics")
-    return with_verdicts(base)
+    return with_verdicts(materialize(s.withColumn("base_failed", _failed()), "statistics")).drop("lang", "source")
 
 
-def with_verdicts(base: DataFrame) -> DataFrame:
-    """``judge_quality`` from its statistics.
+def drop_low_quality(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``judge_quality`` keeps, all columns kept; each row by its own text. The texts are
+    written once beside their statistics, and not shuffled."""
+    names = [f"`{c}`" for c in docs.columns]
+    rows = docs.select("lang", "source", text_statistics(F.col("text")).alias("s"), F.struct(*names).alias("doc_id"))
+    base = rows.select("lang", "source", "s.*", "doc_id").withColumn("base_failed", _failed())
+    return with_verdicts(materialize(base, "statistics")).where("kept").select("doc_id.*").select(names)
 
-    What several steps reread (the points, and a row per group for each estimate) is written as a
-    table, so that a step's plan doesn't hold those before it.
-    """
-    spark = base.sparkSession
-    known = {"stats": base.where("not base_failed").withColumn("doc_id", F.struct(*base.columns))}
 
-    def put(name: str, sql: str, keep: bool = False) -> None:
-        known[name] = spark.sql(_named(sql, known), **{k: v for k, v in known.items() if _named(sql, [k]) != sql})
-        if keep:
-            known[name] = materialize(known[name], name)
-
-    percentile = "percentile({x}, {p})"
-    for name, sql in robust_distance_steps(percentile):
-        if name == "distances0":
-            break
-        put(name, sql, name in ("points", "medians", "scales"))
-    settle(put, known, percentile)
-    far = known["distances"].select("doc_id.*", F.round("d2", 6).alias("distance2"))
-    out = far.union(base.where("base_failed").withColumn("distance2", F.lit(None).cast("double")))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= CUTOFF)).drop("lang", "source")
+def _failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def settle(put, known: dict[str, DataFrame], percentile: str) -> None:
-    """The determinant's minimum from ``points``, ``medians`` and ``scales``; the last table is ``distances``.
+def with_verdicts(base: DataFrame) -> DataFrame:
+    """``base`` with ``distance2`` and ``kept``, from its statistics.
 
-    Three orders of a group's rows (by norm, by the scatter of hyperbolic tangents and by that of
-    spatial signs, all of values standardised by median and scale) each keep the nearest half for two
-    concentration steps. Of each group the start of least determinant goes on until no group's
-    determinant falls. Then all rows within the 97.5 % ellipsoid give the estimate. So up to half of
-    a group may be junk. Every step is a grouped sum of integers.
+    What several steps reread (the points, and a row per group for each estimate) is written as a
+    table, so that a step's plan doesn't hold those before it. Steps go on until no determinant falls.
     """
-    kept, d = ", ".join(X), len(X)
-    binned = lambda t: f"select *, cast(floor(least(d2, 1e5) * 16) as bigint) as bin from {t}"
-    logdet = " + ".join(f"ln(l{i}{i})" for i in range(d))
+    spark, percentile = base.sparkSession, "percentile({x}, {p})"
+    known = {"stats": base.where("not base_failed").withColumn("doc_id", F.struct(*base.columns))}
 
-    def concentrate(k: str, rows: str, distances: str) -> None:
-        put(f"binned{k}", binned(distances))
-        put(f"cuts{k}", f"select grp, {percentile.format(x='bin', p=0.5)} as cut from binned{k} group by grp")
-        put(f"near{k}", f"select b.* from binned{k} b join cuts{k} c on b.grp = c.grp where b.bin <= c.cut")
-        put(f"estimate{k}", _moments("true", f"near{k}"), True)
-        put(f"distances{k}", _distances(rows, f"estimate{k}"))
+    def take(steps: list[Step]) -> None:
+        for name, sql, keep in steps:
+            known[name] = spark.sql(_named(sql, known), **{k: v for k, v in known.items() if _named(sql, [k]) != sql})
+            if keep:
+                known[name] = materialize(known[name], name)
 
-    ys = ", ".join(f"cast(round(1000 * ({x} - m{i}) / sqrt(2.2e0 * w{i} * w{i} + {RIDGE})) as bigint) as y{i}" for i, x in enumerate(X))
-    put("narrow", f"select 0 as doc_id, p.grp, {kept}, {ys} from points p join medians m on p.grp = m.grp join scales w on p.grp = w.grp", True)
-    norm = "sqrt(1e0 + " + " + ".join(f"1e0 * y{i} * y{i}" for i in range(d)) + ")"
-    shapes = {
-        "t": "1000 * tanh(y{i} / 1e3)",
-        "s": "2000 * y{i} / " + norm,
-    }
-    put("ordered0", f"select 0 as doc_id, concat('n', grp) as grp, {kept}, " + " + ".join(f"y{i} * y{i} / 1e6" for i in range(d)) + " as d2 from narrow")
-    for name, shape in shapes.items():
-        put(f"shape{name}", "select grp, " + ", ".join(f"cast(round({shape.format(i=i)}) as bigint) as {x}" for i, x in enumerate(X)) + " from narrow")
-        put(f"estimate{name}", _moments("true", f"shape{name}"), True)
-        # The rows' own values stay beside the standardised ones, by which they are put in order.
-        put(f"standard{name}", "select struct(" + kept + ") as doc_id, grp, " + ", ".join(f"y{i} as {x}" for i, x in enumerate(X)) + " from narrow")
-        put(f"found{name}", _distances(f"standard{name}", f"estimate{name}"))
-        put(f"ordered{name}", f"select 0 as doc_id, concat('{name}', grp) as grp, " + ", ".join(f"doc_id.{x} as {x}" for x in X) + f", d2 from found{name}")
-    put("starts", " union all ".join(f"select * from ordered{n}" for n in "0ts"), True)
-    concentrate("a", "starts", "starts")
-    concentrate("b", "starts", "distancesa")
-    factor = _cholesky()[0]
-    columns = ", ".join(["n", *(f"m{i}" for i in range(d)), *(f"s{i}{j}" for i in range(d) for j in range(i, d))])
-    put("least", f"select substr(grp, 2) as grp, {columns} from (select *, row_number() over (partition by substr(grp, 2) order by {logdet}, grp) as k from ({factor.replace('{inner}', 'estimateb')}) f) r where k = 1", True)
-    put("distances0", _distances("narrow", "least"))
-    before = None
+    take(first_steps(percentile))
     for k in range(1, MOST_STEPS + 1):
-        concentrate(str(k), "narrow", f"distances{k - 1}")
-        put(f"size{k}", f"select grp, {logdet} as v from ({factor.replace('{inner}', f'estimate{k}')}) f", True)
-        if before and known[f"size{k}"].join(before.withColumnRenamed("v", "was"), "grp").where("v < was - 1e-9").isEmpty():
+        take(next_steps(k, percentile))
+        if known[f"fell{k}"].isEmpty():
             break
-        before = known[f"size{k}"]
-    # The median of d2 puts the scale right, here of rows of which up to half may be junk, then of the good ones alone.
-    expected = d * (1 - 2 / (9 * d)) ** 3
-    middle = lambda t: f"select grp, ({percentile.format(x='bin', p=0.5)} + 5e-1) / 16 as half from ({binned(t)}) b group by grp"
-    put("middle0", middle(f"distances{k}"), True)
-    put("good0", f"select d.* from distances{k} d join middle0 m on d.grp = m.grp where d.d2 / greatest(m.half / {expected!r}, 25e-2) <= {WITHIN}")
-    put("estimate", _moments("true", "good0"), True)
-    put("far", _distances("points", "estimate"))
-    put("good", f"select * from ({_distances('good0', 'estimate')}) g")
-    put("middle", middle("good"), True)
-    put("counts", "select grp, count(*) as n from points group by grp", True)
-    put("distances", f"select f.doc_id, case when c.n < {MIN_GROUP} then 0e0 else f.d2 / greatest(m.half / {expected!r}, 25e-2) end as d2 from far f join middle m on f.grp = m.grp join counts c on f.grp = c.grp")
+    take(last_steps(k, percentile))
+    far = known["distances"].select("doc_id.*", F.round("d2", 6).alias("distance2"))
+    out = far.union(base.where("base_failed").withColumn("distance2", F.lit(None).cast("double")))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= CUTOFF))
 
 
 def _named(sql: str, names) -> str:
