@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,8 +23,11 @@ CHUNK = 1 << 16
 MAX_STATES = 200_000
 #: Words whose counts a worker remembers.
 MAX_WORDS = 300_000
-#: Between these two characters every reading of the text has a boundary, whatever came before.
-SEAM = re.compile(rf"(?<=[^{WHITE_SPACE}])(?=[{WHITE_SPACE}])")
+#: Between these two characters every reading of the text has a boundary, whatever came before and after: before
+#: white space, and where letters, numbers and other characters meet (but for an apostrophe's contractions).
+SEAM = regex.compile(
+    rf"(?<=[^{WHITE_SPACE}])(?=[{WHITE_SPACE}])|(?<=\p{{L}})(?=[^\p{{L}}'{WHITE_SPACE}])|(?<=\p{{N}})(?=[^\p{{N}}'{WHITE_SPACE}])|(?<=[^\p{{L}}\p{{N}}'{WHITE_SPACE}])(?=[\p{{L}}\p{{N}}])"
+)
 
 
 def _byte_letters() -> dict[str, int]:
@@ -56,7 +60,7 @@ class CountTransducer:
         self.child: dict[int, int] = {}
         self.ending: list[bytes | None] = [None]
         self.inner: list[bool] = [True]
-        for token in self.tokens:
+        for token in sorted(self.tokens):
             node = 0
             for b in token:
                 self.inner[node] = True
@@ -163,6 +167,32 @@ def transducer(path: str) -> CountTransducer:
     return CountTransducer(path)
 
 
+def _counted(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = transducer(path)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["n_bytes"], pa.array(machine.count_texts(batch["text"]))], ["doc_id", "n_bytes", "n"])
+
+    return run
+
+
+def _cut(chunk: int):
+    """Texts to pieces of ``chunk`` characters, in one pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for doc_id, n, text in zip(*(batch[c] for c in ("doc_id", "n_bytes", "text")), strict=True):
+                text, row = text.as_py(), row + 1
+                of = -(-len(text) // chunk)
+                for no in range(of):
+                    made = [row, doc_id.as_py(), n.as_py() if no == 0 else 0, no, of, text[no * chunk : (no + 1) * chunk]]
+                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
+                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(made, kinds, strict=True)], ["row", "doc_id", "n_bytes", "chunk", "chunks", "piece"])
+
+    return run
+
+
 def _summaries(path: str):
     """Chunks to summaries: the count between the outermost seams, and what lies outside them."""
 
@@ -170,28 +200,36 @@ def _summaries(path: str):
         machine = transducer(path)
         for batch in batches:
             inner, heads, tails, cuts = [], [], [], []
-            for no, of, text in zip(batch["chunk"].to_pylist(), batch["chunks"].to_pylist(), batch["piece"], strict=True):
-                if of == 1:
-                    inner.append(text)
-                    heads.append(None), tails.append(None), cuts.append(True)
-                    continue
-                text = text.as_py()
-                seams = [m.start() for m in SEAM.finditer(text)] if no or no < of - 1 else []
-                if not seams:
-                    inner.append(pa.scalar("", pa.string()))
+            for no, of, text in zip(batch["chunk"].to_pylist(), batch["chunks"].to_pylist(), batch["piece"].to_pylist(), strict=True):
+                first, last = _outer_seams(text)
+                if first is None:
+                    inner.append("")
                     heads.append(text), tails.append(None), cuts.append(False)
                     continue
-                head, tail = seams[0] if no else 0, seams[-1] if no < of - 1 else len(text)
-                inner.append(pa.scalar(text[head:tail], pa.string()))
+                head, tail = first if no else 0, last if no < of - 1 else len(text)
+                inner.append(text[head:tail])
                 heads.append(text[:head]), tails.append(text[tail:]), cuts.append(True)
-            texts = pa.array(inner, pa.string()) if any(c is not None for c in heads) else batch["piece"]
-            kept = [batch[c] for c in ("row", "doc_id", "chunk", "chunks", "n_bytes")]
-            made = [pa.array(machine.count_texts(texts)), pa.array(heads, pa.string()), pa.array(tails, pa.string()), pa.array(cuts, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(kept + made, ["row", "doc_id", "chunk", "chunks", "n_bytes", "n", "head", "tail", "cut"])
+            kept = [batch[c] for c in ("row", "doc_id", "n_bytes", "chunk")]
+            made = [pa.array(machine.count_texts(pa.array(inner, pa.string()))), pa.array(heads, pa.string()), pa.array(tails, pa.string()), pa.array(cuts, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(kept + made, ["row", "doc_id", "n_bytes", "chunk", "n", "head", "tail", "cut"])
 
     return run
 
 
+def _outer_seams(text: str) -> tuple[int | None, int | None]:
+    """Where the first and the last seam lie; both None without one. The last is sought in ever longer ends."""
+    first = SEAM.search(text)
+    if first is None:
+        return None, None
+    size = 256
+    while size < len(text):
+        found = [m.start() for m in SEAM.finditer(text, len(text) - size)]
+        if found:
+            return first.start(), found[-1]
+        size *= 4
+    return first.start(), [m.start() for m in SEAM.finditer(text)][-1]
+
+
 def _joined(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(path)
@@ -204,34 +242,32 @@ def _joined(path: str):
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024, chunk: int = CHUNK) -> DataFrame:
     """Tokens of every text of ``docs(doc_id, text)``: ``doc_id, n_bytes, n_tokens, over_limit``.
 
-    ``path``: a byte-level BPE file of the tokenizers library, on every node. A text is a sequence of
-    chunks. A chunk's state map sends whatever state it is entered in through its head, up to the
+    ``path``: a byte-level BPE file of the tokenizers library, on every node. Texts of up to ``chunk``
+    characters are counted where they are read. A longer one is a sequence of chunks, dealt to all
+    tasks. A chunk's state map sends whatever state it is entered in through its head, up to the
     first seam, and from there all states agree: so the map is the head, the count up to the last
     seam, and the tail. Maps compose by joining a tail to the next head, which is associative: a
     running count of seams per text says which pieces belong together, however many chunks one
-    without seams spans. Only texts of several chunks are shuffled, and of them only heads and tails.
+    without seams spans (a single run of letters, of digits, of other characters or of white space). What
+    is joined runs once through the transducer, in time linear in its length.
 
     The special token's string counts as one token, as the library has it by default. Null or empty
     texts have no bytes and no tokens. Rows with equal doc_id are counted each. An empty table gives
     no rows. Other columns are ignored.
     """
     text = F.coalesce("text", F.lit(""))
-    cut = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), text.alias("text"), F.greatest(F.ceil(F.length(text) / chunk), F.lit(1)).cast("int").alias("chunks"))
-    pieces = cut.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-        "row", "doc_id", "chunk", "chunks", F.when(F.col("chunks") == 1, F.col("text")).otherwise(F.substring("text", F.col("chunk") * chunk + 1, F.lit(chunk))).alias("piece")
-    )
-    pieces = pieces.withColumn("n_bytes", F.octet_length("piece").cast("long"))
-    schema = "row long, doc_id long, chunk int, chunks int, n_bytes long, n long, head string, tail string, cut boolean"
-    maps = materialize(pieces.mapInArrow(_summaries(path), schema), "summaries")
-    many = maps.where("chunks > 1")
-    passed = F.sum(F.col("cut").cast("int")).over(Window.partitionBy("row").orderBy("chunk"))
-    seen = many.withColumn("seams", passed)
+    rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
+    short = rows.where(F.length("text") <= chunk).mapInArrow(_counted(path), "doc_id long, n_bytes long, n long")
+    pieces = rows.where(F.length("text") > chunk).mapInArrow(_cut(chunk), "row long, doc_id long, n_bytes long, chunk int, chunks int, piece string")
+    schema = "row long, doc_id long, n_bytes long, chunk int, n long, head string, tail string, cut boolean"
+    maps = materialize(pieces.repartition("row", "chunk").mapInArrow(_summaries(path), schema), "summaries")
+    seen = maps.withColumn("seams", F.sum(F.col("cut").cast("int")).over(Window.partitionBy("row").orderBy("chunk")))
     ends = seen.select("row", (F.col("seams") - F.col("cut").cast("int")).alias("stretch"), "chunk", F.lit(1).alias("end"), F.col("head").alias("piece")).union(
         seen.where("cut").select("row", "seams", "chunk", F.lit(2), "tail")
     )
     whole = ends.groupBy("row", "stretch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "end", "piece"))), lambda x: x["piece"]), "").alias("piece"))
     extra = whole.select("row", "piece").mapInArrow(_joined(path), "row long, n long")
-    sums = many.select("row", "doc_id", "n_bytes", "n").union(extra.select("row", F.lit(None).cast("long"), F.lit(0).cast("long"), "n"))
+    sums = maps.select("row", "doc_id", "n_bytes", "n").union(extra.select("row", F.lit(None).cast("long"), F.lit(0).cast("long"), "n"))
     long = sums.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n_bytes").alias("n_bytes"), F.sum("n").alias("n"))
-    out = maps.where("chunks = 1").select("doc_id", "n_bytes", "n").union(long.select("doc_id", "n_bytes", "n"))
+    out = short.union(long.select("doc_id", "n_bytes", "n"))
     return out.select("doc_id", "n_bytes", F.col("n").alias("n_tokens"), (F.col("n") > limit).alias("over_limit"))
