@@ -9,40 +9,42 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from curatrix.llm.bpe_codec import encode_documents
-from curatrix.llm.common import materialize, table
+from curatrix.llm.common import materialize, release, table
 from curatrix.llm.mixing import repeat_by_mix
 from curatrix.llm.near_dedup import drop_near_duplicates
-from curatrix.llm.quality_rules import judge_quality
-from curatrix.llm.toxicity import score_toxicity
-
-
-def _only(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows whose doc_id has a kept verdict; rows that share a doc_id stay if one of them does."""
-    kept = verdicts.select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
+from curatrix.llm.quality_rules import drop_low_quality
+from curatrix.llm.toxicity import drop_toxic
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, judge_quality(docs).where("kept"))
+    """The rows that pass the quality rules, each judged by its own text. Null, empty and short texts go; rows that
+    share a doc_id, equal rows and rows without lang or source are judged each. No rows give no rows."""
+    return drop_low_quality(docs)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, score_toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 0"))
+    """The rows that don't score as toxic, each scored by its own text. Without usable labels, and for null and
+    empty texts, the base rate decides. No rows give no rows."""
+    return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies, that of the least doc_id, and one of rows equal in all columns. Null,
+    empty and wordless texts have no copies. No rows give no rows."""
     return drop_near_duplicates(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as the mix takes its document; rows without words go. A null source is a source; rows
+    that share a doc_id are repeated alike. No rows give no rows."""
     return repeat_by_mix(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), digest=True)
+    """``doc_id, n_tokens, ids`` of every row; null and empty texts have no ids. No rows give no rows."""
+    return encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
 STAGES = [("quality rules", quality), ("toxicity", toxicity), ("near-dedup", near_dedup), ("mixing", mixing), ("encoding", encoding)]
@@ -52,7 +54,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages. What a stage has written besides its result is deleted once its result is."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with release(spark) as keep:
+            docs = keep(materialize(stage(spark, docs, sf_dir), name.replace(" ", "-")))
     return STAGES[-1][1](spark, docs, sf_dir)
