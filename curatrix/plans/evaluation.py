@@ -408,7 +408,12 @@ def best_variant(spark, d):
 
 # ---- lineage ------------------------------------------------------------------------------------
 
-LINEAGE = "ln as (select event_type as dataset, cast(row_number() over (partition by event_type order by ts, event_id) - 1 as int) as version, event_id, value, ts from events where user_id % 20 = 0), lin as (select dataset, version, case when version > 0 then version - 1 - (version - 1) % 2 end as parent_version, case when version % 4 = 0 then 'full' else 'incremental' end as type, sha256(cast(event_id as varchar)) as model_hash, value as held_out_auc, ts from ln)"
+def _lineage_sql(dataset: str) -> str:
+    """``lin``: all events as rounds, as ``_lineage`` makes them."""
+    return f"ln as (select {dataset} as dataset, cast(row_number() over (partition by {dataset} order by ts, event_id) - 1 as int) as version, event_id, value, ts from events), lin as (select dataset, version, case when version > 0 then version - 1 - (version - 1) % 2 end as parent_version, case when version % 4 = 0 then 'full' else 'incremental' end as type, sha256(cast(event_id as varchar)) as model_hash, value as held_out_auc, ts from ln)"
+
+
+LINEAGE, BY_USER = _lineage_sql("event_type"), _lineage_sql("concat_ws('-', event_type, cast(user_id as varchar))")
 
 
 def _lineage(spark, d, *dataset):
@@ -429,7 +434,7 @@ def _lineage(spark, d, *dataset):
     return rows.select("dataset", "version", parent.alias("parent_version"), kind.alias("type"), F.sha2(F.col("event_id").cast("string"), 256).alias("model_hash"), F.col("value").alias("held_out_auc"), "ts")
 
 
-@query("with recursive " + LINEAGE + ", w(dataset, version, ancestor, depth) as (select dataset, version, parent_version, 1 from lin where parent_version is not null union all select w.dataset, w.version, l.parent_version, w.depth + 1 from w join lin l on w.dataset = l.dataset and w.ancestor = l.version where l.parent_version is not null) select dataset, version, ancestor, depth from w where version < 60")
+@query("with recursive " + BY_USER + ", w(dataset, version, ancestor, depth) as (select dataset, version, parent_version, 1 from lin where parent_version is not null union all select w.dataset, w.version, l.parent_version, w.depth + 1 from w join lin l on w.dataset = l.dataset and w.ancestor = l.version where l.parent_version is not null) select dataset, version, ancestor, depth from w")
 def lineage_ancestry(spark, d):
     # A version has as many rows as ancestors, so a user's events of a type are a dataset: all take part and chains are short.
     return R.ancestry(_lineage(spark, d, "event_type", "user_id"))
