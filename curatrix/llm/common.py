@@ -29,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     return folder or tempfile.gettempdir() + "/checkpoints"
 
 
+#: After so many tables the driver collects its garbage, as loops of many small steps leave much behind.
+TIDY = 6
 #: The tables written so far, in order.
 _WRITTEN: list[str] = []
 
@@ -42,6 +44,9 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/curatrix/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append(path)
+    if len(_WRITTEN) % TIDY == 0:
+        # Spark deletes shuffle files and broadcasts of what is done only when the driver's garbage is collected.
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

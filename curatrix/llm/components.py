@@ -21,27 +21,32 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _apart(edges: DataFrame) -> bool:
+    """Whether edges (u above v) are stars around their least nodes: no node has two above it, or is both."""
+    several = edges.groupBy("u").agg(F.min("v").alias("v"), F.max("v").alias("w")).where("v <> w").select("u")
+    both = edges.select(F.col("v").alias("u")).join(edges.select("u"), "u", "left_semi")
+    return several.union(both).isEmpty()
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """Return ``(node, component)`` for every node of ``edges``; the component is its least node.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014): each node links to the least
     node it knows until only stars are left. A round is two grouped minima, combined before the
     shuffle, joined back to the edges; a hub's edges are an ordinary skewed join that Spark may split.
-    Nothing but a count and a checksum comes to the driver, and each round's edges are a table in the
-    shared folder. Null ends and self links give no edge; a node with self links alone is its own
+    Nothing but a yes or no comes to the driver, and each round's edges are a table in the shared
+    folder. Null ends and self links give no edge; a node with self links alone is its own
     component. Repeated edges count once. No edges give no rows.
     """
-    ends = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
-    ends = materialize(ends.distinct(), "edges")
-    now, seen = ends.where("u <> v"), None
+    ends = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
+    ends = materialize(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    now = ends.where("u <> v")
     for _ in range(max_rounds):
-        mark = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        if mark.n == 0 or (mark.n, mark.x) == seen:
+        if _apart(now):
             break
-        seen = (mark.n, mark.x)
         now = materialize(_small_star(_large_star(now)), "stars")
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    nodes = ends.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.join(stars, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    alone = ends.where("u = v").select(F.col("u").alias("node"), F.col("v").alias("component"))
+    told = now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v")).union(alone)
+    return told.groupBy("node").agg(F.min("component").alias("component"))

@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import examples, remainder
-from .pretokens import slices
+from .pretokens import class_table, slices
 
-#: Kinds of characters; a text's terms are triples of the kinds of successive runs, and facts of its form.
+#: Kinds of characters; a text's terms are its words, folded to WORDS by a hash, the triples of kinds of
+#: successive runs of characters, and facts of its form.
 KINDS = ("lower", "upper", "digit", "space", "newline", ".", ",", "!?", "|", "#$%&*", "'\"", "()[]{}", "/:;@-_", "<>=+~^`\\", "white", "other")
 N = len(KINDS)
-FACTS = 48
-WIDTH = N**3 + FACTS
+FACTS, WORDS = 48, 2048
+WIDTH = N**3 + FACTS + WORDS
 
 
 @dataclass(frozen=True)
@@ -25,7 +26,7 @@ class Settings:
     """``most`` bounds the labelled rows that are learned from; ``rank`` is that of the latent space;
     ``near`` neighbours vote by the similarity to the power ``sharp``; ``doubt`` weighs the base rate."""
 
-    most: int = 8192
+    most: int = 6144
     rank: int = 48
     near: int = 25
     sharp: int = 8
@@ -33,18 +34,38 @@ class Settings:
     seed: int = 5
 
 
-def _kinds() -> np.ndarray:
-    table = np.full(0x110000, N - 1, np.uint8)
+def _kinds() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By code point: its kind and its lower-case form; and odd multipliers for places in a word."""
+    table = np.array([0, 2, N - 1, 3, 14], np.uint8)[class_table()]  # letters, numbers, others, blank, white space
+    lower = np.arange(len(table), dtype=np.uint32)
     for c in range(0x3000):
         ch = chr(c)
-        table[c] = 1 if ch.isupper() else 0 if ch.isalpha() else 2 if ch.isdigit() else 14 if ch.isspace() else N - 1
+        if ch.isupper():
+            table[c] = 1
+        if len(ch.lower()) == 1:
+            lower[c] = ord(ch.lower())
     for k, name in enumerate(KINDS[5:14], 5):
         table[[ord(c) for c in name]] = k
-    table[ord(" ")], table[ord("\n")] = 3, 4
-    return table
+    table[ord("\n")] = 4
+    return table, lower, np.random.default_rng(3).integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-_TABLE: list[np.ndarray] = []
+_TABLE: list[tuple] = []
+
+
+def _hashed_words(code: np.ndarray, kind: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per word, a run of letters whatever their case: its text and its hash below WORDS."""
+    _, lower, factors = _TABLE[0]
+    letter = kind < 2
+    begins = letter & np.append(True, ~letter[:-1] | (owner[1:] != owner[:-1]))
+    at = np.flatnonzero(letter)
+    if not len(at):
+        return at, at
+    starts = np.searchsorted(at, np.flatnonzero(begins))
+    place = np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))
+    h = np.add.reduceat(lower[code[at]].astype(np.uint64) * factors[place % 64], starts)
+    h = (h ^ (h >> np.uint64(29))) * factors[0]
+    return owner[at[starts]], (h >> np.uint64(53)).astype(np.int64) % WORDS
 
 
 def features(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -56,7 +77,7 @@ def features(texts: pa.Array) -> Iterator[np.ndarray]:
         code = np.frombuffer(data.decode("utf-8").encode("utf-32-le"), np.uint32)
         lead = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
         cuts = np.searchsorted(lead, offsets)
-        kind = _TABLE[0][code].astype(np.int32)
+        kind = _TABLE[0][0][code].astype(np.int32)
         owner = np.repeat(np.arange(n), np.diff(cuts))
         out = np.zeros((n, WIDTH), np.float32)
         if len(code):
@@ -65,7 +86,9 @@ def features(texts: pa.Array) -> Iterator[np.ndarray]:
             if len(runs) > 2:
                 same = own[2:] == own[:-2]
                 triple = (runs[:-2] * N + runs[1:-1]) * N + runs[2:]
-                out += np.bincount((own[2:] * np.int64(WIDTH) + triple)[same], minlength=n * WIDTH).reshape(n, WIDTH)
+                whose, word = _hashed_words(code, kind, owner)
+                found = np.append((own[2:] * np.int64(WIDTH) + triple)[same], whose * np.int64(WIDTH) + N**3 + FACTS + word)
+                out += np.bincount(found, minlength=n * WIDTH).reshape(n, WIDTH)
             of_kind = np.bincount(owner * np.int64(N) + kind, minlength=n * N).reshape(n, N)
             words = np.bincount(own, weights=(runs == 0) | (runs == 1), minlength=n)
         else:
@@ -88,7 +111,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = [np.flatnonzero(r) for r in rows]
         at = pa.array([i.astype("<u2").tobytes() for i in some], pa.binary())
         weights = pa.array([r[i].astype("<f4").tobytes() for r, i in zip(rows, some, strict=True)], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch["label"], at, weights], ["label", "at", "weights"])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["label"], at, weights], ["doc_id", "label", "at", "weights"])
 
 
 class LatentSpace:
@@ -115,6 +138,18 @@ class LatentSpace:
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
 
 
+def votes(alike: np.ndarray, y: np.ndarray, s: Settings) -> np.ndarray:
+    """The mean label of each row's ``near`` highest cosines to six places (ties: the first examples), weighted by
+    their power ``sharp``, with the base rate at ``doubt``."""
+    n = alike.shape[1]
+    k = min(s.near, n)
+    places = np.rint(alike.astype(np.float64) * 1e6).astype(np.int64)
+    order = places * n + np.arange(n - 1, -1, -1)  # no two are equal
+    top = np.argpartition(order, n - k, axis=1)[:, n - k :]
+    w = np.maximum(np.take_along_axis(places, top, axis=1) / 1e6, 0) ** s.sharp
+    return ((w * y[top]).sum(axis=1) + s.doubt * float(y.mean())) / (w.sum(axis=1) + s.doubt)
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, cut: float = 0.7, s: Settings = Settings()) -> DataFrame:
     """Score every whole text of ``docs(doc_id, text)`` by ``labels(doc_id, quality)`` outside the held-out part.
 
@@ -124,18 +159,17 @@ def score_quality(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: in
     texts, no shuffle of them.
 
     Null and empty texts have only the facts of their form and score by them. Without labels to learn
-    from every score is 0.5. Ties among neighbours fall as the product orders them. Rows with equal
+    from every score is 0.5. Of neighbours equally near to six places the first examples count. Rows with equal
     doc_id have each their row. An empty table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
     sample = examples(labels, "quality", modulus, held, s.most)
-    known = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label").mapInArrow(_packed, "label int, at binary, weights binary").limit(2 * s.most).toArrow()
+    labelled = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    known = labelled.mapInArrow(_packed, "doc_id long, label int, at binary, weights binary").toArrow().sort_by("doc_id")
     x = np.zeros((known.num_rows, WIDTH), np.float32)
     for i, (at, w) in enumerate(zip(known["at"].to_pylist(), known["weights"].to_pylist(), strict=True)):
         x[i, np.frombuffer(at, "<u2")] = np.frombuffer(w, "<f4")
     y = np.array(known["label"].to_pylist(), np.float32)
-    order = np.lexsort((y, x.sum(axis=1)))
-    x, y = x[order], y[order]
     space = LatentSpace(x, s) if len(x) else None
     sent = spark.sparkContext.broadcast((space, space.place(x) if space else None, y))
 
@@ -145,11 +179,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: in
             out = []
             for part in features(batch["text"]) if space else ():
                 for lo in range(0, len(part), 512):
-                    alike = space.place(part[lo : lo + 512]) @ near.T
-                    k = min(s.near, alike.shape[1])
-                    top = np.argpartition(alike, -k, axis=1)[:, -k:]
-                    w = np.maximum(np.take_along_axis(alike, top, axis=1), 0).astype(float) ** s.sharp
-                    out.append(((w * y[top]).sum(axis=1) + s.doubt * float(y.mean())) / (w.sum(axis=1) + s.doubt))
+                    out.append(votes(space.place(part[lo : lo + 512]) @ near.T, y, s))
             scores = np.clip(np.concatenate(out), 0, 1) if out else np.full(len(batch), 0.5)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(scores, pa.float64())], ["doc_id", "score"])
 

@@ -2,7 +2,7 @@
 
 The minimum covariance determinant is estimated as the deterministic variant does it (Hubert, Rousseeuw
 and Verdonck, 2012): from several starts, concentration steps keep the nearest half of a group and
-estimate centre and covariance from it, until the determinant falls no further; the least one wins. A
+estimate centre and covariance from it, until the determinant falls no further (by a hundredth); the least one wins. A
 step is one grouped sum of integers, so results don't depend on how rows are dealt to tasks. The
 statements are written once, for Spark and for the engine that checks them.
 """
@@ -173,13 +173,15 @@ def first_steps(percentile: str) -> list[Step]:
         ("narrow", f"select p.grp, {kept}, {ys} from points p join medians m on p.grp = m.grp join scales w on p.grp = w.grp", True),
         ("ordered0", f"select concat('n', grp) as grp, {kept}, " + " + ".join(f"y{i} * y{i} / 1e6" for i in D) + " as d2 from narrow", False),
     ]
-    for name, shape in {"t": "1000 * tanh(y{i} / 1e3)", "s": "2000 * y{i} / " + norm}.items():
-        steps += [
-            (f"shape{name}", "select grp, " + ", ".join(f"cast(round({shape.format(i=i)}) as bigint) as {x}" for i, x in enumerate(X)) + " from narrow", False),
-            (f"estimate{name}", _moments("true", f"shape{name}"), True),
-            (f"ordered{name}", f"select concat('{name}', grp) as grp, {kept}, d2 from ({_distances('narrow', f'estimate{name}', values=[f'y{i}' for i in D])}) o", False),
-        ]
-    steps.append(("starts", " union all ".join(f"select * from ordered{n}" for n in "0ts"), True))
+    shapes = {"t": "1000 * tanh(y{i} / 1e3)", "s": "2000 * y{i} / " + norm}
+    each = " union all ".join(f"select concat('{n}', grp) as grp, " + ", ".join(f"cast(round({shape.format(i=i)}) as bigint) as {x}" for i, x in enumerate(X)) + " from narrow" for n, shape in shapes.items())
+    both = " union all ".join(f"select concat('{n}', grp) as grp, {kept}, {', '.join(f'y{i}' for i in D)} from narrow" for n in shapes)
+    steps += [
+        ("shapes", each, False),
+        ("scatter", _moments("true", "shapes"), True),
+        ("shaped", both, False),
+        ("starts", f"select * from ordered0 union all {_distances('shaped', 'scatter', values=[f'y{i}' for i in D])}", True),
+    ]
     steps += _concentrate("a", "starts", "starts", percentile) + _concentrate("b", "starts", "distancesa", percentile)
     columns = ", ".join(MOMENTS[1:])
     factor = _cholesky()[0].replace("{inner}", "estimateb")
@@ -188,18 +190,18 @@ def first_steps(percentile: str) -> list[Step]:
 
 
 def next_steps(k: int, percentile: str) -> list[Step]:
-    """The k-th concentration step from the best start. Groups whose determinant it lowers (``fell{k}``) take its
-    estimate, the others keep theirs: so further steps change nothing once none fell."""
-    sized = lambda estimate: f"(select grp, {LOGDET} as v from ({_cholesky()[0].replace('{inner}', estimate)}) f)"
+    """The k-th concentration step from the best start. Groups whose determinant it lowers by a hundredth at
+    least (``fell`` in ``estimate{k}``) take its estimate, the others keep theirs: so further steps change
+    nothing once none fell."""
+    sized = lambda estimate: f"(select *, {LOGDET} as v from ({_cholesky()[0].replace('{inner}', estimate)}) f)"
     before = f"estimate{k - 1}" if k > 1 else "least"
     cuts, near, (_, moments, _), _ = _concentrate(str(k), "narrow", f"distances{k - 1}", percentile)
-    own = ", ".join("x." + c for c in MOMENTS)
+    chosen = ", ".join(f"case when c.v < e.v - 5e-3 then c.{m} else e.{m} end as {m}" for m in MOMENTS[1:])
     return [
         cuts,
         near,
-        (f"candidate{k}", moments, True),
-        (f"fell{k}", f"select c.grp from {sized(f'candidate{k}')} c join {sized(before)} e on c.grp = e.grp where c.v < e.v - 1e-9", True),
-        (f"estimate{k}", f"select {own} from candidate{k} x join fell{k} f on x.grp = f.grp union all select {own} from {before} x left join fell{k} f on x.grp = f.grp where f.grp is null", True),
+        (f"candidate{k}", moments, False),
+        (f"estimate{k}", f"select e.grp, {chosen}, c.v < e.v - 5e-3 as fell from {sized(before)} e join {sized(f'candidate{k}')} c on e.grp = c.grp", True),
         (f"distances{k}", _distances("narrow", f"estimate{k}"), False),
     ]
 
@@ -270,7 +272,7 @@ def with_verdicts(base: DataFrame) -> DataFrame:
     take(first_steps(percentile))
     for k in range(1, MOST_STEPS + 1):
         take(next_steps(k, percentile))
-        if known[f"fell{k}"].isEmpty():
+        if known[f"estimate{k}"].where("fell").isEmpty():
             break
     take(last_steps(k, percentile))
     far = known["distances"].select("doc_id.*", F.round("d2", 6).alias("distance2"))

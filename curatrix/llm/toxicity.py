@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +16,8 @@ from .common import materialize
 from .labelled import examples, remainder
 
 TERM = re.compile(r"[^\W_]+")
+#: A text of this score or more counts as toxic.
+TOXIC = 0.5
 #: Texts that are scored at once.
 TEXTS = 128
 #: Examples of a block in the index.
@@ -256,21 +258,24 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: i
     score as the base rate does. Equal texts score equal. Rows with equal doc_id have each their row. An
     empty table gives no rows. Other columns are ignored.
     """
-    scored = _scored(docs.select("doc_id", "text"), learn(docs, labels, modulus, held, s))
-    return scored.select("doc_id", (remainder(F.col("doc_id"), modulus) == held).alias("held_out"), F.col("__score").alias("score"), _toxic().cast("int").alias("predicted"), F.col("__neighbours").alias("neighbours"), F.col("__evidence").alias("evidence"))
+    scored = _with_votes(docs.select("doc_id", "text"), learn(docs, labels, modulus, held, s), "doc_id long, score double, neighbours array<long>, evidence array<string>", _told)
+    held_out, predicted = remainder(F.col("doc_id"), modulus) == held, (F.col("score") >= TOXIC).cast("int")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"), "neighbours", "evidence")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, s: Settings = Settings()) -> DataFrame:
     """The rows of ``docs`` that don't score as toxic, all columns kept; each row by its own text."""
-    return _scored(docs, learn(docs, labels, modulus, held, s)).where(~_toxic()).select(*[f"`{c}`" for c in docs.columns])
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return _with_votes(docs, learn(docs, labels, modulus, held, s), kinds, lambda batch, scores, who, why: batch.filter(pa.array(scores < TOXIC)))
 
 
-def _toxic():
-    return F.col("__score") >= 0.5
+def _told(batch: pa.RecordBatch, scores: np.ndarray, who: list, why: list) -> pa.RecordBatch:
+    columns = [batch["doc_id"], pa.array(scores, pa.float64()), pa.array(who, pa.list_(pa.int64())), pa.array(why, pa.list_(pa.string()))]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "neighbours", "evidence"])
 
 
-def _scored(docs: DataFrame, voters: Voters) -> DataFrame:
-    """``docs`` with ``__score, __neighbours, __evidence`` beside its columns."""
+def _with_votes(docs: DataFrame, voters: Voters, schema: str, made: Callable) -> DataFrame:
+    """What ``made(batch, scores, neighbours, evidence)`` gives for the rows of ``docs``."""
     sent = docs.sparkSession.sparkContext.broadcast(voters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,8 +287,6 @@ def _scored(docs: DataFrame, voters: Voters) -> DataFrame:
                 known = {x: None for x in texts}
                 known = dict(zip(known, voters.votes(list(known)), strict=True))
                 votes, who, why = zip(*[known[x] for x in texts], strict=True)
-                made = [pa.array(voters.probability(np.array(votes)), pa.float64()), pa.array(who, pa.list_(pa.int64())), pa.array(why, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "__score", "__neighbours", "__evidence"])
+                yield made(batch, voters.probability(np.array(votes)), list(who), list(why))
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, __score double, __neighbours array<long>, __evidence array<string>")
+    return docs.mapInArrow(run, schema)
