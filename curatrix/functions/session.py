@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,10 +19,16 @@ def session(name: str = "curatrix", cores: str = "*", **config: str) -> SparkSes
     return builder.getOrCreate()
 
 
+def fresh_folder(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder that all executors share. Only a local session may do without the setting."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(folder or tempfile.gettempdir() + '/checkpoints').rstrip('/')}/curatrix/{tag}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut a loop's lineage: a table in the shared folder that the cluster names (a default in tests), read back."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{folder.rstrip('/')}/curatrix/cut-{uuid.uuid4().hex}"
+    """Cut a loop's lineage: a table in the shared folder that the cluster names, read back."""
+    path = fresh_folder(df.sparkSession, "cut")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -28,25 +28,21 @@ def fingerprint(value: Column, n_bits: int = 2048, k: int = 3) -> Column:
 
 
 def pack_bits(bits: Column, n_bits: int = 2048) -> Column:
-    """Set bits to ``n_bits / 8`` bytes, most significant bit first (X2), two hex digits a byte."""
+    """Set bits to ``n_bits / 8`` bytes, most significant bit first (X2): masks of 32 bits, each summed in one pass."""
     nothing = F.array().cast("array<int>")
 
     def whole(own: Column) -> Column:
-        byte = lambda i: F.aggregate(F.filter(own, lambda b: F.floor(b / 8) == i), F.lit(0), lambda s, b: s + F.pow(F.lit(2), 7 - b % 8).cast("int"))
-        return F.transform(F.sequence(F.lit(0), F.lit(n_bits // 8 - 1)), lambda i: F.lpad(F.hex(byte(i)), 2, "0"))
+        mask = lambda i: F.aggregate(own, F.lit(0).cast("long"), lambda s, b: s + F.when(F.shiftright(b, 5) == i, F.call_function("shiftleft", F.lit(1).cast("long"), 31 - b % 32)).otherwise(0))
+        return F.transform(F.sequence(F.lit(0), F.lit(n_bits // 32 - 1)), lambda i: F.lpad(F.hex(mask(i)), 8, "0"))
 
-    return F.unhex(F.array_join(let(F.coalesce(bits, nothing), whole), ""))
+    return F.unhex(F.array_join(let(F.array_distinct(F.coalesce(bits, nothing)), whole), ""))
 
 
 def unpack_bits(packed: Column, n_bits: int = 2048) -> Column:
-    """The inverse: sorted set bits (X3). Bytes are read once each, then their bits."""
-
-    def whole(digits: Column) -> Column:
-        byte = lambda i: F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
-        bits = lambda i: let(byte(i), lambda v: F.filter(F.sequence(i * 8, i * 8 + 7), lambda b: F.floor(v / F.pow(F.lit(2), 7 - b % 8)) % 2 == 1))
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n_bits // 8 - 1)), bits))
-
-    return let(F.hex(packed), whole)
+    """The inverse: sorted set bits (X3). Of the hex digits only those that have a bit are looked into."""
+    digits = F.transform(F.split(F.hex(packed), ""), lambda x, i: F.struct((F.instr(F.lit("0123456789ABCDEF"), x) - 1).alias("v"), (i * 4).alias("at")))
+    bits = lambda d: F.filter(F.sequence(d["at"], d["at"] + 3), lambda b: F.floor(d["v"] / F.pow(F.lit(2), 3 - b % 4)) % 2 == 1)
+    return F.flatten(F.transform(F.filter(digits, lambda d: d["v"] > 0), bits))
 
 
 @F.pandas_udf(T.BinaryType())

@@ -199,7 +199,7 @@ res as (select lab.*, g.key as gkey, g.n_labels, case when g.key is not null and
 
 @query("with " + RESOLVED + """ select count(*) as total_records, count_if(final <> 'invalid_smiles') as valid_records, count_if(final = 'clean') as n_clean, count_if(final = 'salt_removed') as n_salt_removed, count_if(final = 'mixture') as n_mixture,
  count_if(final = 'metal_complex') as n_metal_complex, count_if(final = 'ambiguous_fragment') as n_ambiguous_fragment, count_if(final = 'no_parent') as n_no_parent, count_if(final = 'invalid_smiles') as n_invalid_smiles, count_if(final = 'duplicate') as n_duplicate,
- count(distinct gkey) as duplicate_groups, count(distinct gkey) filter (n_labels > 1) as conflicting_groups, count_if(coalesce(n_labels > 1, false)) as conflicting_rows, cast(0 as bigint) as rows_with_marks,
+ count(distinct gkey) as duplicate_groups, count(distinct gkey) filter (n_labels > 1) as conflicting_groups, count_if(coalesce(n_labels > 1, false)) as conflicting_rows, count_if(final in ('clean', 'salt_removed') and len(regexp_extract_all(first_parent, '\[[^\]]*@[^\]]*\]')) > 0) as rows_with_marks,
  count_if(final in ('clean', 'salt_removed')) as records_retained, count_if(final not in ('clean', 'salt_removed')) as records_excluded from res""")
 def curation_report(spark, d):
     rows = base(spark, d).select("doc_id", "text", "toxic")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import joins as J
 from ..operators import profiling as A
-from ..sources.tables import literal_table, lookup_vectors, pick_partition, render_lines
+from ..sources.tables import literal_table, lookup_vectors, pick_partition, read_many, render_lines
 from .catalog import base, load, query, rounded
 
 
@@ -216,9 +216,9 @@ def vector_lookup(spark, d):
 
 @query("select file_name, count(*) as n from (select 'documents.parquet' as file_name from documents union all select 'labels.parquet' from labels) q group by file_name")
 def files_by_pattern(spark, d):
-    names = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    both = [load(spark, d, t).select(F.lit(f"{t}.parquet").alias("file_name"), names.alias("part")) for t in ("documents", "labels")]
-    return J.union_all(*both).groupBy("file_name").agg(F.count("*").alias("n"))
+    """Both tables' files in one scan, each row with its file's name."""
+    rows = read_many(spark, d, "{documents,labels}.parquet", schema="doc_id long")
+    return rows.groupBy("file_name").agg(F.count("*").alias("n"))
 
 
 @query("select doc_id, text from documents where length(text) > 0")

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from ..functions.session import cut
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | str | None = None) -> DataFrame:
@@ -27,10 +30,11 @@ def read_many(spark: SparkSession, folder: str, pattern: str, fmt: str = "parque
 def read_json_docs(spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.json") -> tuple[DataFrame, DataFrame]:
     """One row per JSON document, and the names of files that are none (S5). Bad files stop nothing.
 
-    The rows are kept in memory or on disk, as Spark has it for queries of what could not be parsed."""
+    The rows are written as a table, which both results read."""
     wide = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
     reader = spark.read.schema(wide).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
-    rows = reader.option("pathGlobFilter", pattern).json(folder).withColumn("file_name", F.col("_metadata.file_name")).persist()
+    rows = reader.option("pathGlobFilter", pattern).json(folder).withColumn("file_name", F.col("_metadata.file_name"))
+    rows = cut(rows)
     return rows.where("_bad is null").drop("_bad"), rows.where("_bad is not null").select("file_name", "_bad")
 
 
@@ -47,12 +51,15 @@ def lookup_vectors(df: DataFrame, store: DataFrame, key: str) -> DataFrame:
 def read_records(spark: SparkSession, path: str, separator: str = "$$$$\n") -> DataFrame:
     """``position, record, file_name`` of a delimited text file, positions from 0 without gaps.
 
-    Consecutive numbers over partitions need the partitions' sizes, which ``zipWithIndex`` counts in
-    one extra pass; the rows themselves stay where they are.
+    Records are numbered within the partitions of one scan, which is written as a table; a row per
+    partition carries how many records lie before. Files and their splits follow in the scan's order.
     """
-    rows = spark.read.option("lineSep", separator).text(path).select(F.col("value").alias("record"), F.col("_metadata.file_name").alias("file_name"))
-    numbered = rows.rdd.zipWithIndex().map(lambda x: (x[1], x[0].record, x[0].file_name))
-    return spark.createDataFrame(numbered, "position long, record string, file_name string").where(F.col("record").rlike(r"\S"))
+    rows = spark.read.option("lineSep", separator).text(path).select(F.col("value").alias("record"), F.col("_metadata.file_name").alias("file_name"), F.monotonically_increasing_id().alias("id"))
+    rows = cut(rows.withColumn("part", F.shiftright("id", 33)))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    offsets = rows.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    numbered = rows.join(F.broadcast(offsets), "part").withColumn("position", F.col("offset") + F.col("id") - F.shiftleft("part", 33))
+    return numbered.where(F.col("record").rlike(r"\S")).select("position", "record", "file_name")
 
 
 def label_by_position(df: DataFrame, cut: int, position: str = "position") -> DataFrame:
