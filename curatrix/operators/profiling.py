@@ -100,6 +100,15 @@ def curation_report(df: DataFrame, status: str = "status", reason: str = "duplic
     )
 
 
+def report_document(df: DataFrame, about: dict[str, str], before: str = "status_before", status: str = "status") -> DataFrame:
+    """The whole report as one row (A10): what the job was ``about`` (inputs, outputs, columns, versions, times), the
+    totals, and the counts of all statuses before and after duplicates were resolved, as JSON."""
+    totals = curation_report(df, status)
+    counted = lambda c: F.to_json(F.struct(*[F.count_if(F.col(c) == s).alias(s) for s in STATUSES]))
+    statuses = df.agg(F.count("*").alias("total_records"), counted(before).alias("pre_duplicate_status_counts"), counted(status).alias("final_status_counts"), F.count_if(F.col(status) == "duplicate").alias("duplicates_flagged"))
+    return totals.join(F.broadcast(statuses), "total_records").select(*[F.lit(v).alias(k) for k, v in about.items()], "*")  # a row each
+
+
 def examples(df: DataFrame, by: str, row_id: str, n: int = 3) -> DataFrame:
     """The first n rows of each category (T2); Spark prunes each task's rows to n per category before the shuffle."""
     return df.withColumn("__k", F.row_number().over(Window.partitionBy(by).orderBy(row_id))).where(F.col("__k") <= n).drop("__k")

@@ -96,10 +96,12 @@ def component_categories(spark, d):
 
 
 @query("with " + STATUS + " select doc_id, status, case when status in ('clean', 'salt_removed') then first_parent end as value_clean, cast(coalesce(n, 0) as int) as num_fragments, cast(coalesce(gone, 0) as int) as num_removed, coalesce(removed, '') as removed,"
-    " case when status in ('clean', 'salt_removed', 'no_parent') then '' else coalesce(kept, '') end as retained, case when status in ('clean', 'salt_removed') then sha256(trim(first_parent)) end as key from st")
+    " case when status in ('clean', 'salt_removed', 'no_parent') then '' else coalesce(kept, '') end as retained, case when status in ('clean', 'salt_removed') then sha256(trim(first_parent)) end as key,"
+    " case status when 'invalid_smiles' then 'missing value' when 'metal_complex' then 'contains a blocked component; manual review' when 'ambiguous_fragment' then 'a component could not be classified with confidence'"
+    " when 'no_parent' then 'no parent component remained' when 'mixture' then 'several distinct parent components remain' else '' end as reason,"
+    r" cast(case when status in ('clean', 'salt_removed') then len(regexp_extract_all(first_parent, '\[[^\]]*@[^\]]*\]')) end as int) as n_marks from st")
 def record_status(spark, d):
-    out = C.classify_records(load(spark, d, "documents"), "doc_id", "text", shared_lines(spark, d), **RULES)
-    return out.drop("reason", "n_marks")
+    return C.classify_records(load(spark, d, "documents"), "doc_id", "text", shared_lines(spark, d), **RULES)
 
 
 @query("with " + LINES + " select doc_id, count(distinct component) = 1 as one_kind, count(*) as n from parts group by doc_id")
@@ -197,15 +199,32 @@ g as (select key, min(doc_id) as first_row, count(*) as k, count(distinct toxic)
 res as (select lab.*, g.key as gkey, g.n_labels, case when g.key is not null and (g.n_labels > 1 or doc_id <> first_row) then 'duplicate' else status end as final from lab left join g on lab.key = g.key and status in ('clean', 'salt_removed'))"""
 
 
-@query("with " + RESOLVED + """ select count(*) as total_records, count_if(final <> 'invalid_smiles') as valid_records, count_if(final = 'clean') as n_clean, count_if(final = 'salt_removed') as n_salt_removed, count_if(final = 'mixture') as n_mixture,
+TOTALS = r""" count(*) as total_records, count_if(final <> 'invalid_smiles') as valid_records, count_if(final = 'clean') as n_clean, count_if(final = 'salt_removed') as n_salt_removed, count_if(final = 'mixture') as n_mixture,
  count_if(final = 'metal_complex') as n_metal_complex, count_if(final = 'ambiguous_fragment') as n_ambiguous_fragment, count_if(final = 'no_parent') as n_no_parent, count_if(final = 'invalid_smiles') as n_invalid_smiles, count_if(final = 'duplicate') as n_duplicate,
  count(distinct gkey) as duplicate_groups, count(distinct gkey) filter (n_labels > 1) as conflicting_groups, count_if(coalesce(n_labels > 1, false)) as conflicting_rows, count_if(final in ('clean', 'salt_removed') and len(regexp_extract_all(first_parent, '\[[^\]]*@[^\]]*\]')) > 0) as rows_with_marks,
- count_if(final in ('clean', 'salt_removed')) as records_retained, count_if(final not in ('clean', 'salt_removed')) as records_excluded from res""")
+ count_if(final in ('clean', 'salt_removed')) as records_retained, count_if(final not in ('clean', 'salt_removed')) as records_excluded"""
+
+
+@query("with " + RESOLVED + " select" + TOTALS + " from res")
 def curation_report(spark, d):
     rows = base(spark, d).select("doc_id", "text", "toxic")
     return curate(rows, "doc_id", "text", shared_lines(spark, d), "toxic", **RULES)["report"]
 
 
+#: What a run of the report's query is about; a job adds its time, versions and content hashes.
+ABOUT = {"input_file": "documents", "clean_output_file": "clean", "review_output_file": "review", "smiles_column": "text", "target_column": "toxic"}
+
+
+def _counts_sql(column: str) -> str:
+    return "'{' || " + " || ',' || ".join(f"""'"{s}":' || count_if({column} = '{s}')""" for s in C.STATUSES) + " || '}'"
+
+
+@query("with " + RESOLVED + " select " + ", ".join(f"'{v}' as {k}" for k, v in ABOUT.items()) + "," + TOTALS + f", {_counts_sql('status')} as pre_duplicate_status_counts, {_counts_sql('final')} as final_status_counts, count_if(final = 'duplicate') as duplicates_flagged from res")
+def curation_document(spark, d):
+    rows = base(spark, d).select("doc_id", "text", "toxic")
+    return A.report_document(curate(rows, "doc_id", "text", shared_lines(spark, d), "toxic", **RULES)["resolved"], ABOUT)
+
+
 @query("with " + RESOLVED + " select status as status_before, final as status_after, count(*) as n from res group by 1, 2")
 def status_moves(spark, d):
     rows = base(spark, d).select("doc_id", "text", "toxic")

@@ -194,7 +194,7 @@ def table_hash_of_any_order(spark, d):
     return a.join(b.select(F.col("content_hash").alias("other"), F.col("n").alias("m")), F.col("n") == F.col("m")).select("n", (F.col("content_hash") == F.col("other")).alias("same"))
 
 
-@query("""with w as (select doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') as w from documents)
+@query(r"""with w as (select doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') as w from documents)
 select doc_id, len(list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) end)) as n from w""")
 def shingle_fingerprints(spark, d):
     """Distinct three-word shingles of each text. With bits enough no two share one, so set bits count them."""
