@@ -33,14 +33,10 @@ def fit_isotonic(df: DataFrame, score: str, label: str) -> IsotonicRegressionMod
 
 def apply_isotonic(model: IsotonicRegressionModel, df: DataFrame, score: str, out: str = "calibrated") -> DataFrame:
     """Interpolates between the fitted points, holds the ends beyond them, stays in 0 to 1; nulls stay."""
-    xs, ys = F.array(*map(F.lit, model.boundaries.toArray().tolist())), F.array(*map(F.lit, model.predictions.toArray().tolist()))
-    s = F.col(score)
-    below = F.size(F.filter(xs, lambda x: x <= s))
-    n = F.size(xs)
-    x0, x1, y0, y1 = F.get(xs, below - 1), F.get(xs, below), F.get(ys, below - 1), F.get(ys, below)
-    inner = F.when(x1 == x0, y1).otherwise(y0 + (y1 - y0) * (s - x0) / (x1 - x0))
-    value = F.when(below == 0, F.get(ys, F.lit(0))).when(below == n, F.get(ys, n - 1)).otherwise(inner)
-    return df.withColumn(out, F.when(s.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), value))))
+    own = model.copy().setFeaturesCol("__score").setPredictionCol("__value")
+    found = own.transform(df.withColumn("__score", F.coalesce(F.col(score).cast("double"), F.lit(0.0))))
+    value = F.when(F.col(score).isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("__value"))))
+    return found.withColumn(out, value).drop("__score", "__value")
 
 
 def nonconformity(df: DataFrame, score: str, label: str) -> DataFrame:

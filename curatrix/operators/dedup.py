@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ..functions.ordering import running
 from ..functions.scalars import label_ok
 from .cleaning import ELIGIBLE
 
@@ -20,15 +20,10 @@ def key_groups(df: DataFrame, key: str, row_id: str, label: str | None = None, w
     return rows.groupBy(key).agg(F.count("*").alias("n"), F.min(row_id).alias("first_row"), labels.alias("n_labels")).where("n >= 2")
 
 
-def number_groups(groups: DataFrame, order: str = "first_row", name: str = "duplicate_group_id", bucket: int = 1 << 20) -> DataFrame:
+def number_groups(groups: DataFrame, order: str = "first_row", name: str = "duplicate_group_id") -> DataFrame:
     """Dense numbers from 0 in the order of ``order`` (W2), by ranges of it: counts per range give the
-    offsets, so no task sorts all groups."""
-    ranged = groups.withColumn("__range", F.floor(F.col(order) / bucket))
-    counts = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
-    offsets = counts.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    own = F.row_number().over(Window.partitionBy("__range").orderBy(order)) - 1
-    return ranged.withColumn("__own", own).join(offsets, "__range").withColumn(name, F.col("__offset") + F.col("__own")).drop("__range", "__own", "__offset")
+    offsets, so no task sorts all groups, however sparse the row ids are."""
+    return running(groups, [F.col(order)], {name: F.lit(1)})
 
 
 def resolve_duplicates_a(df: DataFrame, row_id: str, key: str, label: str | None = None, status: str = "status") -> DataFrame:

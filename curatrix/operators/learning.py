@@ -13,6 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.session import cut
 from .calibration import apply_isotonic, conformal_pvalues, ensemble_oof, fit_isotonic, nonconformity, prediction_sets, uncertainty
 from .joins import union_all
 from .metrics import best_threshold, binary_metrics, ranking
@@ -49,6 +50,11 @@ def fit_endpoint(df: DataFrame, features: Sequence[str], label: str, kind: str =
     return PipelineModel([VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep"), learner.fit(rows)])
 
 
+def rounds_of(model: PipelineModel) -> int:
+    """The boosting rounds that a fitted model kept."""
+    return model.stages[-1].getNumTrees
+
+
 def score(model: PipelineModel, df: DataFrame, out: str = "score", valid=None) -> DataFrame:
     """Adds the probability of class 1; null, never 0, for rows that aren't ``valid`` (E5)."""
     probability = vector_to_array("probability")[1]
@@ -77,7 +83,7 @@ def trial_table(grid: dict[str, Sequence], baseline: dict, most: int, seed: int
 
 def out_of_fold(df: DataFrame, row_id: str, features: Sequence[str], label: str, k: int, order, **fit) -> DataFrame:
     """``row_id, label, fold, score``: each fold scored by a model of the others."""
-    folded = stratified_folds(df.where(F.col(label).isNotNull()), label, k, order).persist()
+    folded = cut(stratified_folds(df.where(F.col(label).isNotNull()), label, k, order))
     parts = []
     for fold in range(k):
         model = fit_endpoint(folded.where(F.col("fold") != fold), features, label, **fit)
@@ -99,7 +105,7 @@ def run_trials(df: DataFrame, row_id: str, features: Sequence[str], label: str,
 
 def nested_cv(df: DataFrame, row_id: str, features: Sequence[str], label: str, trials: Sequence[dict], k_outer: int, k_inner: int, order) -> DataFrame:
     """Out-of-fold scores ``row_id, label, fold, trial, score``; each outer fold selects on the others."""
-    folded = stratified_folds(df.where(F.col(label).isNotNull()), label, k_outer, order).persist()
+    folded = cut(stratified_folds(df.where(F.col(label).isNotNull()), label, k_outer, order))
     parts = []
     for fold in range(k_outer):
         inner = folded.where(F.col("fold") != fold).drop("fold")
@@ -120,7 +126,7 @@ def fit_increment(old: DataFrame, new: DataFrame, features: Sequence[str], label
     """A model of the old rows and the new (N7), and its metrics on new rows that were held out first."""
     validate_binary(new, label)
     if holdout_guard(new, label, frac).first().enabled:
-        marked = stratified_holdout(new, label, frac, order).persist()
+        marked = cut(stratified_holdout(new, label, frac, order))
         train, held = marked.where("not holdout").drop("holdout"), marked.where("holdout").drop("holdout")
     else:
         train, held = new, new.limit(0)

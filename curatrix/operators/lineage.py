@@ -17,11 +17,16 @@ def table_hash(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def ordered_hash(df: DataFrame, value: Column, order: str, chunk: int = 4096) -> DataFrame:
-    """``order_hash``: a hash of row hashes in order (R1), by chunks of the order and then over the chunks' hashes."""
-    rows = df.select(F.floor(F.col(order) / chunk).alias("c"), F.struct(F.col(order).alias("o"), F.sha2(value, 256).alias("h")).alias("r"))
+    """``order_hash``: a hash of row hashes in order (R1), by chunks of the order, chunks of those, and so on, so no
+    task gets more than ``chunk`` hashes of a level. ``order``: whole numbers from 0 on, nearly dense."""
     join = lambda: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["h"]), ","), 256)
-    chunks = rows.groupBy("c").agg(join().alias("h"))
-    return chunks.select(F.struct(F.col("c").alias("o"), "h").alias("r")).agg(join().alias("order_hash"))
+    level = df.select(F.struct(F.col(order).alias("o"), F.sha2(value, 256).alias("h")).alias("r"))
+    most = df.agg(F.max(order).alias("n")).first().n or 0
+    while True:
+        level = level.groupBy(F.floor(F.col("r.o") / chunk).alias("c")).agg(join().alias("h")).select(F.struct(F.col("c").alias("o"), "h").alias("r"))
+        most //= chunk
+        if most < chunk:
+            return level.agg(join().alias("order_hash"))
 
 
 def append_version(lineage: DataFrame, dataset: str, kind: str, model_hash: str, metric: float | None, promoted: bool, ts: Column) -> DataFrame:

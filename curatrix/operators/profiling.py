@@ -49,18 +49,22 @@ def profile_columns(df: DataFrame, columns: Sequence[str], max_levels: int = 10,
     numeric = [c for c, t in df.dtypes if c in columns and (t in NUMERIC or t.startswith("decimal"))]
     parts = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v"), (F.col(c) if c in numeric else F.lit(None)).cast("double").alias("x")) for c in columns]
     counts = df.select(F.explode(F.array(*parts)).alias("p")).select("p.*").groupBy("column", "v", "x").agg(F.count("*").alias("n"))
-    own = Window.partitionBy("column")
-    ranked = counts.withColumn("k", F.row_number().over(own.orderBy(F.asc_nulls_last("v")))) if len(columns) <= most else counts.withColumn("k", F.lit(1 << 30))
     level = F.concat(F.coalesce("v", F.lit("null")), F.lit("="), F.col("n").cast("string"))
-    stats = ranked.groupBy("column").agg(
+    sums = counts.groupBy("column").agg(
         F.count("v").alias("n_unique"),
         F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("n_null"),
         F.min("x").alias("lo"),
         F.max("x").alias("hi"),
         (F.sum(F.col("x") * F.col("n")) / F.sum(F.when(F.col("x").isNotNull(), F.col("n")))).alias("mean"),
+    )
+    # Of a column's values each task passes on the least few only.
+    first_few = F.row_number().over(Window.partitionBy("column").orderBy(F.asc_nulls_last("v")))
+    least = counts.select("column", "v", "n", first_few.alias("k")).where(F.col("k") <= max(max_levels + 1, samples)) if len(columns) <= most else counts.select("column", "v", "n", F.lit(0).alias("k")).limit(0)
+    shown = least.groupBy("column").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("k") <= max_levels + 1, F.struct("k", level.alias("s"))))), lambda e: e["s"]), "; ").alias("counts"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when((F.col("k") <= samples) & F.col("v").isNotNull(), F.struct("k", "v")))), lambda e: e["v"]), "; ").alias("first"),
     )
+    stats = sums.join(shown, "column", "left")
     few = F.col("n_unique") <= max_levels
     levels = F.when(F.lit(len(columns) > most), "").when(few, F.col("counts")).when(F.col("lo").isNotNull(), "").otherwise(F.col("first"))
     return stats.select("column", "n_unique", "n_null", F.when(~few, F.col("lo")).alias("lo"), F.when(~few, F.col("hi")).alias("hi"), F.when(~few, F.col("mean")).alias("mean"), levels.alias("levels"))
@@ -202,9 +206,13 @@ def length_bucketed(df: DataFrame, value: str, parts: int) -> DataFrame:
 
 
 def excess_snapshots(df: DataFrame, by: str, ts: str, keep: int, tie: str) -> DataFrame:
-    """All but the newest ``keep`` of each dataset; none if ``keep`` is 0 or less (T5)."""
+    """All but the newest ``keep`` of each dataset; none if ``keep`` is 0 or less (T5). ``tie`` tells rows of a
+    dataset apart. Tasks pass on their newest ``keep`` only, and the others are what is not among those of all."""
+    if keep <= 0:
+        return df.limit(0)
     newest = Window.partitionBy(by).orderBy(F.desc(ts), F.desc(tie))
-    return df.limit(0) if keep <= 0 else df.withColumn("__k", F.row_number().over(newest)).where(F.col("__k") > keep).drop("__k")
+    kept = df.select(by, ts, tie).withColumn("__k", F.row_number().over(newest)).where(F.col("__k") <= keep).select(F.col(by).alias("__by"), F.col(tie).alias("__tie"))
+    return df.join(kept, F.col(by).eqNullSafe(F.col("__by")) & F.col(tie).eqNullSafe(F.col("__tie")), "left_anti")
 
 
 def latest(df: DataFrame, by: str, version: str) -> DataFrame:

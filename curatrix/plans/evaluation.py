@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.session import cut
 from ..operators import calibration as L
 from ..operators import extensions as Z
 from ..operators import features as X
@@ -506,10 +507,28 @@ def _learnable(spark, d):
 
 @query()
 def fit_and_score(spark, d):
-    rows = G.group_split(_learnable(spark, d), "source").persist()
-    model = N.fit_endpoint(rows.where("split = 'train'"), FEATURES, "quality", rounds=5, maxDepth=3)
-    scored = N.score(model, rows)
-    return M.ranking(scored, "score", "quality", ["split"])
+    """The learner's own settings, stopped by the validation split; its rounds are what a refit freezes."""
+    rows = cut(G.group_split(_learnable(spark, d), "source"))
+    model = N.fit_endpoint(rows.where("split <> 'test'").withColumn("stops", F.col("split") == "val"), FEATURES, "quality", rounds=12, validation="stops")
+    return M.ranking(N.score(model, rows), "score", "quality", ["split"]).withColumn("n_rounds", F.lit(N.rounds_of(model)))
+
+
+@query()
+def final_refit(spark, d):
+    """All splits, with as many rounds as the validated run kept."""
+    rows = cut(G.group_split(_learnable(spark, d), "source"))
+    first = N.fit_endpoint(rows.where("split <> 'test'").withColumn("stops", F.col("split") == "val"), FEATURES, "quality", rounds=6, validation="stops")
+    parts = [rows.where(F.col("split") == s) for s in ("train", "val", "test")]
+    model = N.fit_final(parts, FEATURES, "quality", N.rounds_of(first) - 1)
+    return M.ranking(N.score(model, rows), "score", "quality").withColumn("same_rounds", F.lit(N.rounds_of(model) == N.rounds_of(first)))
+
+
+@query()
+def incremental_round(spark, d):
+    """New rows join the old; what was held out of them first gives the metrics."""
+    rows = cut(_learnable(spark, d))
+    old, new = rows.where("doc_id % 3 <> 0"), rows.where("doc_id % 3 = 0")
+    return N.fit_increment(old, new, FEATURES, "quality", "doc_id", _order(), kind="linear")[1]
 
 
 @query()

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import identity_key
+from ..functions.session import cut
 from ..operators import features as X
 from ..operators import joins as J
 from ..operators import learning as N
@@ -20,7 +21,8 @@ from .catalog import base, query
 def run_endpoint(df: DataFrame, row_id: str, value: str, group: str, label: str, exprs: dict[str, Column], seed: int = 42, **fit) -> dict:
     """Split by group, featurize and deduplicate within each split, fit on train, measure on all."""
     split = G.group_split(df.where(F.col(label).isNotNull()), group, seed=seed)
-    ready = G.per_split(X.featurize(split, row_id, value, identity_key(F.col(value)), exprs).where("is_valid"), row_id, "key", label).persist()
+    ready = G.per_split(X.featurize(split, row_id, value, identity_key(F.col(value)), exprs).where("is_valid"), row_id, "key", label)
+    ready = cut(ready)
     G.require_splits(ready, ["train", "test"])
     model = N.fit_endpoint(ready.where("split = 'train'"), list(exprs), label, **fit)
     scored = N.score(model, ready)
