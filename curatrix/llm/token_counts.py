@@ -23,11 +23,16 @@ CHUNK = 1 << 16
 MAX_STATES = 200_000
 #: Words whose counts a worker remembers.
 MAX_WORDS = 300_000
-#: Between these two characters every reading of the text has a boundary, whatever came before and after: before
-#: white space, and where letters, numbers and other characters meet (but for an apostrophe's contractions).
-SEAM = regex.compile(
-    rf"(?<=[^{WHITE_SPACE}])(?=[{WHITE_SPACE}])|(?<=\p{{L}})(?=[^\p{{L}}'{WHITE_SPACE}])|(?<=\p{{N}})(?=[^\p{{N}}'{WHITE_SPACE}])|(?<=[^\p{{L}}\p{{N}}'{WHITE_SPACE}])(?=[\p{{L}}\p{{N}}])"
-)
+def seams(special: list[str]) -> regex.Pattern:
+    """Between these two characters every reading of a text has a boundary, whatever came before and after: before
+    white space, and where letters, numbers and other characters meet, but for an apostrophe's
+    contractions and what stands in a special token."""
+    w, own = WHITE_SPACE, "".join(special)
+    if regex.search(rf"[{w}]|\p{{L}}\p{{N}}|\p{{N}}\p{{L}}", own):
+        raise ValueError("a special token with white space, or with letters beside numbers")
+    out = "'" + "".join(sorted({regex.escape(c) for c in own if not regex.match(r"[\p{L}\p{N}]", c)}))
+    letter, number = rf"\p{{L}}{out}{w}", rf"\p{{N}}{out}{w}"
+    return regex.compile(rf"(?<=[^{w}])(?=[{w}])|(?<=\p{{L}})(?=[^{letter}])|(?<=\p{{N}})(?=[^{number}])|(?<=[^\p{{L}}\p{{N}}{out}{w}])(?=[\p{{L}}\p{{N}}])")
 
 
 def _byte_letters() -> dict[str, int]:
@@ -53,6 +58,7 @@ class CountTransducer:
             file = json.load(f)
         letters, model = _byte_letters(), file["model"]
         self.special = [t["content"] for t in file["added_tokens"] if t["special"]]
+        self.seams = seams(self.special)
         spelt = lambda s: bytes(letters[c] for c in s)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.ranks = {(spelt(a), spelt(b)): i for i, (a, b) in reversed(list(enumerate(pairs)))}
@@ -201,7 +207,7 @@ def _summaries(path: str):
         for batch in batches:
             inner, heads, tails, cuts = [], [], [], []
             for no, of, text in zip(batch["chunk"].to_pylist(), batch["chunks"].to_pylist(), batch["piece"].to_pylist(), strict=True):
-                first, last = _outer_seams(text)
+                first, last = _outer_seams(machine.seams, text)
                 if first is None:
                     inner.append("")
                     heads.append(text), tails.append(None), cuts.append(False)
@@ -216,18 +222,18 @@ def _summaries(path: str):
     return run
 
 
-def _outer_seams(text: str) -> tuple[int | None, int | None]:
+def _outer_seams(seam: regex.Pattern, text: str) -> tuple[int | None, int | None]:
     """Where the first and the last seam lie; both None without one. The last is sought in ever longer ends."""
-    first = SEAM.search(text)
+    first = seam.search(text)
     if first is None:
         return None, None
     size = 256
     while size < len(text):
-        found = [m.start() for m in SEAM.finditer(text, len(text) - size)]
+        found = [m.start() for m in seam.finditer(text, len(text) - size)]
         if found:
             return first.start(), found[-1]
         size *= 4
-    return first.start(), [m.start() for m in SEAM.finditer(text)][-1]
+    return first.start(), [m.start() for m in seam.finditer(text)][-1]
 
 
 def _joined(path: str):

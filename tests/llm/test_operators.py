@@ -181,6 +181,25 @@ def test_op3_rules_and_redirects(spark):
     assert url_filter.filter_urls(pages.limit(0), RULES).count() == 0
 
 
+def test_op3_many_rules(spark):
+    """A table of rules says what the expression says, and 100,000 rules are no more than a join."""
+    import time
+
+    draw = random.Random(12)
+    hosts = ["a.com", "b.a.com", "com", "x.org", "org", "a.co"]
+    rules = [(draw.choice(["allow", "block"]), draw.choice(hosts) + draw.choice(["", "/", "/e", "/en/", "/en/7", "/de"])) for _ in range(40)]
+    rules = list({r: (v, r) for v, r in rules}.values())
+    urls = [(f"http://{draw.choice(['', 'www.', 'b.'])}{draw.choice(hosts)}{draw.choice(['', '/', '/en/5', '/en/77', '/e', '/de/x', '?q'])}",) for _ in range(300)] + [("none",), (None,)]
+    pages = spark.createDataFrame([(i, u, "") for i, (u,) in enumerate(urls)], "page_id long, url string, html string")
+    few = {tuple(r) for r in url_filter.filter_urls(pages, rules).collect()}
+    table = spark.createDataFrame(rules, "verdict string, rule string")
+    assert {tuple(r) for r in url_filter.filter_urls(pages, table).collect()} == few
+    many = table.union(spark.range(100_000).selectExpr("'block'", "concat('site', id % 5000, '.net/p', id)"))
+    start = time.time()
+    assert {tuple(r) for r in url_filter.filter_urls(pages, many).collect()} == few
+    assert time.time() - start < 60
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7), (500, 500), (None, 3)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
@@ -444,6 +463,25 @@ def test_op8_and_op9_on_held_out_rows(spark):
         assert r.m == zlib.crc32(str(r.doc_id).encode()) % 5
 
 
+def test_op9_votes_as_brute_force():
+    """Blocked votes equal a plain loop over all cosines, ties by the examples' order."""
+    rows, labels = labelled_texts(150, 7)
+    texts, s = [t for _, t in rows], quality_classifier.Settings(near=5)
+    x = np.concatenate(list(quality_classifier.features(pa.array(texts + texts[:20]))))
+    y = np.array([q for _, q, _ in labels] + [1 - q for _, q, _ in labels[:20]], np.float32)  # copies with the other label: ties
+    space = quality_classifier.LatentSpace(x, s)
+    z = space.place(x)
+    alike = z @ z.T
+    got = quality_classifier.votes(alike, y, s)
+    for i in range(60):
+        best = sorted(range(len(y)), key=lambda j: (-round(float(alike[i, j]) * 1e6), j))[:5]
+        w = [max(round(float(alike[i, j]) * 1e6) / 1e6, 0) ** s.sharp for j in best]
+        want = (sum(a * float(y[j]) for a, j in zip(w, best, strict=True)) + s.doubt * float(y.mean())) / (sum(w) + s.doubt)
+        assert abs(got[i] - want) < 1e-9
+    one, two = (next(quality_classifier.features(pa.array([t])))[0] for t in ("Plain WORDS here", "plain words HERE"))
+    assert (one[-quality_classifier.WORDS :] == two[-quality_classifier.WORDS :]).all() and one[-quality_classifier.WORDS :].sum() > 0
+
+
 def test_op8_index_is_exact():
     draw = np.random.default_rng(1)
     rows = []
