@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from curatrix.functions import scalars as S
 from curatrix.operators import calibration as L
+from curatrix.operators import dedup as W
 from curatrix.operators import features as X
 from curatrix.operators import joins as J
 from curatrix.operators import learning as N
@@ -231,3 +232,21 @@ def test_labels_and_nulls(spark):
     with pytest.raises(ValueError):
         N.fit_final([rows], ["a"], "b", None)
     assert N.trial_table({"x": [1, 2, 3]}, {"x": 2}, 2)[0] == {"x": 2}
+
+
+def test_numbers_of_sparse_ids(spark):
+    ids = [7 * 10**14, -(10**15), 3, 10**18, 12, 0]
+    groups = spark.createDataFrame([(f"k{i}", v) for i, v in enumerate(ids)], "key string, first_row long")
+    got = {r.first_row: r.duplicate_group_id for r in W.number_groups(groups).collect()}
+    assert [got[v] for v in sorted(ids)] == list(range(len(ids)))
+    assert W.number_groups(groups.limit(0)).count() == 0
+
+
+def test_ordered_hash_of_several_levels(spark):
+    """A third level follows once the chunks of a level exceed a chunk."""
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    level = [sha(f"v{i}") for i in range(30)]
+    while len(level) > 1:
+        level = [sha(",".join(level[i : i + 3])) for i in range(0, len(level), 3)]
+    rows = spark.range(30).selectExpr("id", "concat('v', id) as v")
+    assert R.ordered_hash(rows, rows["v"], "id", chunk=3).first().order_hash == level[0]
