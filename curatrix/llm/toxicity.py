@@ -18,6 +18,8 @@ from .labelled import examples, remainder
 TERM = re.compile(r"[^\W_]+")
 #: A text of this score or more counts as toxic.
 TOXIC = 0.5
+#: Neighbours that are told.
+SHOWN = 10
 #: Texts that are scored at once.
 TEXTS = 128
 #: Examples of a block in the index.
@@ -80,30 +82,22 @@ class BlockMaxIndex:
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, but: int = -1, part: np.ndarray | None = None) -> list[tuple[float, int]]:
         """The k highest cosines above 0, as (cosine, row); ties go to the lower row; row ``but`` is left out.
 
-        ``part``: the query's row of ``full_parts``. A block's bound is the sum of its largest weights. The blocks of the highest bounds are scored
-        first; then those whose bound reaches the k-th cosine found. What is left out can't be among
-        the nearest.
+        ``part``: the query's row of ``full_parts``. As no weight is negative, the k-th highest part is no more than
+        the k-th cosine. A block's bound is its highest part and the sum of its largest other weights; blocks
+        whose bound is below the k-th part can't hold one of the nearest and aren't scored.
         """
         if not self.size:
             return []
-        part = self.full_parts([(terms, weights)])[0] if part is None else part
+        part = self.full_parts([(terms, weights)])[0] if part is None else part.copy()
+        if 0 <= but < self.size:
+            part[but] = -2.0
+        least = np.partition(part, self.size - k)[self.size - k] if self.size > k else 0.0
         begin = self.lists[terms]
         n = self.lists[terms + 1] - begin
         entries, query = _ranges(begin, n), np.repeat(weights, n)
         bound = np.bincount(self.of[entries], weights=self.tops[entries] * query, minlength=self.blocks)
         bound = bound + np.maximum.reduceat(part, np.arange(0, self.size, BLOCK))
-        order = np.argsort(-bound, kind="stable")
-        chosen = np.zeros(self.blocks, bool)
-        chosen[order[: -(-2 * k // BLOCK) + 1]] = True
-        cosines = self._scores(entries, query, part, chosen)
-        if 0 <= but < self.size:
-            cosines[but] = 0
-        least = -np.partition(-cosines, k - 1)[k - 1] if self.size > k else 0.0
-        more = ~chosen & (bound > 0) & (bound >= least - 1e-9)
-        if more.any():
-            cosines += self._scores(entries, query, part, more)
-            if 0 <= but < self.size:
-                cosines[but] = 0
+        cosines = self._scores(entries, query, part, (bound > 0) & (bound >= least - 1e-9))
         hit = np.flatnonzero(cosines >= max(least, 1e-9) - 1e-9)
         near = cosines[hit].round(9)
         best = np.lexsort((hit, -near))[:k]
@@ -168,7 +162,7 @@ class Voters:
         return (terms, w / size) if size > 0 else (terms[:0], w[:0])
 
     def votes(self, texts: list[str], but: list[int] | None = None) -> Iterator[tuple[float, list[int], list[str]]]:
-        """Per text: the neighbours' mean label by squared cosine, with the base rate at ``doubt``; the neighbours;
+        """Per text: the neighbours' mean label by squared cosine, with the base rate at ``doubt``; the nearest ones;
         and its terms that weigh most in it, up to eight."""
         vectors = [self.vector(text) for text in texts]
         for i, ((terms, w), part) in enumerate(zip(vectors, self.index.full_parts(vectors), strict=True)):
@@ -176,7 +170,7 @@ class Voters:
             square = np.array([c * c for c, _ in found])
             who = [i for _, i in found]
             mean = (square @ self.labels[who] + self.s.doubt * self.rate) / (square.sum() + self.s.doubt) if found else self.rate
-            yield float(mean), [self.ids[i] for i in who], [self.spelt[terms[i]] for i in np.argsort(-w, kind="stable")[:8]]
+            yield float(mean), [self.ids[i] for i in who[:SHOWN]], [self.spelt[terms[i]] for i in np.argsort(-w, kind="stable")[:8]]
 
     def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> None:
         """Fit the logistic map of votes to label probabilities, by Newton's steps with smoothed targets."""
@@ -245,8 +239,8 @@ def learn(docs: DataFrame, labels: DataFrame, modulus: int, held: int, s: Settin
 def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, s: Settings = Settings()) -> DataFrame:
     """Score every whole text of ``docs(doc_id, text)`` by ``labels(doc_id, toxic)`` outside the held-out part.
 
-    Returns ``doc_id, held_out, score, predicted, neighbours, evidence``: neighbours are the voting
-    examples' doc_ids, evidence the up to eight terms that weigh most in the text's vector. A score is
+    Returns ``doc_id, held_out, score, predicted, neighbours, evidence``: neighbours are the ten
+    nearest voting examples' doc_ids, evidence the up to eight terms that weigh most in the text's vector. A score is
     the calibrated mean label of the nearest examples, weighted by squared cosine.
 
     Vectors are over all words of the labelled examples, by TF-IDF with document frequencies over all

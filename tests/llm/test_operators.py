@@ -519,7 +519,7 @@ def test_op8_votes_as_brute_force(spark):
         square = cosine[best] ** 2
         vote = (sum(square * voters.labels[best]) + s.doubt * voters.rate) / (sum(square) + s.doubt)
         assert abs(got[d].score - voters.probability(np.array([vote]))[0]) < 1e-6
-        assert got[d].neighbours == [voters.ids[i] for i in best]
+        assert got[d].neighbours == [voters.ids[i] for i in best[:10]]
 
 
 def test_op10_as_the_library(spark, odd):
