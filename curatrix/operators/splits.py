@@ -127,6 +127,21 @@ def oversample(df: DataFrame, label: str, order: Column, ratio: float = 1.0) ->
     return df.withColumn("is_copy", F.lit(False)).unionByName(copies.select(*df.columns, F.lit(True).alias("is_copy")))
 
 
+def oversample_drawn(df: DataFrame, label: str, order: Column, ratio: float = 1.0, seed: int = 42) -> DataFrame:
+    """As ``oversample``, but the copies are drawn with replacement (G5): the r-th draw takes the minority row
+    whose place in ``order`` a multiplicative hash of r and ``seed`` names. Equal rows and seeds draw alike."""
+    counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
+    ends = counts.agg(F.count("*").alias("classes"), F.min(F.struct("n", label)).alias("small"), F.max("n").alias("large")).first()
+    whole = df.withColumn("is_copy", F.lit(False))
+    if ends.classes != 2 or (extra := int(ends.large * ratio) - ends.small.n) <= 0:
+        return whole
+    place = (F.col("id") * 1103515245 + seed * 12345) % 2147483647 * 48271 % 2147483647 % ends.small.n
+    draws = df.sparkSession.range(extra).groupBy(place.alias("__draw")).agg(F.count("*").cast("int").alias("__times"))
+    rows = _stratum_rank(df.where(F.col(label) == ends.small[label]), label, order)
+    copies = rows.join(draws, F.col("__k") == F.col("__draw")).withColumn("__c", F.explode(F.sequence(F.lit(1), "__times")))
+    return whole.unionByName(copies.select(*df.columns, F.lit(True).alias("is_copy")))
+
+
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Each class's weight, the largest class's count over its own."""
     counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))

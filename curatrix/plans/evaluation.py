@@ -104,6 +104,13 @@ def oversample_minority(spark, d):
     return G.oversample(_labelled(spark, d).select("doc_id", "toxic", "n_chars"), "toxic", _order(), 0.5).select("doc_id", "toxic", "is_copy")
 
 
+@query("with {BASE}, " + STRATA + """, c as (select toxic, count(*) as n from d where toxic is not null group by toxic), p as (select arg_min(toxic, n) as small, min(n) as m, cast(floor(max(n) * 0.5e0) - min(n) as bigint) as extra from c),
+draws as (select small, (r * 1103515245 + 42 * 12345) % 2147483647 * 48271 % 2147483647 % m as k from (select small, m, unnest(range(extra)) as r from p) q)
+select doc_id, toxic, false as is_copy from st union all select st.doc_id, st.toxic, true from st join draws on st.toxic = draws.small and st.k = draws.k""")
+def oversample_drawn(spark, d):
+    return G.oversample_drawn(_labelled(spark, d).select("doc_id", "toxic", "n_chars"), "toxic", _order(), 0.5).select("doc_id", "toxic", "is_copy")
+
+
 @query("with {BASE} select toxic, count(*) as n, max(count(*)) over () * 1e0 / count(*) as weight from d where toxic is not null group by toxic")
 @rounded("weight")
 def class_weights(spark, d):
