@@ -37,36 +37,54 @@ def encode_words(words: list[bytes], path: str) -> list[list[int]]:
     return [enc._encode_single_piece(w) for w in words]
 
 
+#: Bytes of text whose documents share a chunk.
+CHUNK = 16 << 20
+
+
 def _chunks(size: int):
     """Documents to chunks, a row each: the doc_ids, the sizes in words, the distinct words, and at each
     position the number of its word among them (zstd over byte planes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press, nth = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId() << 32
+        parts: list[tuple] = []  # of the chunk in hand: doc_ids, sizes, words, codes; texts are split a slice at a time
+        held = 0
+
+        def chunk() -> pa.RecordBatch:
+            words = pa.concat_arrays([p[2] for p in parts]).dictionary_encode()
+            number, at = words.indices.to_numpy(), np.cumsum([0] + [len(p[2]) for p in parts])
+            codes = np.concatenate([number[lo:hi][p[3]] for p, lo, hi in zip(parts, at[:-1], at[1:], strict=True)]).astype(np.int32)
+            columns = [
+                pa.array([nth], pa.int64()),
+                pa.array([[x for p in parts for x in p[0]]], pa.list_(pa.int64())),
+                pa.array([np.concatenate([p[1] for p in parts]).astype(np.int64)], pa.list_(pa.int64())),
+                pa.array([press.compress(codes.view(np.uint8).reshape(-1, 4).T.tobytes())], pa.binary()),
+                pa.ListArray.from_arrays(pa.array([0, len(words.dictionary)], pa.int32()), words.dictionary),
+            ]
+            return pa.RecordBatch.from_arrays(columns, ["chunk", "doc_ids", "sizes", "codes", "words"])
+
         for batch in batches:
-            for row, data, offsets in slices(batch["text"], size):
+            for row, data, offsets in slices(batch["text"], min(size, SLICE)):
                 starts = boundaries(data, offsets)
                 words = words_of(data, starts) if len(starts) else pa.array([], pa.binary()).dictionary_encode()
-                codes = words.indices.to_numpy().astype(np.int32)
                 sizes = np.diff(np.searchsorted(starts, offsets))
-                ids = batch["doc_id"].slice(row, len(sizes)).to_pylist()
-                columns = [
-                    pa.array([nth], pa.int64()),
-                    pa.array([ids], pa.list_(pa.int64())),
-                    pa.array([sizes.astype(np.int64)], pa.list_(pa.int64())),
-                    pa.array([press.compress(codes.view(np.uint8).reshape(-1, 4).T.tobytes())], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array([0, len(words.dictionary)], pa.int32()), words.dictionary),
-                ]
-                nth += 1
-                yield pa.RecordBatch.from_arrays(columns, ["chunk", "doc_ids", "sizes", "codes", "words"])
+                parts.append((batch["doc_id"].slice(row, len(sizes)).to_pylist(), sizes, words.dictionary, words.indices.to_numpy()))
+                held += len(data)
+                if held >= size:
+                    yield chunk()
+                    nth, parts, held = nth + 1, [], 0
+        if parts:
+            yield chunk()
 
     return run
 
 
-def _encoded(path: str):
+def _encoded(path: str, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch["word"], pa.array(encode_words(batch["word"].to_pylist(), path), pa.list_(pa.int32()))], ["word", "ids"])
+            ids = encode_words(batch["word"].to_pylist(), path)
+            packed = pa.array([np.array(x, f"<u{width}").tobytes() for x in ids], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch["word"], pa.array(ids, pa.list_(pa.int32())), packed], ["word", "ids", "packed"])
 
     return run
 
@@ -78,28 +96,35 @@ def _gather(table: pa.Array, index: np.ndarray) -> tuple[memoryview, np.ndarray]
     return memoryview(taken.buffers()[2] or b""), ends
 
 
-def _reassembled(digest: bool):
-    """Chunks with their words' ids and bytes, in order of the words' numbers, to documents by position."""
+def _reassembled(digest: bool, width: int):
+    """Chunks with their words' numbers, ids and, where they aren't the words themselves, decoded bytes, to
+    documents by position."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdDecompressor()
+        press, kind = zstandard.ZstdDecompressor(), f"<u{width}"
         for batch in batches:
             for i in range(len(batch)):
-                told = batch["told"][i].values
-                doc_ids, sizes = batch["doc_ids"][i].values, batch["sizes"][i].values.to_numpy()
+                doc_ids, sizes, words = (batch[c][i].values for c in ("doc_ids", "sizes", "words"))
                 codes = np.frombuffer(press.decompress(batch["codes"][i].as_py()), np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel()
-                at = np.append(0, np.cumsum(sizes))
-                ids, spelt = (told.field("ids"), told.field("bytes")) if told is not None else (pa.array([], pa.list_(pa.int32())), pa.array([], pa.binary()))
-                packed = pa.array([x.values.to_numpy().astype("<i4").tobytes() for x in ids], pa.binary())
-                flat, ends = _gather(packed, codes)
-                flat, ends = np.frombuffer(flat, "<i4"), ends[at] // 4
+                at = np.append(0, np.cumsum(sizes.to_numpy()))
+                place = np.zeros(len(words), np.int64)  # of each word's number, where its ids are
+                packed = pa.array([], pa.binary())
+                if len(words):
+                    packed = batch["packed"][i].values
+                    place[batch["numbers"][i].values.to_numpy()] = np.arange(len(words))
+                flat, ends = _gather(packed, place[codes])
+                flat, ends = np.frombuffer(flat, kind), ends[at] // width
                 n = pa.array(np.diff(ends))
                 if not digest:
-                    yield pa.RecordBatch.from_arrays([doc_ids, n, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))], ["doc_id", "n_tokens", "ids"])
+                    yield pa.RecordBatch.from_arrays([doc_ids, n, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.astype(np.int32)))], ["doc_id", "n_tokens", "ids"])
                     continue
+                spelt = words
+                if other := batch["other"][i].as_py():
+                    told = {x["number"]: x["bytes"] for x in other}
+                    spelt = pa.array([told.get(k, w) for k, w in enumerate(words.to_pylist())], pa.binary())
                 text, text_ends = _gather(spelt, codes)
-                written = pa.array([b"".join(b"%d," % x for x in own.values.to_pylist()) for own in ids], pa.binary())
-                digits, stops = _gather(written, codes)
+                written = pa.array([b"".join(b"%d," % x for x in np.frombuffer(own, kind).tolist()) for own in packed.to_pylist()], pa.binary())
+                digits, stops = _gather(written, place[codes])
                 text_ends, stops = text_ends[at], stops[at]
                 made = [hashlib.sha256(digits[a : max(a, b - 1)]).hexdigest() for a, b in zip(stops[:-1], stops[1:], strict=True)]
                 back = [hashlib.sha256(text[a:b]).hexdigest() for a, b in zip(text_ends[:-1], text_ends[1:], strict=True)]
@@ -121,36 +146,37 @@ def _spelt(sequences: DataFrame, key: str, tokens: DataFrame) -> DataFrame:
     return met.select(key, F.aggregate("t", empty, lambda acc, t: F.concat(acc, t["bytes"])).alias("bytes"))
 
 
-def encode_documents(docs: DataFrame, path: str, digest: bool = False, chunk: int = SLICE) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, digest: bool = False, chunk: int = CHUNK) -> DataFrame:
     """Encode every text of ``docs(doc_id, text)``: ``doc_id, n_tokens, ids``, or with ``digest`` what op2 returns.
 
     ``path``: a tiktoken rank file, on every node. Texts are split once into words by the tokenizers'
-    public pattern. A chunk of neighbouring documents (``chunk`` bytes, or one longer text) is a
-    row: its distinct words, each with a number, and at every position a number. The words of all
-    chunks are exploded and made distinct over the whole table; each distinct word is encoded once, and
-    decoded once by a join with the token-byte table. Ids and bytes are joined back to the chunks' words
-    (of a frequent word's many rows Spark may split the join) and gathered by chunk and number; then
-    each chunk, alone with its own words, puts its documents together by position.
+    public pattern. A chunk of neighbouring documents (``chunk`` bytes, or one longer text) is a row: its
+    distinct words, each with a number, and at every position a number. The words of all chunks are
+    exploded and made distinct over the whole table; each distinct word is encoded once, and decoded
+    once by a join with the token-byte table. Ids are joined back to the chunks' words (of a frequent
+    word's many rows Spark may split the join), and decoded bytes where they differ from the word;
+    they are gathered by chunk, and each chunk puts its documents together by position.
 
     No group is held whole but a chunk's words, which its bytes bound. Rows are told apart by chunk
     and place, never by doc_id. Null or empty texts have no ids; equal, shared and null doc_ids come
     back as often as they came. Very long words and texts are encoded whole. An empty table gives no
     rows. Other columns are ignored.
     """
-    spark = docs.sparkSession
+    spark, width = docs.sparkSession, 2 if max(read_ranks(path).values()) < 1 << 16 else 4
     chunks = docs.select("doc_id", "text").mapInArrow(_chunks(chunk), "chunk long, doc_ids array<long>, sizes array<long>, codes binary, words array<binary>")
     chunks = materialize(chunks, "chunks")
     words = chunks.select("chunk", F.posexplode("words").alias("number", "word"))
-    encoded = words.select("word").distinct().mapInArrow(_encoded(path), "word binary, ids array<int>")
+    encoded = words.select("word").distinct().mapInArrow(_encoded(path, width), "word binary, ids array<int>, packed binary")
+    other = F.lit(None).cast("struct<number:int,bytes:binary>")
     if digest:
         encoded = materialize(encoded, "words")
-        encoded = encoded.join(_spelt(encoded, "word", token_bytes(spark, path)), "word")
-    else:
-        encoded = encoded.withColumn("bytes", F.lit(None).cast("binary"))
-    told = words.join(encoded, "word").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("number", "ids", "bytes"))).alias("told"))
-    whole = chunks.drop("words").join(told, "chunk", "left")
+        spelt = _spelt(encoded, "word", token_bytes(spark, path))
+        encoded = encoded.select("word", "packed").join(spelt.select("word", F.when(F.col("bytes") != F.col("word"), F.col("bytes")).alias("bytes")), "word")
+        other = F.when(F.col("bytes").isNotNull(), F.struct("number", "bytes"))
+    told = words.join(encoded, "word").groupBy("chunk").agg(F.collect_list("number").alias("numbers"), F.collect_list("packed").alias("packed"), F.collect_list(other).alias("other"))
+    whole = chunks.join(told, "chunk", "left")
     schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>")
-    return whole.mapInArrow(_reassembled(digest), schema)
+    return whole.mapInArrow(_reassembled(digest, width), schema)
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +40,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/curatrix/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _WRITTEN.append(path)
     if len(_WRITTEN) % TIDY == 0:
         # Spark deletes shuffle files and broadcasts of what is done only when the driver's garbage is collected.
@@ -49,21 +48,20 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-@contextmanager
-def release(spark: SparkSession):
-    """Delete the tables that ``materialize`` writes inside, but for the one last written before ``keep(df)``."""
-    begin, kept = len(_WRITTEN), []
-
-    def keep(df: DataFrame) -> DataFrame:
-        kept.append(_WRITTEN[-1])
-        return df
-
-    yield keep
+def release(spark: SparkSession, *keep: str) -> None:
+    """Delete the tables that ``materialize`` has written so far, but for those at the paths ``keep``, and let Spark
+    drop the shuffles of what is gone. For callers whose results that read them are written."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    for path in _WRITTEN[begin:]:
-        if path not in kept:
+    for path in _WRITTEN:
+        if path not in keep:
             hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop(path), True)
-    _WRITTEN[begin:] = kept
+    _WRITTEN[:] = [p for p in _WRITTEN if p in keep]
+    spark.sparkContext._jvm.System.gc()
+
+
+def last_written() -> str:
+    """The path of the table that ``materialize`` wrote last."""
+    return _WRITTEN[-1]
 
 
 def let(value: Column, body) -> Column:
