@@ -7,41 +7,64 @@ stages but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from curatrix.llm.bpe_codec import encode_documents
-from curatrix.llm.common import materialize, release, table
+from curatrix.llm.common import last_written, materialize, release, table
 from curatrix.llm.mixing import repeat_by_mix
 from curatrix.llm.near_dedup import drop_near_duplicates
 from curatrix.llm.quality_rules import drop_low_quality
 from curatrix.llm.toxicity import drop_toxic
 
 
+#: The stage result that is being read, where ``run`` wrote it.
+_READ: list[str] = []
+
+
+def _stage(f: Callable) -> Callable:
+    """A stage's result is written before the next stage starts, so then what earlier ones have left is deleted."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, *_READ)
+        return f(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows that pass the quality rules, each judged by its own text. Null, empty and short texts go; rows that
     share a doc_id, equal rows and rows without lang or source are judged each. No rows give no rows."""
     return drop_low_quality(docs)
 
 
+@_stage
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows that don't score as toxic, each scored by its own text. Without usable labels, and for null and
     empty texts, the base rate decides. No rows give no rows."""
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies, that of the least doc_id, and one of rows equal in all columns. Null,
     empty and wordless texts have no copies. No rows give no rows."""
     return drop_near_duplicates(docs)
 
 
+@_stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes its document; rows without words go. A null source is a source; rows
     that share a doc_id are repeated alike. No rows give no rows."""
     return repeat_by_mix(docs)
 
 
+@_stage
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids`` of every row; null and empty texts have no ids. No rows give no rows."""
     return encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -54,9 +77,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages. What a stage has written besides its result is deleted once its result is."""
+    """All stages, each written before the next."""
     docs = table(spark, sf_dir, "documents")
+    _READ.clear()
     for name, stage in STAGES[:-1]:
-        with release(spark) as keep:
-            docs = keep(materialize(stage(spark, docs, sf_dir), name.replace(" ", "-")))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        _READ[:] = [last_written()]
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    _READ.clear()
+    return out
