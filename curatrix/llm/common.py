@@ -48,20 +48,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, *keep: str) -> None:
-    """Delete the tables that ``materialize`` has written so far, but for those at the paths ``keep``, and let Spark
-    drop the shuffles of what is gone. For callers whose results that read them are written."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    for path in _WRITTEN:
-        if path not in keep:
-            hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop(path), True)
-    _WRITTEN[:] = [p for p in _WRITTEN if p in keep]
-    spark.sparkContext._jvm.System.gc()
+def written() -> list[str]:
+    """The paths of the tables that ``materialize`` has written, in order."""
+    return list(_WRITTEN)
 
 
-def last_written() -> str:
-    """The path of the table that ``materialize`` wrote last."""
-    return _WRITTEN[-1]
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that ``materialize`` has written, and let Spark drop the shuffles of what is gone. For callers
+    whose results that read them are written."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in paths:
+        hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop(path), True)
+    spark.sparkContext._jvm.System.gc()
 
 
 def let(value: Column, body) -> Column:
