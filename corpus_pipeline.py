@@ -14,24 +14,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from curatrix.llm.bpe_codec import encode_documents
-from curatrix.llm.common import last_written, materialize, release, table
+from curatrix.llm.common import materialize, release, table, written
 from curatrix.llm.mixing import repeat_by_mix
 from curatrix.llm.near_dedup import drop_near_duplicates
 from curatrix.llm.quality_rules import drop_low_quality
 from curatrix.llm.toxicity import drop_toxic
 
 
-#: The stage result that is being read, where ``run`` wrote it.
-_READ: list[str] = []
+#: What the stage before has written besides its result.
+_LEFT: list[str] = []
 
 
 def _stage(f: Callable) -> Callable:
-    """A stage's result is written before the next stage starts, so then what earlier ones have left is deleted."""
+    """A stage's result is written before the next stage starts, so then what else it wrote is deleted."""
 
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(spark, *_READ)
-        return f(spark, docs, sf_dir)
+        release(spark, _LEFT)
+        before = len(written())
+        out = f(spark, docs, sf_dir)
+        _LEFT[:] = written()[before:]
+        return out
 
     return run_stage
 
@@ -79,10 +82,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written before the next."""
     docs = table(spark, sf_dir, "documents")
-    _READ.clear()
+    _LEFT.clear()
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-        _READ[:] = [last_written()]
     out = STAGES[-1][1](spark, docs, sf_dir)
-    _READ.clear()
+    _LEFT.clear()
     return out
