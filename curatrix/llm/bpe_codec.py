@@ -80,11 +80,19 @@ def _chunks(size: int):
 
 
 def _encoded(path: str, width: int):
+    """Rows in order of their words to ``chunk, number, packed``: a word is encoded once, at its first row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, ids = None, b""
         for batch in batches:
-            ids = encode_words(batch["word"].to_pylist(), path)
-            packed = pa.array([np.array(x, f"<u{width}").tobytes() for x in ids], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch["word"], pa.array(ids, pa.list_(pa.int32())), packed], ["word", "ids", "packed"])
+            words = batch["word"].dictionary_encode()
+            distinct = words.dictionary.to_pylist()
+            known = distinct[:1] == [last]
+            found = [np.array(x, f"<u{width}").tobytes() for x in encode_words(distinct[known:], path)]
+            packed = [ids] * known + found
+            if distinct:
+                last, ids = distinct[-1], packed[-1]
+            yield pa.RecordBatch.from_arrays([batch["chunk"], batch["number"], pa.array(packed, pa.binary()).take(words.indices)], ["chunk", "number", "packed"])
 
     return run
 
@@ -96,38 +104,44 @@ def _gather(table: pa.Array, index: np.ndarray) -> tuple[memoryview, np.ndarray]
     return memoryview(taken.buffers()[2] or b""), ends
 
 
-def _reassembled(digest: bool, width: int):
-    """Chunks with their words' numbers, ids and, where they aren't the words themselves, decoded bytes, to
-    documents by position."""
+@lru_cache(maxsize=2)
+def token_table(path: str) -> tuple[pa.Array, pa.Array]:
+    """By token id: its bytes, and its decimal digits with a comma."""
+    ranks = read_ranks(path)
+    spelt = [b""] * (max(ranks.values()) + 1)
+    for token, i in ranks.items():
+        spelt[i] = token
+    return pa.array(spelt, pa.binary()), pa.array([b"%d," % i for i in range(len(spelt))], pa.binary())
+
+
+def _reassembled(digest: bool, path: str, width: int):
+    """Chunks with their words' numbers and ids to documents by position; ids to bytes by the token-byte table,
+    which every task has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press, kind = zstandard.ZstdDecompressor(), f"<u{width}"
         for batch in batches:
             for i in range(len(batch)):
-                doc_ids, sizes, words = (batch[c][i].values for c in ("doc_ids", "sizes", "words"))
+                doc_ids, sizes = (batch[c][i].values for c in ("doc_ids", "sizes"))
                 codes = np.frombuffer(press.decompress(batch["codes"][i].as_py()), np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel()
                 at = np.append(0, np.cumsum(sizes.to_numpy()))
-                place = np.zeros(len(words), np.int64)  # of each word's number, where its ids are
-                packed = pa.array([], pa.binary())
-                if len(words):
-                    packed = batch["packed"][i].values
-                    place[batch["numbers"][i].values.to_numpy()] = np.arange(len(words))
+                packed, place = pa.array([], pa.binary()), np.zeros(0, np.int64)
+                if len(codes):
+                    packed, numbers = batch["packed"][i].values, batch["numbers"][i].values.to_numpy()
+                    place = np.zeros(len(numbers), np.int64)  # of each word's number, where its ids are
+                    place[numbers] = np.arange(len(numbers))
                 flat, ends = _gather(packed, place[codes])
                 flat, ends = np.frombuffer(flat, kind), ends[at] // width
                 n = pa.array(np.diff(ends))
                 if not digest:
                     yield pa.RecordBatch.from_arrays([doc_ids, n, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.astype(np.int32)))], ["doc_id", "n_tokens", "ids"])
                     continue
-                spelt = words
-                if other := batch["other"][i].as_py():
-                    told = {x["number"]: x["bytes"] for x in other}
-                    spelt = pa.array([told.get(k, w) for k, w in enumerate(words.to_pylist())], pa.binary())
-                text, text_ends = _gather(spelt, codes)
-                written = pa.array([b"".join(b"%d," % x for x in np.frombuffer(own, kind).tolist()) for own in packed.to_pylist()], pa.binary())
-                digits, stops = _gather(written, place[codes])
-                text_ends, stops = text_ends[at], stops[at]
-                made = [hashlib.sha256(digits[a : max(a, b - 1)]).hexdigest() for a, b in zip(stops[:-1], stops[1:], strict=True)]
-                back = [hashlib.sha256(text[a:b]).hexdigest() for a, b in zip(text_ends[:-1], text_ends[1:], strict=True)]
+                spelt, decimal = token_table(path)
+                made, back = [], []
+                for a, b in zip(ends[:-1], ends[1:], strict=True):
+                    digits, stops = _gather(decimal, flat[a:b])
+                    made.append(hashlib.sha256(digits[: max(0, stops[-1] - 1)]).hexdigest())
+                    back.append(hashlib.sha256(_gather(spelt, flat[a:b])[0]).hexdigest())
                 yield pa.RecordBatch.from_arrays([doc_ids, n, pa.array(made), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
@@ -152,31 +166,24 @@ def encode_documents(docs: DataFrame, path: str, digest: bool = False, chunk: in
     ``path``: a tiktoken rank file, on every node. Texts are split once into words by the tokenizers'
     public pattern. A chunk of neighbouring documents (``chunk`` bytes, or one longer text) is a row: its
     distinct words, each with a number, and at every position a number. The words of all chunks are
-    exploded and made distinct over the whole table; each distinct word is encoded once, and decoded
-    once by a join with the token-byte table. Ids are joined back to the chunks' words (of a frequent
-    word's many rows Spark may split the join), and decoded bytes where they differ from the word;
-    they are gathered by chunk, and each chunk puts its documents together by position.
+    exploded and dealt out by word, so all rows of a word meet in order and it is encoded once (it has a
+    row per chunk at most); its ids go back to the chunks, which put their documents together by
+    position. Bytes are looked up in the token-byte table where that is done.
 
     No group is held whole but a chunk's words, which its bytes bound. Rows are told apart by chunk
     and place, never by doc_id. Null or empty texts have no ids; equal, shared and null doc_ids come
     back as often as they came. Very long words and texts are encoded whole. An empty table gives no
     rows. Other columns are ignored.
     """
-    spark, width = docs.sparkSession, 2 if max(read_ranks(path).values()) < 1 << 16 else 4
+    width = 2 if max(read_ranks(path).values()) < 1 << 16 else 4
     chunks = docs.select("doc_id", "text").mapInArrow(_chunks(chunk), "chunk long, doc_ids array<long>, sizes array<long>, codes binary, words array<binary>")
     chunks = materialize(chunks, "chunks")
-    words = chunks.select("chunk", F.posexplode("words").alias("number", "word"))
-    encoded = words.select("word").distinct().mapInArrow(_encoded(path, width), "word binary, ids array<int>, packed binary")
-    other = F.lit(None).cast("struct<number:int,bytes:binary>")
-    if digest:
-        encoded = materialize(encoded, "words")
-        spelt = _spelt(encoded, "word", token_bytes(spark, path))
-        encoded = encoded.select("word", "packed").join(spelt.select("word", F.when(F.col("bytes") != F.col("word"), F.col("bytes")).alias("bytes")), "word")
-        other = F.when(F.col("bytes").isNotNull(), F.struct("number", "bytes"))
-    told = words.join(encoded, "word").groupBy("chunk").agg(F.collect_list("number").alias("numbers"), F.collect_list("packed").alias("packed"), F.collect_list(other).alias("other"))
-    whole = chunks.join(told, "chunk", "left")
+    words = chunks.select("chunk", F.posexplode("words").alias("number", "word")).repartition("word").sortWithinPartitions("word")
+    encoded = words.select("chunk", "number", "word").mapInArrow(_encoded(path, width), "chunk long, number int, packed binary")
+    told = encoded.groupBy("chunk").agg(F.collect_list("number").alias("numbers"), F.collect_list("packed").alias("packed"))
+    whole = chunks.drop("words").join(told, "chunk", "left")
     schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>")
-    return whole.mapInArrow(_reassembled(digest, width), schema)
+    return whole.mapInArrow(_reassembled(digest, path, width), schema)
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
