@@ -9,6 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -39,11 +40,26 @@ def encode_words(words: list[bytes], path: str) -> list[list[int]]:
 
 #: Bytes of text whose documents share a chunk.
 CHUNK = 16 << 20
+#: Buckets of words per shuffle partition, and their most.
+FINE, MOST = 8, 1 << 15
 
 
-def _chunks(size: int):
-    """Documents to chunks, a row each: the doc_ids, the sizes in words, the distinct words, and at each
-    position the number of its word among them (zstd over byte planes)."""
+def _packed(words: list[bytes], press) -> bytes:
+    return press.compress(np.array([len(w) for w in words], "<u4").tobytes() + b"".join(words))
+
+
+def _unpacked(data: bytes, n: int, press) -> list[bytes]:
+    plain = press.decompress(data)
+    ends = (4 * n + np.append(0, np.cumsum(np.frombuffer(plain, "<u4", n), dtype=np.int64))).tolist()
+    return [plain[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+LIST = pa.struct([("bucket", pa.int32()), ("n", pa.int32()), ("words", pa.binary())])
+
+
+def _chunks(size: int, buckets: int):
+    """Documents to chunks, a row each: the doc_ids, the sizes in words, the distinct words by buckets of their
+    hash, and at each position the number of its word among them (zstd over byte planes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press, nth = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId() << 32
@@ -52,16 +68,23 @@ def _chunks(size: int):
 
         def chunk() -> pa.RecordBatch:
             words = pa.concat_arrays([p[2] for p in parts]).dictionary_encode()
-            number, at = words.indices.to_numpy(), np.cumsum([0] + [len(p[2]) for p in parts])
+            distinct = words.dictionary.to_pylist()
+            bucket = np.fromiter((xxhash.xxh32_intdigest(w) % buckets for w in distinct), np.int64, len(distinct))
+            order = np.argsort(bucket, kind="stable")  # numbers follow the buckets
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            number, at = rank[words.indices.to_numpy()], np.cumsum([0] + [len(p[2]) for p in parts])
+            filled, begin = np.unique(bucket[order], return_index=True)
+            lists = [(int(k), [distinct[i] for i in order[lo:hi]]) for k, lo, hi in zip(filled, begin, [*begin[1:], len(order)], strict=True)]
             codes = np.concatenate([number[lo:hi][p[3]] for p, lo, hi in zip(parts, at[:-1], at[1:], strict=True)]).astype(np.int32)
             columns = [
                 pa.array([nth], pa.int64()),
                 pa.array([[x for p in parts for x in p[0]]], pa.list_(pa.int64())),
                 pa.array([np.concatenate([p[1] for p in parts]).astype(np.int64)], pa.list_(pa.int64())),
                 pa.array([press.compress(codes.view(np.uint8).reshape(-1, 4).T.tobytes())], pa.binary()),
-                pa.ListArray.from_arrays(pa.array([0, len(words.dictionary)], pa.int32()), words.dictionary),
+                pa.array([[{"bucket": k, "n": len(own), "words": _packed(own, press)} for k, own in lists]], pa.list_(LIST)),
             ]
-            return pa.RecordBatch.from_arrays(columns, ["chunk", "doc_ids", "sizes", "codes", "words"])
+            return pa.RecordBatch.from_arrays(columns, ["chunk", "doc_ids", "sizes", "codes", "lists"])
 
         for batch in batches:
             for row, data, offsets in slices(batch["text"], min(size, SLICE)):
@@ -80,23 +103,38 @@ def _chunks(size: int):
 
 
 def _encoded(path: str, width: int):
-    """Rows in order of their words to ``chunk, number, packed``: a word is encoded once, at its first row."""
+    """Lists of words in order of their buckets to ``chunk, bucket, ids``: how many ids each word has, and those. A
+    bucket's words are known while its lists pass, so each is encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, ids = None, b""
+        press, undo = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        last, known = None, {}
         for batch in batches:
-            words = batch["word"].dictionary_encode()
-            distinct = words.dictionary.to_pylist()
-            known = distinct[:1] == [last]
-            found = [np.array(x, f"<u{width}").tobytes() for x in encode_words(distinct[known:], path)]
-            packed = [ids] * known + found
-            if distinct:
-                last, ids = distinct[-1], packed[-1]
-            yield pa.RecordBatch.from_arrays([batch["chunk"], batch["number"], pa.array(packed, pa.binary()).take(words.indices)], ["chunk", "number", "packed"])
+            made = []
+            for bucket, n, data in zip(*(batch[c].to_pylist() for c in ("bucket", "n", "words")), strict=True):
+                if bucket != last:
+                    last, known = bucket, {}
+                words = _unpacked(data, n, undo)
+                new = [w for w in words if w not in known]
+                known.update(zip(new, encode_words(new, path), strict=True))
+                ids = [known[w] for w in words]
+                made.append(press.compress(np.array([len(x) for x in ids], "<u4").tobytes() + np.array([i for x in ids for i in x], f"<u{width}").tobytes()))
+            yield pa.RecordBatch.from_arrays([batch["chunk"], batch["bucket"], batch["n"], pa.array(made, pa.binary())], ["chunk", "bucket", "n", "ids"])
 
     return run
 
 
+def _together(lists: list[dict], width: int, undo) -> pa.Array:
+    """The ids of a chunk's words by number, packed, from its lists in order of their buckets."""
+    counts, data = [np.zeros(1, np.int64)], []
+    for x in lists:
+        plain = undo.decompress(x["ids"])
+        counts.append(np.frombuffer(plain, "<u4", x["n"]).astype(np.int64))
+        data.append(plain[4 * x["n"] :])
+    ends = np.cumsum(np.concatenate(counts)) * width
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(b"".join(data))])
+
+
 def _gather(table: pa.Array, index: np.ndarray) -> tuple[memoryview, np.ndarray]:
     """The entries of a binary array at ``index``, end to end, and where each begins."""
     taken = table.cast(pa.large_binary()).take(pa.array(index))
@@ -115,7 +153,7 @@ def token_table(path: str) -> tuple[pa.Array, pa.Array]:
 
 
 def _reassembled(digest: bool, path: str, width: int):
-    """Chunks with their words' numbers and ids to documents by position; ids to bytes by the token-byte table,
+    """Chunks with their words' ids to documents by position; ids to bytes by the token-byte table,
     which every task has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,12 +163,7 @@ def _reassembled(digest: bool, path: str, width: int):
                 doc_ids, sizes = (batch[c][i].values for c in ("doc_ids", "sizes"))
                 codes = np.frombuffer(press.decompress(batch["codes"][i].as_py()), np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel()
                 at = np.append(0, np.cumsum(sizes.to_numpy()))
-                packed, place = pa.array([], pa.binary()), np.zeros(0, np.int64)
-                if len(codes):
-                    packed, numbers = batch["packed"][i].values, batch["numbers"][i].values.to_numpy()
-                    place = np.zeros(len(numbers), np.int64)  # of each word's number, where its ids are
-                    place[numbers] = np.arange(len(numbers))
-                flat, ends = _gather(packed, place[codes])
+                flat, ends = _gather(_together(batch["told"][i].as_py() or [], width, press), codes)
                 flat, ends = np.frombuffer(flat, kind), ends[at] // width
                 n = pa.array(np.diff(ends))
                 if not digest:
@@ -165,23 +198,24 @@ def encode_documents(docs: DataFrame, path: str, digest: bool = False, chunk: in
 
     ``path``: a tiktoken rank file, on every node. Texts are split once into words by the tokenizers'
     public pattern. A chunk of neighbouring documents (``chunk`` bytes, or one longer text) is a row: its
-    distinct words, each with a number, and at every position a number. The words of all chunks are
-    exploded and dealt out by word, so all rows of a word meet in order and it is encoded once (it has a
-    row per chunk at most); its ids go back to the chunks, which put their documents together by
-    position. Bytes are looked up in the token-byte table where that is done.
+    distinct words, packed by buckets of their hash, and at every position a word's number. The chunks'
+    lists are exploded and dealt out by bucket, so all of a word's lists (one per chunk at most) meet and
+    it is encoded once; ids go back to the chunks, which put their documents together by position.
+    Bytes are looked up in the token-byte table where that is done.
 
-    No group is held whole but a chunk's words, which its bytes bound. Rows are told apart by chunk
+    What is held whole is a chunk's words, which its bytes bound, and a bucket's distinct words. Rows are told apart by chunk
     and place, never by doc_id. Null or empty texts have no ids; equal, shared and null doc_ids come
     back as often as they came. Very long words and texts are encoded whole. An empty table gives no
     rows. Other columns are ignored.
     """
     width = 2 if max(read_ranks(path).values()) < 1 << 16 else 4
-    chunks = docs.select("doc_id", "text").mapInArrow(_chunks(chunk), "chunk long, doc_ids array<long>, sizes array<long>, codes binary, words array<binary>")
-    chunks = materialize(chunks, "chunks")
-    words = chunks.select("chunk", F.posexplode("words").alias("number", "word")).repartition("word").sortWithinPartitions("word")
-    encoded = words.select("chunk", "number", "word").mapInArrow(_encoded(path, width), "chunk long, number int, packed binary")
-    told = encoded.groupBy("chunk").agg(F.collect_list("number").alias("numbers"), F.collect_list("packed").alias("packed"))
-    whole = chunks.drop("words").join(told, "chunk", "left")
+    buckets = min(MOST, FINE * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    kinds = "chunk long, doc_ids array<long>, sizes array<long>, codes binary, lists array<struct<bucket:int,n:int,words:binary>>"
+    chunks = materialize(docs.select("doc_id", "text").mapInArrow(_chunks(chunk, buckets), kinds), "chunks")
+    lists = chunks.select("chunk", F.explode("lists").alias("x")).select("chunk", "x.*").repartition("bucket").sortWithinPartitions("bucket")
+    encoded = lists.mapInArrow(_encoded(path, width), "chunk long, bucket int, n int, ids binary")
+    told = encoded.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("bucket", "n", "ids"))).alias("told"))
+    whole = chunks.drop("lists").join(told, "chunk", "left")
     schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>")
     return whole.mapInArrow(_reassembled(digest, path, width), schema)
 
