@@ -41,13 +41,21 @@ def encode_words(words: list[bytes], path: str) -> list[list[int]]:
 #: Bytes of text whose documents share a chunk.
 CHUNK = 16 << 20
 #: Buckets of words per shuffle partition, and their most.
-FINE, MOST = 8, 1 << 15
+FINE, MOST = 2, 1 << 15
 
 
 def _packed(words: list[bytes], press) -> bytes:
     return press.compress(np.array([len(w) for w in words], "<u4").tobytes() + b"".join(words))
 
 
+def _planes(numbers: np.ndarray, press) -> bytes:
+    return press.compress(numbers.view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _from_planes(data: bytes, press) -> np.ndarray:
+    return np.frombuffer(press.decompress(data), np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel()
+
+
 def _unpacked(data: bytes, n: int, press) -> list[bytes]:
     plain = press.decompress(data)
     ends = (4 * n + np.append(0, np.cumsum(np.frombuffer(plain, "<u4", n), dtype=np.int64))).tolist()
@@ -70,10 +78,17 @@ def _chunks(size: int, buckets: int):
             words = pa.concat_arrays([p[2] for p in parts]).dictionary_encode()
             distinct = words.dictionary.to_pylist()
             bucket = np.fromiter((xxhash.xxh32_intdigest(w) % buckets for w in distinct), np.int64, len(distinct))
-            order = np.argsort(bucket, kind="stable")  # numbers follow the buckets
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            number, at = rank[words.indices.to_numpy()], np.cumsum([0] + [len(p[2]) for p in parts])
+            order = np.array(sorted(range(len(distinct)), key=lambda i: (bucket[i], distinct[i])), np.int64)
+            local, at = words.indices.to_numpy(), np.cumsum([0] + [len(p[2]) for p in parts])
+            # Frequent words have low numbers, which pack well; ``places`` has each number's place in the lists.
+            seen = np.zeros(len(distinct), np.int64)
+            for p, lo, hi in zip(parts, at[:-1], at[1:], strict=True):
+                np.add.at(seen, local[lo:hi], np.bincount(p[3], minlength=hi - lo))
+            frequent = np.argsort(-seen, kind="stable")
+            rank, places = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+            rank[frequent] = np.arange(len(order))
+            places[rank[order]] = np.arange(len(order))
+            number = rank[local]
             filled, begin = np.unique(bucket[order], return_index=True)
             lists = [(int(k), [distinct[i] for i in order[lo:hi]]) for k, lo, hi in zip(filled, begin, [*begin[1:], len(order)], strict=True)]
             codes = np.concatenate([number[lo:hi][p[3]] for p, lo, hi in zip(parts, at[:-1], at[1:], strict=True)]).astype(np.int32)
@@ -81,10 +96,11 @@ def _chunks(size: int, buckets: int):
                 pa.array([nth], pa.int64()),
                 pa.array([[x for p in parts for x in p[0]]], pa.list_(pa.int64())),
                 pa.array([np.concatenate([p[1] for p in parts]).astype(np.int64)], pa.list_(pa.int64())),
-                pa.array([press.compress(codes.view(np.uint8).reshape(-1, 4).T.tobytes())], pa.binary()),
+                pa.array([_planes(codes, press)], pa.binary()),
+                pa.array([_planes(places.astype(np.int32), press)], pa.binary()),
                 pa.array([[{"bucket": k, "n": len(own), "words": _packed(own, press)} for k, own in lists]], pa.list_(LIST)),
             ]
-            return pa.RecordBatch.from_arrays(columns, ["chunk", "doc_ids", "sizes", "codes", "lists"])
+            return pa.RecordBatch.from_arrays(columns, ["chunk", "doc_ids", "sizes", "codes", "places", "lists"])
 
         for batch in batches:
             for row, data, offsets in slices(batch["text"], min(size, SLICE)):
@@ -161,9 +177,9 @@ def _reassembled(digest: bool, path: str, width: int):
         for batch in batches:
             for i in range(len(batch)):
                 doc_ids, sizes = (batch[c][i].values for c in ("doc_ids", "sizes"))
-                codes = np.frombuffer(press.decompress(batch["codes"][i].as_py()), np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel()
+                codes, places = (_from_planes(batch[c][i].as_py(), press) for c in ("codes", "places"))
                 at = np.append(0, np.cumsum(sizes.to_numpy()))
-                flat, ends = _gather(_together(batch["told"][i].as_py() or [], width, press), codes)
+                flat, ends = _gather(_together(batch["told"][i].as_py() or [], width, press), places[codes])
                 flat, ends = np.frombuffer(flat, kind), ends[at] // width
                 n = pa.array(np.diff(ends))
                 if not digest:
@@ -210,8 +226,8 @@ def encode_documents(docs: DataFrame, path: str, digest: bool = False, chunk: in
     """
     width = 2 if max(read_ranks(path).values()) < 1 << 16 else 4
     buckets = min(MOST, FINE * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    kinds = "chunk long, doc_ids array<long>, sizes array<long>, codes binary, lists array<struct<bucket:int,n:int,words:binary>>"
-    chunks = materialize(docs.select("doc_id", "text").mapInArrow(_chunks(chunk, buckets), kinds), "chunks")
+    kinds = "chunk long, doc_ids array<long>, sizes array<long>, codes binary, places binary, lists array<struct<bucket:int,n:int,words:binary>>"
+    chunks = materialize(docs.select("doc_id", "text").mapInArrow(_chunks(chunk, buckets), kinds), "chunks", by="chunk")
     lists = chunks.select("chunk", F.explode("lists").alias("x")).select("chunk", "x.*").repartition("bucket").sortWithinPartitions("bucket")
     encoded = lists.mapInArrow(_encoded(path, width), "chunk long, bucket int, n int, ids binary")
     told = encoded.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("bucket", "n", "ids"))).alias("told"))

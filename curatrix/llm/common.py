@@ -33,19 +33,26 @@ TIDY = 6
 _WRITTEN: list[str] = []
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     """Cut lineage: write ``df`` as a table in the shared folder and read it back.
 
-    What later stages reread survives the loss of any executor, and a loop's plan stays short.
+    What later stages reread survives the loss of any executor, and a loop's plan stays short. A table that
+    is bucketed ``by`` a column isn't shuffled again where it is joined on it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/curatrix/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    name = f"{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/curatrix/{name}"
+    out = df.write.option("compression", "zstd")
+    if by:
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        out.bucketBy(n, by).option("path", path).saveAsTable(name.replace("-", "_"))
+    else:
+        out.parquet(path)
     _WRITTEN.append(path)
     if len(_WRITTEN) % TIDY == 0:
         # Spark deletes shuffle files and broadcasts of what is done only when the driver's garbage is collected.
         spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.table(name.replace("-", "_")) if by else spark.read.schema(df.schema).parquet(path)
 
 
 def written() -> list[str]:
