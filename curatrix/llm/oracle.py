@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules
+from . import clustering, mixing, quality_rules
+from .lexical_search import TERM
 from .mixing import Mix
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
@@ -75,6 +76,55 @@ from (select doc_id, lang, source, coalesce(text, '') as text, regexp_extract_al
 """
 
 
+OP12 = r"""
+with docs as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM}') as t from documents
+), sizes as materialized (
+  select r, doc_id, cast(len(t) as bigint) as n from docs where len(t) > 0
+), whole as (
+  select count(*) as docs, cast(sum(n) as bigint) as total from sizes
+), wanted as materialized (
+  select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM}')) as term from benchmark
+), held as materialized (
+  select r, term, count(*) as tf from (select r, unnest(t) as term from docs) x where term in (select term from wanted) group by r, term
+), weights as (
+  select term, cast(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) as bigint) as w from held, whole group by term, docs
+), impacts as (
+  select h.r, h.term, (1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total)) as value from held h join sizes s on h.r = s.r, whole
+), scores as (
+  select item_id, i.r, cast(sum(w * value) as bigint) as score from wanted a join weights b on a.term = b.term join impacts i on a.term = i.term group by item_id, i.r
+)
+select item_id, cast(k as int) as rank, doc_id, score from (
+  select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id) as k from scores c join sizes s on c.r = s.r where score > 0) x where k <= 10
+"""
+
+
+def op12() -> str:
+    return OP12.replace("{TERM}", TERM)
+
+
+def op13(s: clustering.Settings = clustering.Settings()) -> str:
+    """Every round as two steps: vectors to centroids, centroids to rounded-down means."""
+    far = f"list_sum(list_transform(range(1, {s.dim + 1}), lambda i: (x.v[i] - c.v[i]) * (x.v[i] - c.v[i])))"
+    parts = [
+        ("kept", f"""select row_number() over () as r, vec_id, list_transform(embedding, lambda x: cast(floor({s.scale} * cast(x as double)) as bigint)) as v from embeddings
+        where len(embedding) = {s.dim} and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = {s.dim}"""),
+        ("c0", f"select row_number() over (order by h, v) - 1 as c, v from (select sha256('{s.seed}:' || coalesce(cast(vec_id as varchar), '')) as h, v from kept order by h, v limit {s.k}) x"),
+    ]
+    for k in range(s.rounds + 1):
+        parts.append((f"a{k}", f"select r, vec_id, any_value(v) as v, arg_min(c, d * {s.k} + c) as c, min(d) as d from (select x.*, c.c, cast({far} as hugeint) as d from kept x cross join c{k} c) y group by r, vec_id"))
+        if k < s.rounds:
+            total = f"select c, i, sum(v[i]) as t, count(*) as n from (select c, v, unnest(range(1, {s.dim + 1})) as i from a{k}) x group by c, i"
+            parts.append((f"m{k}", f"select c, list(cast((t - ((t % n) + n) % n) // n as bigint) order by i) as v from ({total}) x group by c"))
+            parts.append((f"c{k + 1}", f"select c.c, coalesce(m.v, c.v) as v from c{k} c left join m{k} m on c.c = m.c"))
+    last = s.rounds
+    return (
+        "with " + ", ".join(f"{name} as materialized ({sql})" for name, sql in parts)
+        + " select a.vec_id, cast(a.c as int) as cluster, cast(d as bigint) as distance, cast(sum(d) over (partition by a.c) as bigint) as cluster_inertia, cast(sum(d) over () as bigint) as inertia,"
+        f" sha256(array_to_string(c.v, ',')) as centroid_sha256 from a{last} a join c{last} c on a.c = c.c"
+    )
+
+
 def op3(rules: list[tuple[str, str]]) -> str:
     rows = ", ".join(f"('{r}', '{v}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in rules)
     return OP3.replace("{rules}", rows)

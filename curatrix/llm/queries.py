@@ -1,4 +1,4 @@
-"""The queries over the ten operators, and their SQL for the checking engine."""
+"""The queries over the operators, and their SQL for the checking engine."""
 
 from __future__ import annotations
 
@@ -7,8 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import oracle
 from .bpe_codec import encode_documents
+from .clustering import clustered
 from .common import table
 from .fingerprints import fingerprint_documents
+from .language_id import identify_languages
+from .lexical_search import search
 from .mixing import mix_sources
 from .near_dedup import Settings, near_duplicates
 from .quality_classifier import score_quality
@@ -68,6 +71,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustered(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = [
     op1_fingerprints,
     op2_bpe_codec,
@@ -79,6 +94,9 @@ QUERIES = [
     op8_toxicity,
     op9_quality_classifier,
     op10_token_counts,
+    op11_language_id,
+    op12_lexical_search,
+    op13_clustering,
 ]
 
 
@@ -88,4 +106,11 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """By query; the others are tested against brute force, round trips or held-out labels."""
-    return {"op3_url_filter": oracle.op3(RULES), "op4_near_dedup": oracle.OP4, "op5_quality_rules": oracle.op5(), "op6_mixing": oracle.op6()}
+    return {
+        "op3_url_filter": oracle.op3(RULES),
+        "op4_near_dedup": oracle.OP4,
+        "op5_quality_rules": oracle.op5(),
+        "op6_mixing": oracle.op6(),
+        "op12_lexical_search": oracle.op12(),
+        "op13_clustering": oracle.op13(),
+    }
