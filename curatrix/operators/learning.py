@@ -1,27 +1,36 @@
-"""Fitting, selecting and scoring with Spark ML."""
+"""Fitting, selecting and scoring (N1 to N11, E5): boosted trees of ``boosting``, linear models of Spark ML."""
 
 from __future__ import annotations
 
+import hashlib
 import itertools
+import json
 import random
-from collections.abc import Sequence
+import threading
+import time
+import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.session import cut
+from ..functions.session import cut, fresh_folder
+from ..sources.tables import append_registry, read_registry
+from .boosting import MANY_TREES, Boosting, Ensemble, Run, fit_boosted, score_boosted
 from .calibration import apply_isotonic, conformal_pvalues, ensemble_oof, fit_isotonic, nonconformity, prediction_sets, uncertainty
 from .joins import union_all
 from .metrics import best_threshold, binary_metrics, ranking
 from .profiling import binary_violations, select_best, validate_binary
 from .splits import class_weights, holdout_guard, stratified_folds, stratified_holdout
 
-#: The boosted trees' settings.
-DEPTH, STEP, SEED, ROUNDS = 6, 0.05, 42, 100
+#: The seed of trials, and the settings of an increment's rounds.
+SEED, MORE_ROUNDS, MORE_PATIENCE, HELD = 42, 1000, 50, 0.1
 
 
 def guard_classes(df: DataFrame, label: str) -> None:
@@ -36,27 +45,21 @@ def _prepared(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     return assembled.join(F.broadcast(weights), F.col(label) == F.col("__l")).withColumn("label", F.col(label).cast("double")).drop("__l")  # two rows
 
 
-def fit_endpoint(df: DataFrame, features: Sequence[str], label: str, kind: str = "trees", rounds: int = ROUNDS, validation: str | None = None, **settings) -> PipelineModel:
-    """Balanced boosted trees, or a linear model (N1). ``validation``: a boolean column of rows that stop
-    the boosting when they no longer improve."""
+def fit_endpoint(df: DataFrame, features: Sequence[str], label: str, kind: str = "trees", validation: str | None = None, going: Callable[[], bool] = lambda: True, **settings) -> PipelineModel | Ensemble:
+    """Balanced boosted trees, or a linear model (N1). ``validation``: a boolean column of rows that choose the
+    boosting's best round. ``settings`` are those of ``Boosting`` or of the linear learner."""
+    if kind != "linear":
+        return fit_boosted(df, features, label, Boosting(**settings), validation, going=going).ensemble
     guard_classes(df, label)
     rows = _prepared(df.where(F.col(label).isNotNull()), features, label)
-    if kind == "linear":
-        learner = LogisticRegression(weightCol="weight", **{"maxIter": 50, "regParam": 0.01} | settings)
-    else:
-        learner = GBTClassifier(weightCol="weight", seed=SEED, **{"maxDepth": DEPTH, "stepSize": STEP, "maxIter": rounds} | settings)
-        if validation:
-            learner = learner.setValidationIndicatorCol(validation)
+    learner = LogisticRegression(weightCol="weight", **{"maxIter": 50, "regParam": 0.01} | settings)
     return PipelineModel([VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep"), learner.fit(rows)])
 
 
-def rounds_of(model: PipelineModel) -> int:
-    """The boosting rounds that a fitted model kept."""
-    return model.stages[-1].getNumTrees
-
-
-def score(model: PipelineModel, df: DataFrame, out: str = "score", valid=None) -> DataFrame:
+def score(model: PipelineModel | Ensemble, df: DataFrame, out: str = "score", valid=None) -> DataFrame:
     """Adds the probability of class 1; null, never 0, for rows that aren't ``valid`` (E5)."""
+    if isinstance(model, Ensemble):
+        return score_boosted(model, df, out, valid)
     probability = vector_to_array("probability")[1]
     scored = model.transform(df).withColumn(out, probability if valid is None else F.when(valid, probability))
     return scored.select(*df.columns, out)
@@ -81,9 +84,8 @@ def trial_table(grid: dict[str, Sequence], baseline: dict, most: int, seed: int
     return [baseline, *rest][:most]
 
 
-def out_of_fold(df: DataFrame, row_id: str, features: Sequence[str], label: str, k: int, order, **fit) -> DataFrame:
-    """``row_id, label, fold, score``: each fold scored by a model of the others."""
-    folded = cut(stratified_folds(df.where(F.col(label).isNotNull()), label, k, order))
+def out_of_fold(folded: DataFrame, row_id: str, features: Sequence[str], label: str, k: int, **fit) -> DataFrame:
+    """``row_id, label, fold, score``: each ``fold`` scored by a model of the others."""
     parts = []
     for fold in range(k):
         model = fit_endpoint(folded.where(F.col("fold") != fold), features, label, **fit)
@@ -91,49 +93,103 @@ def out_of_fold(df: DataFrame, row_id: str, features: Sequence[str], label: str,
     return union_all(*parts)
 
 
-def run_trials(df: DataFrame, row_id: str, features: Sequence[str], label: str, trials: Sequence[dict], k: int, order) -> DataFrame:
-    """``trial, settings, auc, error`` by inner cross-validation; a failing trial is a row, not an end."""
-    rows = []
-    for i, settings in enumerate(trials):
-        try:
-            auc = ranking(out_of_fold(df, row_id, features, label, k, order, **settings), "score", label).first().auc
-            rows.append((i, str(sorted(settings.items())), auc, None))
-        except Exception as e:  # the trial's own failure is its result
-            rows.append((i, str(sorted(settings.items())), None, f"{type(e).__name__}: {e}"[:500]))
-    return df.sparkSession.createDataFrame(rows, "trial int, settings string, auc double, error string")
+#: A line of the log of trials.
+TRIAL = "key string, settings string, status string, auc double, error string"
+
+
+def trial_key(settings: dict, scope: str = "") -> str:
+    """The same for the same settings, in whatever order, of the same scope."""
+    return hashlib.sha256(f"{scope}\n{json.dumps(settings, sort_keys=True)}".encode()).hexdigest()
+
 
+def run_trials(
+    df: DataFrame, row_id: str, features: Sequence[str], label: str, trials: Sequence[dict], k: int, order, path: str | None = None, scope: str = "",
+    parallel: int = 4, seconds: float | None = None,
+) -> DataFrame:
+    """``trial, key, settings, status, auc, error`` by inner cross-validation (N4); a trial that fails is a row, not an end.
 
-def nested_cv(df: DataFrame, row_id: str, features: Sequence[str], label: str, trials: Sequence[dict], k_outer: int, k_inner: int, order) -> DataFrame:
-    """Out-of-fold scores ``row_id, label, fold, trial, score``; each outer fold selects on the others."""
+    ``parallel`` trials run at a time, each in a scheduler pool and a job group of its own; one that takes more than ``seconds``
+    has its jobs cancelled and is ``timed out``. Each result is a line of the log at ``path`` as soon as it is there: a
+    call with the same log and ``scope`` (a name for the rows) runs only what isn't ``ok`` yet.
+    """
+    spark = df.sparkSession
+    sc, path, name = spark.sparkContext, path or fresh_folder(spark, "trials"), uuid.uuid4().hex[:8]
+    keys = [trial_key(t, scope) for t in trials]
+    told = {r.key: tuple(r) for r in read_log(spark, path).where("status = 'ok'").where(F.col("key").isin(keys)).collect()}
+    folded = cut(stratified_folds(df.where(F.col(label).isNotNull()), label, k, order))
+    ended, began = {key: threading.Event() for key in keys}, {}
+
+    def one(key: str, settings: dict, pool: int) -> tuple:
+        sc.setLocalProperty("spark.scheduler.pool", f"trials-{pool}")
+        sc.setJobGroup(f"{name}-{key}", f"trial {settings}", interruptOnCancel=True)
+        began[key] = time.monotonic()
+        line = (key, json.dumps(settings, sort_keys=True))
+        try:
+            found = out_of_fold(folded, row_id, features, label, k, going=lambda: not ended[key].is_set(), **settings)
+            auc = ranking(found, "score", label).first().auc
+            return (*line, "ok", auc, None)
+        except Exception as e:  # the trial's own failure is its result
+            late = ended[key].is_set()
+            return (*line, "timed out" if late else "failed", None, f"more than {seconds:g} s" if late else f"{type(e).__name__}: {e}"[:500])
+
+    todo = dict(zip(keys, trials, strict=True))
+    with ThreadPoolExecutor(parallel) as threads:
+        running = {threads.submit(inheritable_thread_target(spark)(one), key, t, i % parallel) for i, (key, t) in enumerate(todo.items()) if key not in told}
+        while running:
+            over, running = wait(running, timeout=1 if seconds is None else min(1, seconds / 4), return_when=FIRST_COMPLETED)
+            for line in [f.result() for f in over]:
+                append_registry(spark.createDataFrame([line], TRIAL), path)
+                told[line[0]] = line
+            for key, start in list(began.items()):
+                if seconds is not None and key not in told and time.monotonic() - start > seconds:
+                    ended[key].set()
+                    sc.cancelJobGroup(f"{name}-{key}")  # again until it has ended, as it may start another
+    return spark.createDataFrame([(i, *told[key]) for i, key in enumerate(keys)], f"trial int, {TRIAL}")
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a log of trials; none yet is an empty log."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    return read_registry(spark, path, TRIAL) if there else spark.createDataFrame([], TRIAL)
+
+
+def nested_cv(
+    df: DataFrame, row_id: str, features: Sequence[str], label: str, trials: Sequence[dict], k_outer: int, k_inner: int, order, path: str | None = None, scope: str = "", **how
+) -> DataFrame:
+    """Out-of-fold scores ``row_id, label, fold, trial, score``; each outer fold selects on the others (N5). ``how``: as for
+    ``run_trials``, whose log all outer folds share."""
+    path = path or fresh_folder(df.sparkSession, "trials")
     folded = cut(stratified_folds(df.where(F.col(label).isNotNull()), label, k_outer, order))
     parts = []
     for fold in range(k_outer):
         inner = folded.where(F.col("fold") != fold).drop("fold")
-        best = select_best(run_trials(inner, row_id, features, label, trials, k_inner, order), "auc", "trial").first()
+        told = run_trials(inner, row_id, features, label, trials, k_inner, order, path, f"{scope}/{fold}", **how)
+        best = select_best(told.where("status = 'ok'"), "auc", "trial").first()
+        if best is None or best.trial is None:
+            raise RuntimeError(f"all {len(trials)} trials failed in outer fold {fold}: see {path}")
         model = fit_endpoint(inner, features, label, **trials[best.trial])
         parts.append(score(model, folded.where(F.col("fold") == fold)).select(row_id, label, "fold", F.lit(best.trial).alias("trial"), "score"))
     return union_all(*parts)
 
 
-def fit_final(splits: Sequence[DataFrame], features: Sequence[str], label: str, best_iteration: int | None) -> PipelineModel:
-    """Refit on all splits with the frozen number of rounds, best_iteration + 1."""
-    if best_iteration is None:
-        raise ValueError("no best_iteration was recorded; the number of rounds would be a guess")
-    return fit_endpoint(union_all(*splits), features, label, rounds=best_iteration + 1)
-
+def fit_increment(parent: Ensemble, new: DataFrame, label: str, row_id: str, order, old: DataFrame | None = None, frac: float = HELD, many: int = MANY_TREES, **settings) -> dict:
+    """Trees of the new rows on top of the parent's, which stay (N7). ``old``: rows that the parent has seen (their ``row_id``).
 
-def fit_increment(old: DataFrame, new: DataFrame, features: Sequence[str], label: str, row_id: str, order, frac: float = 0.2, **fit) -> tuple[PipelineModel, DataFrame]:
-    """A model of the old rows and the new (N7), and its metrics on new rows that were held out first."""
+    A stratified part of the new rows is held out first; it chooses the best round. Returns ``run``; ``metrics`` on those held-out
+    rows that the parent hasn't seen either; ``reason``, why nothing could be held out, or ''; ``n_new``, the trees added; and
+    ``too_many``, whether the ensemble had better be fitted anew.
+    """
     validate_binary(new, label)
-    if holdout_guard(new, label, frac).first().enabled:
-        marked = cut(stratified_holdout(new, label, frac, order))
-        train, held = marked.where("not holdout").drop("holdout"), marked.where("holdout").drop("holdout")
-    else:
-        train, held = new, new.limit(0)
-    seen = union_all(old, train)
-    model = fit_endpoint(seen, features, label, **fit)
-    fair = held.join(old.select(row_id), row_id, "left_anti")
-    return model, ranking(score(model, fair), "score", label)
+    guard = holdout_guard(new, label, frac).first()
+    marked = stratified_holdout(new.where(F.col(label).isNotNull()), label, frac, order) if guard.enabled else new.withColumn("holdout", F.lit(False))
+    marked = cut(marked)
+    s = Boosting(**{"rounds": MORE_ROUNDS, "patience": MORE_PATIENCE} | settings)
+    run = fit_boosted(marked, parent.features, label, s, "holdout" if guard.enabled else None, parent)
+    held = marked.where("holdout").drop("holdout")
+    fair = held if old is None else held.join(old.select(row_id), row_id, "left_anti")
+    n = len(run.ensemble.trees)
+    return {"run": run, "metrics": ranking(score(run.ensemble, fair), "score", label), "reason": guard.reason, "n_new": n - len(parent.trees), "too_many": n >= many}
 
 
 def evaluate_test_once(oof: DataFrame, test: DataFrame, row_id: str, label: str, n_seeds: int, alpha: float = 0.10) -> dict[str, DataFrame]:

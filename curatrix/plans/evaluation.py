@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.session import cut
+from ..operators import boosting as B
 from ..operators import calibration as L
 from ..operators import extensions as Z
 from ..operators import features as X
@@ -514,34 +515,18 @@ def _learnable(spark, d):
 
 @query()
 def fit_and_score(spark, d):
-    """The learner's own settings, stopped by the validation split; its rounds are what a refit freezes."""
+    """The endpoints' depth, step and rounds; the validation split chooses the best round and, a few rounds without a better
+    one later, ends the fit."""
     rows = cut(G.group_split(_learnable(spark, d), "source"))
-    model = N.fit_endpoint(rows.where("split <> 'test'").withColumn("stops", F.col("split") == "val"), FEATURES, "quality", rounds=12, validation="stops")
-    return M.ranking(N.score(model, rows), "score", "quality", ["split"]).withColumn("n_rounds", F.lit(N.rounds_of(model)))
-
-
-@query()
-def final_refit(spark, d):
-    """All splits, with as many rounds as the validated run kept."""
-    rows = cut(G.group_split(_learnable(spark, d), "source"))
-    first = N.fit_endpoint(rows.where("split <> 'test'").withColumn("stops", F.col("split") == "val"), FEATURES, "quality", rounds=6, validation="stops")
-    parts = [rows.where(F.col("split") == s) for s in ("train", "val", "test")]
-    model = N.fit_final(parts, FEATURES, "quality", N.rounds_of(first) - 1)
-    return M.ranking(N.score(model, rows), "score", "quality").withColumn("same_rounds", F.lit(N.rounds_of(model) == N.rounds_of(first)))
-
-
-@query()
-def incremental_round(spark, d):
-    """New rows join the old; what was held out of them first gives the metrics."""
-    rows = cut(_learnable(spark, d))
-    old, new = rows.where("doc_id % 3 <> 0"), rows.where("doc_id % 3 = 0")
-    return N.fit_increment(old, new, FEATURES, "quality", "doc_id", _order(), kind="linear")[1]
+    run = B.fit_boosted(rows.where("split <> 'test'").withColumn("stops", F.col("split") == "val"), FEATURES, "quality", B.Boosting(patience=6, every=8), "stops")
+    return M.ranking(N.score(run.ensemble, rows), "score", "quality", ["split"]).withColumn("best_iteration", F.lit(run.best_iteration))
 
 
 @query()
 def nested_cv(spark, d):
-    trials = N.trial_table({"regParam": [0.1, 0.01]}, {"regParam": 0.1}, 2)
-    return N.nested_cv(_learnable(spark, d), "doc_id", FEATURES, "quality", [t | {"kind": "linear"} for t in trials], 2, 2, _order())
+    """Settings of the trees chosen within each outer fold, several trials at a time."""
+    trials = N.trial_table({"depth": [2, 4], "step": [0.05, 0.3], "shrink": [1.0, 3.0]}, {"depth": 4, "step": 0.05, "shrink": 3.0}, 3)
+    return N.nested_cv(_learnable(spark, d), "doc_id", FEATURES, "quality", [t | {"rounds": 3} for t in trials], 3, 2, _order())
 
 
 @query()

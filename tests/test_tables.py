@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from curatrix.functions import scalars as S
+from curatrix.operators import boosting as B
 from curatrix.operators import calibration as L
 from curatrix.operators import dedup as W
 from curatrix.operators import features as X
@@ -230,7 +231,7 @@ def test_labels_and_nulls(spark):
     with pytest.raises(ValueError):
         N.guard_classes(spark.createDataFrame([(1,)], "y int"), "y")
     with pytest.raises(ValueError):
-        N.fit_final([rows], ["a"], "b", None)
+        B.refit_boosted(rows, ["a"], "b", B.Run(B.Ensemble(("a",), ((),)), [], None))
     assert N.trial_table({"x": [1, 2, 3]}, {"x": 2}, 2)[0] == {"x": 2}
 
 
