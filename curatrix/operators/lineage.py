@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.session import cut
+from ..sources.snapshots import update
 from .profiling import latest
 
 
+#: Ids of a bitmap, as Spark's have them.
+IDS = 1 << 15
+#: The columns of a lineage.
+LINEAGE = "dataset string, version int, parent_version int, type string, model_hash string, held_out_auc double, promoted boolean, ts timestamp"
+
+
 def table_hash(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``n, content_hash``, the same for any order of the rows."""
     return df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).cast("string").alias("content_hash"))
@@ -62,9 +69,28 @@ def rebuild_guard(lineage: DataFrame, confirmed: bool = False) -> DataFrame:
     return counts.withColumn("may_rebuild", (F.col("n_later") == 0) | F.lit(confirmed))
 
 
-def archive_rounds(lineage: DataFrame, dataset: str) -> DataFrame:
-    """Adds ``archived``, set for the dataset's rounds, for a write partitioned by it."""
-    return lineage.withColumn("archived", F.col("dataset") == dataset)
+def commit_version(spark: SparkSession, path: str, dataset: str, kind: str, model_hash: str, metric: float | None, promoted: bool, ts: Column) -> int:
+    """Add a round to the lineage kept as snapshots at ``path`` (R3): its version follows the latest as of the very commit that
+    adds it, so two writers never share one. Returns the commit."""
+    empty = spark.createDataFrame([], LINEAGE)
+    follow = lambda now: append_version(empty if now is None else now, dataset, kind, model_hash, metric, promoted, ts)
+    return update(spark, path, follow, "append", keep=True)
+
+
+def archive_rounds(spark: SparkSession, path: str, dataset: str, confirmed: bool = False) -> int:
+    """Take a dataset's rounds out of the lineage at ``path`` before it is built anew (R5); the commit before still has them.
+
+    Later rounds would be orphaned, so with such ones it must be confirmed. Returns the commit that archives."""
+
+    def rest(now: DataFrame | None) -> DataFrame:
+        if now is None:
+            raise FileNotFoundError(f"{path} has no lineage")
+        guard = rebuild_guard(now.where(F.col("dataset") == dataset), confirmed).first()
+        if guard is not None and not guard.may_rebuild:
+            raise ValueError(f"{dataset} has {guard.n_later} later rounds; archiving them must be confirmed")
+        return now.where(~F.col("dataset").eqNullSafe(dataset))
+
+    return update(spark, path, rest, "archive", archived=dataset)
 
 
 def compatibility(previous: DataFrame, current: DataFrame, on: str, columns: Sequence[str]) -> DataFrame:
@@ -102,8 +128,38 @@ def promote(metrics: DataFrame, tolerance: float = 0.0) -> DataFrame:
     return metrics.withColumn("delta", delta).withColumn("decision", F.when(F.coalesce(delta >= -tolerance, F.lit(False)), "promoted").otherwise("rejected"))
 
 
-def fair_holdout(holdout: DataFrame, row_id: str, *trained: DataFrame) -> DataFrame:
-    """Rows of a hold-out that none of the lineages has trained on."""
-    for t in trained:
-        holdout = holdout.join(t.select(row_id), row_id, "left_anti")
+def membership(trained: DataFrame, row_id: str) -> DataFrame:
+    """``dataset, version, bucket, bits``: which ids each version was trained on (N8), as bitmaps of 32,768 ids each.
+
+    ``trained``: dataset, version, ``row_id`` (whole numbers). Equal ids count once. A bucket's bitmap is some 4 KB however
+    many rows repeat its ids."""
+    at = F.col(row_id).cast("long")
+    place = trained.where(at.isNotNull()).select("dataset", "version", F.floor(at / IDS).alias("bucket"), F.pmod(at, F.lit(IDS)).alias("bit"))
+    return place.groupBy("dataset", "version", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def seen_by(members: DataFrame, lineage: DataFrame, heads: DataFrame) -> DataFrame:
+    """``dataset, bucket, bits``: all that ``heads`` (dataset, version) or any of their ancestors were trained on."""
+    back = ancestry(lineage).join(heads, ["dataset", "version"]).select("dataset", F.col("ancestor").alias("version"))
+    whole = back.union(heads.select("dataset", F.col("version"))).distinct()
+    return members.join(whole, ["dataset", "version"]).groupBy("dataset", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+
+
+def fair_holdout(holdout: DataFrame, row_id: str, seen: DataFrame) -> DataFrame:
+    """Rows of a hold-out that the models of its dataset have never trained on (N8). ``holdout``: dataset, ``row_id`` and more;
+    ``seen``: as of ``seen_by``. A join by bucket and a look at one bit; a row without an id can't be shown to be fair."""
+    at = F.col(row_id).cast("long")
+    rows = holdout.where(at.isNotNull()).withColumns({"__bucket": F.floor(at / IDS), "__bit": F.pmod(at, F.lit(IDS))})
+    told = seen.select(F.col("dataset").alias("__dataset"), F.col("bucket").alias("__b"), "bits")
+    met = rows.join(told, rows["dataset"].eqNullSafe(F.col("__dataset")) & (F.col("__bucket") == F.col("__b")), "left")
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(F.col("__bit") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    taken = F.call_function("getbit", byte, (F.col("__bit") % 8).cast("int")) == 1
+    return met.where(~F.coalesce(taken, F.lit(False))).select(*holdout.columns)
+
+
+def require_fair(holdout: DataFrame, row_id: str, seen: DataFrame) -> DataFrame:
+    """The hold-out itself, or an error if a model has trained on any of its rows."""
+    n, fair = holdout.count(), fair_holdout(holdout, row_id, seen).count()
+    if fair < n:
+        raise ValueError(f"{n - fair} of {n} rows of the hold-out were trained on")
     return holdout

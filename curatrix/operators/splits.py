@@ -44,7 +44,9 @@ def group_split(df: DataFrame, group: str, fracs: Sequence[float] = (0.8, 0.1, 0
     histogram = [(r.size_, r.n) for r in sizes.groupBy(F.col("size").alias("size_")).agg(F.count("*").alias("n")).collect()]
     quota = spark.createDataFrame(pack_sizes(histogram, sum(s * n for s, n in histogram), fracs), "size long, to_train long, to_val long")
     order = F.xxhash64(group, F.lit(seed)) if tie is None else tie
-    part = F.floor(F.pmod(order, F.lit(1 << 20)) / (1 << 20) * buckets) if tie is None else F.lit(0)
+    # Buckets must follow the order: by the low bits, which then come first in it, or (``tie``: a digest of 60 bits) by the high ones.
+    low = F.pmod(order, F.lit(1 << 20))
+    part = F.floor(low / (1 << 20) * buckets) if tie is None else F.floor(order / (1 << 60) * buckets)
     ranked = sizes.withColumns({"__o": order, "__b": part}).withColumn("__k", F.row_number().over(Window.partitionBy("size", "__b").orderBy("__o", group)))
     counts = ranked.groupBy("size", "__b").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("size").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
@@ -127,16 +129,26 @@ def oversample(df: DataFrame, label: str, order: Column, ratio: float = 1.0) ->
     return df.withColumn("is_copy", F.lit(False)).unionByName(copies.select(*df.columns, F.lit(True).alias("is_copy")))
 
 
+def digest(value: Column, seed: int) -> Column:
+    """60 bits of a digest of seed and value, as a whole number; any engine with MD5 has the same."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), value.cast("string"))), 1, 15), 16, 10).cast("long")
+
+
+def drawn(counter: Column, seed: int, n: int) -> Column:
+    """A number below ``n`` for each counter. No draw depends on another."""
+    return F.pmod(digest(counter, seed), F.lit(n))
+
+
 def oversample_drawn(df: DataFrame, label: str, order: Column, ratio: float = 1.0, seed: int = 42) -> DataFrame:
-    """As ``oversample``, but the copies are drawn with replacement (G5): the r-th draw takes the minority row
-    whose place in ``order`` a multiplicative hash of r and ``seed`` names. Equal rows and seeds draw alike."""
+    """As ``oversample``, but the copies are independent draws with replacement (G5): the r-th draw takes the minority row whose
+    place in ``order`` the digest of ``seed`` and r names. Equal rows and seeds draw alike. Draws are made and counted where
+    their numbers are and met with rows by place, so neither is held by one task."""
     counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
     ends = counts.agg(F.count("*").alias("classes"), F.min(F.struct("n", label)).alias("small"), F.max("n").alias("large")).first()
     whole = df.withColumn("is_copy", F.lit(False))
     if ends.classes != 2 or (extra := int(ends.large * ratio) - ends.small.n) <= 0:
         return whole
-    place = (F.col("id") * 1103515245 + seed * 12345) % 2147483647 * 48271 % 2147483647 % ends.small.n
-    draws = df.sparkSession.range(extra).groupBy(place.alias("__draw")).agg(F.count("*").cast("int").alias("__times"))
+    draws = df.sparkSession.range(extra).groupBy(drawn(F.col("id"), seed, ends.small.n).alias("__draw")).agg(F.count("*").cast("int").alias("__times"))
     rows = _stratum_rank(df.where(F.col(label) == ends.small[label]), label, order)
     copies = rows.join(draws, F.col("__k") == F.col("__draw")).withColumn("__c", F.explode(F.sequence(F.lit(1), "__times")))
     return whole.unionByName(copies.select(*df.columns, F.lit(True).alias("is_copy")))

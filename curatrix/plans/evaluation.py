@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..functions.session import cut
+from ..functions.session import cut, fresh_folder
 from ..operators import boosting as B
 from ..operators import calibration as L
 from ..operators import extensions as Z
@@ -16,6 +16,7 @@ from ..operators import metrics as M
 from ..operators import profiling as A
 from ..operators import record_qc as V
 from ..operators import splits as G
+from ..operators import vector_store as Q
 from ..operators.dedup import build_model_ready
 from ..operators.joins import union_all
 from .catalog import base, load, pseudo_score, query, rounded
@@ -106,7 +107,7 @@ def oversample_minority(spark, d):
 
 
 @query("with {BASE}, " + STRATA + """, c as (select toxic, count(*) as n from d where toxic is not null group by toxic), p as (select arg_min(toxic, n) as small, min(n) as m, cast(floor(max(n) * 0.5e0) - min(n) as bigint) as extra from c),
-draws as (select small, (r * 1103515245 + 42 * 12345) % 2147483647 * 48271 % 2147483647 % m as k from (select small, m, unnest(range(extra)) as r from p) q)
+draws as (select small, cast(('0x' || substr(md5('42:' || r), 1, 15)) as bigint) % m as k from (select small, m, unnest(range(extra)) as r from p) q)
 select doc_id, toxic, false as is_copy from st union all select st.doc_id, st.toxic, true from st join draws on st.toxic = draws.small and st.k = draws.k""")
 def oversample_drawn(spark, d):
     return G.oversample_drawn(_labelled(spark, d).select("doc_id", "toxic", "n_chars"), "toxic", _order(), 0.5).select("doc_id", "toxic", "is_copy")
@@ -142,11 +143,18 @@ def model_ready_by_modulo_balance(spark, d):
     return A.label_balance(model.withColumn("split", _modulo_split()), "toxic", ["split"])
 
 
-@query()
+#: Groups of a size in the order of a digest.
+READY = """with recursive {BASE}, ok as (select * from d where toxic in (0, 1)), g as (select key, min(doc_id) as first_row, count(distinct toxic) as k from ok group by key),
+ready as (select ok.* from ok join g on ok.key = g.key and ok.doc_id = g.first_row where k = 1), grp as (select coalesce(trim(source), '') as grp, count(*) as size from ready group by 1), """
+
+
+@query(READY + FOLD[FOLD.index("h as"):].replace("order by grp)", "order by cast('0x' || substr(md5('42:' || grp), 1, 15) as bigint), grp)") + " select split, toxic, count(*) as n, count(*) * 1e0 / sum(count(*)) over (partition by split) as fraction from ready r join placed p on coalesce(trim(r.source), '') = p.grp group by split, toxic")
+@rounded("fraction")
 def model_ready_split_balance(spark, d):
     """Flagship: clean labelled rows, split by source without leakage, with each split's label balance."""
     model = build_model_ready(base(spark, d), "doc_id", "key", "toxic")[0]
-    return A.label_balance(G.group_split(model.withColumn("grp", G.group_key(F.col("source"))), "grp"), "toxic", ["split"])
+    rows = model.withColumn("grp", G.group_key(F.col("source")))
+    return A.label_balance(G.group_split(rows, "grp", tie=G.digest(F.col("grp"), 42)), "toxic", ["split"])
 
 
 # ---- features -----------------------------------------------------------------------------------
@@ -215,15 +223,31 @@ def feature_job_meta(spark, d):
     return X.featurize_job(full, "doc_id", "toxic")["meta"]
 
 
-@query()
-def embedding_cache(spark, d):
-    """Incremental embedding: keys without a stored vector, embedded in Arrow batches."""
+def _embed(keys):
+    """Facts of a text as a vector; texts with a bar and a hash sign are beyond it."""
     import numpy as np
 
-    docs = load(spark, d, "documents").select(F.col("text").alias("k"))
-    store = docs.where("length(k) % 2 = 0").select(F.col("k").alias("key"))
-    embed = lambda keys: np.array([[len(k), k.count(" "), k.count("e")] for k in keys], dtype=np.float32)
-    return X.embed_pending(docs, "k", store, store.limit(0), embed, most=20_000)
+    if any("|" in k and "#" in k for k in keys):
+        raise ValueError("can't embed")
+    return np.array([[len(k), k.count(" "), k.count("e")] for k in keys], dtype=np.float32)
+
+
+@query("""with k as (select text as key, min(case when doc_id % 2 = 0 then 1 else 2 end) as round from documents where text is not null group by text),
+j as (select key, length(key) > 2000 as long, contains(key, '|') and contains(key, '#') as bad, round from k),
+s as (select sha256(key) as key, case when long then 'skip_permanent' when bad then 'retry' else 'ok' end as status, case when bad and not long then 2 else round end as round,
+ case when not long and not bad then concat_ws(',', length(key), length(key) - length(replace(key, ' ', '')), length(key) - length(replace(key, 'e', ''))) end as vector from j)
+select *, 0 as added_again from s""")
+def embedding_cache(spark, d):
+    """Two rounds into one store, the second of all texts: what is stored or skipped stays, what failed is tried again; a
+    third of what is stored adds nothing."""
+    path, meta = fresh_folder(spark, "store"), {"model": "facts", "pooling": "none"}
+    docs = load(spark, d, "documents")
+    Q.create_store(spark, path, buckets=8, blocks=4, **meta)
+    for rows in (docs.where("doc_id % 2 = 0"), docs):
+        Q.update_vectors(rows, "text", path, _embed, **meta)
+    again = Q.pending_keys(docs.where(~(F.contains("text", F.lit("|")) & F.contains("text", F.lit("#"))) | (F.length("text") > 2000)), "text", path).count()
+    vector = F.array_join(F.transform("vector", lambda x: x.cast("int").cast("string")), ",")
+    return Q.read_vectors(spark, path).select(F.sha2("key", 256).alias("key"), "status", "round", vector.alias("vector"), F.lit(again).alias("added_again"))
 
 
 # ---- metrics ------------------------------------------------------------------------------------
@@ -360,12 +384,25 @@ def uncertainty_report(spark, d):
     return L.uncertainty(L.prediction_sets(_pvalues(spark, d), "doc_id"))
 
 
-@query()
+#: The highest, over the first scores of a run up to here, of the lowest frequency of runs from there to here or beyond.
+MAX_MIN = """, ip as (select s, sum(count(*)) over (order by s) as cn, sum(sum(y)) over (order by s) as cp, count(*) as n, sum(y) as p from w group by s),
+ir as (select a.s as a, b.s as b, (b.cp - a.cp + a.p) * 1e0 / (b.cn - a.cn + a.n) as f from ip a join ip b on a.s <= b.s),
+lowest as (select a, b, min(f) over (partition by a order by b desc) as f from ir), iso as (select b as s, max(f) as f from lowest group by b)"""
+
+
+@query("with {BASE}, " + LAB + MAX_MIN + " select w.doc_id, w.s, iso.f as calibrated from w join iso on w.s = iso.s")
+@rounded("calibrated")
 def isotonic_apply(spark, d):
     w = _scored(spark, d)
     return L.apply_isotonic(L.fit_isotonic(w, "s", "y"), w, "s").select("doc_id", "s", "calibrated")
 
 
+@query("with {BASE}, " + LAB + MAX_MIN + " select min(w.s) as lo, max(w.s) as hi, count(*) as n, cast(sum(y) as bigint) as pos from w join iso on w.s = iso.s group by round(iso.f, 12)")
+def isotonic_blocks(spark, d):
+    """Ranges of scores that share a frequency, hull by hull."""
+    return L.isotonic_blocks(_scored(spark, d), "s", "y")
+
+
 # ---- checks of records --------------------------------------------------------------------------
 
 
@@ -472,6 +509,29 @@ def next_version(spark, d):
     return row.select("dataset", "version", "parent_version", "type")
 
 
+#: An event type's versions are trained on the users of their events; a version's parent is two or one before it.
+TRAINED = "tr as (select distinct dataset, version % 40 as version, cast(user_id * 7919 as bigint) as row_id from lin join ln using (dataset, version)), parents as (select distinct dataset, version % 40 as version, case when version % 40 > 0 then version % 40 - 1 - (version % 40 - 1) % 2 end as parent_version from lin)"
+
+
+def _members(spark, d):
+    lin = _lineage(spark, d).withColumn("version", F.col("version") % 40)
+    parent = F.when(F.col("version") > 0, F.col("version") - 1 - (F.col("version") - 1) % 2)
+    users = load(spark, d, "events").select(F.sha2(F.col("event_id").cast("string"), 256).alias("model_hash"), (F.col("user_id") * 7919).alias("row_id"))
+    trained = lin.join(users, "model_hash").select("dataset", "version", "row_id")
+    return R.membership(trained, "row_id"), lin.select("dataset", "version", parent.alias("parent_version")).distinct()
+
+
+@query("with recursive " + LINEAGE.replace("event_id, value, ts from events", "event_id, user_id, value, ts from events") + ", " + TRAINED + """, anc(dataset, version) as (select distinct dataset, 9 from parents union select a.dataset, p.parent_version from anc a join parents p on a.dataset = p.dataset and a.version = p.version where p.parent_version is not null),
+seen as (select distinct t.dataset, t.row_id from tr t join anc a on t.dataset = a.dataset and t.version = a.version), held as (select distinct event_type as dataset, cast(user_id * 7919 as bigint) as row_id from events)
+select h.dataset, h.row_id from held h left join seen s on h.dataset = s.dataset and h.row_id = s.row_id where s.row_id is null""")
+def fair_holdout(spark, d):
+    """Users of an event type that neither its version 9 nor any version that it descends from was trained on."""
+    members, lin = _members(spark, d)
+    heads = lin.where("version = 9").select("dataset", "version")
+    held = load(spark, d, "events").select(F.col("event_type").alias("dataset"), (F.col("user_id") * 7919).alias("row_id")).distinct()
+    return R.fair_holdout(held, "row_id", R.seen_by(members, lin, heads))
+
+
 @query("with m as (select user_id as dataset, avg(value) filter (event_id % 2 = 0) as candidate_auc, avg(value) filter (event_id % 2 = 1) as baseline_auc from events group by user_id) select *, candidate_auc - baseline_auc as delta, case when coalesce(candidate_auc - baseline_auc >= -0.5e0, false) then 'promoted' else 'rejected' end as decision from m")
 @rounded("candidate_auc", "baseline_auc", "delta")
 def promotion_gate(spark, d):

@@ -12,6 +12,7 @@ from ..operators import features as X
 from ..operators import joins as J
 from ..operators import lineage as R
 from ..operators import profiling as A
+from ..sources import snapshots as H
 from ..sources import tables as S
 from .catalog import base, load, query, rounded
 from .curation import RULES, STATUS, curate, shared_lines
@@ -70,12 +71,20 @@ def delimited_records(spark, d):
     return distinct.where(F.get(own, F.lit(2)).rlike("[^ ]")).select(own[0].cast("long").alias("conv_id"), own[1].cast("long").alias("turn"), F.length(own[2]).cast("long").alias("n"))
 
 
-@query("select count(*) as n, 0 as lo, count(*) - 1 as hi, count(*) as n_positions from conversations")
+#: Two files of one record a turn: the second, far larger, is dealt out first.
+FILES = "f as (select case when conv_id % 50 = 0 then 'a' else 'b' end as file, conv_id, turn from conversations), k as (select *, row_number() over (order by file, conv_id, turn) - 1 as position from f)"
+
+
+@query("with " + FILES + " select file, conv_id, turn, position, case when position < 20 then 1 else 0 end as label from k")
 def record_positions(spark, d):
+    """Positions over files of unequal size, and the labels that they decide."""
     path = fresh_folder(spark, "records")
-    load(spark, d, "conversations").select(F.concat_ws("|", "conv_id", "turn").alias("value")).write.option("lineSep", "$$$$\n").text(path)
-    p = S.read_records(spark, path)
-    return p.agg(F.count("*").alias("n"), F.min("position").cast("int").alias("lo"), F.max("position").alias("hi"), F.count_distinct("position").alias("n_positions"))
+    turns = load(spark, d, "conversations").select(F.when(F.col("conv_id") % 50 == 0, "a").otherwise("b").alias("file"), "conv_id", "turn")
+    for name in "ab":  # a file each, in order
+        own = turns.where(F.col("file") == name).select("conv_id", "turn").repartitionByRange(1, "conv_id").sortWithinPartitions("conv_id", "turn")
+        own.select(F.concat_ws("|", "conv_id", "turn").alias("value")).write.option("lineSep", "$$$$\n").text(f"{path}/{name}")
+    got = S.label_by_position(S.read_records(spark, f"{path}/*"), 20).withColumn("own", F.split("record", r"\|"))
+    return got.select(F.when(F.col("own")[0].cast("long") % 50 == 0, "a").otherwise("b").alias("file"), F.col("own")[0].cast("long").alias("conv_id"), F.col("own")[1].cast("long").alias("turn"), "position", "label")
 
 
 @query("select doc_id, n_chars, case when doc_id % 2 = 0 then 'train' else 'test' end as split from documents where doc_id % 2 = 0")
@@ -96,6 +105,45 @@ def replace_in_place(spark, d):
     return S.read_table(spark, path)
 
 
+@query("""select 'rows' as what, lang, count(*) as n from documents where lang <> 'fr' group by lang union all select 'rows', 'fr', 2 * count(*) from documents where lang = 'fr'
+union all select 'first', lang, count(*) from documents group by lang union all select 'commits', operation, n from (values ('append', 2), ('replace', 1)) t(operation, n)""")
+def snapshot_merge(spark, d):
+    """A table appended to, merged in place and appended to again; its first commit still reads as it was."""
+    path = fresh_folder(spark, "snapshots")
+    docs = load(spark, d, "documents").select("doc_id", "lang")
+    H.append_rows(docs, path)
+    H.update(spark, path, lambda now: now.where("lang <> 'fr'"))
+    french = docs.where("lang = 'fr'")
+    H.append_rows(french.union(french), path)
+    count = lambda df, what, key="lang": df.groupBy(F.col(key).alias("lang")).agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "lang", "n")
+    return J.union_all(count(H.read_snapshot(spark, path), "rows"), count(H.read_snapshot(spark, path, 0), "first"), count(H.history(spark, path), "commits", "operation"))
+
+
+@query("""with t as (select distinct event_type as dataset from events), two as (select dataset, unnest([0, 1]) as version from t)
+select 'now' as at, dataset, version, case when version > 0 then version - 1 end as parent_version, case when version = 0 then 'full' else 'incremental' end as type from two where dataset <> 'view'
+union all select 'now', 'view', 0, null, 'full' union all select 'before', dataset, version, case when version > 0 then version - 1 end, case when version = 0 then 'full' else 'incremental' end from two""")
+def lineage_commits(spark, d):
+    """Writers of all datasets add their rounds at once, then one dataset is archived and built anew."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
+
+    path = fresh_folder(spark, "lineage")
+    names = [r.event_type for r in load(spark, d, "events").select("event_type").distinct().collect()]
+    ts = F.to_timestamp(F.lit("2026-01-01"))
+
+    def rounds(name: str) -> None:
+        for kind in ("full", "incremental"):
+            R.commit_version(spark, path, name, kind, f"{name}-{kind}", 0.5, True, ts)
+
+    with ThreadPoolExecutor(4) as threads:
+        list(threads.map(inheritable_thread_target(spark)(rounds), names))
+    archived = R.archive_rounds(spark, path, "view", confirmed=True)
+    R.commit_version(spark, path, "view", "full", "anew", 0.6, True, ts)
+    told = lambda at, v=None: H.read_snapshot(spark, path, v).select(F.lit(at).alias("at"), "dataset", "version", "parent_version", "type")
+    return told("now").union(told("before", archived - 1))
+
+
 @query("select lang, count(*) as n from documents group by lang union all select 'none', 0")
 def written_if_any(spark, d):
     """Tables of the languages that have rows; an empty one isn't written."""

@@ -49,16 +49,20 @@ def lookup_vectors(df: DataFrame, store: DataFrame, key: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str, separator: str = "$$$$\n") -> DataFrame:
-    """``position, record, file_name`` of a delimited text file, positions from 0 without gaps.
+    """``position, record, file_name`` of delimited text files, positions from 0 without gaps (S8): files by name, then by place.
 
-    Records are numbered within the partitions of one scan, which is written as a table; a row per
-    partition carries how many records lie before. Files and their splits follow in the scan's order.
+    Spark cuts a file into blocks and packs these in an order of its own, so a record's place is named by what it carries itself:
+    its file, where its block starts, and its number within the block. Blocks are counted, and a running sum over a row per
+    block gives what lies before each. A null or blank record uses up its position and is left out.
     """
-    rows = spark.read.option("lineSep", separator).text(path).select(F.col("value").alias("record"), F.col("_metadata.file_name").alias("file_name"), F.monotonically_increasing_id().alias("id"))
-    rows = cut(rows.withColumn("part", F.shiftright("id", 33)))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
-    offsets = rows.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    numbered = rows.join(F.broadcast(offsets), "part").withColumn("position", F.col("offset") + F.col("id") - F.shiftleft("part", 33))
+    block = [F.col(f"_metadata.{c}") for c in ("file_path", "file_block_start")]
+    rows = spark.read.option("lineSep", separator).text(path).select(F.col("value").alias("record"), F.col("_metadata.file_name").alias("file_name"), block[0].alias("file"), block[1].alias("start"), F.monotonically_increasing_id().alias("id"))
+    rows = cut(rows)
+    blocks = rows.groupBy("file", "start").agg(F.min("file_name").alias("name"), F.count("*").alias("n"), F.min("id").alias("first"))
+    before = Window.orderBy("name", "file", "start").rowsBetween(Window.unboundedPreceding, -1)  # a row per block of a file
+    offsets = blocks.select("file", "start", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    # A block is read by one task from its start on, so its ids follow one another.
+    numbered = rows.join(offsets, ["file", "start"]).withColumn("position", F.col("offset") + F.col("id") - F.col("first"))
     return numbered.where(F.col("record").rlike(r"\S")).select("position", "record", "file_name")
 
 
