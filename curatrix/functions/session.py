@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,8 +31,49 @@ def fresh_folder(spark: SparkSession, tag: str) -> str:
     return f"{(folder or tempfile.gettempdir() + '/checkpoints').rstrip('/')}/curatrix/{tag}-{uuid.uuid4().hex}"
 
 
+@dataclass
+class Tables:
+    """What one piece of work has written to cut lineage: folders, and names in the catalog."""
+
+    paths: list[str] = field(default_factory=list)
+    names: list[str] = field(default_factory=list)
+
+    def release(self, spark: SparkSession) -> None:
+        """Delete them, and let Spark drop the shuffles of what is gone. For callers whose results that read them are written."""
+        for name in self.names:
+            spark.sql(f"drop table if exists `{name}`")
+        jvm = spark.sparkContext._jvm
+        for path in map(jvm.org.apache.hadoop.fs.Path, self.paths):
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self.paths, self.names = [], []
+        jvm.System.gc()
+
+
+_COLLECTING: ContextVar[Tables | None] = ContextVar("tables", default=None)
+
+
+@contextmanager
+def collecting() -> Iterator[Tables]:
+    """The tables that are written within, in this thread; tables of an inner ``collecting`` are its own."""
+    own = Tables()
+    token = _COLLECTING.set(own)
+    try:
+        yield own
+    finally:
+        _COLLECTING.reset(token)
+
+
+def note(path: str, name: str | None = None) -> None:
+    """Tell whoever is collecting of a table."""
+    if (own := _COLLECTING.get()) is not None:
+        own.paths.append(path)
+        if name:
+            own.names.append(name)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut a loop's lineage: a table in the shared folder that the cluster names, read back."""
     path = fresh_folder(df.sparkSession, "cut")
     df.write.parquet(path)
+    note(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
