@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import itertools
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.session import fresh_folder, note
+
 #: A word, wherever these operators speak of words: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: The ASCII white space that separates words.
@@ -19,54 +20,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Only a local session may do without the setting: it has one machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return folder or tempfile.gettempdir() + "/checkpoints"
-
-
 #: After so many tables the driver collects its garbage, as loops of many small steps leave much behind.
 TIDY = 6
-#: The tables written so far, in order.
-_WRITTEN: list[str] = []
+_WRITTEN = itertools.count(1)
 
 
 def materialize(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     """Cut lineage: write ``df`` as a table in the shared folder and read it back.
 
     What later stages reread survives the loss of any executor, and a loop's plan stays short. A table that
-    is bucketed ``by`` a column isn't shuffled again where it is joined on it.
+    is bucketed ``by`` a column isn't shuffled again where it is joined on it. Who is ``collecting`` may delete it.
     """
     spark = df.sparkSession
-    name = f"{tag}-{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark).rstrip('/')}/curatrix/{name}"
+    path = fresh_folder(spark, tag)
+    name = path.rpartition("/")[2].replace("-", "_") if by else None
     out = df.write.option("compression", "zstd")
-    if by:
+    if name:
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        out.bucketBy(n, by).option("path", path).saveAsTable(name.replace("-", "_"))
+        out.bucketBy(n, by).option("path", path).saveAsTable(name)
     else:
         out.parquet(path)
-    _WRITTEN.append(path)
-    if len(_WRITTEN) % TIDY == 0:
+    note(path, name)
+    if next(_WRITTEN) % TIDY == 0:
         # Spark deletes shuffle files and broadcasts of what is done only when the driver's garbage is collected.
         spark.sparkContext._jvm.System.gc()
-    return spark.table(name.replace("-", "_")) if by else spark.read.schema(df.schema).parquet(path)
-
-
-def written() -> list[str]:
-    """The paths of the tables that ``materialize`` has written, in order."""
-    return list(_WRITTEN)
-
-
-def release(spark: SparkSession, paths: list[str]) -> None:
-    """Delete tables that ``materialize`` has written, and let Spark drop the shuffles of what is gone. For callers
-    whose results that read them are written."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    for path in paths:
-        hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop(path), True)
-    spark.sparkContext._jvm.System.gc()
+    return spark.table(name) if name else spark.read.schema(df.schema).parquet(path)
 
 
 def let(value: Column, body) -> Column:

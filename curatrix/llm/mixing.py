@@ -22,9 +22,10 @@ from .quality_rules import _named
 PRIME, ROUNDS = 2147483647, 8
 #: One copy of a document, in the integers of which running shares are sums.
 ONE = 1 << 20
-#: How each engine repeats one expression of (acc, k) over a list.
-SPARK = {"draw": "pmod(xxhash64({key}), {n})", "series": "explode(sequence(cast({a} as bigint), cast({b} as bigint)))", "fold": "aggregate(array({ks}), cast({x} as bigint), (acc, k) -> {body})"}
-CHECKER = {"draw": "hash(concat_ws(',', {key})) % {n}", "series": "unnest(generate_series(cast({a} as bigint), cast({b} as bigint)))", "fold": "list_reduce([cast({x} as bigint), {ks}], lambda acc, k: {body})"}
+#: How each engine repeats one expression of (acc, k) over a list, and draws by a digest of the slot.
+DRAWN = "concat(cast(sid as string), ',', cast(pass as string), ',', cast(j as string), ',', '{seed}')"
+SPARK = {"draw": "cast(conv(substr(md5(" + DRAWN + "), 1, 15), 16, 10) as bigint) % {n}", "series": "explode(sequence(cast({a} as bigint), cast({b} as bigint)))", "fold": "aggregate(array({ks}), cast({x} as bigint), (acc, k) -> {body})"}
+CHECKER = {"draw": "cast('0x' || substr(md5(" + DRAWN + "), 1, 15) as bigint) % {n}", "series": "unnest(generate_series(cast({a} as bigint), cast({b} as bigint)))", "fold": "list_reduce([cast({x} as bigint), {ks}], lambda acc, k: {body})"}
 
 
 @dataclass(frozen=True)
@@ -90,7 +91,7 @@ def mix_steps(p: Mix, engine: dict[str, str]) -> list[tuple[str, str]]:
         (
             "drawn",
             f"select sid, pass, j, block, least(case when block = nb - 1 then short else {size} end, rest - before) as take,"
-            f" cast({engine['draw'].format(key=f'sid, pass, j, {p.seed}', n=p.shards)} as int) as shard from mapped",
+            f" cast({engine['draw'].format(seed=p.seed, n=p.shards)} as int) as shard from mapped",
         ),
         ("homes", f"select s.doc_id, s.size, t.sid, {bucket} as bucket from sized s join targets t on s.source is not distinct from t.source where s.size > 0"),
         ("counted", "select sid, bucket, sum(size) as n from homes group by sid, bucket"),
@@ -101,12 +102,12 @@ def mix_steps(p: Mix, engine: dict[str, str]) -> list[tuple[str, str]]:
         ("cut", f"select *, greatest(begins - block * {size}, 0) as lo, least(begins + size - block * {size}, {size}) as hi from pieces"),
         ("met", "select d.shard, d.pass, d.j as slot, c.sid, c.block, c.doc_id, c.begins, c.size, d.take, c.lo, c.hi from cut c join drawn d on c.sid = d.sid and c.block = d.block"),
         ("mixed", f"select shard, pass, slot, sid, block, doc_id, begins, size, block * {size} + lo - begins as from_word, least(hi, take) - lo as n_words from met where least(hi, take) > lo"),
-        ("sums", "select sid, begins, sum(n_words) as n from mixed group by sid, begins"),
+        ("sums", "select sid, begins, sum(n_words) as n, sum(n_words * (shard + 1)) as spread from mixed group by sid, begins"),
         (
             "digest",
-            "select p.doc_id, cast(p.size as bigint) as size, cast(t.source_size as bigint) as source_size, t.target, cast(coalesce(s.n, 0) as bigint) as taken"
+            "select p.doc_id, cast(p.size as bigint) as size, cast(t.source_size as bigint) as source_size, t.target, cast(coalesce(s.n, 0) as bigint) as taken, cast(coalesce(s.spread, 0) as bigint) as spread"
             " from placed p join targets t on p.sid = t.sid left join sums s on p.sid = s.sid and p.begins = s.begins"
-            " union all select z.doc_id, cast(0 as bigint), cast(t.source_size as bigint), t.target, cast(0 as bigint) from sized z join targets t on z.source is not distinct from t.source where z.size = 0",
+            " union all select z.doc_id, cast(0 as bigint), cast(t.source_size as bigint), t.target, cast(0 as bigint), cast(0 as bigint) from sized z join targets t on z.source is not distinct from t.source where z.size = 0",
         ),
     ]
 
@@ -133,12 +134,13 @@ def mix_sources(docs: DataFrame, p: Mix = Mix()) -> dict[str, DataFrame]:
 
     ``targets(source, sid, source_size, target)``; ``drawn(sid, pass, j, block, take, shard)``, the
     output slots; ``mixed(shard, pass, slot, sid, block, doc_id, begins, size, from_word, n_words)``,
-    the words each slot takes; ``digest(doc_id, size, source_size, target, taken)``, a row per input row.
+    the words each slot takes; ``digest(doc_id, size, source_size, target, taken, spread)``, a row per input row:
+    ``spread`` sums the taken words, each times one more than the number of its shard.
 
     Targets share ``share`` times all words by weight; a source whose share exceeds ``cap`` times its
     words gets that, and the excess is shared by weight among the others until none is above. The
     shards' counts of a source are a multinomial draw given its total (each slot draws its shard by a
-    64-bit hash), so each total is its target to within half a word, and no word is taken more than ``cap`` times. Equal input gives equal output.
+    digest), so each total is its target to within half a word, and no word is taken more than ``cap`` times. Equal input gives equal output.
 
     Null texts and texts without words have size 0 and take nothing. A null source is one of the
     sources, the last. Rows with equal doc_id each have their own words. No rows, or no words at
@@ -183,9 +185,10 @@ def repeat_by_mix(docs: DataFrame, p: Mix = Mix()) -> DataFrame:
     whole = lambda x: F.floor((x + ONE // 2) / ONE)
     upto = F.col("base") + F.col("within")
     taken = run.select("doc_id", (whole(upto) - whole(upto - F.col("share"))).cast("int").alias("__copies"))
-    joined = docs.withColumnRenamed("doc_id", "__doc_id").join(taken.where("__copies > 0"), F.col("__doc_id").eqNullSafe(F.col("doc_id")))
-    out = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return out.select(docs.columns)
+    # A row travels as one value, so no column of its can clash with those here.
+    whole_rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own"))
+    joined = whole_rows.join(taken.where("__copies > 0"), F.col("own").eqNullSafe(F.col("doc_id")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("copy")).select("row.*")
 
 
 def mixing_oracle(p: Mix, sized: str) -> str:

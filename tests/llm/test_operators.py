@@ -550,3 +550,53 @@ def test_op10_long_texts(spark):
         assert token_counts.count_tokens(big, COUNTS).first().n_tokens > 0
         took.append(time.time() - start)
     assert took[1] < 8 * max(took[0], 1)
+
+
+def plain_mix(rows, p):
+    """``doc_id: (taken, spread)`` by walking every slot of every source, word by word."""
+    sources = sorted({s for _, s, _ in rows}, key=lambda s: (s is None, s or ""))
+    own = {s: [r for r in rows if r[1] == s and r[2]] for s in sources}
+    total = {s: sum(n for *_, n in own[s]) for s in sources}
+    weight = {s: p.weights[i % len(p.weights)] for i, s in enumerate(sources)}
+    target, left, free = {}, p.share * sum(total.values()), set(sources)
+    while over := [s for s in free if left * weight[s] / sum(weight[x] for x in free) > p.cap * total[s]]:
+        for s in over:
+            target[s] = p.cap * total[s]
+            free.discard(s)
+            left -= target[s]
+    target |= {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+
+    def place(j, nb, sid, k_pass):
+        for k in range(mixing.ROUNDS):
+            key = (p.seed + sid * (48271 + 7919 * k) + k_pass * (69621 + 104729 * k)) % mixing.PRIME * 39373 % mixing.PRIME
+            mirror = (key % nb + nb - j) % nb
+            if ((max(j, mirror) % mixing.PRIME) * (40692 + 1299709 * k) + key) % mixing.PRIME % 65521 % 2:
+                j = mirror
+        return j
+
+    out = {d: [0, 0] for d, *_ in rows}
+    for sid, s in enumerate(sources):
+        stream = [d for d, _, n in sorted(own[s], key=lambda r: (r[0] % 1000003 * 7919 % p.buckets, r[0])) for _ in range(n)]
+        quota, nb = round(target[s]), -(-len(stream) // p.block)
+        for k_pass in range(p.cap):
+            for j in range(nb):
+                block = place(j, nb, sid, k_pass)
+                words = stream[block * p.block : (block + 1) * p.block][: max(quota, 0)]
+                quota -= len(words)
+                shard = int(hashlib.md5(f"{sid},{k_pass},{j},{p.seed}".encode()).hexdigest()[:15], 16) % p.shards
+                for d in words:
+                    out[d][0] += 1
+                    out[d][1] += shard + 1
+    return {d: tuple(x) for d, x in out.items()}
+
+
+def test_op6_is_a_walk_through_the_drawn_slots(spark):
+    draw = random.Random(11)
+    rows = [(i, draw.choice(["a", "a", "b", "c", "d", None]), draw.choice([0, 1, 7, 40, 300])) for i in range(90)]
+    docs = documents(spark, [(d, "w " * n, "en", s) for d, s, n in rows])
+    seen = []
+    for p in (mixing.Mix(block=16, run=8), mixing.Mix(block=16, run=8, seed=7), mixing.Mix(block=5, weights=(1, 4), share=1.2)):
+        got = {r.doc_id: (r.taken, r.spread) for r in mixing.mix_sources(docs, p)["digest"].collect()}
+        assert got == plain_mix(rows, p)
+        seen.append(got)
+    assert seen[0] != seen[1]  # another seed, another draw

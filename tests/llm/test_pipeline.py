@@ -1,5 +1,6 @@
 """The pipeline's stages: each takes effect, keeps clean rows and all columns."""
 
+import pathlib
 import random
 
 import corpus_pipeline
@@ -78,3 +79,31 @@ def test_toxic_rows_go_by_their_own_text(spark, tmp_path):
     spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(300)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = [r.text for r in corpus_pipeline.toxicity(spark, docs, str(tmp_path)).where("doc_id = 1000").collect()]
     assert got == [rows[300][1]]
+
+
+def test_runs_side_by_side_keep_to_themselves(spark, tmp_path):
+    """Two runs in one driver agree, and leave no table of a stage but the last one's."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
+
+    draw = random.Random(5)
+    prose = lambda: " ".join(f"word{draw.randint(0, 5000)}" for _ in range(draw.randint(70, 200)))
+    rows = [(i, prose(), "en", f"s{i % 3}", 0) for i in range(120)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 9 == 0)) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    shared = spark.conf.get("spark.checkpoint.dir")
+    stored = lambda: {p.name for p in pathlib.Path(shared, "curatrix").glob("*")}
+    tables, before = len(spark.catalog.listTables()), stored()
+    run = inheritable_thread_target(spark)(lambda _: [(r.doc_id, r.ids) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()])
+    with ThreadPoolExecutor(2) as threads:
+        one, other = threads.map(run, range(2))
+    assert sorted(one) == sorted(other) and len(one) > 60
+    assert {n.rpartition("-")[0] for n in stored() - before} == {"chunks"} and len(spark.catalog.listTables()) == tables + 2
+
+
+def test_mixing_takes_any_column_names(spark):
+    names = ["__copies", "__doc_id", "own", "row", "copy", "a.b", "sid", "n"]
+    docs = spark.createDataFrame([(i, "a b c d", "s", *range(len(names))) for i in range(20)], ["doc_id", "text", "source", *names])
+    got = corpus_pipeline.mixing(spark, docs, "")
+    assert got.columns == docs.columns and set(map(tuple, got.collect())) <= set(map(tuple, docs.collect()))
