@@ -225,3 +225,36 @@ def benchmark_report(metrics: DataFrame, by: str, columns: Sequence[str]) -> Dat
     """One line per dataset, in order: its metrics to three places, n/a where undefined."""
     shown = [F.concat(F.lit(f"{c}="), F.coalesce(F.format_string("%.3f", F.col(c)), F.lit("n/a"))) for c in columns]
     return metrics.select(by, F.concat_ws(" ", F.col(by), *shown).alias("line")).orderBy(by)
+
+
+#: Bits of a sketch of distinct values (its error is about 1.04 / 2^(bits / 2)) and the size of one of quantiles.
+DISTINCT_BITS, QUANTILE_K = 12, 200
+
+
+def profile_sketches(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``column, n, n_null, lo, hi, distinct, quantiles`` of an increment's numbers (A4, A5, A14): counts, ends, and sketches of
+    distinct values and quantiles, some KB a column however many rows. To be stored; ``merge_profiles`` adds them up."""
+    x = F.col("v")
+    named = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns]))
+    return df.select(named.alias("x")).select("x.*").groupBy("column").agg(
+        F.count("*").alias("n"), F.count_if(x.isNull()).alias("n_null"), F.min(x).alias("lo"), F.max(x).alias("hi"),
+        F.hll_sketch_agg(F.xxhash64(x), DISTINCT_BITS).alias("distinct"), F.kll_sketch_agg_double(x, QUANTILE_K).alias("quantiles"),
+    )
+
+
+def merge_profiles(*profiles: DataFrame) -> DataFrame:
+    """The profile of all increments' rows together, from their profiles alone; in any order."""
+    whole = profiles[0]
+    for p in profiles[1:]:
+        whole = whole.unionByName(p)
+    return whole.groupBy("column").agg(
+        F.sum("n").alias("n"), F.sum("n_null").alias("n_null"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+        F.hll_union_agg("distinct").alias("distinct"), F.kll_merge_agg_double("quantiles").alias("quantiles"),
+    )
+
+
+def read_profile(profile: DataFrame, at: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """``column, n, n_null, lo, hi, n_distinct`` and a column ``q<percent>`` for each quantile, of a profile. Null and NaN
+    count as one value each among the distinct, as they are hashed alike."""
+    quantiles = [F.kll_sketch_get_quantile_double("quantiles", F.lit(float(q))).alias(f"q{round(100 * q)}") for q in at]
+    return profile.select("column", "n", "n_null", "lo", "hi", F.hll_sketch_estimate("distinct").alias("n_distinct"), *quantiles)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.session import fresh_folder
+from ..operators import cleaning as C
 from ..operators import joins as J
 from ..operators import profiling as A
 from ..sources.tables import literal_table, lookup_vectors, pick_partition, read_many, render_lines
@@ -224,3 +226,42 @@ def files_by_pattern(spark, d):
 @query("select doc_id, text from documents where length(text) > 0")
 def length_bucketed(spark, d):
     return A.length_bucketed(load(spark, d, "documents").select("doc_id", "text"), "text", 8)
+
+
+#: Columns to profile, of lineitem, with the suppliers as increments.
+PROFILED = ["l_orderkey", "l_partkey", "l_quantity", "l_extendedprice"]
+
+
+@query(" union all ".join(f"select '{c}' as \"column\", count(*) as n, count(*) - count({c}) as n_null, min({c})::double as lo, max({c})::double as hi, true as distinct_close, true as median_close, true as any_order from lineitem" for c in PROFILED))
+def merged_profiles(spark, d):
+    """Profiles of four increments, stored and merged without their rows: counts and ends exact, distinct values within 7 % and
+    the median's rank within 3 % of the exact ones, in any order of merging."""
+    path, rows = fresh_folder(spark, "profiles"), load(spark, d, "lineitem")
+    for k in range(4):
+        A.profile_sketches(rows.where(F.col("l_suppkey") % 4 == k), PROFILED).write.mode("append").parquet(path)
+    stored = spark.read.parquet(path)
+    got, back = (A.read_profile(A.merge_profiles(*p), [0.5]) for p in ([stored], [stored.where("n % 2 = 1"), stored.where("n % 2 = 0").orderBy(F.desc("n"))]))
+    exact = rows.agg(*[F.count_distinct(c).alias(c) for c in PROFILED]).first()
+    known = spark.createDataFrame([(c, exact[c]) for c in PROFILED], "column string, exact long")
+    middle = got.select(*[F.max(F.when(F.col("column") == c, F.col("q50"))).alias(f"m_{c}") for c in PROFILED])
+    ranks = rows.crossJoin(F.broadcast(middle)).agg(*[F.avg(F.when(F.col(c) < F.col(f"m_{c}"), 1.0).when(F.col(c) == F.col(f"m_{c}"), 0.5).otherwise(0.0)).alias(c) for c in PROFILED]).first()  # one row
+    near = spark.createDataFrame([(c, abs(ranks[c] - 0.5) < 0.03) for c in PROFILED], "column string, median_close boolean")
+    same = back.select("column", F.col("n_distinct").alias("m"), F.col("n").alias("k"))
+    met = got.join(known, "column").join(near, "column").join(same, "column")
+    return met.select("column", "n", "n_null", "lo", "hi", (F.abs(F.col("n_distinct") - F.col("exact")) <= 0.07 * F.col("exact") + 1).alias("distinct_close"), "median_close", ((F.col("m") == F.col("n_distinct")) & (F.col("k") == F.col("n"))).alias("any_order"))
+
+
+def _keys(texts):
+    """A user's key: it can't do with texts that have a bar."""
+    import hashlib
+
+    if any("|" in t for t in texts):
+        raise ValueError("a bar")
+    return [hashlib.sha256(t.strip(" ").encode()).hexdigest() for t in texts]
+
+
+@query("select doc_id, case when not contains(text, '|') then sha256(trim(text)) end as key, case when contains(text, '|') then 'ValueError: a bar' end as error from documents")
+def hooked_keys(spark, d):
+    """Keys by a user's function that fails on some rows: these have its error, all others their key."""
+    found = C.hook(_keys, "string")(F.col("text"))
+    return load(spark, d, "documents").select("doc_id", found.alias("k")).select("doc_id", F.col("k.value").alias("key"), "k.error")

@@ -163,3 +163,39 @@ def test_the_store_embeds_what_it_lacks(spark, tmp_path):
     many = keys(*[f"k{i}" for i in range(3000)])
     asked = Q.maybe_known(many.withColumnRenamed("k", "key").union(spark.createDataFrame([("a",)], "key string")), Q.filter_of(keys("a", "bb").withColumnRenamed("k", "key"), 2), 2)
     assert asked.where("known and key = 'a'").count() == 1 and asked.where("known").count() < 20
+
+
+def test_a_hook_costs_few_calls_for_a_bad_value(spark):
+    from curatrix.operators import cleaning as C
+
+    calls = []
+
+    def fn(values):
+        calls.append(len(values))
+        return [10 // v for v in values]
+
+    values = [1] * 1000
+    values[137] = 0
+    out, errors = C.bisected(fn, values)
+    assert [i for i, e in enumerate(errors) if e] == [137] and out[137] is None and set(out) == {10, None} and len(calls) < 25
+    assert C.bisected(fn, []) == ([], []) and C.bisected(lambda v: v[1:], [1, 2])[0] == [None, None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate([5, 0, None, 2, 0, 3])], "id long, v int").repartition(1)
+    got = {r.id: (r.k.value, r.k.error) for r in df.select("id", C.hook(lambda v: [10 // int(x) for x in v], "long")("v").alias("k")).collect()}
+    assert got[0] == (2, None) and got[2] == (None, None) and got[3] == (5, None) and got[1][0] is None and got[4][1].startswith("ZeroDivisionError")
+
+
+def test_profiles_merge_in_any_order(spark):
+    from curatrix.operators import profiling as A
+
+    draw = random.Random(2)
+    rows = [(i, draw.gauss(0, 1) if i % 50 else None, i % 97) for i in range(8000)]
+    df = spark.createDataFrame(rows, "i int, x double, k int")
+    parts = [A.profile_sketches(df.where(F.col("i") % 3 == p), ["x", "k"]) for p in range(3)]
+    a, b = (A.read_profile(A.merge_profiles(*p), [0.1, 0.5]).orderBy("column").collect() for p in (parts, [A.merge_profiles(parts[2], parts[0]), parts[1]]))
+    xs = sorted(x for _, x, _ in rows if x is not None)
+    for got in (a, b):
+        k, x = got
+        assert (k.n, k.n_null, k.lo, k.hi, k.n_distinct) == (8000, 0, 0.0, 96.0, 97) and (x.n, x.n_null, x.lo, x.hi) == (8000, 160, xs[0], xs[-1])
+        assert abs(x.n_distinct - len(set(xs))) < 0.07 * len(xs)
+        assert abs(np.searchsorted(xs, x.q50) / len(xs) - 0.5) < 0.03 and abs(np.searchsorted(xs, x.q10) / len(xs) - 0.1) < 0.03
+    assert [r.n_distinct for r in a] == [r.n_distinct for r in b]
