@@ -60,9 +60,9 @@ def merge_recovered(clean: DataFrame, review: DataFrame, recovery: DataFrame, ro
 
 
 def assemble(df: DataFrame, parts: Sequence[DataFrame], key: str) -> DataFrame:
-    """Columns of several tables side by side, by key and never by position."""
+    """Columns of several tables side by side, by key and never by position (J7). Rows that a part lacks stay, with nulls."""
     for part in parts:
-        df = df.join(part, key)
+        df = df.join(part, key, "left")
     return df
 
 

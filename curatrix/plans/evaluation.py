@@ -422,19 +422,22 @@ def _points(spark, d):
     return V.qc_records(rows, "vec_id", "atoms", "points", {"C": 0.76, "O": 0.66}, spread=1.2)
 
 
-@query("""with recursive p as (select vec_id, cast(vec_id % 6 as int) as n, case when vec_id % 17 = 0 then least(vec_id % 6 + 1, 6) else vec_id % 6 end as na, list_transform(embedding, lambda x: x::double * 3) as e from embeddings),
+QC = """with recursive p as (select vec_id, cast(vec_id % 6 as int) as n, case when vec_id % 17 = 0 then least(vec_id % 6 + 1, 6) else vec_id % 6 end as na, list_transform(embedding, lambda x: x::double * 3) as e from embeddings),
 pt as (select vec_id, n, i, e[3*i+1] as x, e[3*i+2] as y, e[3*i+3] as z, case when i % 2 = 0 then 0.76e0 else 0.66e0 end as r from (select *, unnest(range(n)) as i from p)),
 pr as (select a.vec_id, a.i, b.i as j, sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2) as d, a.r + b.r as r from pt a join pt b on a.vec_id = b.vec_id and a.i < b.i),
 bd as (select vec_id, i as u, j as v from pr where d <= 1.3e0 * r union select vec_id, j, i from pr where d <= 1.3e0 * r), rc(vec_id, u, v) as (select vec_id, i, i from pt union select rc.vec_id, rc.u, bd.v from rc join bd on rc.vec_id = bd.vec_id and rc.v = bd.u),
 cc as (select vec_id, count(distinct c) as k from (select vec_id, u, min(v) as c from rc group by 1, 2) group by 1), ct as (select vec_id, avg(x) as cx, avg(y) as cy, avg(z) as cz from pt group by 1),
 sp as (select pt.vec_id, max(sqrt((x-cx)**2 + (y-cy)**2 + (z-cz)**2)) as s from pt join ct on pt.vec_id = ct.vec_id group by 1), mx as (select vec_id, max(d) as m, bool_or(d > 1.3e0 * r and d < 0.9e0 * r) as clash from pr group by 1)
 select p.vec_id, case when na <> n then 'length mismatch' when n < 1 then 'empty' when n > 1 and clash then 'clash' when n > 1 and m > 30 then 'exploded' when n > 1 and k > 1 then 'disconnected' when n > 1 and s > 1.2e0 then 'spread' end as issue
-from p left join cc on p.vec_id = cc.vec_id left join sp on p.vec_id = sp.vec_id left join mx on p.vec_id = mx.vec_id""")
+from p left join cc on p.vec_id = cc.vec_id left join sp on p.vec_id = sp.vec_id left join mx on p.vec_id = mx.vec_id"""
+
+
+@query(QC)
 def vector_qc(spark, d):
     return _points(spark, d).select("vec_id", "issue")
 
 
-@query()
+@query(f"with q as ({QC}), bad as (select vec_id, row_number() over (order by vec_id) as k from q where issue is not null) select count(*) as n_checked, count_if(issue is not null) as n_suspicious, cast(0 as bigint) as n_outliers, (select string_agg(vec_id, ',' order by vec_id) from bad where k <= 20) as examples from q")
 def vector_qc_summary(spark, d):
     return V.qc_summary(_points(spark, d), "vec_id")
 
@@ -589,14 +592,6 @@ def nested_cv(spark, d):
     return N.nested_cv(_learnable(spark, d), "doc_id", FEATURES, "quality", [t | {"rounds": 3} for t in trials], 3, 2, _order())
 
 
-@query()
-def batch_scoring(spark, d):
-    rows = _learnable(spark, d)
-    models = {"quality": N.fit_endpoint(rows, FEATURES, "quality", kind="linear")}
-    long = N.score_batch(rows, "doc_id", models, F.col("chars") > 100)
-    return N.wide_scores(long, "doc_id", list(models))
-
-
 @query()
 def test_evaluated_once(spark, d):
     w = _scored(spark, d)

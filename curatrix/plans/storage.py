@@ -217,7 +217,7 @@ def recovery_counts(spark, d):
 # ---- assembly, keys, hashes -----------------------------------------------------------------------
 
 
-@query("with {BASE} select d.doc_id, d.lang, d.score, l.quality, len(e.embedding) as dim from d join labels l on d.doc_id = l.doc_id join embeddings e on d.doc_id = e.vec_id")
+@query("with {BASE} select d.doc_id, d.lang, d.score, l.quality, len(e.embedding) as dim from d left join labels l on d.doc_id = l.doc_id left join embeddings e on d.doc_id = e.vec_id")
 @rounded("score")
 def assembled_by_key(spark, d):
     docs = base(spark, d).select("doc_id", "lang", "score")

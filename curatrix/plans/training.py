@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,7 +45,7 @@ def _docs(spark, d) -> DataFrame:
     return base(spark, d).drop("key")
 
 
-FIT: dict[str, Sequence | str] = {"kind": "linear"}
+FIT: dict[str, float] = {"depth": 3, "step": 0.3, "rounds": 4}
 
 
 @query()
@@ -170,3 +168,12 @@ def increment_trees(spark, d):
     parent, got = _increment(spark, d)
     n = len(parent.trees)
     return B.tree_table(spark, got["run"].ensemble).withColumn("origin", F.when(F.col("tree") < n, "parent").otherwise("increment"))
+
+
+@query(_steps(_sql("quality", "true"), *boosting("x", 3, 3, 0.3, 3.0)) + " select x.id as doc_id, case when x.b[1] >= 1 then 1 / (1 + exp(-(m.m / 1e6))) end as quality from x join b_m3 m on x.id = m.id")
+@rounded("quality")
+def batch_scoring(spark, d):
+    """Scores of all labelled rows, a column per endpoint; none for texts of up to 100 characters (the first bin), which aren't valid."""
+    rows = _rows(spark, d, "quality")
+    models = {"quality": B.fit_boosted(rows, NAMES, "y", B.Boosting(depth=3, step=0.3, rounds=3), edges=EDGES).ensemble}
+    return N.wide_scores(N.score_batch(rows, "doc_id", models, F.col("chars") > 100), "doc_id", list(models))
