@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import materialize
-from .pretokens import WHITE_SPACE, boundaries, slices, words_of
+from .pretokens import boundaries, slices, words_of
 
 #: Characters of a chunk. Longer texts are counted in chunks, by several tasks if need be.
 CHUNK = 1 << 16
@@ -23,16 +22,34 @@ CHUNK = 1 << 16
 MAX_STATES = 200_000
 #: Words whose counts a worker remembers.
 MAX_WORDS = 300_000
-def seams(special: list[str]) -> regex.Pattern:
-    """Between these two characters every reading of a text has a boundary, whatever came before and after: before
-    white space, and where letters, numbers and other characters meet, but for an apostrophe's
-    contractions and what stands in a special token."""
-    w, own = WHITE_SPACE, "".join(special)
-    if regex.search(rf"[{w}]|\p{{L}}\p{{N}}|\p{{N}}\p{{L}}", own):
-        raise ValueError("a special token with white space, or with letters beside numbers")
-    out = "'" + "".join(sorted({regex.escape(c) for c in own if not regex.match(r"[\p{L}\p{N}]", c)}))
-    letter, number = rf"\p{{L}}{out}{w}", rf"\p{{N}}{out}{w}"
-    return regex.compile(rf"(?<=[^{w}])(?=[{w}])|(?<=\p{{L}})(?=[^{letter}])|(?<=\p{{N}})(?=[^{number}])|(?<=[^\p{{L}}\p{{N}}{out}{w}])(?=[\p{{L}}\p{{N}}])")
+
+#: Characters before a chunk that give the states it may be entered in; longer than any token.
+WARM_UP = 256
+#: Characters that decide a pre-token's boundary: of a piece's first ones not all is known, and it looks so far ahead.
+BACK, AHEAD = 4, 2
+#: Neighbouring maps that a task composes.
+TOGETHER = 64
+#: Bytes after which states that were reached from several entries are compared.
+STRIDE = 64
+
+#: A chunk's state map: what each entry state gives, as (exit state, tokens). None stands for every state not named;
+#: as an exit or a number it says that the map doesn't know it.
+StateMap = dict[bytes | None, tuple[bytes | None, int | None]]
+
+
+def composed(maps: Iterable[StateMap]) -> StateMap:
+    """The map of consecutive stretches from theirs. It is associative, so maps may be composed in any grouping."""
+    out: StateMap | None = None
+    for then in maps:
+        if out is None:
+            out = then
+            continue
+        met = {}
+        for entry, (state, n) in out.items():
+            to, more = then.get(state, then[None])
+            met[entry] = (to, None if n is None or more is None else n + more)
+        out = met
+    return out or {None: (None, 0)}
 
 
 def _byte_letters() -> dict[str, int]:
@@ -58,7 +75,8 @@ class CountTransducer:
             file = json.load(f)
         letters, model = _byte_letters(), file["model"]
         self.special = [t["content"] for t in file["added_tokens"] if t["special"]]
-        self.seams = seams(self.special)
+        if any(t[:k] == t[-k:] for t in self.special for k in range(1, len(t))):
+            raise ValueError("a special token that may overlap itself")
         spelt = lambda s: bytes(letters[c] for c in s)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.ranks = {(spelt(a), spelt(b)): i for i, (a, b) in reversed(list(enumerate(pairs)))}
@@ -119,22 +137,77 @@ class CountTransducer:
         step = self.steps[state << 8 | byte] = (to, change)
         return step
 
+    def run(self, state: int, data: bytes) -> tuple[int, int]:
+        """The state after ``data``, and by how much the count has grown."""
+        total, steps = 0, self.steps
+        for b in data:
+            step = steps.get(state << 8 | b) or self.compile(state, b)
+            state = step[0]
+            total += step[1]
+        return state, total
+
     def count(self, word: bytes) -> int:
         """Run one pre-token through the machine."""
         if (known := self.words.get(word)) is not None:
             return known
-        state = total = 0
-        steps = self.steps
-        for b in word:
-            step = steps.get(state << 8 | b) or self.compile(state, b)
-            state = step[0]
-            total += step[1]
+        total = self.run(0, word)[1]
         if len(self.places) > MAX_STATES:
             self.restart()
         if len(self.words) < MAX_WORDS and len(word) < 64:
             self.words[word] = total
         return total
 
+    def run_from(self, entries: set[int], data: bytes) -> dict[int, tuple[int, int]]:
+        """``run`` from each entry. States that meet run on as one, and what recurs runs once."""
+        live, known = {e: [(e, 0)] for e in entries}, {}
+        for at in range(0, len(data), STRIDE):
+            part, met = data[at : at + STRIDE], {}
+            for state, members in live.items():
+                if (state, part) not in known:
+                    known[state, part] = self.run(state, part)
+                to, n = known[state, part]
+                met.setdefault(to, []).extend((e, c + n) for e, c in members)
+            live = met
+        return {e: (state, c) for state, members in live.items() for e, c in members}
+
+    def name(self, state: int) -> bytes:
+        """A state's name, the same in every worker."""
+        return hashlib.blake2b(repr(self.places[state]).encode(), digest_size=16).digest()
+
+    def possible(self, data: bytes) -> set[int]:
+        """States that may hold after ``data`` inside a pre-token whose beginning isn't seen: that of every place in
+        ``data`` where a token may have begun afresh."""
+        live: set[int] = set()
+        for b in data:
+            live = {(self.steps.get(s << 8 | b) or self.compile(s, b))[0] for s in live | {0}}
+        return live
+
+    def state_map(self, piece: str, before: int, own: int, begun: bool) -> StateMap:
+        """The map of ``own`` characters of ``piece`` after ``before``; ``begun`` if the text began before the piece."""
+        data = piece.encode()
+        size = lambda n: len(piece[:n].encode())
+        low, start, end = size(BACK if begun else 0), size(before), size(before + own)
+        starts = boundaries(data, np.array([0, len(data)]))
+        starts = starts[starts >= low]
+        earlier, inside = starts[starts < start], starts[(starts >= start) & (starts < end)]
+        if not len(inside):
+            entries = {self.run(0, data[earlier[-1] : start])[0]} if len(earlier) else self.possible(data[low:start])
+            out = {self.name(e): (self.name(to), n) for e, (to, n) in self.run_from(entries, data[start:end]).items()}
+            return out | {None: (None, None)}
+        state, total = self.run(0, data[inside[-1] : end])
+        words = words_of(data[inside[0] : inside[-1]], inside[:-1] - inside[0])
+        each = np.fromiter(map(self.run_word, words.dictionary.to_pylist()), np.int64, len(words.dictionary))
+        total += int(each[words.indices.to_numpy()].sum())
+        left = self.name(state)  # whatever the entry, the last pre-token that starts here gives the exit
+        if inside[0] == start:
+            return {None: (left, total)}
+        entries = {self.run(0, data[earlier[-1] : start])[0]} if len(earlier) else self.possible(data[low:start])
+        return {self.name(e): (left, n + total) for e, (_, n) in self.run_from(entries, data[start : inside[0]]).items()} | {None: (left, None)}
+
+    def run_word(self, word: bytes) -> int:
+        """``count`` that leaves the states as they are."""
+        return self.words[word] if word in self.words else self.run(0, word)[1]
+
     def count_texts(self, texts: pa.Array) -> np.ndarray:
         """Tokens of each text. Each distinct pre-token of a slice runs once."""
         out = np.zeros(len(texts), np.int64)
@@ -182,80 +255,101 @@ def _counted(path: str):
     return run
 
 
-def _cut(chunk: int):
-    """Texts to pieces of ``chunk`` characters, in one pass."""
+_PIECES = "row long, chunk long, doc_id long, n_bytes long, digest string, special long, piece string, before int, own int, begun boolean"
+
+
+def _cut(path: str, chunk: int, warm_up: int):
+    """Texts to pieces of ``chunk`` characters of their own, with what lies about them. Special tokens end a text as its end does."""
+
+    def pieces(text: str, special: list[str]) -> Iterator[tuple]:
+        parts = [text]
+        for token in special:
+            parts = [x for p in parts for x in p.split(token)]
+        found = len(parts) - 1  # goes to the first piece; the whole text's
+        for part in filter(None, parts) if len(parts) > 1 else parts:
+            for at in range(0, len(part), chunk):
+                low, high = max(at - warm_up, 0), min(at + chunk, len(part))
+                yield found, part[low : high + AHEAD], at - low, high - at, low > 0
+                found = 0
+        if found:
+            yield found, "", 0, 0, False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 33
+        row, special = TaskContext.get().partitionId() << 33, transducer(path).special
         for batch in batches:
             for doc_id, n, text in zip(*(batch[c] for c in ("doc_id", "n_bytes", "text")), strict=True):
                 text, row = text.as_py(), row + 1
-                of = -(-len(text) // chunk)
-                for no in range(of):
-                    made = [row, doc_id.as_py(), n.as_py() if no == 0 else 0, no, of, text[no * chunk : (no + 1) * chunk]]
-                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
-                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(made, kinds, strict=True)], ["row", "doc_id", "n_bytes", "chunk", "chunks", "piece"])
+                digest = hashlib.sha256(text.encode()).hexdigest()
+                for no, made in enumerate(pieces(text, special)):
+                    values = [row, no, doc_id.as_py(), n.as_py() if no == 0 else 0, digest, *made]
+                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(values, _KINDS, strict=True)], _NAMES)
 
     return run
 
 
-def _summaries(path: str):
-    """Chunks to summaries: the count between the outermost seams, and what lies outside them."""
+_NAMES = [x.split()[0] for x in _PIECES.split(", ")]
+_KINDS = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}[x.split()[1]] for x in _PIECES.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = transducer(path)
-        for batch in batches:
-            inner, heads, tails, cuts = [], [], [], []
-            for no, of, text in zip(batch["chunk"].to_pylist(), batch["chunks"].to_pylist(), batch["piece"].to_pylist(), strict=True):
-                first, last = _outer_seams(machine.seams, text)
-                if first is None:
-                    inner.append("")
-                    heads.append(text), tails.append(None), cuts.append(False)
-                    continue
-                head, tail = first if no else 0, last if no < of - 1 else len(text)
-                inner.append(text[head:tail])
-                heads.append(text[:head]), tails.append(text[tail:]), cuts.append(True)
-            kept = [batch[c] for c in ("row", "doc_id", "n_bytes", "chunk")]
-            made = [pa.array(machine.count_texts(pa.array(inner, pa.string()))), pa.array(heads, pa.string()), pa.array(tails, pa.string()), pa.array(cuts, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(kept + made, ["row", "doc_id", "n_bytes", "chunk", "n", "head", "tail", "cut"])
+_MAP = pa.list_(pa.struct([("entry", pa.binary()), ("exit", pa.binary()), ("n", pa.int64())]))
+_MAPS = "row long, chunk long, doc_id long, n_bytes long, digest string, map array<struct<entry: binary, exit: binary, n: long>>"
 
-    return run
 
+def _column(maps: list[StateMap]) -> pa.Array:
+    return pa.array([[{"entry": e, "exit": x, "n": n} for e, (x, n) in m.items()] for m in maps], _MAP)
 
-def _outer_seams(seam: regex.Pattern, text: str) -> tuple[int | None, int | None]:
-    """Where the first and the last seam lie; both None without one. The last is sought in ever longer ends."""
-    first = seam.search(text)
-    if first is None:
-        return None, None
-    size = 256
-    while size < len(text):
-        found = [m.start() for m in seam.finditer(text, len(text) - size)]
-        if found:
-            return first.start(), found[-1]
-        size *= 4
-    return first.start(), [m.start() for m in seam.finditer(text)][-1]
 
+def _mapped(path: str):
+    """Pieces to their state maps; a special token is counted with the first of its text."""
 
-def _joined(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(path)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch["row"], pa.array(machine.count_texts(batch["piece"]))], ["row", "n"])
+            maps = []
+            for special, *piece in zip(*(batch[c].to_pylist() for c in ("special", "piece", "before", "own", "begun")), strict=True):
+                own = machine.state_map(*piece) if piece[0] else {None: (None, 0)}
+                maps.append({e: (x, None if n is None else n + special) for e, (x, n) in own.items()})
+                if len(machine.places) > MAX_STATES:
+                    machine.restart()
+            kept = [batch[c] for c in ("row", "chunk", "doc_id", "n_bytes", "digest")]
+            yield pa.RecordBatch.from_arrays([*kept, _column(maps)], [*_NAMES[:5], "map"])
 
     return run
 
 
-def count_tokens(docs: DataFrame, path: str, limit: int = 1024, chunk: int = CHUNK) -> DataFrame:
+def _composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Groups of neighbouring maps, in order, to one map each."""
+    for batch in batches:
+        maps = [composed({x["entry"]: (x["exit"], x["n"]) for x in one["map"]} for one in group) for group in batch["maps"].to_pylist()]
+        kept = [batch[c] for c in ("row", "chunk", "doc_id", "n_bytes", "digest")]
+        yield pa.RecordBatch.from_arrays([*kept, _column(maps)], [*_NAMES[:5], "map"])
+
+
+def compose_maps(maps: DataFrame, together: int = TOGETHER) -> DataFrame:
+    """One map per ``row`` from those of its chunks: neighbours are composed, ``together`` at a time, in as many rounds as
+    the most chunks need. A map has at most as many entries as its first chunk has, so none grows."""
+    most = maps.agg(F.max("chunk")).first()[0] or 0
+    while most:
+        near = maps.groupBy("row", F.floor(F.col("chunk") / together).cast("long").alias("next")).agg(
+            F.first("doc_id").alias("doc_id"), F.sum("n_bytes").alias("n_bytes"), F.first("digest").alias("digest"), F.array_sort(F.collect_list(F.struct("chunk", "map"))).alias("maps")
+        )
+        maps = near.withColumnRenamed("next", "chunk").mapInArrow(_composed, _MAPS)
+        most //= together
+    return maps
+
+
+def count_tokens(docs: DataFrame, path: str, limit: int = 1024, chunk: int = CHUNK, warm_up: int = WARM_UP) -> DataFrame:
     """Tokens of every text of ``docs(doc_id, text)``: ``doc_id, n_bytes, n_tokens, over_limit``.
 
     ``path``: a byte-level BPE file of the tokenizers library, on every node. Texts of up to ``chunk``
     characters are counted where they are read. A longer one is a sequence of chunks, dealt to all
-    tasks. A chunk's state map sends whatever state it is entered in through its head, up to the
-    first seam, and from there all states agree: so the map is the head, the count up to the last
-    seam, and the tail. Maps compose by joining a tail to the next head, which is associative: a
-    running count of seams per text says which pieces belong together, however many chunks one
-    without seams spans (a single run of letters, of digits, of other characters or of white space). What
-    is joined runs once through the transducer, in time linear in its length.
+    tasks, each of which becomes a state map: for every state it may be entered in, the exit state and
+    the tokens counted. If a pre-token starts in the ``warm_up`` characters before a chunk, its entry
+    is known; in one long run, of letters say, the entries are the states of all places in the warm-up where a
+    token may have begun. Maps compose associatively, in rounds of ``TOGETHER`` neighbours, and
+    what the first chunk's map then says of a text is its count.
+
+    The states of a warm-up needn't hold the true one. A text whose maps don't meet is noticed by its composed map, and
+    is counted whole, in one task, in time linear in its length. So counts are always exact.
 
     The special token's string counts as one token, as the library has it by default. Null or empty
     texts have no bytes and no tokens. Rows with equal doc_id are counted each. An empty table gives
@@ -264,16 +358,23 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, chunk: int = CHU
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
     short = rows.where(F.length("text") <= chunk).mapInArrow(_counted(path), "doc_id long, n_bytes long, n long")
-    pieces = rows.where(F.length("text") > chunk).mapInArrow(_cut(chunk), "row long, doc_id long, n_bytes long, chunk int, chunks int, piece string")
-    schema = "row long, doc_id long, n_bytes long, chunk int, n long, head string, tail string, cut boolean"
-    maps = materialize(pieces.repartition("row", "chunk").mapInArrow(_summaries(path), schema), "summaries")
-    seen = maps.withColumn("seams", F.sum(F.col("cut").cast("int")).over(Window.partitionBy("row").orderBy("chunk")))
-    ends = seen.select("row", (F.col("seams") - F.col("cut").cast("int")).alias("stretch"), "chunk", F.lit(1).alias("end"), F.col("head").alias("piece")).union(
-        seen.where("cut").select("row", "seams", "chunk", F.lit(2), "tail")
-    )
-    whole = ends.groupBy("row", "stretch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "end", "piece"))), lambda x: x["piece"]), "").alias("piece"))
-    extra = whole.select("row", "piece").mapInArrow(_joined(path), "row long, n long")
-    sums = maps.select("row", "doc_id", "n_bytes", "n").union(extra.select("row", F.lit(None).cast("long"), F.lit(0).cast("long"), "n"))
-    long = sums.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n_bytes").alias("n_bytes"), F.sum("n").alias("n"))
-    out = short.union(long.select("doc_id", "n_bytes", "n"))
+    long = rows.where(F.length("text") > chunk)
+    pieces = long.mapInArrow(_cut(path, chunk, max(warm_up, BACK)), _PIECES)
+    maps = materialize(pieces.repartition("row", "chunk").mapInArrow(_mapped(path), _MAPS), "maps")
+    whole = compose_maps(maps).select("doc_id", "n_bytes", "digest", F.filter("map", lambda x: x["entry"].isNull())[0]["n"].alias("n"))
+    if not (whole := materialize(whole, "counts")).where("n is null").isEmpty():
+        missed = whole.where("n is null").select("digest").distinct()
+        again = long.withColumn("digest", F.sha2("text", 256)).join(missed, "digest").dropDuplicates(["digest"])
+        again = again.select("text", "digest").mapInArrow(_recounted(path), "digest string, again long")
+        whole = whole.join(again, "digest", "left").withColumn("n", F.coalesce("n", "again"))
+    out = short.union(whole.select("doc_id", "n_bytes", "n"))
     return out.select("doc_id", "n_bytes", F.col("n").alias("n_tokens"), (F.col("n") > limit).alias("over_limit"))
+
+
+def _recounted(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = transducer(path)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["digest"], pa.array(machine.count_texts(batch["text"]))], ["digest", "again"])
+
+    return run

@@ -552,6 +552,42 @@ def test_op10_long_texts(spark):
     assert took[1] < 8 * max(took[0], 1)
 
 
+def test_op10_state_maps(spark):
+    """Maps compose in any grouping to the library's count, long runs without any boundary included; what they miss is recounted."""
+    library, machine, draw = Tokenizer.from_file(COUNTS), token_counts.transducer(COUNTS), random.Random(6)
+    runs = ["".join(draw.choices(letters, k=6000)) for letters in ("ACGT", "etaoinshr", "aaaaab", "0123456789", "中文字词é")]
+    runs += ["=" * 5000, "-" * 3000 + "=", "abab" * 1500, "'" * 2000 + "s", " " * 4000, "   \n\n " * 600, "plain words, and 12 more. " * 200]
+    for text in runs:
+        want = len(library.encode(text, add_special_tokens=False).ids)
+        for chunk in (13, 700):
+            maps = []
+            for at in range(0, len(text), chunk):
+                low, high = max(at - token_counts.WARM_UP, 0), min(at + chunk, len(text))
+                maps.append(machine.state_map(text[low : high + token_counts.AHEAD], at - low, high - at, low > 0))
+            whole = token_counts.composed(maps)
+            assert whole[None][1] == want
+            for _ in range(3):  # associative: any way of bracketing gives the same map
+                parts = list(maps)
+                while len(parts) > 1:
+                    i = draw.randrange(len(parts) - 1)
+                    j = min(len(parts), i + draw.randrange(2, 40))
+                    parts[i:j] = [token_counts.composed(parts[i:j])]
+                assert parts[0] == whole
+    unknown = {b"a": (b"b", 1), None: (None, None)}
+    assert token_counts.composed([unknown, unknown])[None] == (None, None) and token_counts.composed([unknown, unknown])[b"a"] == (None, None)
+    rows = list(enumerate([*runs, runs[0]]))
+    for warm_up in (token_counts.WARM_UP, 4):  # four characters give no entries inside a run
+        got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(documents(spark, rows), COUNTS, chunk=64, warm_up=warm_up).collect()}
+        assert got == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in rows}
+
+
+def test_op10_one_word_of_many_chunks(spark):
+    """A single word of 2 MB is dealt to the tasks in chunks."""
+    word = "".join(random.Random(7).choices("etaoinshrdlu", k=5000)) * 400
+    row = token_counts.count_tokens(documents(spark, [(1, word)]), COUNTS).first()
+    assert row.n_tokens == token_counts.transducer(COUNTS).run(0, word.encode())[1] and row.n_bytes == 2_000_000
+
+
 def plain_mix(rows, p):
     """``doc_id: (taken, spread)`` by walking every slot of every source, word by word."""
     sources = sorted({s for _, s, _ in rows}, key=lambda s: (s is None, s or ""))
