@@ -16,7 +16,8 @@ from .joins import pending
 
 
 def fingerprint(value: Column, n_bits: int = 2048, k: int = 3) -> Column:
-    """The distinct set bits, sorted, of a text's k-word shingles folded to ``n_bits``."""
+    """The distinct set bits, sorted, of a text's k-word shingles folded to ``n_bits``, at most 2^31 (X1): the first 32
+    bits of a shingle's MD5 modulo ``n_bits``, which any engine computes alike."""
     words = F.filter(F.split(F.coalesce(value, F.lit("")), r"\s+"), lambda w: w != "")
     none = F.array().cast("array<string>")
 
@@ -24,7 +25,7 @@ def fingerprint(value: Column, n_bits: int = 2048, k: int = 3) -> Column:
         places = F.sequence(F.lit(0), F.greatest(F.size(w) - k, F.lit(0)))
         return F.when(F.size(w) > 0, F.transform(places, lambda i: F.array_join(F.slice(w, i + 1, k), " "))).otherwise(none)
 
-    return F.array_sort(F.array_distinct(F.transform(let(words, shingles), lambda s: F.pmod(F.xxhash64(s), F.lit(n_bits)).cast("int"))))
+    return F.array_sort(F.array_distinct(F.transform(let(words, shingles), lambda s: (F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("long") % n_bits).cast("int"))))
 
 
 def pack_bits(bits: Column, n_bits: int = 2048) -> Column:

@@ -1,8 +1,8 @@
 """Exact ranking and threshold metrics from score histograms.
 
 Scores are first counted by distinct value; only then is anything running. Where scores are
-continuous the histogram is as long as the data, so its running sums go by ranges of the score:
-sums per range are few, and each range is summed by a task of its own.
+continuous the histogram is as long as the data, so its running sums go by ranges of the scores
+that occur: sums per range are few, and each range is summed by a task of its own.
 """
 
 from __future__ import annotations
@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Ranges of the score within which running sums are made; scores are probabilities.
-RANGES = 1024
+from ..functions.session import cut
 
 
 def histogram(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
@@ -24,15 +23,24 @@ def histogram(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) ->
 
 
 def running(hist: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Adds the positives and negatives of higher scores, ``pos_above`` and ``neg_above``."""
-    ranged = hist.withColumn("__r", F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("s"))) * RANGES))
+    """Adds the positives and negatives of higher scores, ``pos_above`` and ``neg_above``.
+
+    Ranges hold about as many distinct scores each, wherever the scores lie and whichever group they are of. They are
+    written once, as both their sums and the rows within them must see the same ranges. A null group is a group.
+    """
+    n = int(hist.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(hist.repartitionByRange(n, *by, F.desc("s")).withColumn("__r", F.spark_partition_id()))
     sums = ranged.groupBy(*by, "__r").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    over = Window.partitionBy(*by).orderBy(F.desc("__r")).rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES + 1 rows each
+    over = Window.partitionBy(*by).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
     zero = F.lit(0).cast("long")
-    offsets = sums.select(*by, "__r", F.coalesce(F.sum("p").over(over), zero).alias("__p"), F.coalesce(F.sum("n").over(over), zero).alias("__n"))
+    groups = [F.col(c).alias(f"__by{i}") for i, c in enumerate(by)]
+    offsets = sums.select(*groups, F.col("__r").alias("__q"), F.coalesce(F.sum("p").over(over), zero).alias("__p"), F.coalesce(F.sum("n").over(over), zero).alias("__n"))
     own = Window.partitionBy(*by, "__r").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, -1)
     inner = ranged.withColumns({"__ip": F.coalesce(F.sum("pos").over(own), zero), "__in": F.coalesce(F.sum("neg").over(own), zero)})
-    out = inner.join(offsets, [*by, "__r"])
+    same = F.col("__r") == F.col("__q")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__by{i}"))
+    out = inner.join(offsets, same)
     return out.withColumns({"pos_above": F.col("__p") + F.col("__ip"), "neg_above": F.col("__n") + F.col("__in")}).select(*hist.columns, "pos_above", "neg_above")
 
 

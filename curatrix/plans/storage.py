@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import identity_key
-from ..functions.session import fresh_folder
+from ..functions.session import cut, fresh_folder
 from ..operators import cleaning as C
 from ..operators import features as X
 from ..operators import joins as J
@@ -15,7 +15,7 @@ from ..operators import profiling as A
 from ..sources import snapshots as H
 from ..sources import tables as S
 from .catalog import base, load, query, rounded
-from .curation import RULES, STATUS, curate, shared_lines
+from .curation import CLASHING, STATUS, clashing_records, shared_lines
 
 PARTS = "p_partkey, p_name, p_brand, p_size, p_retailprice"
 
@@ -164,23 +164,39 @@ def nested_round_trip(spark, d):
     return S.read_table(spark, path).select("vec_id", F.col("record.label").alias("label"), total.alias("total"), F.size(v).cast("long").alias("n"))
 
 
-@query("with " + STATUS + ", u as (select status in ('clean', 'salt_removed') as good from st) select case when good then 'clean' else 'review' end as part, count(*) as n from u group by 1")
+REASONS = " ".join(f"when '{k}' then '{v}'" for k, v in (
+    ("invalid_smiles", "missing value"), ("metal_complex", "contains a blocked component; manual review"), ("ambiguous_fragment", "a component could not be classified with confidence"),
+    ("no_parent", "no parent component remained"), ("mixture", "several distinct parent components remain"),
+))
+
+
+@query("with " + CLASHING + """, gn as (select key, first_row, row_number() over (order by first_row) - 1 as gid from g), o as (select res.*, gid, first_row, status in ('clean', 'salt_removed') as good from res left join gn on res.gkey = gn.key)
+select o.doc_id, x.text as text_raw, toxic, o.status as status_before, final as status, case when good then first_parent end as value_clean, cast(coalesce(n, 0) as int) as num_fragments, cast(coalesce(gone, 0) as int) as num_removed,
+coalesce(removed, '') as removed, case when good or o.status = 'no_parent' then '' else coalesce(kept, '') end as retained, case when good then key end as key, case o.status """ + REASONS + r""" else '' end as reason,
+cast(case when good then len(regexp_extract_all(first_parent, '\[[^\]]*@[^\]]*\]')) end as int) as n_marks, gid as duplicate_group_id,
+case when gid is null then null when n_labels > 1 then 'duplicate with conflicting labels' when o.doc_id <> first_row then 'duplicate of row ' || first_row end as duplicate_reason,
+case when final in ('clean', 'salt_removed') then 'clean' else 'review' end as part, count(*) over (partition by final in ('clean', 'salt_removed')) as rows_of_part from o join documents x on o.doc_id = x.doc_id""")
 def curation_outputs(spark, d):
-    """The curation job's tables, written and read: clean and review partition the input."""
-    path, docs = fresh_folder(spark, "curation"), load(spark, d, "documents").withColumn("none", F.lit(None).cast("int"))
-    verdicts = C.classify_records(docs, "doc_id", "text", shared_lines(spark, d), **RULES)
-    clean, review = C.split_by(verdicts, F.col("status").isin(*C.ELIGIBLE))
-    for name, table in (("clean", clean), ("review", review)):
-        S.write_table(table.drop("reason"), f"{path}/{name}")
-    parts = [S.read_table(spark, f"{path}/{name}").select(F.lit(name).alias("part")) for name in ("clean", "review")]
-    return J.union_all(*parts).groupBy("part").agg(F.count("*").alias("n"))
+    """What the curation job ships: clean and review tables with all columns, duplicates resolved, and the JSON report;
+    all written, and read back."""
+    path, out = fresh_folder(spark, "curation"), clashing_records(spark, d)
+    resolved = cut(out["resolved"])
+    sides = dict(zip(("clean", "review"), C.split_by(resolved, F.col("status").isin(*C.ELIGIBLE)), strict=True))
+    for name, rows in sides.items():
+        S.write_table(rows.drop("text"), f"{path}/{name}")
+    S.write_report(A.curation_report(resolved), f"{path}/report")
+    report = spark.read.schema(out["report"].schema).json(f"{path}/report").first()
+    told = {"clean": report.records_retained, "review": report.records_excluded}
+    return J.union_all(*[S.read_table(spark, f"{path}/{name}").withColumns({"part": F.lit(name), "rows_of_part": F.lit(n).cast("long")}) for name, n in told.items()])
 
 
 # ---- the default rules, over values that the words of the texts spell ------------------------------
 
-#: A word's first two letters as a bracketed atom with a charge, the rest as bare atoms, and a marked centre on every third length.
+#: A word's first two letters as a bracketed atom with a charge, the rest as bare atoms; by the length also a marked centre, an open
+#: parenthesis, a ring's digit alone or twice, or an ion at the end.
 WORDS = """w as (select distinct unnest(regexp_extract_all(text, '[A-Za-z]{2,12}')) as word from documents),
-v as (select word, '[' || upper(substr(word, 1, 1)) || lower(substr(word, 2, 1)) || '+]' || upper(substr(word, 3)) || case when length(word) % 3 = 0 then '[C@H]' else '' end || case when length(word) % 4 = 0 then '(' else '' end as value from w)"""
+v as (select word, '[' || upper(substr(word, 1, 1)) || lower(substr(word, 2, 1)) || '+]' || upper(substr(word, 3)) || case when length(word) % 3 = 0 then '[C@H]' else '' end || case when length(word) % 4 = 0 then '(' else '' end
+  || case length(word) % 5 when 0 then 'C1' when 1 then 'C1CC1' else '' end || case when length(word) % 7 = 0 then '.[Na+]' else '' end as value from w)"""
 SYMBOLS = ", ".join(f"'{s}'" for s in C.BLOCKED_SYMBOLS)
 
 
@@ -189,13 +205,13 @@ def _values(spark, d):
     w = F.col("word")
     n = F.length(w)
     head = F.concat(F.lit("["), F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1)), F.lit("+]"), F.upper(F.substring(w, 3, 12)))
-    return word.withColumn("value", F.concat(head, F.when(n % 3 == 0, "[C@H]").otherwise(""), F.when(n % 4 == 0, "(").otherwise("")))
+    return word.withColumn("value", F.concat(head, F.when(n % 3 == 0, "[C@H]").otherwise(""), F.when(n % 4 == 0, "(").otherwise(""), F.when(n % 5 == 0, "C1").when(n % 5 == 1, "C1CC1").otherwise(""), F.when(n % 7 == 0, ".[Na+]").otherwise("")))
 
 
 @query("with " + WORDS + f""" select word, list_has_any(regexp_extract_all(value, '\\[[0-9]*([A-Z][a-z]?)', 1), [{SYMBOLS}]) as blocked,
 regexp_matches(replace(regexp_replace(value, '\\[[^\\]]*\\]', '', 'g'), 'Cl', ''), '[Cc]') or regexp_matches(value, '\\[[0-9]*[Cc][^a-z]') as parent,
 regexp_matches(value, '^\\[[0-9]*({'|'.join(C.BLOCKED_SYMBOLS)})(\\+|-)+[0-9]*\\]$') as free,
-regexp_full_match(value, '(Cl|Br|[BCNOPSFIbcnops]|\\[[^\\[\\]]+\\]|[-=#$:/\\\\.()%0-9~*@+])+') and length(word) % 4 <> 0 as valid,
+regexp_full_match(value, '(Cl|Br|[BCNOPSFIbcnops]|\\[[^\\[\\]]+\\]|[-=#$:/\\\\.()%0-9~*@+])+') and length(word) % 4 <> 0 and len(regexp_extract_all(regexp_replace(value, '\\[[^\\]]*\\]', '', 'g'), '1')) % 2 = 0 as valid,
 case when length(word) % 2 = 0 then len(regexp_extract_all(value, '\\[[^\\]]*@[^\\]]*\\]')) end as marks from v""")
 def default_rules(spark, d):
     v, even = F.col("value"), F.length("word") % 2 == 0
@@ -243,10 +259,10 @@ def table_hash_of_any_order(spark, d):
 
 
 @query(r"""with w as (select doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') as w from documents)
-select doc_id, len(list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) end)) as n from w""")
+select doc_id, array_to_string(list_sort(list_distinct(list_transform(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) end, lambda x: ('0x' || substr(md5(x), 1, 8))::bigint % 2048))), ',') as bits from w""")
 def shingle_fingerprints(spark, d):
-    """Distinct three-word shingles of each text. With bits enough no two share one, so set bits count them."""
-    return load(spark, d, "documents").select("doc_id", F.size(X.fingerprint(F.col("text"), 2_000_000_011)).cast("long").alias("n"))
+    """The set bits of each text's three-word shingles, folded to 2,048."""
+    return load(spark, d, "documents").select("doc_id", F.array_join(X.fingerprint(F.col("text")), ",").alias("bits"))
 
 
 @query("with {BASE} select lang, count(distinct key) as n_keys, count(*) as n from d group by lang")

@@ -116,6 +116,30 @@ def test_ranking_metrics_by_definition(spark):
     assert M.ece(ones, "s", "y", closed_last=True).first().ece == pytest.approx((0.05 + 2 * 0.5) / 3)
 
 
+def test_ranking_of_skewed_scores_by_group(spark):
+    """Scores that all lie close together spread over ranges as others do; a null group is a group, ranges may hold several."""
+    draw = random.Random(9)
+    rows = [(g, 0.5 + draw.randint(0, 40) * 1e-9, draw.randint(0, 1)) for g in ("a", "b", None) for _ in range(120)] + [("c", 1e-12, 1), ("c", 2e-12, 0), ("d", -3.0, 0), ("d", 7.0, 1)]
+    got = {r.g: r.auc for r in M.ranking(spark.createDataFrame(rows, "g string, s double, y int"), "s", "y", ["g"]).collect()}
+    for g in ("a", "b", "c", "d", None):
+        pos, neg = ([s for h, s, y in rows if h == g and y == k] for k in (1, 0))
+        assert got[g] == pytest.approx(sum((p > n) + (p == n) / 2 for p in pos for n in neg) / len(pos) / len(neg), abs=1e-12)
+    hist = M.histogram(spark.createDataFrame([(0.9 + i * 1e-7, i % 2) for i in range(2000)], "s double, y int"), "s", "y")
+    assert max(r["count"] for r in hist.repartitionByRange(4, F.desc("s")).groupBy(F.spark_partition_id()).count().collect()) < 1000
+    assert M.ranking(spark.createDataFrame([], "s double, y int"), "s", "y").first().auc is None
+
+
+def test_fingerprints_fold_by_digest(spark):
+    import hashlib
+
+    texts = ["one two three four", "one two", "", None, "a b c a b c"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", X.fingerprint(F.col("t"), 16).alias("bits")).collect()
+    for i, bits in got:
+        w = (texts[i] or "").split()
+        shingles = {" ".join(w[j : j + 3]) for j in range(max(len(w) - 2, 1))} if w else set()
+        assert bits == sorted({int(hashlib.md5(s.encode()).hexdigest()[:8], 16) % 16 for s in shingles})
+
+
 def test_conformal_and_isotonic(spark):
     draw = random.Random(6)
     cal = [(i, round(draw.random(), 2), draw.randint(0, 1)) for i in range(200)]
