@@ -36,17 +36,15 @@ def group_split(df: DataFrame, group: str, fracs: Sequence[float] = (0.8, 0.1, 0
     """Adds ``split``; whole groups only.
 
     Only the histogram of group sizes comes to the driver. Groups of a size are ranked by a seeded
-    hash (``tie`` replaces it) in buckets of it, so that the many groups of size 1 are ranked by many
+    digest (``tie``, of as many bits, replaces it) in buckets of it, so that the many groups of size 1 are ranked by many
     tasks. Same seed, same split; sizes per split are those of the sequential placement.
     """
     spark = df.sparkSession
     sizes = df.groupBy(group).agg(F.count("*").alias("size"))
     histogram = [(r.size_, r.n) for r in sizes.groupBy(F.col("size").alias("size_")).agg(F.count("*").alias("n")).collect()]
     quota = spark.createDataFrame(pack_sizes(histogram, sum(s * n for s, n in histogram), fracs), "size long, to_train long, to_val long")
-    order = F.xxhash64(group, F.lit(seed)) if tie is None else tie
-    # Buckets must follow the order: by the low bits, which then come first in it, or (``tie``: a digest of 60 bits) by the high ones.
-    low = F.pmod(order, F.lit(1 << 20))
-    part = F.floor(low / (1 << 20) * buckets) if tie is None else F.floor(order / (1 << 60) * buckets)
+    order = digest(F.coalesce(F.col(group).cast("string"), F.lit("")), seed) if tie is None else tie
+    part = F.floor(order / (1 << 60) * buckets)  # buckets must follow the order: by the high bits of the digest's 60
     ranked = sizes.withColumns({"__o": order, "__b": part}).withColumn("__k", F.row_number().over(Window.partitionBy("size", "__b").orderBy("__o", group)))
     counts = ranked.groupBy("size", "__b").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("size").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)

@@ -46,7 +46,7 @@ def group_split_in_name_order(spark, d):
     return G.group_split(_grouped(spark, d), "grp", tie=F.lit(0)).select("doc_id", "split")
 
 
-@query()
+@query("with recursive " + FOLD.replace("order by grp)", "order by cast('0x' || substr(md5('99:' || grp), 1, 15) as bigint), grp)") + ", m as (select *, lang || '-' || (n_chars // 500) as grp from documents) select m.doc_id, m.grp, p.split from m join placed p on m.grp = p.grp")
 def group_split_members(spark, d):
     return G.group_split(_grouped(spark, d), "grp", seed=99).select("doc_id", "grp", "split")
 
@@ -154,7 +154,7 @@ def model_ready_split_balance(spark, d):
     """Flagship: clean labelled rows, split by source without leakage, with each split's label balance."""
     model = build_model_ready(base(spark, d), "doc_id", "key", "toxic")[0]
     rows = model.withColumn("grp", G.group_key(F.col("source")))
-    return A.label_balance(G.group_split(rows, "grp", tie=G.digest(F.col("grp"), 42)), "toxic", ["split"])
+    return A.label_balance(G.group_split(rows, "grp"), "toxic", ["split"])
 
 
 # ---- features -----------------------------------------------------------------------------------
