@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -26,8 +26,10 @@ class Settings:
     ``bands`` of ``rows`` registers make candidates. A pair at 0.8 is missed by all 42 bands of 6 with
     a probability of 3e-6. Candidates are told apart by sketches of 2 to the ``fine_bits`` registers.
     ``pivots`` rounds compare a bucket's members with one of them; what is open then is compared by
-    sketches in blocks of ``block``. Up to ``most_sent`` ids of candidates are sent to all tasks that
-    read the texts of candidates; more are joined.
+    sketches in blocks of ``block``, unless a cluster has over ``wide`` members: these are banded anew by
+    their rarest shingles. A band of over ``dealt`` members is dealt to several tasks, each with a pivot of its
+    own. Up to ``most_sent`` ids of candidates are sent to all tasks that read the texts of candidates;
+    more are joined.
     """
 
     words: int = 5
@@ -39,6 +41,8 @@ class Settings:
     rows: int = 6
     pivots: int = 2
     block: int = 1024
+    wide: int = 16_384
+    dealt: int = 262_144
     most_sent: int = 1_000_000
 
 
@@ -162,14 +166,17 @@ def _sketched(s: Settings, keys: list[str]):
 
 
 def _starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in order of (band, ..., class): every class of a band but the first, beside the first, its
-    pivot, and both their labels. One row is in hand, never a band."""
-    band = pivot = pivot_label = last = None
+    """Of rows in order of (band, part, ..., class): every class of a part but the first, beside the first, its
+    pivot, and both their labels. A pivot of a part that isn't the whole band (null) has its own row too. One row is in
+    hand, never a band."""
+    place = pivot = pivot_label = last = None
     for batch in batches:
         out = []
-        for b, name, label in zip(*(batch[c].to_pylist() for c in ("band", "class", "label")), strict=True):
-            if b != band:
-                band, pivot, pivot_label = b, name, label
+        for b, part, name, label in zip(*(batch[c].to_pylist() for c in ("band", "part", "class", "label")), strict=True):
+            if (b, part) != place:
+                place, pivot, pivot_label = (b, part), name, label
+                if part is not None:
+                    out.append((b, pivot, pivot_label, pivot, pivot_label))
             elif name != last:
                 out.append((b, pivot, pivot_label, name, label))
             last = name
@@ -178,13 +185,35 @@ def _starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _stars(rows: DataFrame, *order) -> DataFrame:
+def _hot_bands(rows: DataFrame, s: Settings) -> DataFrame:
+    """``band, parts`` of the bands of ``rows(band, class)`` with over ``s.dealt`` members, judged by one class in so many
+    that ``s.dealt`` members show as 4,096. What it misses by chance is a band hardly larger, in one task; results don't hang on it."""
+    one_in = max(1, s.dealt // 4096)
+    seen = rows.where(F.pmod(F.xxhash64("class"), F.lit(one_in)) == 0).groupBy("band").agg((F.count("*") * one_in).alias("members"))
+    return seen.where(F.col("members") > s.dealt).select("band", F.ceil(F.col("members") / s.dealt).cast("int").alias("parts"))
+
+
+def _stars(rows: DataFrame, s: Settings, *order) -> DataFrame:
     """``band, pivot, pivot_label, class, label`` of the bands with several classes among ``rows(band, class,
-    label)``; a band's pivot is its first class in ``order``, then by name."""
+    label)``; a band's pivot is its first class in ``order``, then by name. The parts of a hot band have a pivot each,
+    and the band's pivot is one of these: it meets the others."""
     names = [f"o{i}" for i in range(len(order))]
-    dealt = rows.select("band", *[o.alias(n) for o, n in zip(order, names, strict=True)], "class", "label").repartition("band")
-    ordered = dealt.sortWithinPartitions("band", *names, "class").select("band", "class", "label")
-    return materialize(ordered.mapInArrow(_starred, "band long, pivot binary, pivot_label binary, class binary, label binary"), "stars")
+    schema = "band long, pivot binary, pivot_label binary, class binary, label binary"
+
+    def starred(dealt: DataFrame, *by: str) -> DataFrame:
+        ordered = dealt.repartition(*by).sortWithinPartitions("band", "part", *names, "class").select("band", "part", "class", "label")
+        return ordered.mapInArrow(_starred, schema)
+
+    whole = F.lit(None).cast("int").alias("part")
+    dealt = rows.select("band", whole, *[o.alias(n) for o, n in zip(order, names, strict=True)], "class", "label")
+    hot = materialize(_hot_bands(rows, s), "hot-bands")
+    if hot.isEmpty():
+        return materialize(starred(dealt, "band"), "stars")
+    part = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
+    parts = dealt.drop("part").join(hot, "band", "left").withColumn("part", part)
+    own = materialize(starred(parts, "band", "part"), "parts")
+    heads = own.where("class = pivot").select("band", whole, *[o.alias(n) for o, n in zip(order, names, strict=True)], "class", "label")
+    return materialize(own.union(starred(heads, "band")), "stars")
 
 
 def _details(s: Settings):
@@ -250,7 +279,7 @@ def _verify(pairs: DataFrame, details: DataFrame, s: Settings) -> DataFrame:
 
 def _links(stars: DataFrame, details: DataFrame, s: Settings) -> DataFrame:
     """The links of pivots with classes of other labels in their bands: first by sketches, then on full sets."""
-    apart = stars.where("pivot_label is null or label <> pivot_label")
+    apart = stars.where("class <> pivot and (pivot_label is null or label is null or label <> pivot_label)")
     pairs = apart.select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b")).distinct()
     likely = _beside(pairs, details, n="n", sketch="sketch").mapInArrow(_estimated(s), "a binary, b binary")
     return _verify(likely, details, s).where("linked").select("a", "b")
@@ -302,15 +331,19 @@ def _block_pairs(s: Settings, bold: bool):
     return run
 
 
-def _settled(open_: DataFrame, links: DataFrame, labels: DataFrame, details: DataFrame, s: Settings) -> DataFrame:
-    """The components of all links with those among the classes of ``open_(band, class)``.
+def _clusters(open_: DataFrame) -> DataFrame:
+    """``node, component`` of the classes of ``open_(band, class)``: what shares open bands is a cluster."""
+    low = open_.groupBy("band").agg(F.min("class").alias("low"))
+    return materialize(connected_components(open_.join(low, "band").select("class", "low").distinct(), "class", "low"), "clusters")
+
 
-    Clusters are what shares open bands. Their members are compared in pairs of blocks, by sketches;
-    what may link is verified on full sets, which are fetched for these pairs alone. It is asked again
-    as long as a pair failed that was taken to join its ends.
+def _settled(clusters: DataFrame, links: DataFrame, labels: DataFrame, details: DataFrame, s: Settings) -> DataFrame:
+    """The components of all links with those within ``clusters(node, component)``.
+
+    Their members are compared in pairs of blocks, by sketches; what may link is verified on full sets,
+    which are fetched for these pairs alone. It is asked again as long as a pair failed that was taken
+    to join its ends.
     """
-    low = open_.groupBy("band").agg(F.min("class").alias("low"))
-    clusters = connected_components(open_.join(low, "band").select("class", "low").distinct(), "class", "low")
     sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / s.block).cast("int").alias("blocks"))
     members = clusters.join(sizes, "component").join(details.select("class", "n", "sketch"), F.col("node") == F.col("class")).drop("node")
     members = materialize(members.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")), "members")
@@ -346,6 +379,46 @@ def _labels(links: DataFrame) -> DataFrame:
     return materialize(connected_components(links, "a", "b").withColumnRenamed("node", "class"), "labels")
 
 
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for name, size, own in zip(batch["class"], batch["n"], batch["shingles"], strict=True):
+            band = np.frombuffer(own.as_buffer(), np.int64)
+            n = len(band)
+            columns = [pa.array([name.as_py()] * n, pa.binary()), pa.array(np.full(n, size.as_py()), pa.int64()), pa.array(band, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["class", "n", "band"])
+
+
+def _rare_bands(named: DataFrame, details: DataFrame, s: Settings) -> DataFrame:
+    """``band, class``: bands anew for ``named(class)``, a band being a shingle. Of n shingles each class has those
+    n - ceil(percent of n) + 1 that the fewest classes hold; of two that link, some shingle is among these of both, so no
+    link is lost, and what many classes share by the way makes no candidates."""
+    own = details.join(named, "class", "left_semi").select("class", "n", "shingles").mapInArrow(_exploded, "class binary, n long, band long")
+    own = materialize(own, "shingles")
+    held = own.join(own.groupBy("band").agg(F.count("*").alias("holders")), "band")
+    place = F.row_number().over(Window.partitionBy("class").orderBy("holders", "band"))
+    rare = held.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * s.percent / 100) + 1)
+    return materialize(rare.where("holders > 1").select("band", "class"), "rare")
+
+
+def _pivoted(stars: DataFrame, links: DataFrame | None, details: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All links with those that ``s.pivots`` rounds find, the first by ``stars``; the components' labels; and what is
+    open still: ``band, class, label`` of the bands that hold several components."""
+    for turn in range(s.pivots):
+        new = _links(stars, details, s)
+        links = new if links is None else links.union(new)
+        last = turn + 1 == s.pivots
+        labels = _labels(links) if last else materialize(_nearest_labels(stars, new), "labels")
+        # A pivot that has met all classes of its band leaves it.
+        rest = stars.select("band", "class").join(labels, "class", "left").select("band", "class", F.coalesce("component", "class").alias("label"))
+        apart = rest.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
+        open_ = materialize(rest.join(apart, "band", "left_semi"), "open")
+        if open_.isEmpty():
+            return links, labels if last else _labels(links), open_
+        if not last:
+            stars = _stars(open_, s, F.xxhash64("class", F.pmod("band", F.lit(4)), F.lit(turn)))
+    return links, labels, open_
+
+
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Groups of near copies among ``docs(doc_id, text)``: ``doc_id, n_shingles, component_id, kept``.
 
@@ -355,7 +428,8 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     Classes that share a band are candidates. In the first round every class of a band meets the band's
     least class, which for a group is the same in most of its bands. In the next those of bands with
     several components meet one of four pivots drawn anew, so a member of a large group meets several. Bands
-    that then still hold several components are compared by sketches, in blocks. So no link is lost
+    that then still hold several components make clusters, which are compared by sketches, in blocks; a
+    cluster of many blocks is first banded anew by its members' rarest shingles. So no link is lost
     that would join what the bands show, no pairs of a group are made as rows, and every accepted
     link is verified on the full sets.
 
@@ -374,39 +448,32 @@ def _classes(rows: DataFrame, keys: list[str], s: Settings) -> tuple[DataFrame,
     """Of ``rows(doc_id, ..., text)``: their ``keys`` (the doc_id first) with ``n, class``, the size and name
     of their sets; and per ``class`` the ``least`` keys of its component."""
     kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
-    known = materialize(rows.mapInArrow(_sketched(s, keys), f"{kinds}, n long, class binary, bands array<long>"), "sketched")
+    rows = rows.withColumn("print", F.xxhash64("text"))  # tells rows apart that share a doc_id or have none
+    known = materialize(rows.mapInArrow(_sketched(s, [*keys, "print"]), f"{kinds}, print long, n long, class binary, bands array<long>"), "sketched")
     filled = known.where("n > 0")
     bands = known.where("bands is not null").select(F.explode("bands").alias("band"), "class", F.lit(None).cast("binary").alias("label"))
-    stars = _stars(bands)
+    stars = _stars(bands, s)
     named = stars.select("class").union(stars.select("pivot")).distinct()
-    carriers = filled.join(named, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    ids = materialize(carriers.select("doc_id").distinct(), "carriers")
+    carriers = filled.join(named, "class", "left_semi").groupBy("class").agg(F.min(F.struct("doc_id", "print")).alias("c"))
+    ids = materialize(carriers.select("c.*").distinct(), "carriers")
     ids = F.broadcast(ids) if ids.count() <= s.most_sent else ids
-    found = rows.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(_details(s), "class binary, n long, sketch binary, shingles binary")
+    found = rows.select("doc_id", "print", "text").join(ids, ["doc_id", "print"], "left_semi").mapInArrow(_details(s), "class binary, n long, sketch binary, shingles binary")
     details = materialize(found.dropDuplicates(["class"]), "details")
 
-    links = None
-    for turn in range(s.pivots):
-        new = _links(stars, details, s)
-        links = new if links is None else links.union(new)
-        last = turn + 1 == s.pivots
-        labels = _labels(links) if last else materialize(_nearest_labels(stars, new), "labels")
-        # A pivot has met all classes of its band and leaves it.
-        rest = stars.select("band", "class").join(labels, "class", "left").select("band", "class", F.coalesce("component", "class").alias("label"))
-        apart = rest.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
-        open_ = materialize(rest.join(apart, "band", "left_semi"), "open")
-        if open_.isEmpty():
-            break
-        if not last:
-            stars = _stars(open_, F.xxhash64("class", F.pmod("band", F.lit(4)), F.lit(turn)))
-    if open_.isEmpty():
-        labels = labels if last else _labels(links)
-    else:
-        labels = _settled(open_, links, labels, details, s)
+    links, labels, open_ = _pivoted(stars, None, details, s)
+    if not open_.isEmpty():
+        clusters = _clusters(open_)
+        wide = clusters.groupBy("component").count().where(F.col("count") > s.wide).select("component")
+        wide = materialize(clusters.join(wide, "component", "left_semi").select(F.col("node").alias("class")), "wide")
+        if not wide.isEmpty():
+            anew = _rare_bands(wide, details, s).join(labels, "class", "left").select("band", "class", F.coalesce("component", "class").alias("label"))
+            links, labels, again = _pivoted(_stars(anew, s), links, details, s)
+            clusters = _clusters(open_.join(wide, "class", "left_anti").select("band", "class").union(again.select("band", "class")))
+        labels = _settled(clusters, links, labels, details, s)
 
     least = filled.groupBy("class").agg(F.min(F.struct(*keys)).alias("least"))
     reach = labels.join(least, "class").groupBy("component").agg(F.min("least").alias("reach"))
-    return known.drop("bands"), least.join(labels.join(reach, "component"), "class", "left").select("class", F.coalesce("reach", "least").alias("least"))
+    return known.drop("bands", "print"), least.join(labels.join(reach, "component"), "class", "left").select("class", F.coalesce("reach", "least").alias("least"))
 
 
 def drop_near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:

@@ -248,6 +248,72 @@ def test_op4_as_brute_force(spark, n, pivots, block):
     assert near_dedup.near_duplicates(documents(spark, []), s).count() == 0
 
 
+def chained(steps, shared):
+    """A chain of texts, each a link from the next only, and texts that share most of their words but don't link."""
+    draw = random.Random(4)
+    now, rows = [f"w{i}" for i in range(120)], []
+    for i in range(steps):
+        now[i * 7 % 120] = f"n{i}"
+        rows.append((2000 + i, " ".join(now)))
+    same = " ".join(f"s{i}" for i in range(90))
+    return rows + [(5000 + i, same + " " + " ".join(f"o{draw.randint(0, 99999)}" for _ in range(30))) for i in range(shared)]
+
+
+@pytest.mark.parametrize(("pivots", "dealt"), [(1, 10), (2, 25), (1, 262_144)])
+def test_op4_hot_bands_and_wide_clusters(spark, pivots, dealt, monkeypatch):
+    rows = chained(150, 80)
+    s = near_dedup.Settings(words=4, pivots=pivots, block=8, wide=20, dealt=dealt)
+    told = {"anew": 0, "members": []}
+    rare, settled = near_dedup._rare_bands, near_dedup._settled
+
+    def counted(named, *rest):
+        told["anew"] += named.count()
+        return rare(named, *rest)
+
+    def measured(clusters, *rest):
+        told["members"] += [r["count"] for r in clusters.groupBy("component").count().collect()]
+        return settled(clusters, *rest)
+
+    monkeypatch.setattr(near_dedup, "_rare_bands", counted)
+    monkeypatch.setattr(near_dedup, "_settled", measured)
+    got = near_dedup.near_duplicates(documents(spark, rows), s).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(brute_components(rows, 4))
+    # What merely shares passages makes a wide cluster by bands of registers (but for who is the pivot of each of its bands
+    # and so has met all of them), and none by rare shingles.
+    assert told["anew"] >= 60
+    assert max(told["members"], default=0) < 80
+
+
+def test_op4_parts_of_a_hot_band(spark):
+    """A band dealt to parts: each class beside its part's pivot, each pivot beside the band's; no task has many rows."""
+    rows = spark.createDataFrame([(7, i.to_bytes(4, "big"), None) for i in range(1000)] + [(8, b"x", None), (8, b"y", None), (9, b"z", None)], "band long, class binary, label binary")
+    got = near_dedup._stars(rows, near_dedup.Settings(dealt=50)).collect()
+    hot = [(bytes(r.pivot), bytes(r["class"])) for r in got if r.band == 7]
+    heads = {p for p, c in hot if p == c}
+    assert 15 <= len(heads) <= 20
+    assert {c for _, c in hot} == {i.to_bytes(4, "big") for i in range(1000)}
+    first = (0).to_bytes(4, "big")
+    assert {c for p, c in hot if p == first} >= heads
+    assert max(Counter(p for p, _ in hot if p != first).values()) < 120
+    assert [(bytes(r.pivot), bytes(r["class"])) for r in got if r.band in (8, 9)] == [(b"x", b"y")]
+
+
+def test_op4_rare_bands_lose_no_link(spark):
+    rows = chained(40, 30)
+    s = near_dedup.Settings(words=4)
+    sets = {str(d).encode(): near_dedup.shingle_set(t, 4) for d, t in rows}
+    schema = "class binary, n long, sketch binary, shingles binary"
+    details = spark.createDataFrame([(name, len(own), b"", own.tobytes()) for name, own in sets.items()], schema)
+    bands = defaultdict(set)
+    for r in near_dedup._rare_bands(details.select("class"), details, s).collect():
+        bands[r.band].add(bytes(r["class"]))
+    together = {(a, b) for own in bands.values() for a in own for b in own}
+    names = list(sets)
+    links = [(a, b) for i, a in enumerate(names) for b in names[:i] if 100 * (n := len(np.intersect1d(sets[a], sets[b]))) >= 80 * (len(sets[a]) + len(sets[b]) - n)]
+    assert len(links) >= 39 and all(pair in together for pair in links)
+    assert not any((a, b) in together for a in names[40:] for b in names[40:] if a != b)
+
+
 def test_op4_links_rows_without_ids(spark):
     draw, least = random.Random(8), -(1 << 63)
     base = [f"w{draw.randint(0, 5000)}" for _ in range(100)]
