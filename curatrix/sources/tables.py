@@ -49,7 +49,7 @@ def lookup_vectors(df: DataFrame, store: DataFrame, key: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str, separator: str = "$$$$\n") -> DataFrame:
-    """``position, record, file_name`` of delimited text files, positions from 0 without gaps (S8): files by name, then by place.
+    """``position, record, file_name`` of delimited text files, positions from 0 without gaps (S8): files by folder, then by name, then by place.
 
     Spark cuts a file into blocks and packs these in an order of its own, so a record's place is named by what it carries itself:
     its file, where its block starts, and its number within the block. Blocks are counted, and a running sum over a row per
@@ -59,7 +59,8 @@ def read_records(spark: SparkSession, path: str, separator: str = "$$$$\n") -> D
     rows = spark.read.option("lineSep", separator).text(path).select(F.col("value").alias("record"), F.col("_metadata.file_name").alias("file_name"), block[0].alias("file"), block[1].alias("start"), F.monotonically_increasing_id().alias("id"))
     rows = cut(rows)
     blocks = rows.groupBy("file", "start").agg(F.min("file_name").alias("name"), F.count("*").alias("n"), F.min("id").alias("first"))
-    before = Window.orderBy("name", "file", "start").rowsBetween(Window.unboundedPreceding, -1)  # a row per block of a file
+    folder = F.regexp_replace("file", "[^/]*$", "")  # before the name, which may be drawn by whoever wrote the file
+    before = Window.orderBy(folder, "name", "file", "start").rowsBetween(Window.unboundedPreceding, -1)  # a row per block of a file
     offsets = blocks.select("file", "start", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     # A block is read by one task from its start on, so its ids follow one another.
     numbered = rows.join(offsets, ["file", "start"]).withColumn("position", F.col("offset") + F.col("id") - F.col("first"))

@@ -6,6 +6,7 @@ import duckdb
 
 from curatrix.plans import evaluation, storage, tables  # noqa: F401  these register their queries
 from curatrix.plans.catalog import ORACLE, QUERIES
+from curatrix.sources import tables as IO
 
 
 def both(spark, name: str, folder: pathlib.Path) -> tuple[list, list]:
@@ -29,3 +30,12 @@ def test_copies_of_a_minority_are_whole_numbers(spark, tmp_path):
     put(tmp_path, "labels", "select i as doc_id, (i % 10 = 3)::int as toxic, 0 as quality from range(73) t(i)")
     got, told = both(spark, "oversample_minority", tmp_path)
     assert got == told and len(got) == 73 + 26
+
+
+def test_records_of_folders_in_order_whatever_their_files_names(spark, tmp_path):
+    """Writers draw the names of files, so the folder comes first: here the names say the opposite."""
+    for folder, name, records in (("a", "part-9.txt", ["a0", "a1", "a2"]), ("b", "part-1.txt", ["b0", "b1"])):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / name).write_text("".join(r + "$$$$\n" for r in records))
+    got = IO.read_records(spark, str(tmp_path / "*")).orderBy("position").collect()
+    assert [(r.position, r.record) for r in got] == list(enumerate(["a0", "a1", "a2", "b0", "b1"]))
