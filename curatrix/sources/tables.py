@@ -22,9 +22,15 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.S
 
 
 def read_many(spark: SparkSession, folder: str, pattern: str, fmt: str = "parquet", schema: T.StructType | str | None = None) -> DataFrame:
-    """All files of a folder whose names fit, with the name kept as ``file_name``."""
-    reader = spark.read.option("pathGlobFilter", pattern).option("header", True).format(fmt)
-    return (reader.schema(schema) if schema else reader).load(folder).withColumn("file_name", F.col("_metadata.file_name"))
+    """All files of a folder whose names fit, with the name kept as ``file_name`` (S4). A table that is a folder of files
+    itself counts as one file: its rows have its name."""
+    reader = spark.read.option("header", True).format(fmt)
+    rows = (reader.schema(schema) if schema else reader).load(f"{folder.rstrip('/')}/{pattern}")
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    above = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).depth()
+    steps = F.split(F.regexp_replace("_metadata.file_path", r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), "/")  # the first is empty
+    own = F.url_decode(F.replace(F.get(steps, F.lit(above + 1)), F.lit("+"), F.lit("%2B")))
+    return rows.withColumn("file_name", F.when(F.size(steps) == above + 2, F.col("_metadata.file_name")).otherwise(own))
 
 
 def read_json_docs(spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.json") -> tuple[DataFrame, DataFrame]:

@@ -39,3 +39,15 @@ def test_records_of_folders_in_order_whatever_their_files_names(spark, tmp_path)
         (tmp_path / folder / name).write_text("".join(r + "$$$$\n" for r in records))
     got = IO.read_records(spark, str(tmp_path / "*")).orderBy("position").collect()
     assert [(r.position, r.record) for r in got] == list(enumerate(["a0", "a1", "a2", "b0", "b1"]))
+
+
+def test_tables_by_pattern_whether_files_or_folders(spark, tmp_path):
+    """A table in parts is one table; what else lies there isn't read."""
+    at = tmp_path / "some tables+more"
+    (at / "documents.parquet").mkdir(parents=True)
+    for part in (0, 1):
+        put(at / "documents.parquet", f"part-{part}", f"select i as doc_id, 'a' as text from range({part + 2}) t(i)")
+    put(at, "labels", "select i as doc_id, 0 as toxic from range(3) t(i)")
+    put(at, "others", "select i as doc_id from range(9) t(i)")
+    got, told = both(spark, "files_by_pattern", at)
+    assert got == told == ["('documents.parquet', 5)", "('labels.parquet', 3)"]
