@@ -4,6 +4,7 @@ import pathlib
 
 import duckdb
 
+from curatrix.operators import extensions as Z
 from curatrix.plans import evaluation, storage, tables  # noqa: F401  these register their queries
 from curatrix.plans.catalog import ORACLE, QUERIES
 from curatrix.sources import tables as IO
@@ -51,3 +52,22 @@ def test_tables_by_pattern_whether_files_or_folders(spark, tmp_path):
     put(at, "others", "select i as doc_id from range(9) t(i)")
     got, told = both(spark, "files_by_pattern", at)
     assert got == told == ["('documents.parquet', 5)", "('labels.parquet', 3)"]
+
+
+def test_similar_bits_by_class(spark, tmp_path):
+    """Pairs and memberships, expanded, are what brute force finds; a class of 400 copies costs 399 rows, not 79,800."""
+    from itertools import combinations
+    from random import Random
+
+    draw = Random(5)
+    sets = {i: frozenset(draw.sample(range(24), draw.randint(0, 9))) for i in range(150)} | {i: frozenset({1, 2, 3}) for i in range(150, 550)}
+    rows = spark.createDataFrame([(i, sorted(s, reverse=True)) for i, s in sets.items()], "k long, bits array<int>")
+    for least in (0.3, 0.5, 1.0):
+        got = [tuple(r) for r in Z.bit_similarity(rows, "k", "bits", least).collect()]
+        home = {i: min(j for j in sets if sets[j] == s) for i, s in sets.items() if s}
+        between = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in combinations(sorted(set(home.values())), 2)}
+        want = {(a, b, v) for (a, b), v in between.items() if v >= least} | {(a, i, 1.0) for i, a in home.items() if i != a}
+        assert len(got) == len(want) and set(got) == want
+    put(tmp_path, "documents", "select i * 4096 + j as doc_id from range(4) t(i), range(60) u(j)")
+    got, told = both(spark, "bit_similarity", tmp_path)
+    assert got == told and len([r for r in got if r.endswith("1.0)")]) >= 120
