@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.session import cut
 from .cleaning import STATUSES
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
@@ -200,9 +201,28 @@ def head(df: DataFrame, n: int, order: str) -> DataFrame:
     return df.orderBy(order).limit(n)
 
 
-def length_bucketed(df: DataFrame, value: str, parts: int) -> DataFrame:
-    """Rows dealt and sorted by length, so that batches have rows of like length (T4)."""
-    return df.repartitionByRange(parts, F.length(value)).sortWithinPartitions(F.length(value))
+#: Bytes of values that a part of ``length_bucketed`` holds.
+PART_BYTES = 64 << 20
+
+
+def length_bucketed(df: DataFrame, value: str, parts: int, most: int = PART_BYTES) -> DataFrame:
+    """Rows dealt and sorted by length, so that batches have rows of like length (T4).
+
+    At least ``parts`` parts, and as many as keep each at about ``most`` bytes, however long its texts and however many are of one
+    length: each length has its stretch of all bytes in the order of lengths, and its rows lie there by their hash. Distinct lengths are few,
+    at most the square root of twice the characters, so they are summed up in order and broadcast.
+    """
+    rows = df.withColumn("__n", F.coalesce(F.length(value), F.lit(-1)))
+    weight = F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    before = Window.orderBy("__n").rowsBetween(Window.unboundedPreceding, -1)
+    lengths = rows.groupBy("__n").agg(F.sum(weight).alias("__own"))
+    placed = cut(lengths.withColumn("__before", F.coalesce(F.sum("__own").over(before), F.lit(0))))
+    total = placed.agg(F.sum("__own").alias("n")).first().n or 1
+    parts = max(parts, -(-total // most))
+    own = F.pmod(F.xxhash64(*[c for c, kind in df.dtypes if not any(x in kind for x in ("map<", "variant"))]), F.lit(1 << 20)) / (1 << 20)  # maps have no hash
+    place = F.least(F.floor((F.col("__before") + own * F.col("__own")) * parts / total), F.lit(parts - 1)).cast("int")
+    dealt = rows.join(F.broadcast(placed), "__n").withColumn("__part", place)
+    return dealt.repartitionById(parts, "__part").sortWithinPartitions("__n").select(*df.columns)
 
 
 def excess_snapshots(df: DataFrame, by: str, ts: str, keep: int, tie: str) -> DataFrame:

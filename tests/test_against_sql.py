@@ -5,6 +5,7 @@ import pathlib
 import duckdb
 
 from curatrix.operators import extensions as Z
+from curatrix.operators import profiling as A
 from curatrix.plans import evaluation, storage, tables  # noqa: F401  these register their queries
 from curatrix.plans.catalog import ORACLE, QUERIES
 from curatrix.sources import tables as IO
@@ -71,3 +72,20 @@ def test_similar_bits_by_class(spark, tmp_path):
     put(tmp_path, "documents", "select i * 4096 + j as doc_id from range(4) t(i), range(60) u(j)")
     got, told = both(spark, "bit_similarity", tmp_path)
     assert got == told and len([r for r in got if r.endswith("1.0)")]) >= 120
+
+
+def test_parts_by_length_are_of_a_size(spark):
+    """Few long texts, many short ones, a length that most rows have, and null: no part holds much more than asked for."""
+    from collections import defaultdict
+
+    texts = ["x" * (i % 50) for i in range(2000)] + [chr(97 + i % 26) * 100 for i in range(3000)] + ["y" * 2000] * 200 + [None] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = A.length_bucketed(df, "text", 8, 20_000).rdd.mapPartitionsWithIndex(lambda p, rows: ((p, r.doc_id, r.text) for r in rows)).collect()
+    assert {i: t for _, i, t in got} == dict(enumerate(texts)) and len(got) == len(texts)
+    parts = defaultdict(list)
+    for p, _, t in got:
+        parts[p].append(-1 if t is None else len(t))
+    assert all(ns == sorted(ns) for ns in parts.values()) and max(sum(n + 16 for n in ns) for ns in parts.values()) < 50_000
+    order = [parts[p] for p in sorted(parts)]
+    assert all(a[-1] <= b[0] for a, b in zip(order, order[1:])) and len(order) > 30
+    assert A.length_bucketed(df.limit(0), "text", 8).count() == 0
