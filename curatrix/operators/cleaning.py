@@ -114,13 +114,14 @@ def categorize(parts: DataFrame, words: DataFrame, blocked: Rule = is_blocked, p
     return known.withColumn("category", category).drop("kind")
 
 
-def _in_order(kinds: Sequence[str], delim: str) -> Column:
-    """Components of the kinds, kind by kind and in record order, joined."""
-    rank = F.lit(None).cast("int")
-    for k, kind in enumerate(kinds):
-        rank = F.when(F.col("category") == kind, k).otherwise(rank)
-    placed = F.collect_list(F.when(rank.isNotNull(), F.struct(rank.alias("rank"), "pos", "component")))
-    return F.array_join(F.transform(F.array_sort(placed), lambda x: x["component"]), delim)
+def _gathered() -> Column:
+    """A record's components with their places and categories, in record order: its text is shuffled once, for all that is asked of it."""
+    return F.array_sort(F.collect_list(F.struct("pos", "category", "component")))
+
+
+def _of(kind: str) -> Column:
+    """A record's components of a kind, in order, of what was gathered as ``list``."""
+    return F.transform(F.filter("list", lambda x: x["category"] == kind), lambda x: x["component"])
 
 
 def classify_records(
@@ -136,17 +137,18 @@ def classify_records(
     readable = ~missing & (valid(F.trim(value)) if valid else F.lit(True))
     flagged = df.select(row_id, F.col(value).alias("__value"), missing.alias("__missing"), F.coalesce(readable, F.lit(False)).alias("__readable"))
     parts = categorize(components(flagged.where("__readable"), row_id, "__value", delim), words, blocked, parent)
-    of = lambda kind: F.count_if(F.col("category") == kind)
-    grouped = parts.groupBy(row_id).agg(
-        F.count("*").cast("int").alias("n"),
+    of = lambda kind: F.size(_of(kind)).cast("long")
+    grouped = parts.groupBy(row_id).agg(_gathered().alias("list")).select(
+        row_id,
+        F.size("list").alias("n"),
         of("metal").alias("metals"),
         of("ambiguous").alias("unclear"),
         of("parent").alias("parents"),
-        of("removable").cast("int").alias("gone"),
-        F.count_distinct(F.when(F.col("category") == "parent", F.col("component"))).alias("kinds"),
-        F.min_by("component", F.when(F.col("category") == "parent", F.col("pos"))).alias("first_parent"),
-        _in_order(["removable"], delim).alias("removed"),
-        _in_order(["parent", "ambiguous", "metal"], delim).alias("kept"),
+        F.size(_of("removable")).alias("gone"),
+        F.size(F.array_distinct(_of("parent"))).alias("kinds"),
+        F.get(_of("parent"), F.lit(0)).alias("first_parent"),
+        F.array_join(_of("removable"), delim).alias("removed"),
+        F.array_join(F.concat(_of("parent"), _of("ambiguous"), _of("metal")), delim).alias("kept"),
     )
     c = F.col
     status = (
@@ -190,13 +192,14 @@ def classify_blocked(df: DataFrame, row_id: str, value: str, words: DataFrame, b
     Recoverable only with one distinct parent, nothing ambiguous and nothing blocked but free ions.
     """
     parts = categorize(components(df, row_id, value, delim), words, blocked, parent)
-    metal = F.col("category") == "metal"
-    grouped = parts.groupBy(row_id).agg(
-        F.count_if(F.col("category") == "ambiguous").alias("unclear"),
-        F.count_distinct(F.when(F.col("category") == "parent", F.col("component"))).alias("kinds"),
-        F.min_by("component", F.when(F.col("category") == "parent", F.col("pos"))).alias("first_parent"),
-        F.count_if(metal & ~free(F.col("component"))).alias("bound"),
-        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(metal, names(F.col("component"))))))), ",").alias("symbols"),
+    metals = _of("metal")
+    grouped = parts.groupBy(row_id).agg(_gathered().alias("list")).select(
+        row_id,
+        F.size(_of("ambiguous")).alias("unclear"),
+        F.size(F.array_distinct(_of("parent"))).alias("kinds"),
+        F.get(_of("parent"), F.lit(0)).alias("first_parent"),
+        F.size(F.filter(metals, lambda x: ~free(x))).alias("bound"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.transform(metals, names)))), ",").alias("symbols"),
     )
     auto = (F.col("unclear") == 0) & (F.col("kinds") == 1) & (F.col("bound") == 0)
     reason = (

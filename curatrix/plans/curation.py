@@ -72,12 +72,16 @@ st as (select x.doc_id, case when s.n is null then 'invalid_smiles' when metals
 
 
 def shared_lines(spark, d) -> DataFrame:
-    """The dictionary of lines that at least three documents share."""
-    parts = C.components(load(spark, d, "documents"), "doc_id", "text", "\n")
-    shared = parts.groupBy("component").agg(F.count_distinct("doc_id").alias("k")).where("k >= 3")
+    """The dictionary of lines that at least three documents share; a table, so that its size is known to whoever joins it."""
+    parts = C.components(load(spark, d, "documents"), "doc_id", "text", "\n").where("component is not null")
+    # Lines travel and are counted as digests; only those that are shared travel as text.
+    marked = parts.select("doc_id", F.unhex(F.sha2("component", 256)).alias("h"))
+    shared = cut(marked.groupBy("h").agg(F.count_distinct("doc_id").alias("k")).where("k >= 3"))
+    named = parts.select("component", F.unhex(F.sha2("component", 256)).alias("h")).join(shared, "h").groupBy("component").agg(F.min("k").alias("k"))
+    shared = cut(named)
     protected = shared.where(F.col("component").startswith("Licensed"))
     rest = C.build_removable(shared, protected, _blocked).join(shared, "component")
-    return protected.select("component", F.lit("protected").alias("kind")).union(rest.select("component", F.when(F.col("k") >= 6, "removable").otherwise("sibling_removable")))
+    return cut(protected.select("component", F.lit("protected").alias("kind")).union(rest.select("component", F.when(F.col("k") >= 6, "removable").otherwise("sibling_removable"))))
 
 
 @query("with " + LINES + " select doc_id, cast(pos as int) as pos, component, cast(n as int) as n from parts")

@@ -180,10 +180,10 @@ def curation_outputs(spark, d):
     """What the curation job ships: clean and review tables with all columns, duplicates resolved, and the JSON report;
     all written, and read back."""
     path, out = fresh_folder(spark, "curation"), clashing_records(spark, d)
-    resolved = cut(out["resolved"])
+    resolved = cut(out["resolved"].drop("text"))  # text_raw has it
     sides = dict(zip(("clean", "review"), C.split_by(resolved, F.col("status").isin(*C.ELIGIBLE)), strict=True))
     for name, rows in sides.items():
-        S.write_table(rows.drop("text"), f"{path}/{name}")
+        S.write_table(rows, f"{path}/{name}")
     S.write_report(A.curation_report(resolved), f"{path}/report")
     report = spark.read.schema(out["report"].schema).json(f"{path}/report").first()
     told = {"clean": report.records_retained, "review": report.records_excluded}

@@ -4,6 +4,7 @@ import pathlib
 
 import duckdb
 
+from curatrix.operators import cleaning as C
 from curatrix.operators import extensions as Z
 from curatrix.operators import profiling as A
 from curatrix.plans import evaluation, storage, tables  # noqa: F401  these register their queries
@@ -89,3 +90,15 @@ def test_parts_by_length_are_of_a_size(spark):
     order = [parts[p] for p in sorted(parts)]
     assert all(a[-1] <= b[0] for a, b in zip(order, order[1:])) and len(order) > 30
     assert A.length_bucketed(df.limit(0), "text", 8).count() == 0
+
+
+def test_components_are_shuffled_by_record_only(spark):
+    """No exchange deals a record's components by their text as well, which would move all texts twice."""
+    import re
+
+    df = spark.createDataFrame([(1, "C.O"), (2, "CC.CC"), (3, "CC.CCC"), (4, None)], "k long, v string")
+    words = C.dictionary(spark)
+    for got in (C.classify_records(df, "k", "v", words), C.classify_blocked(df, "k", "v", words)):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"hashpartitioning\(k#\d+L?, [^0-9]", plan)
+    assert {r.k: r.status for r in C.classify_records(df, "k", "v", words).collect()} == {1: "salt_removed", 2: "clean", 3: "mixture", 4: "invalid_smiles"}
