@@ -11,21 +11,22 @@ from .common import materialize
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    # Nodes above u are the upper ends of its own edges; an edge may come twice, which the small star mends.
+    up = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
+    return up.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+    """Of edges with u above v. A node's least keeps the node itself, so nothing is joined twice."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    return edges.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _apart(edges: DataFrame) -> bool:
     """Whether edges (u above v) are stars around their least nodes: no node has two above it, or is both."""
-    several = edges.groupBy("u").agg(F.min("v").alias("v"), F.max("v").alias("w")).where("v <> w").select("u")
-    both = edges.select(F.col("v").alias("u")).join(edges.select("u"), "u", "left_semi")
-    return several.union(both).isEmpty()
+    ends = edges.select(F.col("u").alias("node"), "v").union(edges.select("v", F.lit(None)))
+    told = ends.groupBy("node").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count_if(F.col("v").isNull()).alias("under"))
+    return told.where("low <> high or (low is not null and under > 0)").isEmpty()
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:

@@ -337,8 +337,8 @@ def _clusters(open_: DataFrame) -> DataFrame:
     return materialize(connected_components(open_.join(low, "band").select("class", "low").distinct(), "class", "low"), "clusters")
 
 
-def _settled(clusters: DataFrame, links: DataFrame, labels: DataFrame, details: DataFrame, s: Settings) -> DataFrame:
-    """The components of all links with those within ``clusters(node, component)``.
+def _settled(clusters: DataFrame, labels: DataFrame, details: DataFrame, s: Settings) -> DataFrame:
+    """``labels``, the components of the links known so far, with the links within ``clusters(node, component)``.
 
     Their members are compared in pairs of blocks, by sketches; what may link is verified on full sets,
     which are fetched for these pairs alone. It is asked again as long as a pair failed that was taken
@@ -358,8 +358,7 @@ def _settled(clusters: DataFrame, links: DataFrame, labels: DataFrame, details:
         dealt = named.withColumn("m", meets).select("component", "class", "label", "n", "sketch", "refused", "block", "m.low", "m.high")
         pairs = materialize(dealt.groupBy("component", "low", "high").applyInPandas(_block_pairs(s, turn < 2), "a binary, b binary, sure boolean"), "candidates")
         told = _verify(pairs.select("a", "b").distinct(), details, s)
-        links = links.union(told.where("linked").select("a", "b"))
-        labels = _labels(links)
+        labels = _relabelled(labels, told.where("linked").select("a", "b"))
         failed = told.where("not linked").select("a", "b")
         if pairs.where("sure").join(failed, ["a", "b"], "left_semi").isEmpty():
             return labels
@@ -379,6 +378,18 @@ def _labels(links: DataFrame) -> DataFrame:
     return materialize(connected_components(links, "a", "b").withColumnRenamed("node", "class"), "labels")
 
 
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels(class, component)`` once ``links(a, b)`` join components, and of their ends that had none. Only what the
+    links say of components is sought anew, not what made these."""
+    ends = links.select(F.col("a").alias("class")).union(links.select("b")).distinct().join(labels, "class", "left_anti")
+    whole = labels.select("class", "component").union(ends.select("class", F.col("class").alias("component")))
+    met = links
+    for side in "ab":
+        met = met.join(whole.select(F.col("class").alias(side), F.col("component").alias(f"of_{side}")), side)
+    moved = connected_components(met, "of_a", "of_b").withColumnRenamed("component", "to").withColumnRenamed("node", "component")
+    return materialize(whole.join(moved, "component", "left").select("class", F.coalesce("to", "component").alias("component")), "labels")
+
+
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for name, size, own in zip(batch["class"], batch["n"], batch["shingles"], strict=True):
@@ -469,7 +480,7 @@ def _classes(rows: DataFrame, keys: list[str], s: Settings) -> tuple[DataFrame,
             anew = _rare_bands(wide, details, s).join(labels, "class", "left").select("band", "class", F.coalesce("component", "class").alias("label"))
             links, labels, again = _pivoted(_stars(anew, s), links, details, s)
             clusters = _clusters(open_.join(wide, "class", "left_anti").select("band", "class").union(again.select("band", "class")))
-        labels = _settled(clusters, links, labels, details, s)
+        labels = _settled(clusters, labels, details, s)
 
     least = filled.groupBy("class").agg(F.min(F.struct(*keys)).alias("least"))
     reach = labels.join(least, "class").groupBy("component").agg(F.min("least").alias("reach"))

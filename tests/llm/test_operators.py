@@ -207,6 +207,21 @@ def test_components_of_chains_and_stars(spark):
     assert len(got) == 72
 
 
+def test_components_take_few_jobs(spark):
+    """The driver keeps something of every job, so a round has few of them; labels are joined without a new search."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long")
+    spark.sparkContext.setJobGroup("components", "a chain")
+    try:
+        labels = near_dedup._labels(edges.selectExpr("a as a", "b as b"))
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("components"))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert jobs <= 54
+    links = spark.createDataFrame([(20, 30), (30, 31), (40, 41)], "a long, b long")
+    got = {r["class"]: r.component for r in near_dedup._relabelled(labels, links).collect()}
+    assert got == dict.fromkeys([*range(21), 30, 31], 0) | {40: 40, 41: 40}
+
+
 def brute_components(rows, n, percent=80):
     sets = []
     for d, t in rows:
