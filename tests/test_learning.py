@@ -192,3 +192,20 @@ def test_nested_selection(spark, tmp_path):
     assert {(r.status, r.settings) for r in N.read_log(spark, path).collect()} == {("ok", '{"depth": 1, "rounds": 1}'), ("failed", '{"depth": "deep", "rounds": 1}')}
     with pytest.raises(RuntimeError, match="all 1 trials failed"):
         N.nested_cv(df, "row_id", ["a", "b"], "y", TRIALS[1:2], 2, 2, F.col("row_id"))
+
+
+def test_a_level_is_one_job_without_a_shuffle(spark):
+    """What a level costs beside its rows is a small job: trees of many rounds have thousands of them."""
+    rows = spark.createDataFrame([(i % 2, bytes([i % 5, i % 3]), 0) for i in range(300)], "y int, codes binary, margin long")
+    blocks = B.blocks_of(rows)
+    assert sum(len(y) for y, _, _ in blocks.collect()) == 300
+    sc = spark.sparkContext
+    sc.setJobGroup("levels", "a tree")
+    try:
+        tree = B.grow(blocks, [], [[0.0, 1.0, 2.0, 3.0], [0.0, 1.0]], (1.0, 1.0), B.Boosting(depth=3))
+        jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup("levels")]
+    finally:
+        sc._jsc.clearJobGroup()
+        blocks.unpersist()
+    assert 1 <= len(jobs) <= 3 and {len(j.stageIds) for j in jobs} == {1}
+    assert len(tree.feature) == 16
