@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.session import cut
 from ..sources.tables import read_table, write_table
-from .features import check_compatible, embed_pending
+from .features import check_compatible, embed_keys
 
 #: Bits of a block, as Spark's bitmaps have them, and how many of them a key sets.
 BITS, HASHES = 1 << 15, 6
@@ -46,6 +46,10 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     return read_table(spark, at, schema=VECTORS) if _there(spark, at) else spark.createDataFrame([], VECTORS)
 
 
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")
+
+
 def _block(blocks: int) -> Column:
     return F.pmod(F.xxhash64(F.lit("block"), "key"), F.lit(blocks))
 
@@ -76,30 +80,31 @@ def pending_keys(df: DataFrame, key: str, path: str) -> DataFrame:
     """``key, bucket``: distinct keys that are neither stored nor skipped for good. Null keys are left out."""
     spark = df.sparkSession
     _, buckets, blocks = _numbers(spark, path)
-    keys = df.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key")).distinct()
-    keys = keys.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
+    keys = df.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"))
+    keys = keys.withColumns({"bucket": _bucket(buckets), "digest": F.sha2("key", 256)})
+    # One shuffle by digest finds copies and what is done; of what is stored, digests alone move.
+    once = keys.dropDuplicates(["digest"])
     if not _there(spark, f"{path}/filter"):
-        return keys
-    asked = cut(maybe_known(keys, read_table(spark, f"{path}/filter", schema="block long, bits binary"), blocks))
-    done = read_vectors(spark, path).where("status <> 'retry'").select("key", "bucket")
+        return once.drop("digest")
+    asked = maybe_known(keys.select("key", "bucket"), read_table(spark, f"{path}/filter", schema="block long, bits binary"), blocks)
     # Buckets in which nothing is known aren't read.
     near = [r.bucket for r in asked.where("known").select("bucket").distinct().collect()]
-    rest = asked.where("known").drop("known").join(done.where(F.col("bucket").isin(near)).drop("bucket"), "key", "left_anti")
-    return asked.where("not known").drop("known").unionByName(rest)
+    done = read_vectors(spark, path).where("status <> 'retry'").where(F.col("bucket").isin(near)).select(F.sha2("key", 256).alias("digest"))
+    return once.join(done, "digest", "left_anti").select("key", "bucket")
 
 
 def upsert(rows: DataFrame, path: str) -> int:
-    """Put ``rows`` (of ``VECTORS``, a row a key) into the store, in place of its rows of these keys. Only their buckets are
-    read and overwritten, each by a rename of what was written beside it; returns how many."""
+    """Put ``rows`` (of ``VECTORS``, a row a key; read twice, so better a table) into the store, in place of its rows of these
+    keys. Only their buckets are read and overwritten; returns how many. What is new meets what is there in the one shuffle
+    that deals rows to buckets. Spark writes beside the buckets and renames at the end, so they can be read meanwhile."""
     spark = rows.sparkSession
-    rows = cut(rows)
     touched = [r.bucket for r in rows.select("bucket").distinct().collect()]  # at most all buckets
     if not touched:
         return 0
-    old = read_vectors(spark, path).where(F.col("bucket").isin(touched)).join(rows.select("key"), "key", "left_anti")
-    whole = cut(old.unionByName(rows))
-    out = whole.repartition(len(touched), "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    out.partitionBy("bucket").parquet(f"{path}/vectors")
+    old = read_vectors(spark, path).where(F.col("bucket").isin(touched)).withColumn("fresh", F.lit(0))
+    dealt = old.unionByName(rows.withColumn("fresh", F.lit(1))).repartition(len(touched), "bucket")
+    last = dealt.groupBy("bucket", "key").agg(F.max_by(F.struct("vector", "status", "reason", "round"), "fresh").alias("row")).select("key", "row.*", "bucket")
+    last.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/vectors")
     return len(touched)
 
 
@@ -110,12 +115,11 @@ def update_vectors(df: DataFrame, key: str, path: str, embed: Callable[[list[str
     embedded again, with the same result; one that is repeated adds nothing.
     """
     spark = df.sparkSession
-    known, _, blocks = _numbers(spark, path)
+    known, buckets, blocks = _numbers(spark, path)
     check_compatible(known, **meta)
     todo = cut(pending_keys(df, key, path))
-    none = spark.createDataFrame([], "key string")
     last = read_vectors(spark, path).agg(F.max("round").alias("r")).first().r or 0
-    found = cut(embed_pending(todo, "key", none, none, embed, most).join(todo, "key").withColumn("round", F.lit(last + 1)))
+    found = cut(embed_keys(todo.select("key"), embed, most).withColumns({"round": F.lit(last + 1), "bucket": _bucket(buckets)}))
     upsert(found.select("key", "vector", "status", "reason", "round", "bucket"), path)
     filter_of(found.where("status <> 'retry'").select("key"), blocks).write.mode("append").parquet(f"{path}/filter")
     counts = {r.status: r.n for r in found.groupBy("status").agg(F.count("*").alias("n")).collect()}

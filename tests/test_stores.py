@@ -199,3 +199,28 @@ def test_profiles_merge_in_any_order(spark):
         assert abs(x.n_distinct - len(set(xs))) < 0.07 * len(xs)
         assert abs(np.searchsorted(xs, x.q50) / len(xs) - 0.5) < 0.03 and abs(np.searchsorted(xs, x.q10) / len(xs) - 0.1) < 0.03
     assert [r.n_distinct for r in a] == [r.n_distinct for r in b]
+
+
+def test_an_update_moves_its_keys_few_times(spark, tmp_path):
+    """New keys are shuffled and written a few times, keys that are done not at all: their digests move."""
+    path = str(tmp_path / "store")
+    Q.create_store(spark, path, buckets=4, blocks=2, model="m")
+    draw = np.random.default_rng(5)
+    words = ["".join(chr(33 + c) for c in draw.integers(0, 90, 2000)) for _ in range(600)]
+    df = spark.createDataFrame([(w,) for w in words * 2], "k string")
+    embed = lambda k: np.ones((len(k), 2), np.float32)
+
+    def moved() -> int:
+        store = spark.sparkContext._jsc.sc().statusStore()
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() + stages.apply(i).outputBytes() for i in range(stages.size()))
+
+    before = moved()
+    assert Q.update_vectors(df, "k", path, embed, model="m")["ok"] == 600
+    first = moved() - before
+    assert Q.update_vectors(df, "k", path, embed, model="m")["ok"] == 0
+    again = moved() - before - first
+    assert Q.pending_keys(df, "k", path).count() == 0
+    size = sum(map(len, words))
+    assert first < 9 * size and again < size
+    assert Counter(r.key for r in Q.read_vectors(spark, path).collect()) == Counter(words)
