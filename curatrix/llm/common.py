@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.session import fresh_folder, note
+from ..functions.session import fresh_folder, note, tidy
 
 #: A word, wherever these operators speak of words: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -42,8 +42,7 @@ def materialize(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
         out.parquet(path)
     note(path, name)
     if next(_WRITTEN) % TIDY == 0:
-        # Spark deletes shuffle files and broadcasts of what is done only when the driver's garbage is collected.
-        spark.sparkContext._jvm.System.gc()
+        tidy(spark)
     return spark.table(name) if name else spark.read.schema(df.schema).parquet(path)
 
 

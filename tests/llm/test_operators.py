@@ -1,9 +1,12 @@
 """The ten operators against brute force on small and awkward tables."""
 
 import base64
+import gc
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -12,7 +15,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from curatrix.llm import bpe_codec, fingerprints, mixing, near_dedup, pretokens, quality_classifier, quality_rules, sharding, token_counts, toxicity, url_filter
+from curatrix.llm import bpe_codec, common, fingerprints, mixing, near_dedup, pretokens, quality_classifier, quality_rules, sharding, token_counts, toxicity, url_filter
 from curatrix.llm.components import connected_components
 from curatrix.llm.labelled import remainder
 
@@ -200,6 +203,30 @@ def test_op3_many_rules(spark):
     assert time.time() - start < 60
 
 
+def test_what_is_freed_leaves_the_driver(spark, monkeypatch):
+    """Many small steps leave free native memory in the driver; every few tables it goes back to the machine."""
+    import time
+
+    jvm = spark.sparkContext._jvm
+    held = Path(f"/proc/{jvm.ProcessHandle.current().pid()}/smaps_rollup")
+    if not held.exists():
+        pytest.skip("no /proc")
+    resident = lambda: int(re.search(r"Anonymous:\s+(\d+)", held.read_text())[1]) / 1024
+    frame = spark.range(10)
+    monkeypatch.setattr(common, "TIDY", 10**9)
+    common.materialize(frame, "warm")
+    buffers = [jvm.java.nio.ByteBuffer.allocateDirect(100_000) for _ in range(1500)]
+    kept, buffers = buffers[::50], None  # what is kept lies between what goes, so the C library doesn't give it back itself
+    for _ in range(4):
+        gc.collect()
+        jvm.System.gc()
+        time.sleep(0.2)
+    before = resident()
+    monkeypatch.setattr(common, "TIDY", 1)
+    common.materialize(frame, "tidy")
+    assert resident() < before - 50 and len(kept) == 30
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7), (500, 500), (None, 3)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
