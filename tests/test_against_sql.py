@@ -75,6 +75,27 @@ def test_similar_bits_by_class(spark, tmp_path):
     assert got == told and len([r for r in got if r.endswith("1.0)")]) >= 120
 
 
+def test_similar_bits_of_every_two_rows(spark, tmp_path, monkeypatch):
+    """Every pair that brute force finds, once, members of one class and of two, in few packs and in many; the query gives pairs of documents."""
+    from itertools import combinations
+    from random import Random
+
+    draw = Random(6)
+    sets = {i: frozenset(draw.sample(range(9), draw.randint(0, 5))) for i in range(120)} | {i: frozenset({1, 2, 3}) for i in range(120, 150)}
+    rows = spark.createDataFrame([*((i, sorted(s)) for i, s in sets.items()), (None, [1, 2, 3]), (999, None)], "k long, bits array<int>")
+    between = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in combinations(sorted(sets), 2) if sets[a] & sets[b]}
+    for pack, pairs in ((512, 4_000_000), (4, 100)):
+        monkeypatch.setattr(Z, "PACK", pack)
+        monkeypatch.setattr(Z, "TASK_PAIRS", pairs)
+        for least in (0.3, 1.0):
+            got = [tuple(r) for r in Z.bit_pairs(rows, "k", "bits", least).collect()]
+            want = {(a, b, v) for (a, b), v in between.items() if v >= least}
+            assert len(got) == len(want) and set(got) == want
+    put(tmp_path, "documents", "select i * 4096 + j as doc_id from range(6) t(i), range(20) u(j)")
+    got, told = both(spark, "bit_similarity", tmp_path)
+    assert got == told and len([r for r in got if r.endswith(", 1.0)")]) >= 2 * 3 * 20  # three documents of each class
+
+
 def test_parts_by_length_are_of_a_size(spark):
     """Few long texts, many short ones, a length that most rows have, and null: no part holds much more than asked for."""
     from collections import defaultdict
