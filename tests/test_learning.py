@@ -194,6 +194,24 @@ def test_nested_selection(spark, tmp_path):
         N.nested_cv(df, "row_id", ["a", "b"], "y", TRIALS[1:2], 2, 2, F.col("row_id"))
 
 
+def test_the_whole_grid_is_tried(spark, tmp_path, monkeypatch):
+    """All eight settings, the baseline first; a number of trials is a choice of the caller's."""
+    import duckdb
+
+    from curatrix.plans.catalog import QUERIES
+    from curatrix.plans import evaluation  # noqa: F401  it registers the query
+
+    grid = {"x": [1, 2, 3], "y": [True, False]}
+    got = N.trial_table(grid, {"x": 2, "y": True})
+    assert len({tuple(t.items()) for t in got}) == len(got) == 6 and got[0] == {"x": 2, "y": True} and N.trial_table(grid, {"x": 2, "y": True}, 4) == got[:4]
+    for table, columns in (("documents", "i as doc_id, 'a b' as text, 'en' as lang, 's' as source, 3 as n_chars"), ("labels", "i as doc_id, 0 as toxic, i % 2 as quality")):
+        duckdb.connect().sql(f"copy (select {columns} from range(9) t(i)) to '{tmp_path}/{table}.parquet' (format parquet)")
+    seen = []
+    monkeypatch.setattr(N, "nested_cv", lambda *args, **how: seen.extend(args[4]))
+    QUERIES["nested_cv"](spark, str(tmp_path))
+    assert len({(t["depth"], t["step"], t["shrink"]) for t in seen}) == len(seen) == 8
+
+
 def test_a_level_is_one_job_without_a_shuffle(spark):
     """What a level costs beside its rows is a small job: trees of many rounds have thousands of them."""
     rows = spark.createDataFrame([(i % 2, bytes([i % 5, i % 3]), 0) for i in range(300)], "y int, codes binary, margin long")
