@@ -212,6 +212,38 @@ def test_the_whole_grid_is_tried(spark, tmp_path, monkeypatch):
     assert len({(t["depth"], t["step"], t["shrink"]) for t in seen}) == len(seen) == 8
 
 
+def test_fits_side_by_side_are_the_fits_one_by_one(spark):
+    """Other depths, bins, steps, rows, ends by patience or by rounds, with and without validation: the same trees and rounds."""
+    df = spark.createDataFrame([r for r in noisy(240, 8) if r[3] is not None], SCHEMA).withColumns({"first": F.col("row_id") % 3 == 0, "rest": F.col("row_id") % 3 == 1, "most": F.col("row_id") % 3 != 0})
+    fits = [
+        B.Fit(B.Boosting(depth=3, step=0.4, rounds=40, patience=3, every=2), "rest", "first"), B.Fit(B.Boosting(depth=2, step=0.9, rounds=5, patience=9, every=3, bins=8), "most", "first"),
+        B.Fit(B.Boosting(depth=1, step=0.1, rounds=3), "most"), B.Fit(B.Boosting(depth=2, step=0.2, rounds=40, patience=4, metric="loss"), "rest", "first"), B.Fit(B.Boosting(rounds=0), "most"),
+    ]
+    got = B.fit_side_by_side(df, ["a", "b"], "y", fits)
+    for x, run in zip(fits, got, strict=True):
+        alone = B.fit_boosted(df.where(F.col(x.learn) | F.col(x.held) if x.held else F.col(x.learn)), ["a", "b"], "y", x.settings, x.held)
+        assert run.ensemble.edges == alone.ensemble.edges and run.best_iteration == alone.best_iteration
+        assert len(run.ensemble.trees) == len(alone.ensemble.trees) and all(map(B.same_tree, run.ensemble.trees, alone.ensemble.trees))
+        n = min(len(run.stages), len(alone.stages))
+        assert [r[:3] for r in run.stages[:n]] == [tuple(r[:3]) for r in alone.stages[:n]]
+    assert len(got[0].stages) < 40 and got[2].best_iteration is None
+    with pytest.raises(ValueError, match="two classes"):
+        B.fit_side_by_side(df.where("y = 1"), ["a"], "y", fits[2:3])
+
+
+def test_nested_selection_together(spark, tmp_path):
+    """Trials that grow together choose and score as those that run one by one; a wrong one is a row of the log."""
+    df = spark.createDataFrame([r for r in noisy(90, 5) if r[3] is not None], SCHEMA).withColumn("stops", F.col("row_id") % 5 == 0)
+    trials = [{"depth": 1, "rounds": 2}, {"depth": 2, "step": 0.5, "rounds": 30, "patience": 2, "every": 4, "validation": "stops"}, {"deep": 1}]
+    run = lambda at, **how: sorted(map(tuple, N.nested_cv(df, "row_id", ["a", "b"], "y", trials, 2, 2, F.col("row_id"), str(tmp_path / at), "x", **how).collect()))
+    log = lambda at: sorted((r.key, r.settings, r.status, r.auc) for r in N.read_log(spark, str(tmp_path / at)).collect())
+    assert run("one", parallel=2) == (rows := run("all", together=True)) and len(rows) == df.count()
+    assert log("one") == log("all") and [x[2] for x in log("all")].count("failed") == 2 and len(log("all")) == 6
+    assert run("all", together=True) == rows and len(log("all")) == 8  # only what isn't ok again
+    with pytest.raises(ValueError, match="time limit"):
+        N.run_trials(df, "row_id", ["a", "b"], "y", trials, 2, F.col("row_id"), seconds=5, together=True)
+
+
 def test_a_level_is_one_job_without_a_shuffle(spark):
     """What a level costs beside its rows is a small job: trees of many rounds have thousands of them."""
     rows = spark.createDataFrame([(i % 2, bytes([i % 5, i % 3]), 0) for i in range(300)], "y int, codes binary, margin long")
